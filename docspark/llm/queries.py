@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspark.llm.bpe import bpe_decode, bpe_encode
 from docspark.llm.ngram_join import ngram_jaccard_join
+from docspark.llm.packing import concatenate_and_cut
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -14,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -22,3 +31,17 @@ def _query(f):
 @_query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = concatenate_and_cut(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("byte_bpe_50k.json")
+    done = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
