@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.bpe import bpe_decode, bpe_encode
+from docspark.llm.fingerprints import fingerprints
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
 
@@ -45,3 +46,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path), path)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
