@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.bpe import bpe_decode, bpe_encode
 from docspark.llm.fingerprints import fingerprints
+from docspark.llm.neighbours import nearest
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
 
@@ -51,3 +52,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
