@@ -81,6 +81,37 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def word_blocks(texts: list[str | None]):
+    """All words in blocks: (index of its text for each word, the block's bytes, start, end and hash of each word).
+
+    The bytes have two spaces before and after; texts longer than two blocks come in several.
+    """
+    held: list[bytes] = []
+    owner: list[int] = []
+    size = 0
+
+    def made():
+        raw = np.frombuffer(b"  " + b"\n".join(held) + b"  ", np.uint8)
+        edge = np.flatnonzero(_SPACE[raw][1:] != _SPACE[raw][:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * _power("up", _B, len(raw)), out=total[1:])
+        value = mix((total[end] - total[start]) * _power("down", pow(_B, -1, 1 << 64), len(raw) + 1)[start])
+        ends = np.cumsum([len(x) + 1 for x in held]) + 2
+        return np.array(owner)[np.searchsorted(ends, start, "right")], raw, start, end, value
+
+    for i, text in enumerate(texts):
+        for piece in _pieces((text or "").encode("utf-8", "surrogatepass")):
+            held.append(piece)
+            owner.append(i)
+            size += len(piece)
+            if size > _BLOCK:
+                yield made()
+                held, owner, size = [], [], 0
+    if held:
+        yield made()
+
+
 def _factor(j: int) -> np.uint64:
     return np.uint64(((2 * j + 1) * 0xD6E8FEB86659FD93 + 0x1000193 * j * j * 2) & _MASK | 1)
 

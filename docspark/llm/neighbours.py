@@ -65,7 +65,7 @@ class Forest:
             yield q, np.flatnonzero(found)
 
 
-def _searched(k: int, trees: int, share: float, seed: int):
+def _searched(k: int, trees: int, share: float, least: int, seed: int):
     def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
@@ -73,7 +73,7 @@ def _searched(k: int, trees: int, share: float, seed: int):
             node, asked_node = data["node"].to_numpy(), asked["node"].to_numpy()
             vectors, queries = (np.stack(list(x["embedding"])).astype(np.float64) for x in (data, asked))
             forest = Forest(vectors, trees, seed)
-            for q, found in forest.candidates(queries, min(len(node), max(k, math.ceil(share * len(node))))):
+            for q, found in forest.candidates(queries, min(len(node), max(k, least, math.ceil(share * len(node))))):
                 score = np.sqrt(((vectors[found] - queries[q]) ** 2).sum(1))
                 best = np.lexsort((node[found], score))[:k]
                 out.append(pd.DataFrame({"asked": asked_node[q], "node": node[found][best], "score": score[best]}))
@@ -82,7 +82,7 @@ def _searched(k: int, trees: int, share: float, seed: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16, share: float = 0.6, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16, share: float = 0.6, least: int = 1000, seed: int = 7) -> DataFrame:
     """The ``k`` nearest rows of each query row by Euclidean distance, in double precision.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers); ``is_query`` tells its query rows. Every row is
@@ -93,15 +93,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16,
     group of copies costs k + 1 rows.
 
     Each shard of equal vectors' representatives has a forest of its own; every block of queries visits every shard
-    and brings back its k + 1 nearest candidates there. ``share`` of a shard's vectors are looked at at least: what
-    the recall costs depends on the data (figures in the README).
+    and brings back its k + 1 nearest candidates there. At least ``share`` of a shard's vectors, and ``least``, are
+    looked at: what the recall costs depends on the data (figures in the README).
     """
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).distinct()
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = usable.withColumn("nth", first).where(F.col("nth") <= k + 1)
     points = written(kept.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.collect_list("vec_id").alias("ids")), "neighbour-points")
     queries = written(usable.where("asks").select("vec_id", "embedding").join(points.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "neighbour-queries")
-    asked = points.join(queries.select("node").distinct(), "node", "left_semi").select("node", "embedding")
+    asked = written(points.join(queries.select("node").distinct(), "node", "left_semi").select("node", "embedding"), "neighbour-asked")
 
     size, n_asked = points.count(), max(1, asked.count())
     shards, blocks = max(1, -(-size // SHARD)), -(-n_asked // BLOCK)
@@ -110,7 +110,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16,
     dim = F.size("embedding").alias("dim")
     left = points.select("node", "embedding", dim, deal(shards, "shard").alias("shard"), every(blocks).alias("block"))
     right = asked.select("node", "embedding", dim, every(shards).alias("shard"), deal(blocks, "block").alias("block"))
-    met = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_searched(k + 1, trees, share, seed), "asked long, node long, score double")
+    met = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_searched(k + 1, trees, share, least, seed), "asked long, node long, score double")
 
     best = F.row_number().over(Window.partitionBy("asked").orderBy("score", "node"))
     met = met.withColumn("nth", best).where(F.col("nth") <= k + 1).select("asked", F.col("node").alias("near"), "score")

@@ -10,6 +10,7 @@ from docspark.llm.fingerprints import fingerprints
 from docspark.llm.neighbours import nearest
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
+from docspark.llm.quality import quality_scores
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -57,3 +58,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
