@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.bpe import bpe_decode, bpe_encode
 from docspark.llm.fingerprints import fingerprints
+from docspark.llm.language import languages
 from docspark.llm.neighbours import nearest
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
@@ -63,3 +64,9 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return languages(docs, docs)
