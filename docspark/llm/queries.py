@@ -11,6 +11,7 @@ from docspark.llm.language import languages
 from docspark.llm.neighbours import nearest
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
+from docspark.llm.pii import KINDS, joined, personal_data
 from docspark.llm.quality import quality_scores
 
 QUERIES: dict = {}
@@ -70,3 +71,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return languages(docs, docs)
+
+
+@_query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
