@@ -81,7 +81,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def word_blocks(texts: list[str | None]):
+def word_blocks(texts: list[str | bytes | None]):
     """All words in blocks: (index of its text for each word, the block's bytes, start, end and hash of each word).
 
     The bytes have two spaces before and after; texts longer than two blocks come in several.
@@ -101,7 +101,7 @@ def word_blocks(texts: list[str | None]):
         return np.array(owner)[np.searchsorted(ends, start, "right")], raw, start, end, value
 
     for i, text in enumerate(texts):
-        for piece in _pieces((text or "").encode("utf-8", "surrogatepass")):
+        for piece in _pieces(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")):
             held.append(piece)
             owner.append(i)
             size += len(piece)

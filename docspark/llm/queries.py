@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from docspark.llm.bpe import bpe_decode, bpe_encode
 from docspark.llm.fingerprints import fingerprints
 from docspark.llm.language import languages
+from docspark.llm.licenses import license_scan
 from docspark.llm.neighbours import nearest
 from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
 from docspark.llm.pii import KINDS, joined, personal_data
 from docspark.llm.quality import quality_scores
+from docspark.llm.url_filter import url_verdicts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -78,3 +80,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@_query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
