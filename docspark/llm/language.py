@@ -198,7 +198,7 @@ def fit_language(rows: list[tuple[str, object]], epochs: int = 3, rate: float =
     return model
 
 
-def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characters: int = 4000) -> DataFrame:
+def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characters: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Language of every whole text of ``docs`` (doc_id, text).
 
     ``labelled`` (doc_id, text, lang) is learned from, where its doc_id isn't held out and lang isn't null: at most
@@ -207,6 +207,7 @@ def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characte
     over its words with letters, ties to the first in order. Returns one row per row: doc_id, held_out, lang_pred,
     score (that mean). Texts that are null or without a letter, and all texts if nothing could be learned, are ``und``
     with score 0. With one language learned, it is every text's.
+    Columns in ``keep`` are handed through.
     """
     rows = labelled_sample(labelled, labelled.select("doc_id", F.col("lang").alias("label")), sample, characters)
     model = docs.sparkSession.sparkContext.broadcast(fit_language(rows))
@@ -232,9 +233,11 @@ def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characte
                 best = mean.argmax(1)
                 name = [m.names[b] if m.names and c else None for b, c in zip(best, count)]
                 score = np.where(count > 0, mean[np.arange(len(best)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("lettered"), pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lettered", "best", "score"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("lettered"), pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1)), *map(some.column, keep)], names=["doc_id", "lettered", "best", "score", *keep])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered).mapInArrow(run, "doc_id long, lettered boolean, best string, score double")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered, *(c for c in keep if c != "text"))
+    schema = ["doc_id long", "lettered boolean", "best string", "score double", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)]
+    found = slim.mapInArrow(run, ", ".join(schema))
     known = F.col("lettered") & F.col("best").isNotNull()
-    return found.select("doc_id", held_out().alias("held_out"), F.when(known, F.col("best")).otherwise("und").alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score"))
+    return found.select("doc_id", held_out().alias("held_out"), F.when(known, F.col("best")).otherwise("und").alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score"), *keep)

@@ -150,8 +150,8 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kind as in KINDS, then start; positions are code points, ends exclusive. Repeated rows give repeated rows; an empty
     table gives none. Texts with many matches cost a power of 1.5 of their number.
     """
-    df = docs.select(*(keep or ["doc_id"]), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kept = df.columns[:-1]
+    kept = keep or ["doc_id"]
+    df = docs.select(*(c for c in kept if c != "text"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     for kind in KINDS:
         df = _located(df, BASE[kind], F.col("text").contains(HINT[kind]) if HINT[kind] else F.lit(True), f"base_{kind}")
         df = df.withColumn(f"base_{kind}", F.filter(f"base_{kind}", partial(_passes, kind)))

@@ -138,13 +138,13 @@ def fit_quality(rows: list[tuple[str, int]], vocabulary: int = VOCABULARY, hidde
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, characters: int = 8000, threshold: float = 0.7) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, characters: int = 8000, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Probability that a text is of good quality, as ``labels`` (doc_id, quality 0/1) marks it.
 
     ``docs`` has doc_id and text. Fitted on at most ``sample`` rows of each label, their texts cut after
     ``characters``, of those whose doc_id isn't held out; every whole text is scored, from its words alone. Returns
     one row per row: doc_id, held_out, score, predicted (1 if score >= ``threshold``). Null and empty texts are scored
-    as having no words. Labels that are null, or of doc_ids without a text, aren't learned from.
+    as having no words. Columns in ``keep`` are handed through. Labels that are null, or of doc_ids without a text, aren't learned from.
     """
     rows = labelled_sample(docs, labels.select("doc_id", F.col("quality").alias("label")), sample, characters)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(rows))
@@ -155,7 +155,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, chara
                 some = batch.slice(i, 1000)
                 m = model.value
                 p = m.probability(_pooled(some.column("text").to_pylist(), m.words, m.vectors))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(p), *map(some.column, keep)], names=["doc_id", "score", *keep])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c != "text"))
+    schema = ", ".join(["doc_id long", "score double", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)])
+    scored = slim.mapInArrow(run, schema)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
