@@ -1,6 +1,607 @@
-"""All registered queries of the archive jobs, and their SQL."""
+"""All registered queries of the archive jobs, and the SQL each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from docspark.bridge import view, with_views
+from docspark.functions import text as fn
+from docspark.operators import accounting, contexts, latest, pages, topics
+from docspark.plans.components import components
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def _register(sql: str | None = None):
+    """Register a query of (views) under its name; views are looked up by attribute."""
+
+    def add(f):
+        def run(spark, sf_dir) -> DataFrame:
+            return f(lambda name: view(spark, sf_dir, name) if name not in _RAW else spark.read.parquet(f"{sf_dir}/{_RAW[name]}.parquet"))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+_RAW = {"documents": "documents", "customer": "customer", "orders": "orders", "part": "part", "html": "pages", "nation": "nation"}
+_BREAKDOWN = """breakdown as (select context, account, role, period, sum(case when not is_total then cents end)::bigint as components,
+  count(*) filter (where is_total) as n_totals, case when count(*) filter (where is_total) = 1 then max(case when is_total then cents end) end as reported,
+  count(distinct case when not is_total then category end) as n_categories,
+  case when count(distinct case when not is_total then category end) = 0 and count(*) filter (where is_total) = 0 then 'missing'
+       when count(distinct case when not is_total then category end) = 0 then 'missing_components'
+       when count(*) filter (where is_total) > 1 then 'ambiguous_total'
+       when count(*) filter (where is_total) = 1 and abs(max(case when is_total then cents end) - sum(case when not is_total then cents end)) > 2 then 'inconsistent_total'
+       else 'validated' end as status from v_facts group by context, account, role, period)"""
+
+
+# --- accounting -----------------------------------------------------------------------------------------------------
+
+
+@_register(f"with {_BREAKDOWN} select * from breakdown")
+def agg_period_breakdown(v):
+    """Components, reported total and reconciliation status per account and period."""
+    return accounting.period_breakdown(v("facts"))
+
+
+_OVER = """steps as (select *, lag(period) over w as period_a, lag(components) over w as cents_a, lag(status) over w as status_a from breakdown window w as (partition by context, account, role order by period))"""
+_COMPARE = f"""with {_BREAKDOWN}, {_OVER} select context, account, role, period_a, period as period_b, cents_a, components as cents_b, components - cents_a as delta,
+  case when cents_a <> 0 then round_even((components - cents_a)::double * 100 / cents_a, 2) end as percent,
+  case when components > cents_a then 'up' when components < cents_a then 'down' else 'same' end as direction,
+  case when cents_a is null or components is null then 'insufficient_data' when status = 'validated' and status_a = 'validated' then 'comparable' else 'needs_review' end as comparison
+  from steps where period_a is not null"""
+
+
+@_register(_COMPARE)
+def agg_period_compare(v):
+    """Consecutive periods of every account compared."""
+    return accounting.period_over_period(accounting.period_breakdown(v("facts")))
+
+
+@_register(f"with {_BREAKDOWN}, {_OVER} select context, account, period_a, period as period_b, components - cents_a as delta from steps where period_a = period - 1")
+def win_period_over_period(v):
+    """Change from one year to the next, gaps left out."""
+    df = accounting.period_over_period(accounting.period_breakdown(v("facts")))
+    return df.where("period_a = period_b - 1").select("context", "account", "period_a", "period_b", "delta")
+
+
+@_register("""with t as (select context, account, category, coalesce(sum(case when period = 1997 then cents end), 0)::bigint as cents_a, coalesce(sum(case when period = 1998 then cents end), 0)::bigint as cents_b
+  from v_facts where not is_total and period in (1997, 1998) group by 1, 2, 3)
+  select *, cents_b - cents_a as delta, case when cents_a <> 0 then round_even((cents_b - cents_a)::double * 100 / cents_a, 2) end as percent from t where cents_b <> cents_a""")
+def join_category_changes(v):
+    """Category totals of two periods, changed ones only."""
+    return accounting.category_changes(v("facts"), 1997, 1998)
+
+
+@_register("select context, account, count(*) as n_facts, count(distinct unit) as n_units, array_to_string(list_sort(list(distinct period)), ',') as periods from v_facts group by 1, 2")
+def join_context_subjects(v):
+    return accounting.subjects(v("facts"))
+
+
+@_register("""with f as (select unit, arg_min(value, (ordinal, value)) as node from v_mentions where kind = 'organization' group by unit)
+  select u.unit, coalesce(f.node, concat('document_unit:', u.unit::varchar)) as scope from v_units u left join f on u.unit = f.unit""")
+def join_fact_scope(v):
+    links = v("mentions").where("kind = 'organization'").select("unit", F.col("value").alias("node"), "ordinal")
+    return accounting.first_scope(links, v("units"))
+
+
+@_register("""select context, account, period, case when sum(cents) filter (where not is_total) > 0 then 'filled' else 'empty' end as state, bool_or(is_total) as has_total,
+  least(0.97, round(0.45 + 0.18 * ((max(case when is_total then cents end) is not null)::int + (max(case when not is_total then category end) is not null)::int), 4))::double as confidence from v_facts group by 1, 2, 3""")
+def agg_extraction_confidence(v):
+    g = v("facts").groupBy("context", "account", "period").agg(F.sum(F.when(~F.col("is_total"), F.col("cents"))).alias("s"), F.max("is_total").alias("has_total"), F.max(F.when(F.col("is_total"), F.col("cents"))).alias("t"), F.max(F.when(~F.col("is_total"), F.col("category"))).alias("c"))
+    return g.select("context", "account", "period", F.when(F.col("s") > 0, "filled").otherwise("empty").alias("state"), "has_total", accounting.confidence([F.col("t"), F.col("c")], 0.45, 0.18, 0.97).alias("confidence"))
+
+
+@_register(f"with {_BREAKDOWN} select status, count(*) as n, sum(components)::bigint as cents from breakdown group by status")
+def agg_validation_checks(v):
+    return accounting.period_breakdown(v("facts")).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("components").alias("cents"))
+
+
+@_register("select account, min(context) as context, count(distinct category) filter (where not is_total) as n_categories, min(period) as first_period, max(period) as last_period from v_facts group by account")
+def agg_accounts(v):
+    return v("facts").groupBy("account").agg(F.min("context").alias("context"), F.count_distinct(F.when(~F.col("is_total"), F.col("category"))).alias("n_categories"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+@_register("select context, category, count(*) as n_facts, count(distinct account) as n_accounts, sum(cents)::bigint as cents from v_facts group by 1, 2")
+def agg_statement_sections(v):
+    return v("facts").groupBy("context", "category").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("account").alias("n_accounts"), F.sum("cents").alias("cents"))
+
+
+@_register("select c.c_custkey as account from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+def join_orphans(v):
+    """Accounts without any unit."""
+    return v("customer").join(v("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("account"))
+
+
+@_register("""with c as (select unit, topic, role, max(confidence) as confidence from v_assignments where topic % 4 = 0 group by 1, 2, 3)
+  select f.unit, f.category, case when c.unit is null then 'unmatched' else 'reapplied' end as state, count(*) as n from (select distinct unit, category from v_facts where not is_total) f
+  left join (select distinct unit from c) c on f.unit = c.unit group by 1, 2, 3""")
+def join_corrections(v):
+    """Facts of units with a correction, and those without."""
+    fixed = v("assignments").where("topic % 4 = 0").select("unit", F.lit(True).alias("fixed")).distinct()
+    facts = v("facts").where("not is_total").select("unit", "category").distinct().join(fixed, "unit", "left")
+    return facts.groupBy("unit", "category", F.when(F.col("fixed"), "reapplied").otherwise("unmatched").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- one row per key ------------------------------------------------------------------------------------------------
+
+
+@_register("select job, arg_max(status, (ts, event)) as status, max(ts) as ts, arg_max(event, (ts, event)) as event from v_jobs group by job")
+def win_latest_per_key(v):
+    return latest.latest_per_key(v("jobs"), ["job"], ["ts", "event"]).select("job", "status", "ts", "event")
+
+
+@_register("""with n as (select *, lag(sha) over (partition by external_id order by upload) as before from v_uploads where external_id is not null),
+  c as (select *, (before is null or sha <> before) as changed from n),
+  b as (select upload, sha, min(upload) over (partition by sha) as first from v_uploads where external_id is null)
+  select upload, concat('ext:', external_id) as document, sum(changed::int) over (partition by external_id order by upload)::bigint as version, not changed as deduplicated from c
+  union all select upload, concat('sha:', sha), 1, upload <> first from b""")
+def win_document_versions(v):
+    return latest.document_versions(v("uploads"))
+
+
+_BEST = "row_number() over (partition by unit, topic, role order by confidence desc, created desc, line) as nth"
+
+
+@_register(f"with r as (select *, {_BEST} from v_assignments) select unit, topic, role, confidence, created, line from r where nth = 1")
+def win_dedup_assignments(v):
+    order = [F.desc_nulls_last("confidence"), F.desc("created"), F.col("line")]
+    return latest.best_per_key(v("assignments"), ["unit", "topic", "role"], order).drop("nth")
+
+
+@_register("""with a as (select unit, topic, role, max(confidence) as confidence from v_assignments group by 1, 2, 3),
+  e as (select a.*, case t.class when 'PROMO' then 'document_family' else 'subject' end as expected from a join v_topics t on a.topic = t.topic),
+  w as (select *, max((role = expected)::int) over (partition by unit, topic) as has from e)
+  select distinct unit, topic, expected as role from w where role = expected or has = 0""")
+def win_role_repair(v):
+    """Roles that don't fit their topic's class: dropped if the fitting one is there, else set to it."""
+    expected = v("topics").select("topic", F.when(F.col("class") == "PROMO", "document_family").otherwise("subject").alias("expected"))
+    df = v("assignments").select("unit", "topic", "role").distinct().join(expected, "topic")
+    df = df.withColumn("has", F.max(F.col("role") == F.col("expected")).over(Window.partitionBy("unit", "topic")))
+    return df.where(~F.col("has") | (F.col("role") == F.col("expected"))).select("unit", "topic", F.col("expected").alias("role")).distinct()
+
+
+@_register("""with a as (select unit, topic, role, max(confidence) as confidence from v_assignments where line <= 3 group by 1, 2, 3), b as (select unit, topic, role, max(confidence) as confidence from v_assignments where line > 3 group by 1, 2, 3)
+  select coalesce(b.unit, a.unit) as unit, coalesce(b.topic, a.topic) as topic, coalesce(b.role, a.role) as role, coalesce(b.confidence, a.confidence) as confidence from a full join b on a.unit = b.unit and a.topic = b.topic and a.role = b.role""")
+def upsert_assignments(v):
+    part = lambda cond, step: v("assignments").where(cond).groupBy("unit", "topic", "role").agg(F.max("confidence").alias("confidence")).withColumn("step", F.lit(step))
+    return latest.upsert(part("line <= 3", 1), part("line > 3", 2), ["unit", "topic", "role"], "step").select("unit", "topic", "role", "confidence")
+
+
+@_register("select unit, document, kind from v_units where document not in (select distinct document from v_units where unit % 97 = 0)")
+def apply_document_reset(v):
+    """All rows but those of the documents that are reset."""
+    units = v("units").select("unit", "document", "kind")
+    gone = units.where("unit % 97 = 0").select("document").distinct()
+    return units.join(gone, "document", "left_anti").select("unit", "document", "kind")
+
+
+@_register("""select unit, kind from v_units u where not exists (select 1 from (select unit from v_assignments where confidence >= 8) d where d.unit = u.unit)""")
+def join_pending_specialist_work(v):
+    """Units whose work isn't done yet."""
+    done = v("assignments").where("confidence >= 8").select("unit").distinct()
+    return v("units").select("unit", "kind").join(done, "unit", "left_anti")
+
+
+@_register("select distinct scan from v_pages p where scan not in (select document from v_detections)")
+def join_new_scans(v):
+    return v("pages").select("scan").distinct().join(v("detections").select(F.col("document").alias("scan")), "scan", "left_anti")
+
+
+@_register("select job, event, ts, status, case when status = 'queued' and ts < timestamp '2024-01-15 00:00:00' then 'queued too long' else 'running too long' end as reason from v_jobs where (status = 'queued' and ts < timestamp '2024-01-15 00:00:00') or (status = 'running' and ts < timestamp '2024-01-15 18:00:00')")
+def st_stale_jobs(v):
+    """Jobs that wait or run longer than their time, as of a fixed moment."""
+    from docspark.streaming.jobs import stale
+
+    return stale(v("jobs"), "2024-01-16 00:00:00", queued_hours=24, running_hours=6)
+
+
+# --- entities, contexts, graph ---------------------------------------------------------------------------------------
+
+
+@_register("select kind, lower(trim(value)) as entity, max(value) as display, count(*) as mentions, count(distinct document) as documents from v_mentions group by 1, 2")
+def agg_entity_index(v):
+    return v("mentions").groupBy("kind", F.lower(F.trim("value")).alias("entity")).agg(F.max("value").alias("display"), F.count(F.lit(1)).alias("mentions"), F.count_distinct("document").alias("documents"))
+
+
+@_register("""with c as (select n_name as value, concat('canon_', (n_nationkey % 5)::varchar) as canonical from nation) select m.kind, coalesce(c.canonical, lower(trim(m.value))) as entity, (c.canonical is null) as is_auto, count(*) as n
+  from v_mentions m left join c on m.kind = 'place' and lower(trim(m.value)) = lower(c.value) group by 1, 2, 3""")
+def join_canonical_identity(v):
+    """Mentions under their canonical entity, else themselves."""
+    canon = v("nation").select(F.lit("place").alias("kind"), F.lower("n_name").alias("key"), F.concat(F.lit("canon_"), (F.col("n_nationkey") % 5).cast("string")).alias("canonical"))
+    df = v("mentions").withColumn("key", F.lower(F.trim("value"))).join(canon, ["kind", "key"], "left")
+    return df.groupBy("kind", F.coalesce("canonical", "key").alias("entity"), F.col("canonical").isNull().alias("is_auto")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("select kind, lower(value) as entity, count(distinct unit) as n_units, array_to_string(list_sort(list(distinct document))[1:5], ',') as first_documents from v_mentions where kind = 'place' group by 1, 2")
+def join_entity_detail(v):
+    one = v("mentions").where("kind = 'place'").groupBy("kind", F.lower("value").alias("entity"))
+    return one.agg(F.count_distinct("unit").alias("n_units"), F.array_join(F.slice(F.sort_array(F.collect_set("document")), 1, 5), ",").alias("first_documents"))
+
+
+@_register("""select unit, arg_min(lower(value), (case kind when 'organization' then 0 when 'address' then 1 else 2 end, ordinal, lower(value))) as node from v_mentions group by unit""")
+def win_about_node(v):
+    rank = F.when(F.col("kind") == "organization", 0).when(F.col("kind") == "address", 1).otherwise(2)
+    return v("mentions").groupBy("unit").agg(F.min_by(F.lower("value"), F.struct(rank, "ordinal", F.lower("value"))).alias("node"))
+
+
+@_register("""select kind, regexp_replace(lower(value), '[^a-z0-9]+', '_', 'g') as node, arg_min(value, (unit, ordinal, value)) as label, count(distinct value) as aliases from v_mentions group by 1, 2""")
+def cl_nodes(v):
+    node = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "_").alias("node")
+    return v("mentions").groupBy("kind", node).agg(F.min_by("value", F.struct("unit", "ordinal", "value")).alias("label"), F.count_distinct("value").alias("aliases"))
+
+
+@_register("""with e as (select distinct kind, lower(value) as entity, document from v_mentions), s as (select entity, kind, count(*) as n, array_to_string(list_sort(list(document)), ',') as docs from e group by 1, 2 having count(*) >= 2),
+  r as (select *, first_value(entity) over w as head, first_value(kind) over w as head_kind from s window w as (partition by docs order by (kind <> 'organization')::int, entity, kind))
+  select entity, kind, n, case when head_kind = 'organization' and kind in ('address', 'place') then head else entity end as context from r""")
+def cl_context_groups(v):
+    return contexts.context_groups(contexts.document_sets(v("mentions").select(F.lower("value").alias("entity"), "kind", "document")))
+
+
+@_register("""with m as (select unit, document, lower(value) as context, confidence / 10.0 as confidence from v_mentions where kind = 'place' and unit % 20 = 0), d as (select document, context, max(confidence) as most from m group by 1, 2), o as (select unit, context, max(confidence) as own from m group by 1, 2)
+  select u.unit, d.context, case when o.own is not null then 'direct' else 'document_scope' end as role, coalesce(o.own, least(d.most, 0.8))::double as confidence from v_units u join d on u.document = d.document left join o on o.unit = u.unit and o.context = d.context""")
+def join_context_membership(v):
+    m = v("mentions").where("kind = 'place' and unit % 20 = 0").select("unit", "document", F.lower("value").alias("context"), (F.col("confidence") / 10.0).alias("confidence"))
+    return contexts.memberships(v("units"), m)
+
+
+_PREDICATES = """select unit, 'document_type' as predicate, kind as object from v_units union all select unit, 'status', case when seg_conf < 70 then 'needs_review' else 'auto_accepted' end from v_units union all select unit, 'titled', title from v_units where title is not null"""
+
+
+@_register(_PREDICATES)
+def prj_graph_assertions(v):
+    """Typed assertions of every unit, one scan of the units."""
+    rows = F.array(
+        F.struct(F.lit("document_type").alias("predicate"), F.col("kind").alias("object")),
+        F.struct(F.lit("status").alias("predicate"), F.when(F.col("seg_conf") < 70, "needs_review").otherwise("auto_accepted").alias("object")),
+        F.struct(F.lit("titled").alias("predicate"), F.col("title").alias("object")),
+    )
+    return v("units").select("unit", F.explode(F.filter(rows, lambda r: r["object"].isNotNull())).alias("r")).select("unit", "r.predicate", "r.object")
+
+
+@_register("select kind, value, count(distinct unit) as units from (select kind, value, unit from v_mentions union select 'type', kind, unit from v_units) group by 1, 2")
+def agg_node_summary(v):
+    both = v("mentions").select("kind", "value", "unit").union(v("units").select(F.lit("type"), "kind", "unit"))
+    return both.groupBy("kind", "value").agg(F.count_distinct("unit").alias("units"))
+
+
+@_register("select unit from v_mentions where kind = 'place' and value = 'NATION_3' union select unit from v_units where kind = 'regulation'")
+def set_union_units(v):
+    a = v("mentions").where("kind = 'place' and value = 'NATION_3'").select("unit")
+    return a.union(v("units").where("kind = 'regulation'").select("unit")).distinct()
+
+
+@_register("select unit, kind, title from v_units where unit in (select unit from v_mentions where value = 'NATION_7')")
+def join_assertions_for_node(v):
+    return v("units").select("unit", "kind", "title").join(v("mentions").where("value = 'NATION_7'").select("unit"), "unit", "left_semi")
+
+
+@_register("select context, count(distinct account) as accounts, count(distinct unit) as units, count(*) filter (where is_total) as totals from v_facts group by 1")
+def agg_context_summary(v):
+    return v("facts").groupBy("context").agg(F.count_distinct("account").alias("accounts"), F.count_distinct("unit").alias("units"), F.count_if("is_total").alias("totals"))
+
+
+# --- topics ----------------------------------------------------------------------------------------------------------
+
+
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3 and not regexp_full_match(x, '[0-9]+') and x not in ('the', 'and', 'of', 'a', 'to', 'in', 'for', 'del', 'della', 'di', 'per', 'con')))"
+
+
+def _topic_tokens(df: DataFrame) -> DataFrame:
+    return df.withColumn("tokens", fn.tokens(F.col("title")))
+
+
+@_register(f"select topic, array_to_string(list_sort({_TOKENS}), ' ') as tokens from v_topics")
+def fn_title_tokens(v):
+    return _topic_tokens(v("topics")).select("topic", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
+
+
+@_register("select topic, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') as slug from v_topics")
+def fn_slugify(v):
+    return v("topics").select("topic", fn.slug(F.col("title")).alias("slug"))
+
+
+@_register("""with m as (select a.topic, m.kind, m.value from (select distinct unit, topic from v_assignments) a join (select distinct unit, kind, value from v_mentions) m on a.unit = m.unit), n as (select topic, kind, value, count(*) as n from m group by 1, 2, 3)
+  select topic, kind, value, n from (select *, row_number() over (partition by topic, kind order by n desc, length(value) desc, value) as nth from n) where nth = 1""")
+def agg_topic_anchors(v):
+    a, m = v("assignments").select("unit", "topic").distinct(), v("mentions").select("unit", "kind", "value").distinct()
+    return topics.anchors(a.join(m, "unit"))
+
+
+@_register("""select t.topic, t.title, count(distinct a.unit) as units, count(distinct u.document) as documents from v_topics t left join v_assignments a on t.topic = a.topic left join v_units u on a.unit = u.unit group by 1, 2""")
+def agg_topic_summary(v):
+    a = v("assignments").join(v("units").select("unit", "document"), "unit", "left").groupBy("topic").agg(F.count_distinct("unit").alias("units"), F.count_distinct("document").alias("documents"))
+    return v("topics").select("topic", "title").join(a, "topic", "left").na.fill(0, ["units", "documents"])
+
+
+@_register("""with a as (select topic, unit, max(confidence) as confidence from v_assignments group by 1, 2) select topic, unit, created from (select a.topic, a.unit, u.created, row_number() over (partition by a.topic order by u.created desc, a.unit desc) as nth from a join v_units u on a.unit = u.unit) where nth <= 3""")
+def agg_topic_detail(v):
+    a = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "created"), "unit")
+    return latest.best_per_key(a, ["topic"], [F.desc("created"), F.desc("unit")], 3).select("topic", "unit", "created")
+
+
+@_register("""with c as (select a.topic, u.kind, count(*) as n from (select distinct topic, unit from v_assignments) a join v_units u on a.unit = u.unit group by 1, 2) select topic, kind from (select *, row_number() over (partition by topic order by n desc, kind) as nth from c) where nth = 1""")
+def agg_dominant_identity(v):
+    n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return latest.best_per_key(n, ["topic"], [F.desc("n"), F.col("kind")]).select("topic", "kind")
+
+
+@_register("select t.topic, count(distinct a.unit) as n from v_topics t left join v_assignments a on t.topic = a.topic where t.is_active group by 1 having count(distinct a.unit) <= 20")
+def agg_near_orphans(v):
+    n = v("assignments").groupBy("topic").agg(F.count_distinct("unit").alias("n"))
+    return v("topics").where("is_active").select("topic").join(n, "topic", "left").na.fill(0, ["n"]).where("n <= 20")
+
+
+@_register("select class, title, count(*) as n, min(topic) as first_topic from v_topics group by 1, 2 having count(*) >= 2")
+def agg_shared_axis(v):
+    return v("topics").groupBy("class", "title").agg(F.count(F.lit(1)).alias("n"), F.min("topic").alias("first_topic")).where("n >= 2")
+
+
+@_register("select topic, class, weight, case class when 'PROMO' then 'family' when 'SMALL' then 'entity' when 'LARGE' then 'project' else 'issue' end as topic_kind from v_topics")
+def prj_topic_kind(v):
+    kind = F.when(F.col("class") == "PROMO", "family").when(F.col("class") == "SMALL", "entity").when(F.col("class") == "LARGE", "project").otherwise("issue")
+    return v("topics").select("topic", "class", "weight", kind.alias("topic_kind"))
+
+
+@_register("select class, is_active, count(*) as n, sum(weight)::bigint as weight from v_topics group by 1, 2")
+def flt_topics(v):
+    return v("topics").groupBy("class", "is_active").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+_PROFILES = f"profiles as (select class as axis, title, min(topic) as topic, sum(weight)::bigint as weight, {_TOKENS} as tokens from v_topics group by class, title)"
+
+
+def _profiles(v) -> DataFrame:
+    return _topic_tokens(v("topics").groupBy(F.col("class").alias("axis"), "title").agg(F.min("topic").alias("topic"), F.sum("weight").alias("weight")))
+
+
+@_register(f"""with {_PROFILES}, p as (select a.axis, a.topic as a, b.topic as b, a.weight as wa, b.weight as wb, round(len(list_intersect(a.tokens, b.tokens))::double / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) as score
+  from profiles a join profiles b on a.axis = b.axis and a.topic < b.topic), s as (select axis, case when wa >= wb then a else b end as target, case when wa >= wb then b else a end as source, score from p where score >= 0.3)
+  select axis, target, source, score, nth from (select *, row_number() over (partition by axis order by score desc, target, source) as nth from s) where nth <= 12""")
+def join_merge_suggestions(v):
+    p = _profiles(v)
+    return topics.suggestions(p, p.select("topic", F.explode("tokens").alias("token"), "axis").select("topic", F.concat_ws("|", "axis", "token").alias("token")), 0.3, 12)
+
+
+@_register("select t.topic, t.title, t.class from v_topics t where not exists (select 1 from v_assignments a where a.topic = t.topic and a.confidence >= 9)")
+def join_anti_reviewed(v):
+    return v("topics").select("topic", "title", "class").join(v("assignments").where("confidence >= 9").select("topic"), "topic", "left_anti")
+
+
+@_register("select axis, topic, weight, array_to_string(list_sort(tokens), ' ') as tokens from (with " + _PROFILES + " select * from profiles)")
+def join_topic_profiles(v):
+    return _profiles(v).select("axis", "topic", "weight", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
+
+
+@_register("""with r as (select topic, (topic // 10) * 10 as root from v_topics) select unit, final as topic, role, max(confidence) as confidence from (select a.unit, r.root as final, a.role, a.confidence from v_assignments a join r on a.topic = r.topic) group by 1, 2, 3""")
+def cl_apply_merges(v):
+    """Chains of ten topics, each merged into the one before it."""
+    merges = v("topics").where("topic % 10 <> 0").select(F.col("topic").alias("source"), (F.col("topic") - 1).alias("target"))
+    return topics.applied_merges(v("assignments"), merges)
+
+
+@_register()
+def cl_topics_by_class(v):
+    """Leader clustering of titles within each class: similar from 0.5 on, oldest first."""
+    p = _profiles(v)
+    items = p.select("topic", F.explode("tokens").alias("token"), "axis").select("topic", F.concat_ws("|", "axis", "token").alias("token"))
+    side = lambda s: p.select(F.col("topic").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    pairs = topics.shared_pairs(items).join(side("a"), "a").join(side("b"), "b").withColumn("score", fn.jaccard(F.col("tokens_a"), F.col("tokens_b"))).where("score >= 0.5")
+    return topics.leaders(pairs, p)
+
+
+@_register("select class, title, max(weight) as weight, arg_max(topic, (weight, -topic)) as survivor, count(*) as n from v_topics where is_active group by 1, 2")
+def cl_topics_cross_class(v):
+    return v("topics").where("is_active").groupBy("class", "title").agg(F.max("weight").alias("weight"), F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("survivor"), F.count(F.lit(1)).alias("n"))
+
+
+@_register("select topic, title, (case when contains(lower(title), 'green') then 3 else 0 end + case when contains(lower(title), 'ring') then 2 else 0 end) as points from v_topics where contains(lower(title), 'green') or contains(lower(title), 'ring')")
+def join_search_topics(v):
+    title = F.lower("title")
+    points = F.when(title.contains("green"), 3).otherwise(0) + F.when(title.contains("ring"), 2).otherwise(0)
+    return v("topics").select("topic", "title", points.alias("points")).where("points > 0")
+
+
+@_register("select topic, title, (regexp_matches(title, '[0-9]{2}') or len(string_split(title, ' ')) <= 2) as specific from v_topics")
+def flt_specific_topic(v):
+    return v("topics").select("topic", "title", (F.col("title").rlike("[0-9]{2}") | (F.size(F.split("title", " ")) <= 2)).alias("specific"))
+
+
+# --- pages and texts -------------------------------------------------------------------------------------------------
+
+
+@_register("""with p as (select *, list_slice(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)), 1, 10) as w from v_pages) select scan, page, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines from p""")
+def fn_pages_from_markdown(v):
+    return v("pages").select("scan", "page", F.length("text").alias("n_chars"), F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+@_register()
+def win_page_boundaries(v):
+    return pages.boundaries(v("pages"))
+
+
+@_register()
+def win_segments(v):
+    return pages.segments(pages.boundaries(v("pages")))
+
+
+@_register("select scan, 1 as ordinal, case when count(*) filter (where trim(text) <> '') = max(page) - min(page) + 1 then string_agg(text, chr(10) order by page) end as text from v_pages group by scan")
+def join_unit_text(v):
+    units = v("pages").groupBy("scan").agg(F.lit(1).alias("ordinal"), F.min("page").alias("start_page"), F.max("page").alias("end_page"))
+    return pages.unit_text(units, v("pages"))
+
+
+@_register("select scan, string_agg(text, chr(10) || chr(10) order by page) filter (where trim(text) <> '') as text, count(*) as page_count, sum(length(text))::bigint as n_chars from v_pages group by scan")
+def agg_pages_to_document(v):
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: F.trim(p["text"]) != "")
+    return v("pages").groupBy("scan").agg(F.array_join(F.transform(kept, lambda p: p["text"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("page_count"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@_register(r"""select scan, page, (least(len(regexp_extract_all(text, '[^ \t\n\r\f\v]{18,}')) * 5, 30) + least(len(regexp_extract_all(text, '[A-Za-z0-9]{14,}')) * 5, 30) + least(len(regexp_extract_all(text, '[!#$%&*.,;:]{3,}')) * 10, 40))::int as noise, length(text) as n_chars from v_pages""")
+def win_noisy_pages(v):
+    return pages.noise(v("pages"))
+
+
+@_register("""with s as (select document, rotation, count(*) as votes from v_detections where confidence >= 80 and rotation <> 0 group by 1, 2), a as (select *, sum(votes) over (partition by document)::bigint as qualified from s) select document, rotation, votes, qualified from a where votes * 100 >= qualified * 50""")
+def agg_rotation_vote(v):
+    return pages.rotation_vote(v("detections"), 50)
+
+
+@_register("select doc_id, case when (length(t) - length(replace(t, ' the ', ''))) / 5 + (length(t) - length(replace(t, ' of ', ''))) / 4 + (length(t) - length(replace(t, ' and ', ''))) / 5 + (length(t) - length(replace(t, ' is ', ''))) / 4 > (length(t) - length(replace(t, ' il ', ''))) / 4 + (length(t) - length(replace(t, ' di ', ''))) / 4 + (length(t) - length(replace(t, ' che ', ''))) / 5 + (length(t) - length(replace(t, ' della ', ''))) / 7 + case when regexp_matches(t, '[àèéìòù]') then 3 else 0 end then 'en' else 'it' end as language from (select doc_id, lower(text) as t from documents)")
+def fn_detect_language(v):
+    return v("documents").select("doc_id", fn.language(F.col("text")).alias("language"))
+
+
+@_register("select doc_id, case when length(text) > 1000 then concat(text[1:500], chr(10), '...', chr(10), right(text, 500)) else text end as text from documents")
+def fn_head_tail(v):
+    return v("documents").select("doc_id", fn.head_tail(F.col("text"), 1000).alias("text"))
+
+
+@_register(r"select doc_id, case when length(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) <= 1024 and not contains(text, '<table') then trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) end as text from documents")
+def fn_bounded_text(v):
+    return v("documents").select("doc_id", fn.bounded(F.col("text"), 1024).alias("text"))
+
+
+@_register("""select o_orderkey as unit, cast(floor(o_totalprice) as bigint) as whole, concat(lpad(extract(day from o_orderdate)::varchar, 2, '0'), '/', lpad(extract(month from o_orderdate)::varchar, 2, '0'), '/', extract(year from o_orderdate)::varchar) as written, strftime(o_orderdate, '%Y-%m-%d') as iso from orders""")
+def fn_date_it(v):
+    df = v("orders").select(F.col("o_orderkey").alias("unit"), F.floor("o_totalprice").alias("whole"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("written"))
+    return df.withColumn("iso", fn.date_it(F.col("written")))
+
+
+@_register("select c_custkey as account, c_acctbal::double as amount from customer where c_acctbal >= 0")
+def fn_amount_it(v):
+    """Balances written the Italian way and read again."""
+    text = F.translate(F.format_number(F.col("c_acctbal"), 2), ",.", ".,")
+    return v("customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("account"), fn.amount_it(text).alias("amount"))
+
+
+# --- overviews -------------------------------------------------------------------------------------------------------
+
+
+@_register("select 'units' as name, count(*) as n from v_units union all select 'assignments', count(*) from v_assignments union all select 'mentions', count(*) from v_mentions union all select 'topics', count(*) from v_topics union all select 'facts', count(*) from v_facts")
+def agg_archive_counts(v):
+    out = None
+    for name in ("units", "assignments", "mentions", "topics", "facts"):
+        one = v(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_register("select 'empty_title' as problem, count(*) as n from v_units where title is null union all select 'double_assignment', count(*) from (select unit, topic, role from v_assignments group by 1, 2, 3 having count(*) > 1) union all select 'orphan_unit', count(*) from v_units u where not exists (select 1 from v_assignments a where a.unit = u.unit)")
+def agg_quality_checks(v):
+    n = F.count(F.lit(1)).alias("n")
+    a = v("assignments")
+    rows = [
+        v("units").where("title is null").agg(n).select(F.lit("empty_title").alias("problem"), "n"),
+        a.groupBy("unit", "topic", "role").agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(n).select(F.lit("double_assignment").alias("problem"), "n"),
+        v("units").join(a, "unit", "left_anti").agg(n).select(F.lit("orphan_unit").alias("problem"), "n"),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@_register("select document, count(*) as units, max(created) as newest, arg_max(kind, (created, unit)) as latest_kind, bool_or(seg_conf < 70 or class_conf < 70) as needs_review from v_units group by 1")
+def agg_document_overview(v):
+    return v("units").groupBy("document").agg(F.count(F.lit(1)).alias("units"), F.max("created").alias("newest"), F.max_by("kind", F.struct("created", "unit")).alias("latest_kind"), F.bool_or((F.col("seg_conf") < 70) | (F.col("class_conf") < 70)).alias("needs_review"))
+
+
+@_register("select unit, case when seg_conf < 70 or class_conf < 70 then 'needs_review' else 'auto_accepted' end as review_status from v_units")
+def flt_review_status(v):
+    return v("units").select("unit", F.when((F.col("seg_conf") < 70) | (F.col("class_conf") < 70), "needs_review").otherwise("auto_accepted").alias("review_status"))
+
+
+@_register("select document, round(avg(coalesce(nullif(seg_conf, 0), 0)), 6) as with_nulls, round(avg(nullif(class_conf, 0)), 6) as without_nulls from v_units group by 1")
+def agg_scan_confidence(v):
+    null0 = lambda c: F.nullif(F.col(c), F.lit(0))
+    return v("units").groupBy("document").agg(F.round(F.avg(F.coalesce(null0("seg_conf"), F.lit(0))), 6).alias("with_nulls"), F.round(F.avg(null0("class_conf")), 6).alias("without_nulls"))
+
+
+@_register("select unit, coalesce(title, concat(kind, ' - document ', document::varchar, ' - ', strftime(created, '%Y-%m'))) as title from v_units")
+def prj_unit_title(v):
+    made = F.concat_ws(" - ", "kind", F.concat(F.lit("document "), F.col("document").cast("string")), F.date_format("created", "yyyy-MM"))
+    return v("units").select("unit", F.coalesce("title", made).alias("title"))
+
+
+_AXES = """axes as (select unit, arg_min(lower(value), (ordinal, value)) filter (where kind = 'organization') as party, arg_min(lower(value), (ordinal, value)) filter (where kind = 'place') as context, arg_min(lower(value), (ordinal, value)) filter (where kind = 'address') as subject from v_mentions group by unit)"""
+
+
+@_register(f"with {_AXES} select u.unit, u.kind as family, a.party, a.context, a.subject, (a.party is not null)::int + (a.context is not null)::int + (a.subject is not null)::int as filled from v_units u left join axes a on u.unit = a.unit")
+def prj_archive_identity(v):
+    first = lambda k, name: F.min_by(F.when(F.col("kind") == k, F.lower("value")), F.when(F.col("kind") == k, F.struct("ordinal", "value"))).alias(name)
+    axes = v("mentions").groupBy("unit").agg(first("organization", "party"), first("place", "context"), first("address", "subject"))
+    df = v("units").select("unit", F.col("kind").alias("family")).join(axes, "unit", "left")
+    return df.withColumn("filled", sum((F.col(c).isNotNull().cast("int") for c in ("party", "context", "subject")), F.lit(0)))
+
+
+@_register("select unit, document, created, kind from v_units where kind = 'utility_bill' and created < timestamp '1998-01-01 00:00:00' order by created desc, unit limit 100")
+def flt_utility_bills(v):
+    """Overdue bills as of a day, newest first."""
+    return v("units").where("kind = 'utility_bill' and created < timestamp '1998-01-01 00:00:00'").select("unit", "document", "created", "kind").orderBy(F.desc("created"), "unit").limit(100)
+
+
+@_register(f"with {_BREAKDOWN} select context, account, period, n_categories, n_totals from breakdown where status = 'inconsistent_total'")
+def flt_accounting_statements(v):
+    return accounting.period_breakdown(v("facts")).where("status = 'inconsistent_total'").select("context", "account", "period", "n_categories", "n_totals")
+
+
+@_register("select doc_id, (contains(t, 'the'))::int + (contains(t, 'license'))::int + (contains(t, 'que'))::int + (contains(t, 'der'))::int as hits, case when (contains(t, 'the'))::int + (contains(t, 'license'))::int + (contains(t, 'que'))::int + (contains(t, 'der'))::int >= 2 then 'specialist' else 'general' end as route from (select doc_id, lower(text) as t from documents)")
+def flt_specialist_routing(v):
+    t = F.lower("text")
+    hits = sum((t.contains(m).cast("int") for m in ("the", "license", "que", "der")), F.lit(0))
+    return v("documents").select("doc_id", hits.alias("hits"), F.when(hits >= 2, "specialist").otherwise("general").alias("route"))
+
+
+@_register("select unit, topic, confidence, nth from (select unit, topic, confidence, row_number() over (partition by unit order by confidence desc, topic) as nth from (select unit, topic, max(confidence) as confidence from v_assignments group by 1, 2)) where nth <= 3")
+def topk_per_group(v):
+    best = v("assignments").groupBy("unit", "topic").agg(F.max("confidence").alias("confidence"))
+    return latest.best_per_key(best, ["unit"], [F.desc("confidence"), F.col("topic")], 3).select("unit", "topic", "confidence", "nth")
+
+
+@_register("select unit, document, created from v_units order by created desc, unit limit 60")
+def topk_global(v):
+    return v("units").select("unit", "document", "created").orderBy(F.desc("created"), "unit").limit(60)
+
+
+@_register("select a.document as document, a.unit as unit, b.unit as other from v_units a join v_units b on a.document = b.document and a.unit <> b.unit where a.kind = 'utility_bill' and b.kind = 'letter' and abs(date_diff('day', a.created, b.created)) <= 30")
+def join_bill_links(v):
+    """Letters of the same document within thirty days of a bill."""
+    bills = v("units").where("kind = 'utility_bill'").select("document", "unit", F.col("created").alias("a"))
+    letters = v("units").where("kind = 'letter'").select("document", F.col("unit").alias("other"), F.col("created").alias("b"))
+    return bills.join(letters, "document").where(F.abs(F.datediff("a", "b")) <= 30).select("document", "unit", "other")
+
+
+@_register("select page_id, case when contains(html, '<table') then 'table' when contains(html, '<h1') then 'titled' else 'plain' end as layout, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
+def fn_layout_elements(v):
+    html = F.col("html")
+    return v("html").select("page_id", F.when(html.contains("<table"), "table").when(html.contains("<h1"), "titled").otherwise("plain").alias("layout"), F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@_register("select a.topic as a, b.topic as b, count(*)::bigint as shared from (select distinct topic, unit from v_assignments where topic < 200) a join (select distinct topic, unit from v_assignments where topic < 200) b on a.unit = b.unit and a.topic < b.topic group by 1, 2")
+def secondary_on_shared_docs(v):
+    """Topics that share units, by how many."""
+    one = v("assignments").where("topic < 200").select("topic", F.col("unit").alias("token")).distinct()
+    return topics.shared_pairs(one)
+
+
+@_register("select sha, min(upload) as first_upload, count(*) as n from v_uploads group by sha")
+def st_ingest_dedup(v):
+    return v("uploads").groupBy("sha").agg(F.min("upload").alias("first_upload"), F.count(F.lit(1)).alias("n"))
+
+
+@_register("select job, status, count(*) as n, max(ts) as latest from v_jobs group by 1, 2")
+def st_latest_status(v):
+    return v("jobs").groupBy("job", "status").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
+
+
+@_register("with p as (select topic, topic // 8 as grp from v_topics) select topic, (grp * 8)::bigint as component from p")
+def cl_merge_chains(v):
+    """Chains of merges resolved to their ends."""
+    t = v("topics").where("topic % 8 <> 0").select(F.col("topic").alias("a"), (F.col("topic") - 1).alias("b"))
+    found = components(t).withColumnRenamed("node", "topic")
+    return v("topics").select("topic").join(found, "topic", "left").select("topic", F.coalesce("component", "topic").alias("component"))
