@@ -31,7 +31,7 @@ def _register(sql: str | None = None):
     return add
 
 
-_RAW = {"documents": "documents", "customer": "customer", "orders": "orders", "part": "part", "html": "pages", "nation": "nation"}
+_RAW = {"documents": "documents", "customer": "customer", "orders": "orders", "part": "part", "html": "pages", "nation": "nation", "events": "events"}
 _BREAKDOWN = """breakdown as (select context, account, role, period, sum(case when not is_total then cents end)::bigint as components,
   count(*) filter (where is_total) as n_totals, case when count(*) filter (where is_total) = 1 then max(case when is_total then cents end) end as reported,
   count(distinct case when not is_total then category end) as n_categories,
@@ -605,3 +605,7 @@ def cl_merge_chains(v):
     t = v("topics").where("topic % 8 <> 0").select(F.col("topic").alias("a"), (F.col("topic") - 1).alias("b"))
     found = components(t).withColumnRenamed("node", "topic")
     return v("topics").select("topic").join(found, "topic", "left").select("topic", F.coalesce("component", "topic").alias("component"))
+
+
+# The second part registers itself in the same tables.
+from docspark import queries_more  # noqa: E402, F401
