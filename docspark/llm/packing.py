@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,45 +16,91 @@ from pyspark.sql import Window
 
 from docspark.plans.storage import written
 
-#: Words whose ids a Python worker keeps; the table is emptied beyond, which changes time only.
-KEPT_WORDS = 500_000
+#: Words, and pieces of words, whose ids a Python worker keeps; a table is emptied beyond, which changes time only.
+KEPT_WORDS, KEPT_PIECES = 800_000, 500_000
 
 
-def _tokenised(rules, end_id: int, width: type):
-    kept: dict[bytes, bytes] = {}
+class _Ids(dict):
+    """Ids of words (runs without ASCII white space, which no token of this vocabulary holds), as bytes.
 
-    def encoder():
-        from tokenizers import Tokenizer
+    Words of letters below U+0100 are lower-cased and cut as the vocabulary's rules say, and each different piece goes
+    through the library's model once; all other words go through the whole library.
+    """
 
-        made = Tokenizer.from_str(rules.value)
-        made.no_padding()
-        made.no_truncation()
-        return made
+    def __init__(self, rules: str, width: str):
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
 
+        from docspark.llm.bpe import _byte_letters
+
+        self.library = Tokenizer.from_str(rules)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.model, self.code = self.library.model, {"<u2": "H", "<u4": "I"}[width]
+        parts = json.loads(rules)["pre_tokenizer"]["pretokenizers"]
+        self.cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        self.plain = regex.compile("[!-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]+").fullmatch
+        self.letters = {byte: letter for letter, byte in _byte_letters().items()}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() or " " in piece:
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        pieces = self.pieces
+        if len(pieces) > KEPT_PIECES:
+            pieces.clear()
+        text = word.decode("utf-8", "replace")
+        if word.isalpha():  # ASCII letters only
+            text = text.lower()
+            out = pieces.get(text)
+            if out is None:
+                out = pieces[text] = self._piece(text)
+        elif b"<|" not in word and self.plain(text):
+            found = []
+            for piece in self.cut(text.lower()):
+                ids = pieces.get(piece)
+                if ids is None:
+                    ids = pieces[piece] = self._piece(piece)
+                found.append(ids)
+            out = b"".join(found)
+        else:
+            out = array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = out
+        return out
+
+
+_kept: dict[str, _Ids] = {}
+
+
+def _tokenised(rules, name: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, at = encoder(), TaskContext.get().partitionId(), 0
+        if name not in _kept:
+            _kept.clear()
+            _kept[name] = _Ids(rules.value, width)
+        ids_of, part, at = _kept[name].__getitem__, TaskContext.get().partitionId(), 0
         last = np.array([end_id], width).tobytes()
         for batch in batches:
-            # White space in ASCII never lies inside a token of this vocabulary, so words encode one by one.
-            texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            new = list(set(itertools.chain.from_iterable(texts)).difference(kept))
-            for i in range(0, len(new), 10_000):
-                some = new[i : i + 10_000]
-                for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                    kept[word] = np.array(found.ids, width).tobytes()
-            ids = [b"".join([*map(kept.__getitem__, words), last]) for words in texts]
-            sizes = [len(x) // np.dtype(width).itemsize for x in ids]
-            starts = list(itertools.accumulate(sizes, initial=at))
-            at = starts.pop()
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["part", "at", "doc_id", "doc_tokens", "ids"])
+            for i in range(0, batch.num_rows, 200):
+                some = batch.slice(i, 200)
+                words = ((t or "").encode("utf-8", "surrogatepass").split() for t in some.column("text").to_pylist())
+                ids = [b"".join([*map(ids_of, w), last]) for w in words]
+                sizes = [len(x) // np.dtype(width).itemsize for x in ids]
+                starts = list(itertools.accumulate(sizes, initial=at))
+                at = starts.pop()
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["part", "at", "doc_id", "doc_tokens", "ids"])
 
     return run
 
 
-def _cut(window: int, width: type):
+def _cut(window: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -93,11 +141,12 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 4096
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
-        rules = spark.sparkContext.broadcast(file.read())
+        text = file.read()
+    rules = spark.sparkContext.broadcast(text)  # a vocabulary of a few MB
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     schema = "part int, at long, doc_id long, doc_tokens long, ids binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(docs.mapInArrow(_tokenised(rules, end_id, width), schema), "packing-ids")
+    lines = written(docs.mapInArrow(_tokenised(rules, f"{hashlib.sha256(text.encode()).hexdigest()} {width}", end_id, width), schema), "packing-ids")
     totals = lines.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each partition of the input
