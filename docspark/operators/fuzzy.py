@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
@@ -29,7 +30,7 @@ def title_pairs(titles: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("score", F.round(_ratio("title_a", "title_b"), 6)).where(F.col("score") >= least).select("a", "b", "score")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(x: pd.Series) -> pd.Series:
     import unicodedata
 
