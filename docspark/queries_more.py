@@ -10,8 +10,6 @@ from docspark.functions import text as fn
 from docspark.operators import fuzzy, latest, topics
 from docspark.queries import _TOKENS, _profiles, _register
 
-N = F.count(F.lit(1))
-
 
 def _first(column, *cases: tuple[str, str], otherwise: str):
     out = F.lit(otherwise)
@@ -29,7 +27,7 @@ def flt_pipeline_family(v):
 @_register("select scan, count(*) >= 2 and sum((length(t) - length(replace(t, 'verbale', ''))) // 7) >= 2 and bool_or(contains(t, 'fattura')) as is_regulation from (select scan, lower(text) as t from v_pages) group by scan")
 def flt_regulation_scan(v):
     t = F.lower("text")
-    return v("pages").groupBy("scan").agg(((N >= 2) & (F.sum(fn.occurrences(t, "verbale")) >= 2) & F.bool_or(t.contains("fattura"))).alias("is_regulation"))
+    return v("pages").groupBy("scan").agg(((F.count(F.lit(1)) >= 2) & (F.sum(fn.occurrences(t, "verbale")) >= 2) & F.bool_or(t.contains("fattura"))).alias("is_regulation"))
 
 
 @_register("select a.unit, a.topic, a.confidence, u.document from (select unit, topic, max(confidence) as confidence from v_assignments where role = 'secondary' group by 1, 2) a left join v_units u on a.unit = u.unit where a.confidence < 3 order by u.created desc, a.unit, a.topic limit 200")
@@ -65,7 +63,7 @@ def join_tables_to_units(v):
     ends = p.groupBy("scan").agg(F.min("page").alias("a"), F.max("page").alias("b"))
     one = ends.select("scan", F.lit(1).alias("ordinal"), "a", (F.col("a") + 1).alias("b"))
     two = ends.where("b >= a + 2").select("scan", F.lit(2).alias("ordinal"), (F.col("a") + 2).alias("a"), "b")
-    return one.unionByName(two).join(p.where("page % 2 = 1"), "scan").where("page between a and b").groupBy("scan", "ordinal").agg(N.alias("tables"))
+    return one.unionByName(two).join(p.where("page % 2 = 1"), "scan").where("page between a and b").groupBy("scan", "ordinal").agg(F.count(F.lit(1)).alias("tables"))
 
 
 @_register(f"""with t as (select topic, weight, {_TOKENS} as tokens from v_topics where topic < 300), i as (select topic, weight, unnest(tokens) as token from t),
@@ -77,7 +75,7 @@ def join_retrieve_topics(v):
     index = v("topics").where("topic < 300").select("topic", "weight", F.explode(fn.tokens(F.col("title"))).alias("token"))
     colour = F.when(F.col("c_custkey") % 3 == 0, "red").when(F.col("c_custkey") % 3 == 1, "small").otherwise("green")
     asked = v("customer").select(F.col("c_custkey").alias("unit"), F.explode(F.array(F.lit("widget"), F.lit("ring"), F.lit("brand"), colour)).alias("token"))
-    points = asked.join(index, "token").groupBy("unit", "topic").agg((N * 30 + F.when(F.max("weight") > 25, 10).otherwise(0)).alias("points"))
+    points = asked.join(index, "token").groupBy("unit", "topic").agg((F.count(F.lit(1)) * 30 + F.when(F.max("weight") > 25, 10).otherwise(0)).alias("points"))
     return latest.best_per_key(points, ["unit"], [F.desc("points"), F.col("topic")], 10)
 
 
@@ -98,7 +96,7 @@ def agg_document_knowledge(v):
     e = v("mentions").where("ordinal <= 2").groupBy("unit").agg(F.array_join(F.transform(inner, lambda x: F.concat_ws(":", x["kind"], x["value"])), ",").alias("entities"))
     u = v("units").select("unit", "document").join(e, "unit", "left")
     rows = F.array_sort(F.collect_list(F.struct("unit", F.coalesce("entities", F.lit("")).alias("entities"))))
-    return u.groupBy("document").agg(F.array_join(F.transform(rows, lambda x: F.concat(x["unit"].cast("string"), F.lit("["), x["entities"], F.lit("]"))), ";").alias("content"), N.alias("units"))
+    return u.groupBy("document").agg(F.array_join(F.transform(rows, lambda x: F.concat(x["unit"].cast("string"), F.lit("["), x["entities"], F.lit("]"))), ";").alias("content"), F.count(F.lit(1)).alias("units"))
 
 
 @_register("select (n_nationkey % 5)::int as canonical, count(distinct n_name) as variants, count(distinct m.document) as documents from nation join v_mentions m on m.kind = 'place' and m.value = n_name group by 1")
@@ -125,7 +123,7 @@ def agg_topic_signature(v):
 def cl_meeting_family(v):
     """Topics of one class by their address anchor; the heaviest survives."""
     df = _anchors(v).where("kind = 'address'").join(v("topics").where("class = 'PROMO'"), "topic")
-    return df.groupBy(F.col("value").alias("family")).agg(N.alias("topics"), F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("survivor"))
+    return df.groupBy(F.col("value").alias("family")).agg(F.count(F.lit(1)).alias("topics"), F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("survivor"))
 
 
 @_register(f"with {_ANCHOR}, f as (select value, max_by(t.topic, (t.weight, -t.topic)) as topic from anchor a join v_topics t on a.topic = t.topic where a.kind = 'place' group by 1) select distinct u.unit, f.topic, 92 as confidence from v_units u join v_mentions m on u.unit = m.unit and m.kind = 'place' join f on f.value = m.value where u.kind = 'accounting_statement'")
@@ -138,7 +136,7 @@ def cl_accounting_family(v):
 
 @_register("select t.topic, t.class, k.kind from v_topics t join (select topic, kind from (select a.topic, u.kind, row_number() over (partition by a.topic order by count(*) desc, u.kind) as nth from (select distinct topic, unit from v_assignments) a join v_units u on a.unit = u.unit group by 1, 2) where nth = 1) k on t.topic = k.topic where (t.class = 'PROMO') <> (k.kind = 'letter')")
 def agg_kind_mismatch(v):
-    n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(N.alias("n"))
+    n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"))
     k = latest.best_per_key(n, ["topic"], [F.desc("n"), F.col("kind")]).select("topic", "kind")
     return v("topics").select("topic", "class").join(k, "topic").where((F.col("class") == "PROMO") != (F.col("kind") == "letter"))
 
@@ -146,16 +144,16 @@ def agg_kind_mismatch(v):
 @_register("select 'shared_title' as category, count(*) as n from (select class, title from v_topics group by 1, 2 having count(*) >= 2) union all select 'inactive', count(*) from v_topics where not is_active union all select 'light', count(*) from v_topics where weight <= 3")
 def agg_cleanup_summary(v):
     t = v("topics")
-    shared = t.groupBy("class", "title").agg(N.alias("k")).where("k >= 2")
+    shared = t.groupBy("class", "title").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
     named = {"shared_title": shared, "inactive": t.where("not is_active"), "light": t.where("weight <= 3")}
-    rows = [df.agg(N.alias("n")).select(F.lit(name).alias("category"), "n") for name, df in named.items()]
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("category"), "n") for name, df in named.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @_register("select unit, max_by(confidence, (line, created)) as total, count(*) as n_rows from v_assignments where role = 'document_family' group by unit")
 def agg_table_totals(v):
     """Of each unit's total rows the last one stands."""
-    return v("assignments").where("role = 'document_family'").groupBy("unit").agg(F.max_by("confidence", F.struct("line", "created")).alias("total"), N.alias("n_rows"))
+    return v("assignments").where("role = 'document_family'").groupBy("unit").agg(F.max_by("confidence", F.struct("line", "created")).alias("total"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @_register("select unit, case when seg_conf < 30 then 40 else 0 end + case when title is null then 30 else 0 end + case when class_conf < 30 then 30 else 0 end as defects, concat_ws(',', case when seg_conf < 30 then 'segmentation' end, case when title is null then 'title' end, case when class_conf < 30 then 'class' end) as reasons from v_units")
@@ -174,8 +172,8 @@ def agg_page_text(v):
 
 @_register("select document, count(*) as detections, count(distinct rotation) > 1 as mixed, mode_rotation as dominant from (select d.*, m.rotation as mode_rotation from v_detections d join (select document, rotation from (select document, rotation, row_number() over (partition by document order by count(*) desc, rotation) as nth from v_detections group by 1, 2) where nth = 1) m on d.document = m.document) group by document, mode_rotation")
 def agg_preflight_flags(v):
-    n = v("detections").groupBy("document", "rotation").agg(N.alias("n"))
-    return n.groupBy("document").agg(F.sum("n").alias("detections"), (N > 1).alias("mixed"), F.max_by("rotation", F.struct("n", -F.col("rotation"))).alias("dominant"))
+    n = v("detections").groupBy("document", "rotation").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("document").agg(F.sum("n").alias("detections"), (F.count(F.lit(1)) > 1).alias("mixed"), F.max_by("rotation", F.struct("n", -F.col("rotation"))).alias("dominant"))
 
 
 @_register("select document, arg_max(unit, (case kind when 'regulation' then 4 when 'meeting_minutes' then 3 else 0 end, -unit)) as unit, min(created) as first_day, max(created) as last_day from v_units group by 1")
@@ -219,7 +217,7 @@ def set_tokens_minus(v):
 
 @_register("select 'unit' as name, kind as value, count(*) as n from v_units group by 2 union all select 'mention', kind, count(*) from v_mentions group by 2 union all select 'topic', class, count(*) from v_topics group by 2")
 def set_union_all(v):
-    one = lambda name, table, c: v(table).groupBy(F.col(c).alias("value")).agg(N.alias("n")).select(F.lit(name).alias("name"), "value", "n")
+    one = lambda name, table, c: v(table).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "value", "n")
     return one("unit", "units", "kind").unionByName(one("mention", "mentions", "kind")).unionByName(one("topic", "topics", "class"))
 
 
@@ -246,7 +244,7 @@ def cl_probable_typos(v):
 @_register("with c as (select (doc % 4)::int as canonical, value from (select distinct value, length(value) as doc from v_mentions where kind = 'organization')) select canonical, max(value) as display, count(*) as variants from c group by 1")
 def cl_canonical_merge(v):
     df = v("mentions").where("kind = 'organization'").select("value").distinct()
-    return df.groupBy((F.length("value") % 4).alias("canonical")).agg(F.max("value").alias("display"), N.alias("variants"))
+    return df.groupBy((F.length("value") % 4).alias("canonical")).agg(F.max("value").alias("display"), F.count(F.lit(1)).alias("variants"))
 
 
 @_register("select scan, min(page) as first_page, count(*) as pages from (select scan, page, case when text like 'Verbale%' then 'minutes' when text like 'Fattura%' then 'bill' else 'other' end as anchor from v_pages) where anchor <> 'other' group by scan, anchor")
@@ -254,7 +252,7 @@ def cl_scan_proposals(v):
     """Proposals of a scan with the same anchor collapse to the first."""
     anchor = F.when(F.col("text").startswith("Verbale"), "minutes").when(F.col("text").startswith("Fattura"), "bill").otherwise("other")
     df = v("pages").withColumn("anchor", anchor).where("anchor <> 'other'")
-    return df.groupBy("scan", "anchor").agg(F.min("page").alias("first_page"), N.alias("pages")).drop("anchor")
+    return df.groupBy("scan", "anchor").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("pages")).drop("anchor")
 
 
 @_register("select concat('nation:', context::varchar) as scope, concat('account_', account::varchar) as account_key, category, period, cents, is_total, (cents + 50) // 100 as units from v_facts where cents is not null")
@@ -282,7 +280,7 @@ def apply_topic_decisions(v):
 def apply_proposal_reviews(v):
     action = F.when(F.col("topic") % 3 == 0, "reject").when(F.col("topic") % 3 == 1, "merge").otherwise("approve")
     df = v("assignments").join(v("topics").select("topic", action.alias("action")), "topic").where("action <> 'reject'")
-    return df.groupBy("unit", F.when(F.col("action") == "merge", F.col("topic") - 1).otherwise(F.col("topic")).alias("topic")).agg(N.alias("n"))
+    return df.groupBy("unit", F.when(F.col("action") == "merge", F.col("topic") - 1).otherwise(F.col("topic")).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("select doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9_./-]+', '_', 'g'), '^_+|_+$', '', 'g') as key from documents")
@@ -328,7 +326,7 @@ def fn_bill_fields(v):
 @_register("select category, case when category = 'total' then 'total' when category in ('PROMO', 'SMALL') then 'installment' else 'expense' end as fact_type, is_total, count(*) as n from v_facts group by all")
 def fn_table_type(v):
     kind = F.when(F.col("category") == "total", "total").when(F.col("category").isin("PROMO", "SMALL"), "installment").otherwise("expense")
-    return v("facts").groupBy("category", kind.alias("fact_type"), "is_total").agg(N.alias("n"))
+    return v("facts").groupBy("category", kind.alias("fact_type"), "is_total").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("select c_custkey as account, regexp_extract(c_name, '([0-9]+)$', 1)::bigint as code, lower(regexp_replace(c_name, '#.*$', '')) as subject from customer")
