@@ -17,6 +17,9 @@ Distance is 1 - |A & B| / |A | B|, a metric. The join runs in three levels:
    pivot document differ by at most the threshold's distance (the window of the triangle inequality) and where the
    counts of shingles in 64 classes (overlaps with 64 disjoint pivots) allow it. Those pairs are compared exactly.
 
+The number of links is counted apart from that: all members of each pivot's region are compared, in blocks, and a pair
+counts at the smallest pivot that both have. Only sums leave a block.
+
 Equal sets are one point throughout, so a large group of copies costs one row per copy and no pairs.
 """
 
@@ -42,6 +45,8 @@ SPLIT = 1.5
 PIVOTS, COARSE = 64, 16
 #: Rounds in which each document's likeliest pair goes first; after them all pairs left are compared at once.
 ROUNDS = 4
+#: Members of a block in which links are counted, and shingles that are compared at once.
+BLOCK, COLUMNS = 256, 4096
 #: Ids of candidates are broadcast and pairs are broadcast up to this many (some 10 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -135,6 +140,79 @@ def _sets(k: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """|a & b| of every two of ``sets``, which have no repeated values."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(first) - 1
+    often = np.bincount(column)[column] > 1 if len(flat) else first
+    column, owner = np.cumsum(first & often)[often] - 1, owner[often]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        dense = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def _counted(num: int, den: int):
+    """Links of the members of each block pair (pivot, i, j), whose rows follow one another: (node, links)."""
+
+    def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        pivot, i, j = rows[0][:3]
+        node, block = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows])
+        sets = [r[5] for r in rows]
+        n, both = np.array([len(x) for x in sets]), _overlaps(sets)
+        linked = den * both >= num * (n[:, None] + n[None, :] - both)
+        linked &= _overlaps([x[x < pivot] for x in (r[6] for r in rows)]) == 0
+        np.fill_diagonal(linked, False)
+        if i != j:
+            linked &= block[:, None] != block[None, :]
+        return node, linked.sum(1)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        node, found = links(rows)
+        return pa.RecordBatch.from_arrays([pa.array(node[found > 0]), pa.array(found[found > 0].astype(np.int64))], names=["node", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            plain = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "node", "block")]
+            lists = []
+            for c in ("items", "pivots"):
+                column = batch.column(c)
+                at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+                lists.append([flat[a:b] for a, b in zip(at[:-1], at[1:])])
+            for row in zip(*plain, *lists):
+                if held and held[0][:3] != row[:3]:
+                    if len(held) > 1:
+                        yield batch_of(held)
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield batch_of(held)
+
+    return run
+
+
+def _links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, links): how many other nodes each is linked with. ``met`` has pivots x and the members y of their regions."""
+    member = met.select(F.col("x").alias("pivot"), F.col("y").alias("node"))
+    member = member.unionByName(member.select("pivot", F.col("pivot").alias("node")).distinct())
+    blocks = member.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("pivot", "node", "block", other).select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    known = sets.join(member.groupBy("node").agg(F.collect_list("pivot").alias("pivots")), "node")
+    rows = dealt.join(known, "node").select("pivot", "i", "j", "node", "block", "items", "pivots")
+    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return rows.mapInArrow(_counted(num, den), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def _members(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, items): the whole sets of the nodes in ``wanted``, from the texts that stand for them."""
     ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct())
@@ -155,8 +233,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """Documents linked by Jaccard similarity >= num / den of their sets of ``k``-word shingles, exactly.
 
     ``docs`` has doc_id (long) and text; other columns are ignored. Returns one row per row of ``docs``: doc_id,
-    n_shingles (set size), component_id (smallest doc_id reachable by links, itself included), links (its number
-    of direct links found to differing texts' sets; members tied through a common pivot are not expanded).
+    n_shingles (set size), component_id (smallest doc_id reachable by links, itself included), links (the number
+    of other documents' sets that differ from its own and are within the threshold; equal sets count once).
 
     Null and empty texts, and texts of white space, have an empty set and link with nothing. Repeated rows and
     equal texts share a component. A row with a null doc_id links through equal sets only and never names a
@@ -247,8 +325,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             links = cut(links.unionByName(fresh))
             tied = written(components(links, "x", "y"), "ngram-tied")
         again = again.join(now, ["x", "y"], "left_anti")
-    links = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    degree = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    degree = written(_links(met, sets, num, den), "ngram-links")
     named = nodes.select("node", "rep").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").join(degree, "node", "left").select("node", "component_id", "links")

@@ -71,6 +71,25 @@ def test_ngram_join_is_exact(docs, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    """Near copies of one text, all within the threshold of each other or only of the text, in one block and in several."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    rows += [(1 + i, " ".join(base[: 5 * i] + [f"x{i}"] + base[5 * i + 1 :])) for i in range(30)]
+    rows += [(100 + i, " ".join(base[: 6 * i] + [f"y{i}", f"z{i}"] + base[6 * i + 2 :])) for i in range(30)]
+    rows += [(200, rows[0][1]), (201, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((3, 97), (5, 95)):
+        sets = _sets(rows, k)
+        different = {frozenset(s) for s in sets.values()}
+        near = lambda a, b: 100 * len(a & b) >= num * len(a | b)
+        want = {i: sum(frozenset(s) != t and near(s, t) for t in different) for i, s in sets.items()}
+        assert len(set(want.values())) > 1
+        for block in (256, 7):
+            monkeypatch.setattr(ngram_join, "BLOCK", block)
+            assert {r.doc_id: r.links for r in ngram_join.ngram_jaccard_join(df, k, num, 100).collect()} == want
+
+
 def test_ngram_join_odd(odd, none):
     got = ngram_join.ngram_jaccard_join(odd, 3, 90, 100).collect()
     assert len(got) == len(ODD)
