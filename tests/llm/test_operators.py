@@ -163,6 +163,14 @@ def test_language(spark, sf, docs, odd, none):
     assert {r.lang_pred for r in language.languages(odd, none).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:130]
+    rows = [(i, f"word{i} other{i}", f"l{n:03}") for n, i in enumerate(learned)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.labelled_sample(df, df.selectExpr("doc_id", "lang as label"), 5, 100)
+    assert sorted(label for _, label in sample) == [f"l{n:03}" for n in range(130)]
+
+
 def test_quality(spark, sf, docs, odd, none):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     marks = {r.doc_id: r.quality for r in labels.collect()}
