@@ -19,7 +19,7 @@ from docspark.plans.storage import cut, small, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 _REST = ("text", "lang", "source", "n_chars")
 #: Texts below these probabilities are rejected.
-QUALITY, LANGUAGE = 0.5, 0.3
+QUALITY, LANGUAGE = 0.7, 0.3
 #: Ids are broadcast up to this many, joined by a shuffle beyond.
 BROADCAST_IDS = 250_000
 

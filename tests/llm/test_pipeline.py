@@ -1,5 +1,7 @@
 """The corpus pipeline's stages."""
 
+import inspect
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -21,6 +23,12 @@ def test_stages(spark, sf, tmp_path):
     assert docs.select("doc_id").distinct().count() == kept
 
 
+def test_quality_rejects_what_the_operator_rejects():
+    from docspark.llm.quality import quality_scores
+
+    assert corpus_pipeline.QUALITY == inspect.signature(quality_scores).parameters["threshold"].default
+
+
 def test_near_duplicates_keeps_one_of_each_group(spark, sf):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(7, text, "en", "s", 1), (3, text + " end", "en", "s", 1), (9, "short other text", "en", "s", 1), (9, "short other text", "en", "s", 1), (None, "nobody", "en", "s", 1), (11, None, None, None, None)]
