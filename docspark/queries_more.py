@@ -349,4 +349,4 @@ def fn_row_facts(v):
 @_register()
 def fn_normalize_key(v):
     """Keys of mention values, folded to ASCII once for each distinct value."""
-    return fuzzy.normalized_keys(v("mentions").select("value").unionByName(v("documents").select(F.left("text", F.lit(60)).alias("value"))))
+    return fuzzy.normalized_keys(v("mentions").select("value").unionByName(v("documents").select(F.col("text").alias("value"))))

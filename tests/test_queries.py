@@ -40,6 +40,12 @@ def test_matches_sql(spark, sf, con, name):
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(names, cursor.fetchall())
 
 
+def test_normalize_key_reads_whole_texts(spark, sf):
+    texts = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()}
+    got = {r.value for r in queries.QUERIES["fn_normalize_key"](spark, sf).select("value").collect()}
+    assert max(len(t or "") for t in texts) > 60 and texts <= got
+
+
 def test_others_run(spark, sf):
     for name in set(queries.QUERIES) - set(queries.ORACLE):
         assert queries.QUERIES[name](spark, sf).count() > 0
