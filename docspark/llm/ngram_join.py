@@ -9,16 +9,15 @@ Distance is 1 - |A & B| / |A | B|, a metric. The join runs in three levels:
    document needs its d + 1 rarest regions only, which leaves out those of passages that many documents hold, and a
    document that shares fewer than c - d regions with anyone is linked to none. No link is lost. (Where c <= d, regions
    of empty classes count too, and all are kept.) g depends on the sets' size, so sizes are cut into bands; a document
-   whose partners may fall into the band below is replicated there (the window that the triangle inequality gives for
-   distances to the whole universe).
-2. *A pivot document for each region*: exact distances to it, first of each document to its first pivot, then to its
-   other pivots unless links have already tied the two or the bounds of level 3 part them. Documents within the threshold are linked.
-3. *Recursion inside regions.* Members in different components so far meet only where their distances to the
-   pivot document differ by at most the threshold's distance (the window of the triangle inequality) and where the
-   counts of shingles in 64 classes (overlaps with 64 disjoint pivots) allow it. Those pairs are compared exactly.
-
-The number of links is counted apart from that: all members of each pivot's region are compared, in blocks, and a pair
-counts at the smallest pivot that both have. Only sums leave a block.
+   whose partners may fall into the band below is replicated there.
+2. *Voronoi cells inside regions.* Regions with the same pivot document (the member that shares most regions) are one
+   group. A group of more than LARGE members is divided: CELLS of its members become pivots, every member goes to the
+   cell of its nearest pivot, and by the triangle inequality also to each cell whose pivot is at most two thresholds'
+   distance farther (its window), where it meets the members of that cell. A pair counts in the cell of the member with
+   the larger name. Cells are divided again while they are large and windows don't fill them.
+3. *Comparison.* What is left is compared exactly, in blocks of BLOCK members against each other. A pair counts at the
+   smallest pivot document that both have. Blocks give each member's number of links, and its tie to the smallest
+   member that it reaches there; ties are joined into components at the end, once.
 
 Equal sets are one point throughout, so a large group of copies costs one row per copy and no pairs.
 """
@@ -41,13 +40,11 @@ from docspark.plans.storage import cut, small, written
 GROW = 1.5
 #: Classes for each shingle in which two sets of a band may differ.
 SPLIT = 1.5
-#: Disjoint pivots whose counts bound the overlap of two sets: first in COARSE groups, then each.
-PIVOTS, COARSE = 64, 16
-#: Rounds in which each document's likeliest pair goes first; after them all pairs left are compared at once.
-ROUNDS = 4
 #: Members of a block in which links are counted, and shingles that are compared at once.
 BLOCK, COLUMNS = 256, 4096
-#: Ids of candidates are broadcast and pairs are broadcast up to this many (some 10 MB); beyond, they are joined by a shuffle.
+#: Groups of more members are divided into so many Voronoi cells, at most so many times.
+LARGE, CELLS, LEVELS = 2048, 16, 6
+#: Ids of candidates are broadcast up to this many (some 10 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
 
@@ -96,17 +93,8 @@ def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(words, k)) for words in word_hashes(_texts(batch))]
-            hists = [np.bincount((v & np.uint64(PIVOTS - 1)).astype(np.int64), minlength=PIVOTS) for v in sets]
-            hist = np.minimum(np.concatenate(hists), 32767).astype(np.int16) if hists else np.zeros(0, np.int16)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(v) for v in sets], pa.int64()),
-                    pa.array(np.array([_name(v) for v in sets], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(range(0, len(hist) + 1, PIVOTS), pa.int32()), pa.array(hist)),
-                ],
-                names=["doc_id", "n_shingles", "node", "counts"],
-            )
+            n, node = pa.array([len(v) for v in sets], pa.int64()), np.array([_name(v) for v in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(node)], names=["doc_id", "n_shingles", "node"])
 
     return run
 
@@ -159,29 +147,38 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _reached(linked: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The smallest name that each member reaches by ``linked``."""
+    label = node
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _counted(num: int, den: int):
-    """Links of the members of each block pair (pivot, i, j), whose rows follow one another: (node, links)."""
+    """Of the members of each block pair (cell, i, j), whose rows follow one another: (node, links, label)."""
 
-    def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        pivot, i, j = rows[0][:3]
-        node, block = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows])
-        sets = [r[5] for r in rows]
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        i, j, top = rows[0][1:4]
+        node, block, inner = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows]), np.array([r[6] for r in rows], bool)
+        sets = [r[7] for r in rows]
         n, both = np.array([len(x) for x in sets]), _overlaps(sets)
         linked = den * both >= num * (n[:, None] + n[None, :] - both)
-        linked &= _overlaps([x[x < pivot] for x in (r[6] for r in rows)]) == 0
+        linked &= _overlaps([x[x < top] for x in (r[8] for r in rows)]) == 0
+        linked &= np.where(node[:, None] > node[None, :], inner[:, None], inner[None, :])
         np.fill_diagonal(linked, False)
         if i != j:
             linked &= block[:, None] != block[None, :]
-        return node, linked.sum(1)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        node, found = links(rows)
-        return pa.RecordBatch.from_arrays([pa.array(node[found > 0]), pa.array(found[found > 0].astype(np.int64))], names=["node", "links"])
+        found, label = linked.sum(1), _reached(linked, node)
+        some = found > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(found[some].astype(np.int64)), pa.array(label[some])], names=["node", "links", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            plain = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "node", "block")]
+            plain = [batch.column(c).to_pylist() for c in ("cell", "i", "j", "top", "node", "block", "inner")]
             lists = []
             for c in ("items", "pivots"):
                 column = batch.column(c)
@@ -199,18 +196,47 @@ def _counted(num: int, den: int):
     return run
 
 
-def _links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, links): how many other nodes each is linked with. ``met`` has pivots x and the members y of their regions."""
-    member = met.select(F.col("x").alias("pivot"), F.col("y").alias("node"))
-    member = member.unionByName(member.select("pivot", F.col("pivot").alias("node")).distinct())
-    blocks = member.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+def _divided(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``member`` (cell, top, node, inner) with its large cells divided into Voronoi cells around some of their members."""
+    done = None
+    for level in range(LEVELS):
+        size = member.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
+        large = written(size, "ngram-large")
+        if not large.limit(1).count():
+            break
+        rest = member.join(large, "cell", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        inside = member.join(large, "cell")
+        first = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(level)), "node"))
+        chosen = inside.select("cell", "node").distinct().withColumn("nth", first).where(F.col("nth") <= CELLS).join(sets, "node")
+        chosen = written(chosen.select("cell", F.col("node").alias("pivot"), F.col("items").alias("theirs")), "ngram-pivots")
+        met = inside.join(sets, "node").join(chosen, "cell")
+        both = F.size(F.array_intersect("items", "theirs"))
+        away = 1 - both / (F.size("items") + F.size("theirs") - both)
+        met = written(met.select("cell", "size", "top", "node", "inner", "pivot", away.alias("away")), "ngram-away")
+        nearest = F.min(F.struct("away", "pivot")).over(Window.partitionBy("cell", "top", "node", "inner"))
+        near = met.withColumn("home", nearest).where(F.col("away") <= F.col("home.away") + 2 * (den - num) / den + 1e-9)
+        near = written(near.select("cell", "size", "top", "node", (F.col("inner") & (F.col("pivot") == F.col("home.pivot"))).alias("inner"), F.xxhash64("cell", "pivot").alias("part")), "ngram-cells")
+        # windows that fill the cells make work instead of saving it: such a cell stays whole
+        work = near.groupBy("cell", "part").agg(F.max("size").alias("size"), F.count(F.lit(1)).cast("double").alias("n")).groupBy("cell").agg(F.max("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("after"))
+        better = written(work.where(F.col("after") * 2 < F.col("size").cast("double") * F.col("size")).select("cell"), "ngram-better")
+        done = done.unionByName(inside.drop("size").join(better, "cell", "left_anti"))
+        member = near.join(better, "cell", "left_semi").select(F.col("part").alias("cell"), "top", "node", "inner")
+    return member if done is None else done.unionByName(member)
+
+
+def _links(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, links, label) of the blocks of ``member`` (top, node): how many others each is linked with there, and the
+    smallest that it reaches. Only sums and ties leave a block."""
+    known = sets.join(member.groupBy("node").agg(F.collect_list("top").alias("pivots")), "node")
+    cells = _divided(member.select(F.col("top").alias("cell"), "top", "node", F.lit(True).alias("inner")), sets, num, den)
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("pivot", "node", "block", other).select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
-    known = sets.join(member.groupBy("node").agg(F.collect_list("pivot").alias("pivots")), "node")
-    rows = dealt.join(known, "node").select("pivot", "i", "j", "node", "block", "items", "pivots")
-    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return rows.mapInArrow(_counted(num, den), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    dealt = dealt.select("cell", "top", "node", "inner", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = dealt.join(known, "node").select("cell", "i", "j", "top", "node", "block", "inner", "items", "pivots")
+    rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return rows.mapInArrow(_counted(num, den), "node long, links long, label long")
 
 
 def _members(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -221,14 +247,6 @@ def _members(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> Da
     return sets if sets.count() == ids.count() else written(sets.dropDuplicates(["node"]), "ngram-sets-once")  # ids that repeat
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) with both = |x & y|. Sets move once: to their pivot documents, x."""
-    near = lambda df: F.broadcast(df) if small(df, BROADCAST_IDS) else df
-    right = sets.toDF("y", "items_y").join(near(pairs), "y")
-    left = sets.toDF("x", "items_x").join(near(pairs.select("x").distinct()), "x", "left_semi")
-    return right.join(left, "x").select(*pairs.columns, F.size(F.array_intersect("items_x", "items_y")).cast("long").alias("both"))
-
-
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Documents linked by Jaccard similarity >= num / den of their sets of ``k``-word shingles, exactly.
 
@@ -241,8 +259,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = written(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, node long, counts array<smallint>"), "ngram-sketch")
-    nodes = written(sketch.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "ngram-nodes")
+    sketch = written(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, node long"), "ngram-sketch")
+    nodes = written(sketch.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-nodes")
 
     # Regions are named from the texts once more: stored, they would take as much disk as the input.
     cells = docs.select("text").mapInArrow(_regions(k, num, den), "node long, region long, band int, spare int")
@@ -254,80 +272,17 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # A region's pivot document is its member that shares most regions: around an original, the same one for all its copies.
     weight = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     heaviest = F.max(F.struct("weight", "node")).over(region)["node"]
-    met = shared.join(weight, "node").select("node", heaviest.alias("pivot")).where("node <> pivot").distinct()
-
-    part = PIVOTS // COARSE
-    groups = (sum((F.col("counts")[j].cast("int") for j in range(i * part, i * part + part)), F.lit(0)).alias(f"c{i}") for i in range(COARSE))
-    known = F.when(F.array_max("counts") < 32767, F.col("counts")).alias("counts")
-    size = nodes.select("node", "n", known).select("node", "n", "counts", *groups)
-
-    def of(side: str) -> DataFrame:
-        return size.toDF(side, f"n_{side}", f"counts_{side}", *(f"c{i}_{side}" for i in range(COARSE)))
-
-    def bound(a: str, b: str):
-        """The greatest overlap that counts in PIVOTS classes allow, over the union it leaves; null if unknown."""
-        fine = F.aggregate(F.zip_with(f"counts_{a}", f"counts_{b}", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-        return fine / (F.col(f"n_{a}") + F.col(f"n_{b}") - fine)
-
-    def near(a: str, b: str):
-        """Sizes, and overlaps with the disjoint pivots, allow the threshold; true where counts are unknown."""
-        n = F.col(f"n_{a}") + F.col(f"n_{b}")
-        coarse = sum((F.least(f"c{i}_{a}", f"c{i}_{b}") for i in range(COARSE)), F.lit(0)).cast("long")
-        fine = F.aggregate(F.zip_with(f"counts_{a}", f"counts_{b}", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x).cast("long")
-        enough = lambda most: F.coalesce(den * most >= num * (n - most), F.lit(True))
-        return enough(coarse) & enough(fine)
-
-    linked = lambda df: df.where(den * F.col("both") >= num * (F.col("n_x") + F.col("n_y") - F.col("both"))).select("x", "y")
-    met = written(met.select(F.col("pivot").alias("x"), F.col("node").alias("y")), "ngram-met")
-    sets = _members(met.select(F.col("x").alias("node")).unionByName(met.select(F.col("y").alias("node"))).distinct(), docs, nodes, k)
-    n_of = nodes.select("node", "n")
-    sized = lambda df: df.join(n_of.toDF("x", "n_x"), "x").join(n_of.toDF("y", "n_y"), "y").select("x", "y", "n_x", "n_y")
-
-    def grouped(df: DataFrame, tied: DataFrame) -> DataFrame:
-        """Pairs with the components of both ends so far."""
-        at = lambda side: tied.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}"))
-        df = df.join(at("x"), "x", "left").join(at("y"), "y", "left")
-        return df.withColumns({"in_x": F.coalesce("in_x", "x"), "in_y": F.coalesce("in_y", "y")})
-
-    # Each document against its first pivot; then against its other pivots, where these are not yet in one component.
-    home = met.groupBy("y").agg(F.min("x").alias("x"))
-    stars = written(_compared(cut(sized(home)), sets), "ngram-stars")
-    links = cut(linked(stars))
-    tied = written(components(links, "x", "y"), "ngram-tied")
-    others = grouped(met.join(home, ["x", "y"], "left_anti"), tied).where("in_x <> in_y").select("x", "y")
-    others = others.join(of("x"), "x").join(of("y"), "y").where(near("x", "y")).select("x", "y", "n_x", "n_y")
-    others = written(_compared(cut(others), sets), "ngram-others")
-    links = cut(links.unionByName(linked(others)))
-    tied = written(components(links, "x", "y"), "ngram-tied")
-
-    # Inside each pivot's region: members not yet tied to the pivot, against the members of other components.
-    apart = (F.col("n_x") + F.col("n_y") - 2 * F.col("both")) / (F.col("n_x") + F.col("n_y") - F.col("both"))
-    compared = stars.unionByName(others).select("x", "y", apart.alias("d"))
-    member = cut(grouped(met.join(compared, ["x", "y"], "left"), tied).select(F.col("x").alias("pivot"), F.col("y").alias("node"), "d", F.col("in_y").alias("component"), (F.col("in_x") != F.col("in_y")).alias("open")))
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        renamed = df.select("pivot", F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("d", "component", "open")))
-        return renamed.join(of(name), name)
-
-    window = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= (den - num) / den + 1e-9, F.lit(True))
-    again = side(member.where("open"), "x").join(side(member, "y"), "pivot")
-    again = again.where((F.col("component_x") != F.col("component_y")) & (~F.col("open_y") | (F.col("x") < F.col("y"))) & window & near("x", "y"))
-    again = again.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), bound("x", "y").alias("most"))
-    again = written(again.groupBy("x", "y").agg(F.max("most").alias("most")), "ngram-again")
-    # The likeliest pair of each document first: its link often ties the others' ends, which then need no comparing.
-    for last in (*(False,) * ROUNDS, True):
-        again = cut(grouped(again, tied).where("in_x <> in_y").select("x", "y", "most"))
-        if not again.limit(1).count():
-            break
-        now = again.select("x", "y") if last else again.groupBy("x").agg(F.max_by("y", F.struct("most", "y")).alias("y"))
-        fresh = cut(linked(_compared(cut(sized(now)), sets)))
-        if fresh.limit(1).count():
-            links = cut(links.unionByName(fresh))
-            tied = written(components(links, "x", "y"), "ngram-tied")
-        again = again.join(now, ["x", "y"], "left_anti")
-    degree = written(_links(met, sets, num, den), "ngram-links")
-    named = nodes.select("node", "rep").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = shared.join(weight, "node").select("node", heaviest.alias("top")).distinct()
+    alone = F.count(F.lit(1)).over(Window.partitionBy("top"))
+    member = written(met.withColumn("size", alone).where("size > 1").select("top", "node"), "ngram-members")
+    sets = _members(member.select("node").distinct(), docs, nodes, k)
+
+    found = written(_links(member, sets, num, den), "ngram-links")
+    tied = written(components(found.select("node", "label").where("node <> label"), "node", "label"), "ngram-tied")
+    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
+    # Only sets with copies or links can have another name than their own document's.
+    named = nodes.join(tied, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").join(degree, "node", "left").select("node", "component_id", "links")
+    named = written(named.join(least, "component").join(degree, "node", "left").select("node", "component_id", "links"), "ngram-named")
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -85,11 +85,35 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
         near = lambda a, b: 100 * len(a & b) >= num * len(a | b)
         want = {i: sum(frozenset(s) != t and near(s, t) for t in different) for i, s in sets.items()}
         assert len(set(want.values())) > 1
-        for block in (256, 7):
+        for block, large in ((256, 2048), (7, 2048), (7, 20)):
             monkeypatch.setattr(ngram_join, "BLOCK", block)
+            monkeypatch.setattr(ngram_join, "LARGE", large)
             assert {r.doc_id: r.links for r in ngram_join.ngram_jaccard_join(df, k, num, 100).collect()} == want
 
 
+def test_ngram_join_divides_large_groups(spark, monkeypatch):
+    """Groups around several centres that share a passage: cells and windows lose no link and count none twice."""
+    monkeypatch.setattr(ngram_join, "LARGE", 30)
+        random = np.random.default_rng(11)
+    nodes = []
+    for centre in range(5):
+        base = random.integers(0, 2**62, 200)
+        for _ in range(36):
+            nodes.append(np.unique(np.concatenate([base[random.random(200) > 0.07], random.integers(0, 2**62, 6)])))
+    names = random.permutation(len(nodes)) * 7 + 3
+    sets = spark.createDataFrame([(int(n), [int(x) for x in v]) for n, v in zip(names, nodes)], "node long, items array<long>")
+    member = spark.createDataFrame([(1, int(n)) for n in names], "top long, node long")
+    divided = ngram_join._divided(member.select(F.col("top").alias("cell"), "top", "node", F.lit(True).alias("inner")), sets, 80, 100)
+    sizes = [r["count"] for r in divided.groupBy("cell").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < len(nodes)
+    got = {r.node: r.links for r in ngram_join._links(member, sets, 80, 100).groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    want = {}
+    for n, v in zip(names, nodes):
+        found = sum(m != n and 100 * len(np.intersect1d(v, w)) >= 80 * len(np.union1d(v, w)) for m, w in zip(names, nodes))
+        want |= {int(n): found} if found else {}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_ngram_join_odd(odd, none):
     got = ngram_join.ngram_jaccard_join(odd, 3, 90, 100).collect()
     assert len(got) == len(ODD)
