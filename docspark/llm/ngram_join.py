@@ -11,7 +11,7 @@ Distance is 1 - |A & B| / |A | B|, a metric. The join runs in three levels:
    of empty classes count too, and all are kept.) g depends on the sets' size, so sizes are cut into bands; a document
    whose partners may fall into the band below is replicated there.
 2. *Voronoi cells inside regions.* Regions with the same pivot document (the member that shares most regions) are one
-   group. A group of more than LARGE members is divided: CELLS of its members become pivots, every member goes to the
+   group. A group of more than LARGE members is divided: up to CELLS of its members, far apart, become pivots, every member goes to the
    cell of its nearest pivot, and by the triangle inequality also to each cell whose pivot is at most two thresholds'
    distance farther (its window), where it meets the members of that cell. A pair counts in the cell of the member with
    the larger name. Cells are divided again while they are large and windows don't fill them.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -42,8 +42,8 @@ GROW = 1.5
 SPLIT = 1.5
 #: Members of a block in which links are counted, and shingles that are compared at once.
 BLOCK, COLUMNS = 256, 4096
-#: Groups of more members are divided into so many Voronoi cells, at most so many times.
-LARGE, CELLS, LEVELS = 2048, 16, 6
+#: Groups of more members are divided around at most so many members, at most so many times.
+LARGE, CELLS, LEVELS = 2048, 64, 6
 #: Ids of candidates are broadcast up to this many (some 10 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -196,6 +196,12 @@ def _counted(num: int, den: int):
     return run
 
 
+def _away() -> Column:
+    """Distance of the sets ``items`` and ``theirs``."""
+    both = F.size(F.array_intersect("items", "theirs"))
+    return 1 - both / (F.size("items") + F.size("theirs") - both)
+
+
 def _divided(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``member`` (cell, top, node, inner) with its large cells divided into Voronoi cells around some of their members."""
     done = None
@@ -209,11 +215,13 @@ def _divided(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         inside = member.join(large, "cell")
         first = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(level)), "node"))
         chosen = inside.select("cell", "node").distinct().withColumn("nth", first).where(F.col("nth") <= CELLS).join(sets, "node")
-        chosen = written(chosen.select("cell", F.col("node").alias("pivot"), F.col("items").alias("theirs")), "ngram-pivots")
+        chosen = written(chosen.select("cell", "nth", F.col("node").alias("pivot"), F.col("items").alias("theirs")), "ngram-candidates")
+        # a candidate close to an earlier one would only repeat that one's cell
+        before = chosen.select("cell", F.col("nth").alias("other"), F.col("theirs").alias("items"))
+        close = chosen.join(before, "cell").where("other < nth").where(_away() <= 2 * (den - num) / den).select("cell", "pivot").distinct()
+        chosen = written(chosen.join(close, ["cell", "pivot"], "left_anti").drop("nth"), "ngram-pivots")
         met = inside.join(sets, "node").join(chosen, "cell")
-        both = F.size(F.array_intersect("items", "theirs"))
-        away = 1 - both / (F.size("items") + F.size("theirs") - both)
-        met = written(met.select("cell", "size", "top", "node", "inner", "pivot", away.alias("away")), "ngram-away")
+        met = written(met.select("cell", "size", "top", "node", "inner", "pivot", _away().alias("away")), "ngram-away")
         nearest = F.min(F.struct("away", "pivot")).over(Window.partitionBy("cell", "top", "node", "inner"))
         near = met.withColumn("home", nearest).where(F.col("away") <= F.col("home.away") + 2 * (den - num) / den + 1e-9)
         near = written(near.select("cell", "size", "top", "node", (F.col("inner") & (F.col("pivot") == F.col("home.pivot"))).alias("inner"), F.xxhash64("cell", "pivot").alias("part")), "ngram-cells")

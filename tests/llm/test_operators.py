@@ -92,9 +92,9 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
 
 
 def test_ngram_join_divides_large_groups(spark, monkeypatch):
-    """Groups around several centres that share a passage: cells and windows lose no link and count none twice."""
+    """Groups around several centres in one region: cells and windows lose no link and count none twice."""
     monkeypatch.setattr(ngram_join, "LARGE", 30)
-        random = np.random.default_rng(11)
+    random = np.random.default_rng(11)
     nodes = []
     for centre in range(5):
         base = random.integers(0, 2**62, 200)
