@@ -198,19 +198,21 @@ def fit_language(rows: list[tuple[str, object]], epochs: int = 3, rate: float =
     return model
 
 
-def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characters: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
+def languages(docs: DataFrame, labelled: DataFrame, sample: int = 1500, characters: int = 3_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Language of every whole text of ``docs`` (doc_id, text).
 
-    ``labelled`` (doc_id, text, lang) is learned from, where its doc_id isn't held out and lang isn't null: at most
-    ``sample`` rows of each language, their texts cut after ``characters``, mixed into texts that switch language.
-    Every word of every text gets a probability for each language; a text's language is the one with the highest mean
-    over its words with letters, ties to the first in order. Returns one row per row: doc_id, held_out, lang_pred,
-    score (that mean). Texts that are null or without a letter, and all texts if nothing could be learned, are ``und``
-    with score 0. With one language learned, it is every text's.
-    Columns in ``keep`` are handed through.
+    ``labelled`` (doc_id, text, lang) is learned from, where its doc_id isn't held out and lang isn't null: of each
+    language at most ``sample`` rows of ``characters`` code points together, whole texts, mixed into texts that switch
+    language. Every word of every text gets a probability for each language; a text's language is the one with the
+    highest mean over its words with letters, ties to the first in order. Returns one row per row: doc_id, held_out,
+    lang_pred, score (that mean). Texts that are null or without a letter, and all texts if nothing could be learned,
+    are ``und`` with score 0. With one language learned, it is every text's. Repeated rows are judged each, an empty
+    table gives none, very long texts are read in blocks. Columns in ``keep`` are handed through.
     """
     rows = labelled_sample(labelled, labelled.select("doc_id", F.col("lang").alias("label")), sample, characters)
-    model = docs.sparkSession.sparkContext.broadcast(fit_language(rows))
+    rows = sorted((r.doc_id, r.text, r.label) for r in rows.collect())
+    model = docs.sparkSession.sparkContext.broadcast(fit_language([(text, label) for _, text, label in rows]))
+    del rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -24,6 +24,13 @@ TEMPLATES = [
     ("gpl-grant", "GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("gpl-warranty", "GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("bsd-grant", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-endorse", "BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-warranty", "BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("lgpl-grant", "LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-grant", "AGPL", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("epl-line", "EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("boost-grant", "BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib-grant", "Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("mpl-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("isc-grant", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -55,7 +62,7 @@ class Templates:
             # the least power of two that holds the template with a quarter to spare; a single shingle needs none
             width.append(1 if len(items) == 1 else 1 << int(np.ceil(np.log2(1.25 * len(items)))))
             least = [(items * f).min() for f in self.factor]
-            keys += self._keys([np.array([x]) for x in least])
+            keys += self._keys([np.array([x]) for x in least], self.bands)
             owner += [i] * bands
         self.width = np.array(width)
         flat, own = np.concatenate(keys), np.array(owner)
@@ -65,9 +72,9 @@ class Templates:
             order = np.argsort(flat[some], kind="stable")
             self.by_width[w] = flat[some][order], own[some][order]
 
-    def _keys(self, least: list[np.ndarray]) -> list[np.ndarray]:
+    def _keys(self, least: list[np.ndarray], bands: int) -> list[np.ndarray]:
         out = []
-        for b in range(self.bands):
+        for b in range(bands):
             total = np.full(len(least[0]), b + 1, np.uint64)
             for x in least[b * self.each : (b + 1) * self.each]:
                 total = mix(total + x)
@@ -79,14 +86,16 @@ class Templates:
         found: set[tuple[int, int, int]] = set()
         starts = {}
         for w in self.by_width:
-            step = max(1, w - int(w / 1.25) + 1)
+            step = w - max(1, int(w / 1.25)) + 1  # a notice of w / 1.25 shingles at most lies whole in a window
             count = np.where(n > 0, np.maximum(0, -(-(n - w) // step)) + 1, 0)
             text = np.repeat(np.arange(len(n)), count)
             j = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
             starts[w] = text, first[text] + np.minimum(j * step, np.maximum(n[text] - w, 0)), np.minimum(w, n[text])
         widest = max(self.by_width)
         least: dict[int, list[np.ndarray]] = {w: [] for w in self.by_width}
-        for f in self.factor:
+        # windows of one shingle agree in every band or in none: one band tells
+        bands = {w: 1 if w == 1 else self.bands for w in self.by_width}
+        for i, f in enumerate(self.factor):
             level, size, levels = items * f, 1, {}
             levels[1] = level
             while size < widest and 2 * size <= len(items):
@@ -94,6 +103,8 @@ class Templates:
                 size *= 2
                 levels[size] = level
             for w, (_, at, length) in starts.items():
+                if i >= bands[w] * self.each:
+                    continue
                 power = (1 << np.floor(np.log2(np.maximum(length, 1))).astype(np.int64)) if len(length) else length
                 out = np.empty(len(at), np.uint64)
                 for p in np.unique(power):
@@ -103,7 +114,7 @@ class Templates:
         for w, (text, at, _) in starts.items():
             known, owner = self.by_width[w]
             low, high = known.min(), known.max()
-            for key in self._keys(least[w]):
+            for key in self._keys(least[w], bands[w]):
                 place = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 for i in np.flatnonzero((known[place] == key) & (key >= low) & (key <= high)):
                     p = place[i]
@@ -116,14 +127,18 @@ class Templates:
 def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, k: int = 5, bands: int = 20, rows: int = 1, threshold: float = 0.8) -> DataFrame:
     """License notices in every whole text of ``docs`` (doc_id, text).
 
-    Returns a row for each text and template found: doc_id, template, license, containment (share of the template's
-    ``k``-word shingles in the window, at least ``threshold``), start, end (code points of the best window's first and
-    last matching shingle, end exclusive). Case and punctuation don't count. Windows overlap so that a notice lies whole in
+    Returns a row for each text, template and place found: doc_id, template, license, containment (share of the template's
+    ``k``-word shingles there, at least ``threshold``), start, end (code points of the first and the last matching
+    shingle, end exclusive). Case and punctuation don't count. Windows overlap so that a notice lies whole in
     one of at most 2.5 times its shingles; such a window agrees with its template at 0.3 or more, so one of 20 bands
-    of one row does with probability over 0.999. Texts that are null, empty or without a notice give no row; a notice
-    given twice gives its best window, ties to the first. Repeated rows give repeated results.
+    of one row does with probability over 0.999; a template of one shingle is found wherever it stands. Places of a
+    template with less than its length between them are one, with the best containment. Texts that are null, empty or without a notice give no row.
+    Repeated rows give repeated results, empty tables none; very long texts are read whole. Without ``templates`` the
+    list above is used; an empty list finds nothing.
     """
-    library = Templates(templates or TEMPLATES, k, bands, rows, threshold)
+    if templates is not None and not templates:
+        return docs.sparkSession.createDataFrame([], "doc_id long, template string, license string, containment double, start long, end long")
+    library = Templates(TEMPLATES if templates is None else templates, k, bands, rows, threshold)
     held = docs.sparkSession.sparkContext.broadcast(library)  # a fixed list of notices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,23 +168,32 @@ def _scanned(t: Templates, texts: list[bytes], ids: list) -> list[tuple]:
     n = np.array([len(x) for x in items])
     first = np.cumsum(n) - n
     flat = np.concatenate(items)
-    best: dict[tuple[int, int], tuple] = {}
+    places: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
     for text, template, at in t.candidates(flat, first, n):
         w, have = int(t.width[template]), t.sets[template]
         low, high = max(int(first[text]), at - w), min(int(first[text] + n[text]), at + 2 * w)
-        inside = np.isin(flat[low:high], have)
-        share = len(np.unique(flat[low:high][inside])) / len(have)
-        if share >= t.threshold:
-            hits = np.flatnonzero(inside) + low - int(first[text])
-            row = (-share, int(hits[0]), int(hits[-1]))
-            best[text, template] = min(best.get((text, template), row), row)
+        window = flat[low:high]
+        # a place: matching shingles with no gap wider than the template between them
+        hits = np.flatnonzero(np.isin(window, have))
+        for run in np.split(hits, np.flatnonzero(np.diff(hits) > len(have)) + 1) if len(hits) else ():
+            share = len(np.unique(window[run])) / len(have)
+            if share >= t.threshold:
+                from_text = low - int(first[text])
+                places.setdefault((text, template), set()).add((int(run[0]) + from_text, int(run[-1]) + from_text, share))
     out = []
-    for (text, template), (share, a, b) in sorted(best.items()):
+    for (text, template), found in sorted(places.items()):
         edges = _word_edges(texts[text])
         head = np.concatenate([[0], np.cumsum(_HEAD[np.frombuffer(texts[text], np.uint8)])])
         name, license_, _ = t.rows[template]
-        last = min(b + t.k, len(edges)) - 1
-        out.append((ids[text], name, license_, -share, int(head[edges[a][0]]), int(head[edges[last][1]])))
+        joined: list[list] = []
+        for a, b, share in sorted(found):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1:] = max(joined[-1][1], b), max(joined[-1][2], share)
+            else:
+                joined.append([a, b, share])
+        for a, b, share in joined:
+            last = min(b + t.k, len(edges)) - 1
+            out.append((ids[text], name, license_, share, int(head[edges[a][0]]), int(head[edges[last][1]])))
     return out
 
 

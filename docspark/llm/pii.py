@@ -1,6 +1,7 @@
-"""Personal data by weak supervision: labelers vote on spans, expectation-maximisation weighs them, a classifier decides.
+"""Personal data by weak supervision: labelers vote on spans, expectation-maximisation weighs them, and a classifier that
+is trained on what it believes decides.
 
-DataFrame functions only. What reaches the driver is one count for each kind and pattern of votes.
+DataFrame functions only. What reaches the driver is one count for each kind and pattern of votes and features.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,20 @@ CONTEXT = {
 AGAINST = r"(?i)version|isbn|invoice|order|serial|page|figure|section|\bno\.?\s*$|[=#/\\]\s*$"
 DOMAINS = r"(?i)(?:\.|\[dot\]|\(dot\)|\{dot\})\s?(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$"
 NEAR = 40
+#: Labelers, and how likely each vote (-1, 0, 1) is held to be before any text is read, for spans that are personal data
+#: and for others. This counts as much as STRENGTH spans of each kind, so small tables are judged by it, large ones by themselves.
 VOTES = ["form", "context", "against", "shape", "border"]
+PRIOR = [
+    ((0.30, 0.00, 0.70), (0.60, 0.00, 0.40)),
+    ((0.00, 0.50, 0.50), (0.00, 0.85, 0.15)),
+    ((0.03, 0.97, 0.00), (0.30, 0.70, 0.00)),
+    ((0.05, 0.10, 0.85), (0.30, 0.30, 0.40)),
+    ((0.10, 0.00, 0.90), (0.40, 0.00, 0.60)),
+]
+SHARE, STRENGTH = 0.7, 40
+#: Features that no labeler reads: found by a wider pattern; a sign that introduces a value right before; a context word
+#: that near; a sign that ends a value right after; more than sixteen code points.
+MARKS = ["wide", "led", "close", "ended", "long"]
 
 
 def _prefix(values: Column, i: Column) -> Column:
@@ -117,27 +132,48 @@ def _votes(kind: str, span: Column) -> list[Column]:
     return [vote(strict, ~strict), vote(before.rlike(CONTEXT[kind])), vote(F.lit(False), before.rlike(AGAINST)), shape, vote(~joined, joined)]
 
 
-def _em(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[str, tuple[float, list[dict[int, float]]]]:
-    """Reliabilities of independent labelers by expectation-maximisation, for each kind, as a classifier: a bias and for
-    each labeler the log odds that its vote adds. Starts from strict form being right in nine of ten cases."""
-    out = {}
-    for kind in KINDS:
-        rows = [(v, n) for k, v, n in counts if k == kind]
-        belief = {v: 0.9 if v[0] == 1 else 0.2 for v, _ in rows}
-        bias, weights = 0.0, [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in VOTES]
-        for _ in range(rounds if rows else 0):
-            yes, no = sum(belief[v] * n for v, n in rows), sum((1 - belief[v]) * n for v, n in rows)
-            bias = math.log((yes + 1) / (no + 1))
-            for j in range(len(VOTES)):
-                for vote in (-1, 0, 1):
-                    p = (sum(belief[v] * n for v, n in rows if v[j] == vote) + 0.5) / (yes + 1.5)
-                    q = (sum((1 - belief[v]) * n for v, n in rows if v[j] == vote) + 0.5) / (no + 1.5)
-                    weights[j][vote] = max(-4.0, min(4.0, math.log(p / q)))
-            for v, _ in rows:
-                z = bias + sum(weights[j][x] for j, x in enumerate(v))
-                belief[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-        out[kind] = (bias, weights)
-    return out
+def _marks(kind: str, span: Column, wide: bool) -> list[Column]:
+    close = F.right(span["before"], F.lit(14)).rlike(CONTEXT[kind])
+    return [F.lit(wide), span["before"].rlike(r"[:(<\"'=] ?$"), close, span["after"].rlike(r"^[)>\"',.;\s]|^$"), F.length(span["match"]) > 16]
+
+
+def _em(rows: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
+    """Belief that a span with these votes is personal data, from counts of patterns of votes: independent labelers,
+    their reliabilities by expectation-maximisation from PRIOR on."""
+    votes = {v: n for v, n in rows}
+    yes_share, tables = SHARE, [tuple(np.maximum(p, 0.01) for p in pair) for pair in PRIOR]
+    belief = {}
+    for _ in range(rounds):
+        for v in votes:
+            z = math.log(yes_share / (1 - yes_share)) + sum(math.log(yes[x + 1] / no[x + 1]) for x, (yes, no) in zip(v, tables))
+            belief[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        yes, no = sum(belief[v] * n for v, n in votes.items()), sum((1 - belief[v]) * n for v, n in votes.items())
+        yes_share = (yes + SHARE * STRENGTH) / (yes + no + STRENGTH)
+        for j, (of_yes, of_no) in enumerate(PRIOR):
+            seen = np.zeros((2, 3))
+            for v, n in votes.items():
+                seen[:, v[j] + 1] += n * belief[v], n * (1 - belief[v])
+            tables[j] = tuple((s + STRENGTH * np.maximum(p, 0.01)) / (s.sum() + STRENGTH * np.maximum(p, 0.01).sum()) for s, p in zip(seen, (of_yes, of_no)))
+    return belief
+
+
+def _trained(rows: list[tuple[tuple[int, ...], tuple[bool, ...], int]], rounds: int = 30) -> list[float]:
+    """Logistic regression of the label model's beliefs on votes and features, by Newton's steps with a ridge: a bias,
+    the weight of each labeler's vote for and against, the weight of each feature."""
+    belief = _em([(v, n) for v, _, n in rows])
+    x = np.array([_row(v, m) for v, m, _ in rows], float)
+    y, n = np.array([belief[v] for v, _, _ in rows]), np.array([float(k) for _, _, k in rows])
+    n *= min(1.0, 10_000 / n.sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - 0.05 * w
+        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), slope)
+    return [float(v) for v in w]
+
+
+def _row(votes: tuple[int, ...], marks: tuple[bool, ...]) -> list[float]:
+    return [1.0, *(float(v == 1) for v in votes), *(float(v == -1) for v in votes), *map(float, marks)]
 
 
 def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -145,10 +181,11 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Returns one row per row: the columns in ``keep`` (doc_id by default), base (array of kind, start, end: the matches
     of the base patterns that pass their rules, always kept) and spans (base and what the method adds: matches of wider
-    patterns that overlap no base span and that the trained classifier holds for personal data, context
-    words or the gazetteer's shape speaking for them). Both are ordered by
-    kind as in KINDS, then start; positions are code points, ends exclusive. Repeated rows give repeated rows; an empty
-    table gives none. Texts with many matches cost a power of 1.5 of their number.
+    patterns that overlap no base span and that the trained classifier holds for personal data rather than not). Both are
+    ordered by kind as in KINDS, then start; positions are code points, ends exclusive. Repeated rows give repeated rows; an
+    empty table gives none. Labelers' reliabilities and the classifier are learned from the table itself, from priors
+    that stand for small ones. Wider matches of a text are held against its base spans one by one: the cost of a text is
+    the product of their numbers.
     """
     kept = keep or ["doc_id"]
     df = docs.select(*(c for c in kept if c != "text"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -161,26 +198,32 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def voted(kind: str, column: str, fresh: bool) -> Column:
         new = F.filter(column, lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))) if fresh else F.col(column)
-        return F.transform(new, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(fresh).alias("fresh"), F.array(*_votes(kind, x)).alias("votes")))
+        return F.transform(new, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(fresh).alias("fresh"), F.array(*_votes(kind, x)).alias("votes"), F.array(*_marks(kind, x, fresh)).alias("marks")))
 
     every = F.flatten(F.array(*(voted(k, f"{a}_{k}", a == "wide") for k in KINDS for a in ("base", "wide"))))
     found = written(df.select(*kept, "base", every.alias("candidates")), "pii-candidates")
     one = found.select(F.explode("candidates").alias("c"))
-    counts = [(r.kind, tuple(r.votes), r.n) for r in one.groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    model = _em(counts)
+    key = [F.col(f"c.{x}").alias(x) for x in ("kind", "votes", "marks")]
+    counts = one.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the patterns: 4 * 3^5 * 2^5 rows
+    model = {}
+    for kind in KINDS:
+        rows = sorted((tuple(r.votes), tuple(r.marks), r.n) for r in counts if r.kind == kind)
+        if rows:
+            model[kind] = _trained(rows)
 
     def odds(c: Column) -> Column:
         out = F.lit(-100.0)
-        for kind, (bias, weights) in model.items():
-            z = F.lit(float(bias))
-            for j, w in enumerate(weights):
-                v = F.get(c["votes"], F.lit(j))
-                z = z + F.when(v == 1, w[1]).when(v == -1, w[-1]).otherwise(w[0])
+        for kind, (bias, *weights) in model.items():
+            z = F.lit(bias)
+            for j in range(len(VOTES)):
+                vote = F.get(c["votes"], F.lit(j))
+                z = z + F.when(vote == 1, weights[j]).when(vote == -1, weights[len(VOTES) + j]).otherwise(0.0)
+            for j in range(len(MARKS)):
+                z = z + F.when(F.get(c["marks"], F.lit(j)), weights[2 * len(VOTES) + j]).otherwise(0.0)
             out = F.when(c["kind"] == kind, z).otherwise(out)
         return out
 
-    spoken = lambda c: (F.get(c["votes"], F.lit(1)) == 1) | (F.get(c["votes"], F.lit(3)) == 1)
-    added = F.filter("candidates", lambda c: c["fresh"] & (odds(c) > 0) & spoken(c))
+    added = F.filter("candidates", lambda c: c["fresh"] & (odds(c) > 0))
     place = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     bare = lambda a: F.transform(a, lambda x: F.struct(place[x["kind"]].alias("nth"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     spans = F.transform(F.array_sort(F.concat(bare(F.col("base")), bare(added))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

@@ -88,7 +88,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     that fits the host (or a domain above it) and the path's beginning decides. Hosts with pages that rules allow or
     block are the seeds, weighted by those pages; other pages are blocked if their host's distrust exceeds its trust by
     more than ``margin`` of the mean host's share, else allowed. Null urls and urls without ``://`` have an empty host
-    and path, and are allowed. Null html has no links; repeated rows count and are judged each.
+    and path, and are allowed. Null html has no links; repeated rows count and are judged each; an empty table gives no
+    rows; very long html is read whole.
     """
     rules = RULES if rules is None else rules
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -99,7 +100,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     scores = cut(spread(host_links(judged), by_host))
     over = margin / max(1, by_host.count())
     bad = by_host.select("host").join(scores, "host", "left").na.fill(0.0)
-    bad = bad.withColumn("by_host", F.when(F.col("distrust") - F.col("trust") > over, "block").otherwise("allow"))
+    # written, its size tells Spark whether to broadcast it; beyond, a host of many pages is split by adaptive execution
+    bad = written(bad.withColumn("by_host", F.when(F.col("distrust") - F.col("trust") > over, "block").otherwise("allow")), "url-hosts")
     out = judged.drop("html").join(bad, "host", "left")
     verdict = F.coalesce(F.col("ruled.verdict"), F.col("by_host"), F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

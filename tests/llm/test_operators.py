@@ -134,6 +134,46 @@ def test_url_rules(spark):
     assert got[5].rule == "net/de/" and got[6].rule == "example.net/de/8" and got[7].rule is None and got[8].path == ""
 
 
+def test_url_verdicts_follow_links(spark, none):
+    """Hosts without a rule, against PageRank by matrices over links that brute force finds."""
+    random = np.random.default_rng(8)
+    hosts = [f"h{i}.example.{'com' if i % 4 == 0 else 'net' if i % 4 == 1 else 'io'}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        host = hosts[int(random.integers(40))]
+        path = ["/en/1", "/en/7", "/de/8", "/de/1", "/fr/"][int(random.integers(5))]
+        cited = [hosts[int(x)] for x in random.integers(0, 40, int(random.integers(0, 4)))]
+        rows.append((i, f"https://{host}{path}", " ".join(f'<a href="http://{c}/x">' for c in cited)))
+    got = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    known = {r[1].split("/")[2] for r in rows}
+    sites = {h: h.split(".", 1)[1] for h in known if h.count(".") >= 3}
+    names = sorted(known | set(sites.values()))
+    links, seeds = np.zeros((len(names), len(names))), np.zeros((2, len(names)))
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        for cited in set(re.findall(r"h[0-9]+[.]example[.][a-z]+", html)) & known - {host}:
+            links[names.index(host), names.index(cited)] += 1
+        if got[i].rule:
+            seeds[int(got[i].verdict == "block"), names.index(host)] += 1
+    score = []
+    for kind, way in ((0, links), (1, links.T)):
+        move = way / np.maximum(way.sum(1, keepdims=True), 1)
+        start = seeds[kind] / seeds[kind].sum()
+        rank = start
+        for _ in range(20):
+            rank = 0.85 * rank @ move + 0.15 * start
+        score.append(rank)
+    judged = 0
+    for i, url, _ in rows:
+        at = names.index(url.split("/")[2])
+        assert abs(got[i].trust - score[0][at]) < 1e-9 and abs(got[i].distrust - score[1][at]) < 1e-9
+        if got[i].rule is None and abs(score[1][at] - score[0][at]) > 1e-12:
+            judged += 1
+            assert got[i].verdict == ("block" if score[1][at] > score[0][at] else "allow")
+    assert judged > 50 and len({r.verdict for r in got.values() if r.rule is None}) == 2
+    assert url_filter.url_verdicts(none.selectExpr("doc_id as page_id", "text as url", "html")).count() == 0
+
+
 def test_spread_is_personalised_pagerank(spark):
     links = [("a", "b", 3), ("b", "c", 1), ("a", "c", 1), ("c", "a", 2), ("d", "a", 1)]
     seeds = [("a", 2, 0), ("c", 0, 1), ("b", 2, 0)]
@@ -192,7 +232,22 @@ def test_language_learns_every_label(spark):
     rows = [(i, f"word{i} other{i}", f"l{n:03}") for n, i in enumerate(learned)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample = language.labelled_sample(df, df.selectExpr("doc_id", "lang as label"), 5, 100)
-    assert sorted(label for _, label in sample) == [f"l{n:03}" for n in range(130)]
+    assert sorted(r.label for r in sample.collect()) == [f"l{n:03}" for n in range(130)]
+
+
+def test_sample_is_bounded_and_whole(spark):
+    """At most so many rows and characters of each label, never part of a text, none that is held out."""
+    rows = [(i, "x" * (1 + i % 50), "a" if i % 3 else "b") for i in range(600)] + [(7, "twice", "a"), (None, "x", "a"), (900, None, "b"), (901, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    texts = collections.defaultdict(set)
+    for i, text, _ in rows:
+        texts[i].add(text)
+    for count, characters in ((20, 10_000), (500, 300)):
+        got = language.labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "label"), count, characters).collect()
+        for label in "ab":
+            some = [r for r in got if r.label == label]
+            assert 0 < len(some) <= count and sum(len(r.text) for r in some[1:]) <= characters
+        assert all(r.text in texts[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in got)
 
 
 def test_quality(spark, sf, docs, odd, none):
@@ -206,6 +261,34 @@ def test_quality(spark, sf, docs, odd, none):
     assert quality.quality_scores(none, labels).count() == 0
 
 
+def test_personal_data_adds_spans(spark):
+    """What the base patterns miss is added where the labelers speak for it, on a table as small as this one too."""
+    rows = [
+        (1, "write to john [at] mail (dot) com please"),
+        (2, "call (415) 555-2671 now"),
+        (3, "my credit card 4111 1111 1111 1112 ok"),
+        (4, "the server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up"),
+        (5, "order no. 415-555-2671 and 4111 1111 1111 1112 parts"),
+        (6, "mail a.b@c.de today"),
+        (7, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).select("doc_id", pii.joined("spans").alias("spans")).collect()}
+    assert got == {1: "email:9:33", 2: "phone:5:19", 3: "card:15:34", 4: "ip:11:50", 5: "", 6: "email:5:13", 7: ""}
+
+
+def test_label_model_and_classifier():
+    """Reliabilities are learned: votes that agree are believed more than before, and the classifier follows beliefs."""
+    good, bad, odd = (1, 1, 0, 1, 1), (-1, 0, -1, -1, -1), (1, 0, -1, -1, -1)
+    few, many = pii._em([(good, 1), (bad, 1), (odd, 1)]), pii._em([(good, 50_000), (bad, 50_000), (odd, 1)])
+    assert many[good] >= few[good] > 0.9 and many[bad] <= few[bad] < 0.1
+    rows = [(good, (False,) * 5, 900), (bad, (True,) * 5, 900), (odd, (True,) * 5, 10)]
+    weights, belief = pii._trained(rows), pii._em([(v, n) for v, _, n in rows])
+    for v, m, _ in rows:
+        p = 1 / (1 + np.exp(-np.dot(weights, pii._row(v, m))))
+        assert abs(p - belief[v]) < 0.15
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda d, m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda d, m: all(int(x) <= 255 for x in m.split("."))),
@@ -320,3 +403,39 @@ def test_licenses(spark, docs, odd, none):
     want = {r.doc_id for r in docs.collect() if line in r.text}
     assert {r.doc_id for r in licenses.license_scan(docs).collect() if r.template == "gpl3-line"} == want
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(none).count() == 0
+
+
+def test_licenses_at_every_place(spark):
+    """Against brute force: whole notices at all positions, edited ones, several in a text, nothing that isn't there."""
+    random = np.random.default_rng(4)
+    names = {name: text for name, _, text in licenses.TEMPLATES}
+    plain = lambda text: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text))
+    grams = lambda words: {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    rows, planted = [], []
+    for i in range(400):
+        words, own = [], []
+        for _ in range(int(random.integers(1, 4))):
+            words += [f"w{x}" for x in random.integers(0, 900, int(random.integers(0, 90)))]
+            name = list(names)[int(random.integers(len(names)))]
+            notice = plain(names[name])
+            if random.random() < 0.3 and len(notice) > 30:
+                notice[int(random.integers(len(notice)))] = "edited"
+            own.append((name, len(words), len(words) + len(notice)))
+            words += notice
+        words += [f"w{x}" for x in random.integers(0, 900, int(random.integers(0, 40)))]
+        rows.append((i, " ".join(words)))
+        planted.append((words, own))
+    got = collections.defaultdict(list)
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id, r.template].append(r)
+        found = grams(plain(rows[r.doc_id][1][r.start : r.end])) & grams(plain(names[r.template]))
+        assert len(found) / len(grams(plain(names[r.template]))) >= r.containment - 1e-9 >= 0.8 - 1e-9
+    lost = 0
+    for i, (words, own) in enumerate(planted):
+        for name, a, b in own:
+            share = len(grams(words[a:b]) & grams(plain(names[name]))) / len(grams(plain(names[name])))
+            start, end = len(" ".join(words[:a])) + (a > 0), len(" ".join(words[:b]))
+            if share >= 0.8:
+                lost += not any(r.start <= start and end <= r.end or r.start < end and start < r.end and share < 1 for r in got[i, name])
+    assert lost == 0
+    assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), []).count() == 0
