@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
@@ -17,6 +18,10 @@ VIEWS = {
       select context, account, role, period, category, cents, false as is_total, unit from parts
       union all select context, account, role, period, 'total', cents, true, cast(0 as bigint) from totals where account % 11 <> 0
       union all select context, account, role, period, 'total', cents, true, cast(0 as bigint) from totals where account % 7 = 0""",
+    # what the statements of the units marked 2-HIGH are written from
+    "charges": """select l_orderkey as unit, l_linenumber as line, cast(round(l_extendedprice * 100) as bigint) as cents, cast(l_quantity * 100 as bigint) as water,
+      c_mktsegment as segment, cast(extract(year from o_orderdate) as int) as year
+      from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey where o_orderpriority = '2-HIGH'""",
     "units": """select o_orderkey as unit, o_custkey as document, o_orderdate as created,
       case o_orderpriority when '1-URGENT' then 'utility_bill' when '2-HIGH' then 'accounting_statement' when '3-MEDIUM' then 'meeting_minutes' when '4-NOT SPECIFIED' then 'regulation' else 'letter' end as kind,
       case when o_orderkey % 13 = 0 then null else concat('Unit ', cast(o_orderkey as string)) end as title,
@@ -37,7 +42,37 @@ VIEWS = {
 }
 
 
+def statements(charges: DataFrame) -> DataFrame:
+    """(unit, text, html, grid): an allocation and a summary as pipes, a payment schedule as HTML, a summary as cells with
+    spans, written the Italian way out of the charges of each unit. Some totals are off; headings differ by unit."""
+    money = lambda cents: F.translate(F.format_number((F.col(cents) if isinstance(cents, str) else cents) / 100, 2), ",.", ".,")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    u, year = F.col("unit"), F.col("year")
+    named = text("Condomino ", F.initcap("segment"))
+    code = text("A", F.col("line"))
+    longer = F.when(F.col("line") % 3 == 0, text(named, " Srl")).otherwise(named)
+    half = F.expr("(cents + water) div 2")
+    row = text("| ", code, " | ", named, " (", code, ") | ", money("cents"), " | ", money("water"), " | 0,0", F.col("line"), "5 | ", money(F.col("cents") + F.col("water")), " |\n")
+    tr = text("<tr><td>", longer, " (", code, ")</td><td>", money(half), "</td><td>", money(F.col("cents") + F.col("water") - half), "</td><td>", money(F.col("cents") + F.col("water")), "</td></tr>")
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", c.alias("x")))), lambda r: r["x"]), "")
+    df = charges.groupBy("unit", "year").agg(ordered(row).alias("rows"), ordered(tr).alias("trs"), F.sum("cents").alias("cents"), F.sum("water").alias("water"), F.sum(half).alias("half"))
+    total = F.col("cents") + F.col("water")
+    title = F.element_at(F.array(*map(F.lit, ("Rendiconto", "Bilancio preventivo", "Estratto contabile", "Prospetto"))), F.expr("cast(unit % 8 div 2 as int) + 1"))
+    heading = F.when(u % 2 == 0, "Consuntivo ripartizioni").otherwise("Spese per palazzina")
+    second = F.when(u % 3 == 0, "Situazione della cassa").otherwise("Preventivo di gestione")
+    pipes = text(title, " ", year, "\nPeriodo: 01/07/", year - 1, " - 30/06/", year, "\n\n", heading, "\n\n| Unita | Nominativo | Spese generali | Acqua | Quota mill. | Totale gestione |\n|---|---|---|---|---|---|\n", F.col("rows"))
+    pipes = text(pipes, "| Totale | | ", money("cents"), " | ", money("water"), " | | ", money(total), " |\n\n", second, "\nPeriodo: 1/7/", year, " - 30/6/", year + 1, "\n\n| Voce | Importi |\n|---|---|\n| Totale gestione | ", money(F.expr("(cents + water) div 2")), " |\n| Saldo finale | ", money(F.expr("(cents + water) div 2")), " |\n")
+    due = total + F.when(u % 5 == 0, 100).otherwise(0)
+    html = text("<table class='t'><tr><th>Nominativo</th><th>Rata n. 1</th><th>Rata n. 2</th><th>Totale dovuto</th></tr>", F.col("trs"), "<tr><td>Totale</td><td>", money("half"), "</td><td>", money(total - F.col("half")), "</td><td>", money(due), "</td></tr></table>")
+    cell = lambda r, c, value, **more: F.struct(F.lit(r).alias("start_row_offset_idx"), F.lit(r + 1).alias("end_row_offset_idx"), F.lit(c).alias("start_col_offset_idx"), F.lit(c + 1).alias("end_col_offset_idx"), (F.lit(value) if isinstance(value, str) else value).alias("text"), F.lit(more.get("head", False)).alias("column_header"), F.lit(False).alias("row_header"))
+    cells = [cell(0, 0, "Voce", head=True), cell(0, 1, "Importi", head=True), cell(1, 0, "Totale gestione"), cell(1, 1, money(total)), cell(2, 0, "Saldo finale"), cell(2, 1, money(total + F.when(u % 7 == 0, 100).otherwise(0)))]
+    grid = F.to_json(F.struct(F.lit(3).alias("num_rows"), F.lit(2).alias("num_cols"), F.array(*cells).alias("table_cells")))
+    return df.select("unit", pipes.alias("text"), html.alias("html"), grid.alias("grid"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "statements":
+        return statements(view(spark, sf_dir, "charges"))
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql.replace("{SHA}", "sha2(text, 256)"), **used)

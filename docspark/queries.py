@@ -99,21 +99,6 @@ def agg_extraction_confidence(v):
     return g.select("context", "account", "period", F.when(F.col("s") > 0, "filled").otherwise("empty").alias("state"), "has_total", accounting.confidence([F.col("t"), F.col("c")], 0.45, 0.18, 0.97).alias("confidence"))
 
 
-@_register(f"with {_BREAKDOWN} select status, count(*) as n, sum(components)::bigint as cents from breakdown group by status")
-def agg_validation_checks(v):
-    return accounting.period_breakdown(v("facts")).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("components").alias("cents"))
-
-
-@_register("select account, min(context) as context, count(distinct category) filter (where not is_total) as n_categories, min(period) as first_period, max(period) as last_period from v_facts group by account")
-def agg_accounts(v):
-    return v("facts").groupBy("account").agg(F.min("context").alias("context"), F.count_distinct(F.when(~F.col("is_total"), F.col("category"))).alias("n_categories"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
-
-
-@_register("select context, category, count(*) as n_facts, count(distinct account) as n_accounts, sum(cents)::bigint as cents from v_facts group by 1, 2")
-def agg_statement_sections(v):
-    return v("facts").groupBy("context", "category").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("account").alias("n_accounts"), F.sum("cents").alias("cents"))
-
-
 @_register("select c.c_custkey as account from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
 def join_orphans(v):
     """Accounts without any unit."""
@@ -607,5 +592,5 @@ def cl_merge_chains(v):
     return v("topics").select("topic").join(found, "topic", "left").select("topic", F.coalesce("component", "topic").alias("component"))
 
 
-# The second part registers itself in the same tables.
-from docspark import queries_more  # noqa: E402, F401
+# Further parts register themselves in the same tables.
+from docspark import queries_more, queries_statements  # noqa: E402, F401

@@ -150,19 +150,6 @@ def agg_cleanup_summary(v):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@_register("select unit, max_by(confidence, (line, created)) as total, count(*) as n_rows from v_assignments where role = 'document_family' group by unit")
-def agg_table_totals(v):
-    """Of each unit's total rows the last one stands."""
-    return v("assignments").where("role = 'document_family'").groupBy("unit").agg(F.max_by("confidence", F.struct("line", "created")).alias("total"), F.count(F.lit(1)).alias("n_rows"))
-
-
-@_register("select unit, case when seg_conf < 30 then 40 else 0 end + case when title is null then 30 else 0 end + case when class_conf < 30 then 30 else 0 end as defects, concat_ws(',', case when seg_conf < 30 then 'segmentation' end, case when title is null then 'title' end, case when class_conf < 30 then 'class' end) as reasons from v_units")
-def agg_statement_quality(v):
-    tests = {"segmentation": (F.col("seg_conf") < 30, 40), "title": (F.col("title").isNull(), 30), "class": (F.col("class_conf") < 30, 30)}
-    points = sum((F.when(t, n).otherwise(0) for t, n in tests.values()), F.lit(0))
-    return v("units").select("unit", points.alias("defects"), F.concat_ws(",", *(F.when(t, k) for k, (t, _) in tests.items())).alias("reasons"))
-
-
 @_register("select scan, string_agg(concat('--- Page ', page::varchar, ' ---', chr(10), text), chr(10) order by page) as text from v_pages group by scan")
 def agg_page_text(v):
     rows = F.array_sort(F.collect_list(F.struct("page", "text")))
@@ -182,14 +169,6 @@ def agg_regulation_pick(v):
     return v("units").groupBy("document").agg(F.max_by("unit", F.struct(points, -F.col("unit"))).alias("unit"), F.min("created").alias("first_day"), F.max("created").alias("last_day"))
 
 
-@_register("select scan, page, last_value(head ignore nulls) over (partition by scan order by page rows between unbounded preceding and 1 preceding) as context from (select scan, page, case when text like 'Verbale%' then 'minutes' when text like 'Fattura%' then 'bill' end as head from v_pages)")
-def win_section_context(v):
-    """Role of each page by the last header before it."""
-    head = F.when(F.col("text").startswith("Verbale"), "minutes").when(F.col("text").startswith("Fattura"), "bill")
-    before = Window.partitionBy("scan").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return v("pages").select("scan", "page", F.last(head, ignorenulls=True).over(before).alias("context"))
-
-
 @_register("select unit, kind, created, row_number() over (partition by kind order by created desc, unit) as nth from v_units qualify nth <= 20")
 def sort_multi_key(v):
     return latest.best_per_key(v("units").select("unit", "kind", "created"), ["kind"], [F.desc("created"), F.col("unit")], 20)
@@ -323,29 +302,11 @@ def fn_bill_fields(v):
     return df.select("unit", number.alias("number"), fn.date_it(F.regexp_extract("bill", r"(?i)scadenza: ([0-9/]+)", 1)).alias("due"), total.cast("long").alias("total"))
 
 
-@_register("select category, case when category = 'total' then 'total' when category in ('PROMO', 'SMALL') then 'installment' else 'expense' end as fact_type, is_total, count(*) as n from v_facts group by all")
-def fn_table_type(v):
-    kind = F.when(F.col("category") == "total", "total").when(F.col("category").isin("PROMO", "SMALL"), "installment").otherwise("expense")
-    return v("facts").groupBy("category", kind.alias("fact_type"), "is_total").agg(F.count(F.lit(1)).alias("n"))
-
-
-@_register("select c_custkey as account, regexp_extract(c_name, '([0-9]+)$', 1)::bigint as code, lower(regexp_replace(c_name, '#.*$', '')) as subject from customer")
-def fn_account_identity(v):
-    name = F.col("c_name")
-    return v("customer").select(F.col("c_custkey").alias("account"), F.regexp_extract(name, "([0-9]+)$", 1).cast("long").alias("code"), F.lower(F.regexp_replace(name, "#.*$", "")).alias("subject"))
-
-
 @_register("select event_id, (props::json->>'k')::bigint as k from events")
 def fn_json_paths(v):
     return v("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@_register("select unit, kind, abs(cents) as cents, kind_of from (select unit, category as kind, cents, case when cents < 0 then 'credit' else 'debit' end as kind_of from v_facts where not is_total and abs(cents) >= 100000)")
-def fn_row_facts(v):
-    df = v("facts").where("not is_total and abs(cents) >= 100000")
-    return df.select("unit", F.col("category").alias("kind"), F.abs("cents").alias("cents"), F.when(F.col("cents") < 0, "credit").otherwise("debit").alias("kind_of"))
-
-
 @_register()
 def fn_normalize_key(v):
     """Keys of mention values, folded to ASCII once for each distinct value."""
