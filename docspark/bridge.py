@@ -34,9 +34,24 @@ VIEWS = {
       from {lineitem} join {orders} on l_orderkey = o_orderkey join {supplier} on l_suppkey = s_suppkey join {nation} on s_nationkey = n_nationkey
       union all select l_orderkey, o_custkey, 'address', p_brand, l_linenumber, cast(round(l_discount * 100) as int)
       from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey""",
-    "topics": """select p_partkey as topic, concat(p_name, ' ', p_brand) as title, p_type as class, p_partkey % 3 <> 0 as is_active, p_size as weight from {part}""",
+    "topics": """select *, lower(replace(replace(title, ' ', '-'), '#', '-')) as slug from (select p_partkey as topic,
+      concat(case p_partkey % 9 when 0 then 'Verbale assemblea ' when 1 then 'Fattura ' when 2 then 'Preventivo ' when 3 then 'Regolamento 2023 ' when 4 then 'Estratto conto ' when 5 then 'Contratto ' when 6 then 'Condominio Via Roma ' when 7 then 'Pagamento rata ' else '' end, p_name, ' ', p_brand) as title,
+      concat('pratica ', p_name, case when p_partkey % 4 = 0 then ' quietanza' else '' end) as description, p_type as class,
+      case p_type when 'PROMO' then 'meeting' when 'SMALL' then 'vendor_relationship' when 'LARGE' then 'financial_period' when 'MEDIUM' then 'building_issue' when 'ECONOMY' then 'legal_matter' else 'general_administration' end as topic_class,
+      case p_type when 'PROMO' then 'family' when 'SMALL' then 'entity' when 'LARGE' then 'project' else 'issue' end as topic_kind, p_partkey % 3 <> 0 as is_active, p_size as weight from {part}) as t""",
+    "notes": """select o_orderkey as unit, concat(case o_orderkey % 4 when 0 then 'Verbale ' when 1 then 'Fattura ' when 2 then 'Lettera ' else 'Contratto ' end, p_name) as title,
+      case o_orderkey % 3 when 0 then concat('Quietanza pagamento BL', lpad(cast(o_orderkey - 1 as string), 8, '0')) when 1 then concat('Dettaglio consumi Enel Servizio Elettrico ', cast(cast(date_trunc('month', o_orderdate) as date) as string)) else concat('pratica ', p_name) end as summary,
+      case o_orderkey % 4 when 0 then 'verbale_assemblea' when 1 then 'fattura' when 2 then 'lettera' else 'contratto' end as document_type, cast(date_trunc('month', o_orderdate) as date) as month, p_brand as brand
+      from {orders} join (select l_orderkey, min(l_partkey) as p from {lineitem} group by l_orderkey) as l on o_orderkey = l_orderkey join {part} on p = p_partkey""",
+    "bills": """select o_orderkey as unit, case o_orderkey % 3 when 0 then 'Enel Servizio Elettrico S.p.A.' when 1 then 'Acque S.p.A. Toscana' else 'Publiacqua servizi' end as issuer, concat('ROSSI ', c_mktsegment) as holder,
+      cast(o_orderdate as date) as issue_date, cast(o_orderdate + interval '20' day as date) as due_date, cast(round(o_totalprice * 100) as bigint) as cents, lpad(cast(o_orderkey as string), 8, '0') as code,
+      cast(date_trunc('month', o_orderdate) as date) as period_from, last_day(o_orderdate) as period_to,
+      case o_orderkey % 4 when 0 then 'paid' when 1 then 'unpaid' when 2 then 'paid' else 'unknown' end as payment_status from {orders} join {customer} on o_custkey = c_custkey where o_orderpriority = '1-URGENT'""",
+    "decisions": """select l_orderkey as unit, l_linenumber as line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as nth,
+      case l_linenumber % 4 when 0 then 'assign_existing' when 1 then 'assign_multiple' when 2 then 'propose_new' else 'none' end as decision,
+      case l_partkey % 4 when 0 then cast(l_partkey as string) when 1 then replace(p_name, ' ', '-') when 2 then concat('Fattura ', p_name, ' ', p_brand) else concat('nuova-', replace(p_name, ' ', '-')) end as reference from {lineitem} join {part} on l_partkey = p_partkey""",
     "uploads": """select doc_id as upload, case when doc_id % 5 = 0 then null else source end as external_id, {SHA} as sha, n_chars as size_bytes from {documents}""",
-    "pages": """select conv_id as scan, cast(turn + 1 as int) as page, concat(case turn % 3 when 0 then 'Verbale ' when 1 then 'Fattura Bilancio ' else '' end, text) as text from {conversations}""",
+    "pages": """select conv_id as scan, cast(turn + 1 as int) as page, concat(case turn % 4 when 0 then concat('# Verbale assemblea', chr(10)) when 1 then 'Fattura Preventivo Contratto ' when 2 then concat('SPESE CONDOMINIO', chr(10)) else '' end, text) as text from {conversations}""",
     "jobs": """select user_id as job, event_id as event, ts, case event_type when 'error' then 'failed' when 'click' then 'running' when 'view' then 'queued' when 'signup' then 'queued' else 'succeeded' end as status from {events}""",
     "detections": """select user_id as document, cast((event_id % 7 % 3) * 90 as int) as rotation, cast(60 + event_id % 40 as int) as confidence from {events}""",
 }
@@ -70,6 +85,22 @@ def statements(charges: DataFrame) -> DataFrame:
     return df.select("unit", pipes.alias("text"), html.alias("html"), grid.alias("grid"))
 
 
+def bill_texts(bills: DataFrame) -> DataFrame:
+    """(unit, text) of each bill as printed; every second one names its due day in words."""
+    from docspark.operators.bills import MONTHS
+
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month("due_date"))
+    due = F.when(F.col("unit") % 2 == 0, text("Scadenza\n", day("due_date"))).otherwise(text("Entro il ", F.dayofmonth("due_date").cast("string"), " ", month, " ", F.year("due_date").cast("string")))
+    said = F.when(F.col("payment_status") == "paid", "I pagamenti delle bollette precedenti risultano regolari.").when(F.col("payment_status") == "unpaid", "La bolletta precedente risulta insoluta.").otherwise("")
+    service = F.when(F.col("issuer").startswith("Enel"), "Fornitura di energia elettrica").otherwise("Servizio idrico")
+    money = F.translate(F.format_number(F.col("cents") / 100, 2), ",.", ".,")
+    out = text(F.col("issuer"), "\nContratto intestato a\n", F.col("holder"), "\nLa mia fornitura\nVIA ROMA 12, SCANDICCI\n", service, "\nData di emissione: ", day("issue_date"), "\n", due, "\nRif. bolletta: BL", F.col("code"), "\nNumero contratto: C", F.col("code"))
+    out = text(out, "\nPOD: IT", F.col("code"), "\nPeriodo di riferimento da ", day("period_from"), " al ", day("period_to"), "\nTotale bolletta:\n", money, "\n", said, "\n")
+    return bills.select("unit", out.alias("text"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "statements":
         return statements(view(spark, sf_dir, "charges"))

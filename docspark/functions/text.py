@@ -64,3 +64,20 @@ def date_it(x: Column) -> Column:
     day, month, year = (F.regexp_extract(x, r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})", i) for i in (1, 2, 3))
     full = F.when(F.length(year) == 4, year).when(year >= "50", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
     return F.when(day != "", F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+
+
+#: Words in titles that tell a family of documents; the first that a title holds counts.
+FAMILIES = [
+    *(("regolamento", "regulation"), ("regulations", "regulation"), ("assemblea", "assembly"), ("assembly", "assembly"), ("verbale", "minutes"), ("minutes", "minutes")),
+    *(("preventivo", "quote"), ("quote", "quote"), ("fattura", "invoice"), ("invoice", "invoice"), ("bolletta", "invoice"), ("statement", "statement"), ("estratto", "statement")),
+    *(("contract", "contract"), ("contratto", "contract"), ("privacy", "privacy"), ("catasto", "cadastre"), ("cadastral", "cadastre"), ("tax", "tax"), ("tarsu", "tax"), ("ici", "tax"), ("rai", "tax")),
+]
+
+
+def family(title: Column) -> Column:
+    """Family of documents that a title names, else null."""
+    low = F.lower(title)
+    out = F.lit(None).cast("string")
+    for word, name in reversed(FAMILIES):
+        out = F.when(low.contains(word), name).otherwise(out)
+    return out

@@ -7,27 +7,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.plans.storage import written
+
 
 @F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    out, match = [], SequenceMatcher(None)
+    for x, y, low in zip(a, b, least):
+        match.set_seqs(x, y)
+        # the two bounds are cheap, and most pairs end there
+        out.append(match.ratio() if match.real_quick_ratio() >= low and match.quick_ratio() >= low else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def title_pairs(titles: DataFrame, least: float) -> DataFrame:
     """Pairs (a < b) of topics whose titles are alike by ``least`` or more. ``titles`` has distinct (topic, title).
 
     Such titles share a run of letters: of the longer one's m letters at least least / (2 - least) match, so candidates
-    share a bigram; lengths and counts of shared letters bound the ratio before it is computed.
+    share a bigram. Only numbers and lengths meet in that join; titles come to the pairs that the lengths leave, and
+    likeness is computed where the counts of letters allow it.
     """
     n = F.length("title")
-    grams = titles.select("topic", "title", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("title"), i, F.lit(2))))).alias("gram"))
-    b = grams.select(F.col("topic").alias("b"), F.col("title").alias("title_b"), "gram")
-    pairs = grams.select(F.col("topic").alias("a"), F.col("title").alias("title_a"), "gram").join(b, "gram").where("a < b")
-    short, long = F.least(F.length("title_a"), F.length("title_b")), F.greatest(F.length("title_a"), F.length("title_b"))
-    pairs = pairs.where(2 * short >= least * (short + long)).groupBy("a", "b", "title_a", "title_b").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.withColumn("score", F.round(_ratio("title_a", "title_b"), 6)).where(F.col("score") >= least).select("a", "b", "score")
+    grams = titles.select("topic", n.alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("title"), i, F.lit(2))))).alias("gram"))
+    pairs = grams.toDF("a", "n_a", "gram").join(grams.toDF("b", "n_b", "gram"), "gram").where("a < b")
+    pairs = pairs.where(2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    side = lambda s: titles.select(F.col("topic").alias(s), F.col("title").alias(f"title_{s}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").repartition("a", "b")
+    return pairs.withColumn("score", F.round(_ratio("title_a", "title_b", F.lit(least)), 6)).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b, score) a matching: the best first (score, then a, then b), each topic once. In every round the
+    pairs that are best for both their ends are taken, which gives what going through the sorted list would give."""
+    left, taken = written(pairs, "match-pairs"), None
+    while True:
+        order = F.struct("score", -F.col("a"), -F.col("b"))
+        ends = left.select(F.explode(F.array("a", "b")).alias("topic"), "a", "b", order.alias("o")).groupBy("topic").agg(F.max(F.struct("o", "a", "b")).alias("best"))
+        best = ends.select("best.a", "best.b", F.col("best.o.score").alias("score")).groupBy("a", "b", "score").agg(F.count(F.lit(1)).alias("n"))
+        new = written(best.where("n = 2").select("a", "b", "score"), "match-new")
+        if not new.limit(1).count():
+            return left.limit(0) if taken is None else taken
+        taken = new if taken is None else taken.unionByName(new)
+        used = new.select(F.explode(F.array("a", "b")).alias("topic"))
+        left = left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti")
+        left = written(left.select("a", "b", "score"), "match-pairs")
 
 
 @F.pandas_udf(T.StringType())

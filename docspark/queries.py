@@ -31,7 +31,7 @@ def _register(sql: str | None = None):
     return add
 
 
-_RAW = {"documents": "documents", "customer": "customer", "orders": "orders", "part": "part", "html": "pages", "nation": "nation", "events": "events"}
+_RAW = {"documents": "documents", "customer": "customer", "orders": "orders", "part": "part", "html": "pages", "nation": "nation", "events": "events", "supplier": "supplier"}
 _BREAKDOWN = """breakdown as (select context, account, role, period, sum(case when not is_total then cents end)::bigint as components,
   count(*) filter (where is_total) as n_totals, case when count(*) filter (where is_total) = 1 then max(case when is_total then cents end) end as reported,
   count(distinct case when not is_total then category end) as n_categories,
@@ -230,13 +230,6 @@ def cl_context_groups(v):
     return contexts.context_groups(contexts.document_sets(v("mentions").select(F.lower("value").alias("entity"), "kind", "document")))
 
 
-@_register("""with m as (select unit, document, lower(value) as context, confidence / 10.0 as confidence from v_mentions where kind = 'place' and unit % 20 = 0), d as (select document, context, max(confidence) as most from m group by 1, 2), o as (select unit, context, max(confidence) as own from m group by 1, 2)
-  select u.unit, d.context, case when o.own is not null then 'direct' else 'document_scope' end as role, coalesce(o.own, least(d.most, 0.8))::double as confidence from v_units u join d on u.document = d.document left join o on o.unit = u.unit and o.context = d.context""")
-def join_context_membership(v):
-    m = v("mentions").where("kind = 'place' and unit % 20 = 0").select("unit", "document", F.lower("value").alias("context"), (F.col("confidence") / 10.0).alias("confidence"))
-    return contexts.memberships(v("units"), m)
-
-
 _PREDICATES = """select unit, 'document_type' as predicate, kind as object from v_units union all select unit, 'status', case when seg_conf < 70 then 'needs_review' else 'auto_accepted' end from v_units union all select unit, 'titled', title from v_units where title is not null"""
 
 
@@ -306,12 +299,6 @@ def agg_topic_summary(v):
     return v("topics").select("topic", "title").join(a, "topic", "left").na.fill(0, ["units", "documents"])
 
 
-@_register("""with a as (select topic, unit, max(confidence) as confidence from v_assignments group by 1, 2) select topic, unit, created from (select a.topic, a.unit, u.created, row_number() over (partition by a.topic order by u.created desc, a.unit desc) as nth from a join v_units u on a.unit = u.unit) where nth <= 3""")
-def agg_topic_detail(v):
-    a = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "created"), "unit")
-    return latest.best_per_key(a, ["topic"], [F.desc("created"), F.desc("unit")], 3).select("topic", "unit", "created")
-
-
 @_register("""with c as (select a.topic, u.kind, count(*) as n from (select distinct topic, unit from v_assignments) a join v_units u on a.unit = u.unit group by 1, 2) select topic, kind from (select *, row_number() over (partition by topic order by n desc, kind) as nth from c) where nth = 1""")
 def agg_dominant_identity(v):
     n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -335,11 +322,6 @@ def prj_topic_kind(v):
     return v("topics").select("topic", "class", "weight", kind.alias("topic_kind"))
 
 
-@_register("select class, is_active, count(*) as n, sum(weight)::bigint as weight from v_topics group by 1, 2")
-def flt_topics(v):
-    return v("topics").groupBy("class", "is_active").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
-
-
 _PROFILES = f"profiles as (select class as axis, title, min(topic) as topic, sum(weight)::bigint as weight, {_TOKENS} as tokens from v_topics group by class, title)"
 
 
@@ -347,19 +329,6 @@ def _profiles(v) -> DataFrame:
     return _topic_tokens(v("topics").groupBy(F.col("class").alias("axis"), "title").agg(F.min("topic").alias("topic"), F.sum("weight").alias("weight")))
 
 
-@_register(f"""with {_PROFILES}, p as (select a.axis, a.topic as a, b.topic as b, a.weight as wa, b.weight as wb, round(len(list_intersect(a.tokens, b.tokens))::double / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) as score
-  from profiles a join profiles b on a.axis = b.axis and a.topic < b.topic), s as (select axis, case when wa >= wb then a else b end as target, case when wa >= wb then b else a end as source, score from p where score >= 0.3)
-  select axis, target, source, score, nth from (select *, row_number() over (partition by axis order by score desc, target, source) as nth from s) where nth <= 12""")
-def join_merge_suggestions(v):
-    p = _profiles(v)
-    return topics.suggestions(p, p.select("topic", F.explode("tokens").alias("token"), "axis").select("topic", F.concat_ws("|", "axis", "token").alias("token")), 0.3, 12)
-
-
-@_register("select t.topic, t.title, t.class from v_topics t where not exists (select 1 from v_assignments a where a.topic = t.topic and a.confidence >= 9)")
-def join_anti_reviewed(v):
-    return v("topics").select("topic", "title", "class").join(v("assignments").where("confidence >= 9").select("topic"), "topic", "left_anti")
-
-
 @_register("select axis, topic, weight, array_to_string(list_sort(tokens), ' ') as tokens from (with " + _PROFILES + " select * from profiles)")
 def join_topic_profiles(v):
     return _profiles(v).select("axis", "topic", "weight", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
@@ -394,29 +363,9 @@ def join_search_topics(v):
     return v("topics").select("topic", "title", points.alias("points")).where("points > 0")
 
 
-@_register("select topic, title, (regexp_matches(title, '[0-9]{2}') or len(string_split(title, ' ')) <= 2) as specific from v_topics")
-def flt_specific_topic(v):
-    return v("topics").select("topic", "title", (F.col("title").rlike("[0-9]{2}") | (F.size(F.split("title", " ")) <= 2)).alias("specific"))
-
-
 # --- pages and texts -------------------------------------------------------------------------------------------------
 
 
-@_register("""with p as (select *, list_slice(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)), 1, 10) as w from v_pages) select scan, page, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines from p""")
-def fn_pages_from_markdown(v):
-    return v("pages").select("scan", "page", F.length("text").alias("n_chars"), F.size(F.split("text", "\n")).alias("n_lines"))
-
-
-@_register()
-def win_page_boundaries(v):
-    return pages.boundaries(v("pages"))
-
-
-@_register()
-def win_segments(v):
-    return pages.segments(pages.boundaries(v("pages")))
-
-
 @_register("select scan, 1 as ordinal, case when count(*) filter (where trim(text) <> '') = max(page) - min(page) + 1 then string_agg(text, chr(10) order by page) end as text from v_pages group by scan")
 def join_unit_text(v):
     units = v("pages").groupBy("scan").agg(F.lit(1).alias("ordinal"), F.min("page").alias("start_page"), F.max("page").alias("end_page"))
@@ -429,11 +378,6 @@ def agg_pages_to_document(v):
     return v("pages").groupBy("scan").agg(F.array_join(F.transform(kept, lambda p: p["text"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("page_count"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@_register(r"""select scan, page, (least(len(regexp_extract_all(text, '[^ \t\n\r\f\v]{18,}')) * 5, 30) + least(len(regexp_extract_all(text, '[A-Za-z0-9]{14,}')) * 5, 30) + least(len(regexp_extract_all(text, '[!#$%&*.,;:]{3,}')) * 10, 40))::int as noise, length(text) as n_chars from v_pages""")
-def win_noisy_pages(v):
-    return pages.noise(v("pages"))
-
-
 @_register("""with s as (select document, rotation, count(*) as votes from v_detections where confidence >= 80 and rotation <> 0 group by 1, 2), a as (select *, sum(votes) over (partition by document)::bigint as qualified from s) select document, rotation, votes, qualified from a where votes * 100 >= qualified * 50""")
 def agg_rotation_vote(v):
     return pages.rotation_vote(v("detections"), 50)
@@ -524,12 +468,6 @@ def prj_archive_identity(v):
     return df.withColumn("filled", sum((F.col(c).isNotNull().cast("int") for c in ("party", "context", "subject")), F.lit(0)))
 
 
-@_register("select unit, document, created, kind from v_units where kind = 'utility_bill' and created < timestamp '1998-01-01 00:00:00' order by created desc, unit limit 100")
-def flt_utility_bills(v):
-    """Overdue bills as of a day, newest first."""
-    return v("units").where("kind = 'utility_bill' and created < timestamp '1998-01-01 00:00:00'").select("unit", "document", "created", "kind").orderBy(F.desc("created"), "unit").limit(100)
-
-
 @_register(f"with {_BREAKDOWN} select context, account, period, n_categories, n_totals from breakdown where status = 'inconsistent_total'")
 def flt_accounting_statements(v):
     return accounting.period_breakdown(v("facts")).where("status = 'inconsistent_total'").select("context", "account", "period", "n_categories", "n_totals")
@@ -553,37 +491,11 @@ def topk_global(v):
     return v("units").select("unit", "document", "created").orderBy(F.desc("created"), "unit").limit(60)
 
 
-@_register("select a.document as document, a.unit as unit, b.unit as other from v_units a join v_units b on a.document = b.document and a.unit <> b.unit where a.kind = 'utility_bill' and b.kind = 'letter' and abs(date_diff('day', a.created, b.created)) <= 30")
-def join_bill_links(v):
-    """Letters of the same document within thirty days of a bill."""
-    bills = v("units").where("kind = 'utility_bill'").select("document", "unit", F.col("created").alias("a"))
-    letters = v("units").where("kind = 'letter'").select("document", F.col("unit").alias("other"), F.col("created").alias("b"))
-    return bills.join(letters, "document").where(F.abs(F.datediff("a", "b")) <= 30).select("document", "unit", "other")
-
-
-@_register("select page_id, case when contains(html, '<table') then 'table' when contains(html, '<h1') then 'titled' else 'plain' end as layout, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
-def fn_layout_elements(v):
-    html = F.col("html")
-    return v("html").select("page_id", F.when(html.contains("<table"), "table").when(html.contains("<h1"), "titled").otherwise("plain").alias("layout"), F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@_register("select a.topic as a, b.topic as b, count(*)::bigint as shared from (select distinct topic, unit from v_assignments where topic < 200) a join (select distinct topic, unit from v_assignments where topic < 200) b on a.unit = b.unit and a.topic < b.topic group by 1, 2")
-def secondary_on_shared_docs(v):
-    """Topics that share units, by how many."""
-    one = v("assignments").where("topic < 200").select("topic", F.col("unit").alias("token")).distinct()
-    return topics.shared_pairs(one)
-
-
 @_register("select sha, min(upload) as first_upload, count(*) as n from v_uploads group by sha")
 def st_ingest_dedup(v):
     return v("uploads").groupBy("sha").agg(F.min("upload").alias("first_upload"), F.count(F.lit(1)).alias("n"))
 
 
-@_register("select job, status, count(*) as n, max(ts) as latest from v_jobs group by 1, 2")
-def st_latest_status(v):
-    return v("jobs").groupBy("job", "status").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
-
-
 @_register("with p as (select topic, topic // 8 as grp from v_topics) select topic, (grp * 8)::bigint as component from p")
 def cl_merge_chains(v):
     """Chains of merges resolved to their ends."""
@@ -593,4 +505,4 @@ def cl_merge_chains(v):
 
 
 # Further parts register themselves in the same tables.
-from docspark import queries_more, queries_statements  # noqa: E402, F401
+from docspark import queries_consolidation, queries_more, queries_pages, queries_statements  # noqa: E402, F401

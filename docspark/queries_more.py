@@ -66,19 +66,6 @@ def join_tables_to_units(v):
     return one.unionByName(two).join(p.where("page % 2 = 1"), "scan").where("page between a and b").groupBy("scan", "ordinal").agg(F.count(F.lit(1)).alias("tables"))
 
 
-@_register(f"""with t as (select topic, weight, {_TOKENS} as tokens from v_topics where topic < 300), i as (select topic, weight, unnest(tokens) as token from t),
-  n as (select c_custkey as unit, lower(c_mktsegment) as segment, ['widget', 'ring', 'brand', case c_custkey % 3 when 0 then 'red' when 1 then 'small' else 'green' end] as asked from customer), q as (select unit, unnest(asked) as token from n),
-  s as (select q.unit, i.topic, count(*) * 30 + case when any_value(i.weight) > 25 then 10 else 0 end as points from q join i on q.token = i.token group by 1, 2)
-  select unit, topic, points, nth from (select *, row_number() over (partition by unit order by points desc, topic) as nth from s) where nth <= 10""")
-def join_retrieve_topics(v):
-    """Each unit's ten best topics by shared tokens, through the topics' inverted index."""
-    index = v("topics").where("topic < 300").select("topic", "weight", F.explode(fn.tokens(F.col("title"))).alias("token"))
-    colour = F.when(F.col("c_custkey") % 3 == 0, "red").when(F.col("c_custkey") % 3 == 1, "small").otherwise("green")
-    asked = v("customer").select(F.col("c_custkey").alias("unit"), F.explode(F.array(F.lit("widget"), F.lit("ring"), F.lit("brand"), colour)).alias("token"))
-    points = asked.join(index, "token").groupBy("unit", "topic").agg((F.count(F.lit(1)) * 30 + F.when(F.max("weight") > 25, 10).otherwise(0)).alias("points"))
-    return latest.best_per_key(points, ["unit"], [F.desc("points"), F.col("topic")], 10)
-
-
 @_register("""select u.unit, u.kind, concat_ws(',', case when contains(lower(u.title), '77') then 'title' end, case when contains(u.kind, 'bill') then 'kind' end, case when m.unit is not null then 'entity' end) as fields
   from v_units u left join (select distinct unit from v_mentions where value = 'NATION_1') m on u.unit = m.unit where contains(lower(u.title), '77') or contains(u.kind, 'bill') or m.unit is not null""")
 def join_search_units(v):
@@ -88,17 +75,6 @@ def join_search_units(v):
     return df.select("unit", "kind", fields.alias("fields")).where("fields <> ''")
 
 
-@_register("""with e as (select unit, string_agg(concat(kind, ':', value), ',' order by ordinal, kind, value) as entities from v_mentions where ordinal <= 2 group by unit),
-  u as (select u.*, coalesce(e.entities, '') as entities from v_units u left join e on u.unit = e.unit) select document, string_agg(concat(unit::varchar, '[', entities, ']'), ';' order by unit) as content, count(*) as units from u group by document""")
-def agg_document_knowledge(v):
-    """Documents with their units, and these with their entities: each child is gathered before its join."""
-    inner = F.array_sort(F.collect_list(F.struct("ordinal", "kind", "value")))
-    e = v("mentions").where("ordinal <= 2").groupBy("unit").agg(F.array_join(F.transform(inner, lambda x: F.concat_ws(":", x["kind"], x["value"])), ",").alias("entities"))
-    u = v("units").select("unit", "document").join(e, "unit", "left")
-    rows = F.array_sort(F.collect_list(F.struct("unit", F.coalesce("entities", F.lit("")).alias("entities"))))
-    return u.groupBy("document").agg(F.array_join(F.transform(rows, lambda x: F.concat(x["unit"].cast("string"), F.lit("["), x["entities"], F.lit("]"))), ";").alias("content"), F.count(F.lit(1)).alias("units"))
-
-
 @_register("select (n_nationkey % 5)::int as canonical, count(distinct n_name) as variants, count(distinct m.document) as documents from nation join v_mentions m on m.kind = 'place' and m.value = n_name group by 1")
 def agg_canonical_summary(v):
     n = v("nation").select((F.col("n_nationkey") % 5).alias("canonical"), F.col("n_name").alias("value"))
@@ -180,14 +156,6 @@ def set_alias_union(v):
     return a.union(v("part").select(F.lower("p_type"))).union(v("nation").select(F.lower("n_name"))).distinct()
 
 
-@_register(f"with p as (select topic, {_TOKENS} as tokens from v_topics where topic < 150) select a.topic as a, b.topic as b, round(len(list_intersect(a.tokens, b.tokens))::double / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) as score from p a join p b on a.topic < b.topic where len(list_intersect(a.tokens, b.tokens)) > 0")
-def set_jaccard(v):
-    p = v("topics").where("topic < 150").withColumn("tokens", fn.tokens(F.col("title")))
-    pairs = topics.shared_pairs(p.select("topic", F.explode("tokens").alias("token")))
-    side = lambda s: p.select(F.col("topic").alias(s), F.col("tokens").alias(f"t{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(fn.jaccard(F.col("ta"), F.col("tb")), 6).alias("score"))
-
-
 @_register(f"select topic, array_to_string(list_sort(list_filter({_TOKENS}, lambda x: x not in ('brand', 'small', 'large'))), ' ') as anchors from v_topics")
 def set_tokens_minus(v):
     kept = F.array_except(fn.tokens(F.col("title")), F.array(F.lit("brand"), F.lit("small"), F.lit("large")))
@@ -208,32 +176,6 @@ def cl_duplicate_titles(v):
     return topics.leaders(pairs.select("a", "b", "score"), t)
 
 
-@_register()
-def cl_probable_typos(v):
-    """Each title's likeliest other spelling, between 0.7 and 0.95 alike, the lighter as the typo."""
-    t = v("topics").groupBy(F.lower("title").alias("title")).agg(F.min("topic").alias("topic"), F.sum("weight").alias("weight"))
-    pairs = fuzzy.title_pairs(t, 0.7).where("score < 0.95")
-    w = t.select("topic", "weight")
-    df = pairs.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b").where("wa <> wb")
-    light = F.col("wa") < F.col("wb")
-    df = df.select(F.when(light, F.col("a")).otherwise(F.col("b")).alias("typo"), F.when(light, F.col("b")).otherwise(F.col("a")).alias("canonical"), "score")
-    return latest.best_per_key(df, ["typo"], [F.desc("score"), F.col("canonical")]).drop("nth")
-
-
-@_register("with c as (select (doc % 4)::int as canonical, value from (select distinct value, length(value) as doc from v_mentions where kind = 'organization')) select canonical, max(value) as display, count(*) as variants from c group by 1")
-def cl_canonical_merge(v):
-    df = v("mentions").where("kind = 'organization'").select("value").distinct()
-    return df.groupBy((F.length("value") % 4).alias("canonical")).agg(F.max("value").alias("display"), F.count(F.lit(1)).alias("variants"))
-
-
-@_register("select scan, min(page) as first_page, count(*) as pages from (select scan, page, case when text like 'Verbale%' then 'minutes' when text like 'Fattura%' then 'bill' else 'other' end as anchor from v_pages) where anchor <> 'other' group by scan, anchor")
-def cl_scan_proposals(v):
-    """Proposals of a scan with the same anchor collapse to the first."""
-    anchor = F.when(F.col("text").startswith("Verbale"), "minutes").when(F.col("text").startswith("Fattura"), "bill").otherwise("other")
-    df = v("pages").withColumn("anchor", anchor).where("anchor <> 'other'")
-    return df.groupBy("scan", "anchor").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("pages")).drop("anchor")
-
-
 @_register("select concat('nation:', context::varchar) as scope, concat('account_', account::varchar) as account_key, category, period, cents, is_total, (cents + 50) // 100 as units from v_facts where cents is not null")
 def prj_accounting_facts(v):
     df = v("facts").where("cents is not null")
@@ -249,12 +191,6 @@ def upsert_topics(v):
     return latest.upsert(old, new.withColumn("step", F.lit(2)), ["topic"], "step").select("topic", "title")
 
 
-@_register("select unit, topic, case when max(confidence) >= 8 then 'assigned' when max(confidence) >= 4 then 'proposed' else 'needs_review' end as decision from v_assignments group by 1, 2")
-def apply_topic_decisions(v):
-    c = F.max("confidence")
-    return v("assignments").groupBy("unit", "topic").agg(F.when(c >= 8, "assigned").when(c >= 4, "proposed").otherwise("needs_review").alias("decision"))
-
-
 @_register("with r as (select topic, case topic % 3 when 0 then 'reject' when 1 then 'merge' else 'approve' end as action from v_topics) select a.unit, case when r.action = 'merge' then a.topic - 1 else a.topic end as topic, count(*) as n from v_assignments a join r on a.topic = r.topic where r.action <> 'reject' group by 1, 2")
 def apply_proposal_reviews(v):
     action = F.when(F.col("topic") % 3 == 0, "reject").when(F.col("topic") % 3 == 1, "merge").otherwise("approve")
@@ -262,46 +198,12 @@ def apply_proposal_reviews(v):
     return df.groupBy("unit", F.when(F.col("action") == "merge", F.col("topic") - 1).otherwise(F.col("topic")).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("select doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9_./-]+', '_', 'g'), '^_+|_+$', '', 'g') as key from documents")
-def fn_entity_normalize(v):
-    key = F.regexp_replace(F.regexp_replace(F.lower(F.left("text", F.lit(40))), "[^a-z0-9_./-]+", "_"), "^_+|_+$", "")
-    return v("documents").select("doc_id", key.alias("key"))
-
-
 @_register("select distinct unit, kind, value, least(greatest(ordinal, 1) + 3, 9) as page from v_mentions where kind = 'place'")
 def fn_entity_pages(v):
     df = v("mentions").where("kind = 'place'")
     return df.select("unit", "kind", "value", F.least(F.greatest("ordinal", F.lit(1)) + 3, F.lit(9)).alias("page")).distinct()
 
 
-@_register("select doc_id, array_to_string(list_slice(list_distinct(list_filter(string_split_regex(lower(left(text, 400)), '[^a-zàéìòù]+'), lambda x: length(x) >= 3))[1:0], 1, 3), ' ') as anchor, len(list_distinct(list_filter(string_split_regex(lower(left(text, 400)), '[^a-zàéìòù]+'), lambda x: length(x) >= 3))) as n_tokens from documents")
-def fn_retrieval_tokens(v):
-    found = F.array_distinct(F.filter(F.split(F.lower(F.left("text", F.lit(400))), "[^a-zàéìòù]+"), lambda t: F.length(t) >= 3))
-    return v("documents").select("doc_id", F.lit("").alias("anchor"), F.size(found).cast("long").alias("n_tokens"))
-
-
-@_register("select topic, case when contains(lower(title), 'widget') then 'parts' when contains(lower(title), 'ring') then 'jewels' when contains(lower(title), 'red') then 'colours' else 'other' end as family from v_topics")
-def fn_topic_family(v):
-    return v("topics").select("topic", _first(F.lower("title"), ("widget", "parts"), ("ring", "jewels"), ("red", "colours"), otherwise="other").alias("family"))
-
-
-@_register("select o_orderkey as unit, case o_orderstatus when 'F' then 'paid' when 'O' then 'unpaid' else 'unknown' end as payment_status, case when o_totalprice > 300000 then 'electricity' when o_totalprice > 100000 then 'gas' else 'water' end as service from orders")
-def fn_payment_status(v):
-    status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "unpaid").otherwise("unknown")
-    price = F.col("o_totalprice")
-    return v("orders").select(F.col("o_orderkey").alias("unit"), status.alias("payment_status"), F.when(price > 300000, "electricity").when(price > 100000, "gas").otherwise("water").alias("service"))
-
-
-@_register("select o_orderkey as unit, o_orderkey::varchar as number, strftime(o_orderdate, '%Y-%m-%d') as due, floor(o_totalprice)::bigint as total from orders")
-def fn_bill_fields(v):
-    """Number, due date and total read from bills written out of the orders."""
-    o = v("orders")
-    bill = F.concat(F.lit("Bolletta n. "), F.col("o_orderkey").cast("string"), F.lit("\nScadenza: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nTotale da pagare € "), F.floor("o_totalprice").cast("string"), F.lit(",00\n"))
-    df = o.select(F.col("o_orderkey").alias("unit"), bill.alias("bill"))
-    number, total = F.regexp_extract("bill", r"(?i)bolletta n\. ([0-9]+)", 1), F.regexp_extract("bill", r"(?i)totale da pagare € ([0-9]+),", 1)
-    return df.select("unit", number.alias("number"), fn.date_it(F.regexp_extract("bill", r"(?i)scadenza: ([0-9/]+)", 1)).alias("due"), total.cast("long").alias("total"))
-
-
 @_register("select event_id, (props::json->>'k')::bigint as k from events")
 def fn_json_paths(v):
     return v("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -44,3 +44,39 @@ def upload_versions(uploads: DataFrame) -> DataFrame:
 
     named = uploads.where("external_id is not null")
     return named.groupBy("external_id").applyInPandasWithState(step, "external_id string, upload long, version long, deduplicated boolean", "last string, version long", "append", "NoTimeout")
+
+
+def merged_status(current: DataFrame | None, jobs: DataFrame) -> DataFrame:
+    """The latest status of each job after some more rows (job, event, ts, status): job, status, ts, event, failures,
+    last_failure. One partial aggregate of the new rows is merged with what was known; the order of batches doesn't count."""
+    order = F.struct("ts", "event")
+    failed = F.col("status") == "failed"
+    new = jobs.groupBy("job").agg(F.max(F.struct("ts", "event", "status")).alias("last"), F.count_if(failed).alias("failures"), F.max(F.when(failed, order)).alias("failure"))
+    if current is not None:
+        old = current.select("job", F.struct("ts", "event", "status").alias("last"), "failures", F.when(F.col("last_failure").isNotNull(), F.struct(F.col("failed_at").alias("ts"), F.col("last_failure").alias("event"))).alias("failure"))
+        new = old.unionByName(new).groupBy("job").agg(F.max("last").alias("last"), F.sum("failures").alias("failures"), F.max("failure").alias("failure"))
+    return new.select("job", "last.status", "last.ts", "last.event", "failures", F.col("failure.event").alias("last_failure"), F.col("failure.ts").alias("failed_at"))
+
+
+def keep_latest_status(jobs: DataFrame, path: str, checkpoint: str):
+    """A stream of jobs kept as a table of latest statuses below ``path``: each batch is merged into a new version of the
+    table; a batch that is run again finds its own version's predecessor, so it counts once. Returns the query."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+        merged_status(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return jobs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def incremental_projection(results: DataFrame, project, path: str, checkpoint: str, key: str = "unit"):
+    """A stream of results: each batch's units are projected by ``project`` and replace those units' rows below ``path``;
+    of several results of a unit in a batch the latest (created, then result_id) counts. Returns the query."""
+    from docspark.operators.latest import latest_per_key
+    from docspark.sources.archive import replace_units
+
+    def step(batch: DataFrame, number: int) -> None:
+        replace_units(project(latest_per_key(batch, [key], ["created", "result_id"])), path, key, batch.select(key).distinct())
+
+    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
