@@ -35,6 +35,21 @@ def _query(f):
     return f
 
 
+#: Equal sets are one node; nodes that share a shingle are compared; components are followed from node to node.
+ORACLE["op1_ngram_jaccard"] = r"""
+with recursive w as (select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+  s as (select id, doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')] else list_sort(list_distinct(list_transform(range(1, len(words) - 1), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2])))) end as items from w),
+  k as (select id, doc_id, len(items) as n, md5(array_to_string(items, chr(10))) as node, items from s),
+  nodes as (select node, min(doc_id) as rep, any_value(n) as n, any_value(items) as items from k where n > 0 group by node),
+  i as (select node, n, unnest(items) as item from nodes),
+  p as (select a.node as x, b.node as y from i a join i b on a.item = b.item and a.node <> b.node group by a.node, b.node, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  r(node, reached) as (select node, node from nodes union select r.node, p.y from r join p on r.reached = p.x),
+  c as (select r.node, min(m.rep) as component_id from r join nodes m on r.reached = m.node group by r.node),
+  d as (select x as node, count(*) as links from p group by x)
+select k.doc_id, k.n::bigint as n_shingles, coalesce(c.component_id, k.doc_id) as component_id, coalesce(d.links, 0)::bigint as links
+from k left join c on k.node = c.node and k.n > 0 left join d on k.node = d.node and k.n > 0"""
+
+
 @_query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
