@@ -92,29 +92,6 @@ def join_fact_scope(v):
     return accounting.first_scope(links, v("units"))
 
 
-@_register("""select context, account, period, case when sum(cents) filter (where not is_total) > 0 then 'filled' else 'empty' end as state, bool_or(is_total) as has_total,
-  least(0.97, round(0.45 + 0.18 * ((max(case when is_total then cents end) is not null)::int + (max(case when not is_total then category end) is not null)::int), 4))::double as confidence from v_facts group by 1, 2, 3""")
-def agg_extraction_confidence(v):
-    g = v("facts").groupBy("context", "account", "period").agg(F.sum(F.when(~F.col("is_total"), F.col("cents"))).alias("s"), F.max("is_total").alias("has_total"), F.max(F.when(F.col("is_total"), F.col("cents"))).alias("t"), F.max(F.when(~F.col("is_total"), F.col("category"))).alias("c"))
-    return g.select("context", "account", "period", F.when(F.col("s") > 0, "filled").otherwise("empty").alias("state"), "has_total", accounting.confidence([F.col("t"), F.col("c")], 0.45, 0.18, 0.97).alias("confidence"))
-
-
-@_register("select c.c_custkey as account from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
-def join_orphans(v):
-    """Accounts without any unit."""
-    return v("customer").join(v("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("account"))
-
-
-@_register("""with c as (select unit, topic, role, max(confidence) as confidence from v_assignments where topic % 4 = 0 group by 1, 2, 3)
-  select f.unit, f.category, case when c.unit is null then 'unmatched' else 'reapplied' end as state, count(*) as n from (select distinct unit, category from v_facts where not is_total) f
-  left join (select distinct unit from c) c on f.unit = c.unit group by 1, 2, 3""")
-def join_corrections(v):
-    """Facts of units with a correction, and those without."""
-    fixed = v("assignments").where("topic % 4 = 0").select("unit", F.lit(True).alias("fixed")).distinct()
-    facts = v("facts").where("not is_total").select("unit", "category").distinct().join(fixed, "unit", "left")
-    return facts.groupBy("unit", "category", F.when(F.col("fixed"), "reapplied").otherwise("unmatched").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- one row per key ------------------------------------------------------------------------------------------------
 
 
@@ -175,11 +152,6 @@ def join_pending_specialist_work(v):
     return v("units").select("unit", "kind").join(done, "unit", "left_anti")
 
 
-@_register("select distinct scan from v_pages p where scan not in (select document from v_detections)")
-def join_new_scans(v):
-    return v("pages").select("scan").distinct().join(v("detections").select(F.col("document").alias("scan")), "scan", "left_anti")
-
-
 @_register("select job, event, ts, status, case when status = 'queued' and ts < timestamp '2024-01-15 00:00:00' then 'queued too long' else 'running too long' end as reason from v_jobs where (status = 'queued' and ts < timestamp '2024-01-15 00:00:00') or (status = 'running' and ts < timestamp '2024-01-15 18:00:00')")
 def st_stale_jobs(v):
     """Jobs that wait or run longer than their time, as of a fixed moment."""
@@ -211,12 +183,6 @@ def join_entity_detail(v):
     return one.agg(F.count_distinct("unit").alias("n_units"), F.array_join(F.slice(F.sort_array(F.collect_set("document")), 1, 5), ",").alias("first_documents"))
 
 
-@_register("""select unit, arg_min(lower(value), (case kind when 'organization' then 0 when 'address' then 1 else 2 end, ordinal, lower(value))) as node from v_mentions group by unit""")
-def win_about_node(v):
-    rank = F.when(F.col("kind") == "organization", 0).when(F.col("kind") == "address", 1).otherwise(2)
-    return v("mentions").groupBy("unit").agg(F.min_by(F.lower("value"), F.struct(rank, "ordinal", F.lower("value"))).alias("node"))
-
-
 @_register("""select kind, regexp_replace(lower(value), '[^a-z0-9]+', '_', 'g') as node, arg_min(value, (unit, ordinal, value)) as label, count(distinct value) as aliases from v_mentions group by 1, 2""")
 def cl_nodes(v):
     node = F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "_").alias("node")
@@ -299,23 +265,6 @@ def agg_topic_summary(v):
     return v("topics").select("topic", "title").join(a, "topic", "left").na.fill(0, ["units", "documents"])
 
 
-@_register("""with c as (select a.topic, u.kind, count(*) as n from (select distinct topic, unit from v_assignments) a join v_units u on a.unit = u.unit group by 1, 2) select topic, kind from (select *, row_number() over (partition by topic order by n desc, kind) as nth from c) where nth = 1""")
-def agg_dominant_identity(v):
-    n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return latest.best_per_key(n, ["topic"], [F.desc("n"), F.col("kind")]).select("topic", "kind")
-
-
-@_register("select t.topic, count(distinct a.unit) as n from v_topics t left join v_assignments a on t.topic = a.topic where t.is_active group by 1 having count(distinct a.unit) <= 20")
-def agg_near_orphans(v):
-    n = v("assignments").groupBy("topic").agg(F.count_distinct("unit").alias("n"))
-    return v("topics").where("is_active").select("topic").join(n, "topic", "left").na.fill(0, ["n"]).where("n <= 20")
-
-
-@_register("select class, title, count(*) as n, min(topic) as first_topic from v_topics group by 1, 2 having count(*) >= 2")
-def agg_shared_axis(v):
-    return v("topics").groupBy("class", "title").agg(F.count(F.lit(1)).alias("n"), F.min("topic").alias("first_topic")).where("n >= 2")
-
-
 @_register("select topic, class, weight, case class when 'PROMO' then 'family' when 'SMALL' then 'entity' when 'LARGE' then 'project' else 'issue' end as topic_kind from v_topics")
 def prj_topic_kind(v):
     kind = F.when(F.col("class") == "PROMO", "family").when(F.col("class") == "SMALL", "entity").when(F.col("class") == "LARGE", "project").otherwise("issue")
@@ -398,12 +347,6 @@ def fn_bounded_text(v):
     return v("documents").select("doc_id", fn.bounded(F.col("text"), 1024).alias("text"))
 
 
-@_register("""select o_orderkey as unit, cast(floor(o_totalprice) as bigint) as whole, concat(lpad(extract(day from o_orderdate)::varchar, 2, '0'), '/', lpad(extract(month from o_orderdate)::varchar, 2, '0'), '/', extract(year from o_orderdate)::varchar) as written, strftime(o_orderdate, '%Y-%m-%d') as iso from orders""")
-def fn_date_it(v):
-    df = v("orders").select(F.col("o_orderkey").alias("unit"), F.floor("o_totalprice").alias("whole"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("written"))
-    return df.withColumn("iso", fn.date_it(F.col("written")))
-
-
 @_register("select c_custkey as account, c_acctbal::double as amount from customer where c_acctbal >= 0")
 def fn_amount_it(v):
     """Balances written the Italian way and read again."""
@@ -423,40 +366,17 @@ def agg_archive_counts(v):
     return out
 
 
-@_register("select 'empty_title' as problem, count(*) as n from v_units where title is null union all select 'double_assignment', count(*) from (select unit, topic, role from v_assignments group by 1, 2, 3 having count(*) > 1) union all select 'orphan_unit', count(*) from v_units u where not exists (select 1 from v_assignments a where a.unit = u.unit)")
-def agg_quality_checks(v):
-    n = F.count(F.lit(1)).alias("n")
-    a = v("assignments")
-    rows = [
-        v("units").where("title is null").agg(n).select(F.lit("empty_title").alias("problem"), "n"),
-        a.groupBy("unit", "topic", "role").agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(n).select(F.lit("double_assignment").alias("problem"), "n"),
-        v("units").join(a, "unit", "left_anti").agg(n).select(F.lit("orphan_unit").alias("problem"), "n"),
-    ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
 @_register("select document, count(*) as units, max(created) as newest, arg_max(kind, (created, unit)) as latest_kind, bool_or(seg_conf < 70 or class_conf < 70) as needs_review from v_units group by 1")
 def agg_document_overview(v):
     return v("units").groupBy("document").agg(F.count(F.lit(1)).alias("units"), F.max("created").alias("newest"), F.max_by("kind", F.struct("created", "unit")).alias("latest_kind"), F.bool_or((F.col("seg_conf") < 70) | (F.col("class_conf") < 70)).alias("needs_review"))
 
 
-@_register("select unit, case when seg_conf < 70 or class_conf < 70 then 'needs_review' else 'auto_accepted' end as review_status from v_units")
-def flt_review_status(v):
-    return v("units").select("unit", F.when((F.col("seg_conf") < 70) | (F.col("class_conf") < 70), "needs_review").otherwise("auto_accepted").alias("review_status"))
-
-
 @_register("select document, round(avg(coalesce(nullif(seg_conf, 0), 0)), 6) as with_nulls, round(avg(nullif(class_conf, 0)), 6) as without_nulls from v_units group by 1")
 def agg_scan_confidence(v):
     null0 = lambda c: F.nullif(F.col(c), F.lit(0))
     return v("units").groupBy("document").agg(F.round(F.avg(F.coalesce(null0("seg_conf"), F.lit(0))), 6).alias("with_nulls"), F.round(F.avg(null0("class_conf")), 6).alias("without_nulls"))
 
 
-@_register("select unit, coalesce(title, concat(kind, ' - document ', document::varchar, ' - ', strftime(created, '%Y-%m'))) as title from v_units")
-def prj_unit_title(v):
-    made = F.concat_ws(" - ", "kind", F.concat(F.lit("document "), F.col("document").cast("string")), F.date_format("created", "yyyy-MM"))
-    return v("units").select("unit", F.coalesce("title", made).alias("title"))
-
-
 _AXES = """axes as (select unit, arg_min(lower(value), (ordinal, value)) filter (where kind = 'organization') as party, arg_min(lower(value), (ordinal, value)) filter (where kind = 'place') as context, arg_min(lower(value), (ordinal, value)) filter (where kind = 'address') as subject from v_mentions group by unit)"""
 
 
@@ -473,13 +393,6 @@ def flt_accounting_statements(v):
     return accounting.period_breakdown(v("facts")).where("status = 'inconsistent_total'").select("context", "account", "period", "n_categories", "n_totals")
 
 
-@_register("select doc_id, (contains(t, 'the'))::int + (contains(t, 'license'))::int + (contains(t, 'que'))::int + (contains(t, 'der'))::int as hits, case when (contains(t, 'the'))::int + (contains(t, 'license'))::int + (contains(t, 'que'))::int + (contains(t, 'der'))::int >= 2 then 'specialist' else 'general' end as route from (select doc_id, lower(text) as t from documents)")
-def flt_specialist_routing(v):
-    t = F.lower("text")
-    hits = sum((t.contains(m).cast("int") for m in ("the", "license", "que", "der")), F.lit(0))
-    return v("documents").select("doc_id", hits.alias("hits"), F.when(hits >= 2, "specialist").otherwise("general").alias("route"))
-
-
 @_register("select unit, topic, confidence, nth from (select unit, topic, confidence, row_number() over (partition by unit order by confidence desc, topic) as nth from (select unit, topic, max(confidence) as confidence from v_assignments group by 1, 2)) where nth <= 3")
 def topk_per_group(v):
     best = v("assignments").groupBy("unit", "topic").agg(F.max("confidence").alias("confidence"))
@@ -505,4 +418,4 @@ def cl_merge_chains(v):
 
 
 # Further parts register themselves in the same tables.
-from docspark import queries_consolidation, queries_more, queries_pages, queries_statements  # noqa: E402, F401
+from docspark import queries_consolidation, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401

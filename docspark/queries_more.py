@@ -18,12 +18,6 @@ def _first(column, *cases: tuple[str, str], otherwise: str):
     return out
 
 
-@_register("select doc_id, case when contains(t, 'license') then 'normative' when contains(t, 'mail') then 'meeting' when contains(t, '555') then 'utility_vendor' when contains(t, ' | ') then 'financial' else 'general' end as family from (select doc_id, lower(text) as t from documents)")
-def flt_pipeline_family(v):
-    cases = [("license", "normative"), ("mail", "meeting"), ("555", "utility_vendor"), (" | ", "financial")]
-    return v("documents").select("doc_id", _first(F.lower("text"), *cases, otherwise="general").alias("family"))
-
-
 @_register("select scan, count(*) >= 2 and sum((length(t) - length(replace(t, 'verbale', ''))) // 7) >= 2 and bool_or(contains(t, 'fattura')) as is_regulation from (select scan, lower(text) as t from v_pages) group by scan")
 def flt_regulation_scan(v):
     t = F.lower("text")
@@ -88,13 +82,6 @@ def _anchors(v) -> DataFrame:
     return topics.anchors(v("assignments").select("unit", "topic").distinct().join(v("mentions").select("unit", "kind", "value").distinct(), "unit"))
 
 
-@_register(f"with {_ANCHOR} select t.topic, concat_ws('|', t.class, max(case when a.kind = 'organization' then lower(a.value) end), max(case when a.kind = 'place' then lower(a.value) end)) as signature from v_topics t left join anchor a on t.topic = a.topic group by t.topic, t.class")
-def agg_topic_signature(v):
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.lower("value")))
-    a = _anchors(v).groupBy("topic").agg(of("organization").alias("o"), of("place").alias("p"))
-    return v("topics").select("topic", "class").join(a, "topic", "left").select("topic", F.concat_ws("|", "class", "o", "p").alias("signature"))
-
-
 @_register(f"with {_ANCHOR} select value as family, count(*) as topics, max_by(t.topic, (t.weight, -t.topic)) as survivor from anchor a join v_topics t on a.topic = t.topic where a.kind = 'address' and t.class = 'PROMO' group by 1")
 def cl_meeting_family(v):
     """Topics of one class by their address anchor; the heaviest survives."""
@@ -110,13 +97,6 @@ def cl_accounting_family(v):
     return m.join(f, "value").select("unit", "topic", F.lit(92).alias("confidence")).distinct()
 
 
-@_register("select t.topic, t.class, k.kind from v_topics t join (select topic, kind from (select a.topic, u.kind, row_number() over (partition by a.topic order by count(*) desc, u.kind) as nth from (select distinct topic, unit from v_assignments) a join v_units u on a.unit = u.unit group by 1, 2) where nth = 1) k on t.topic = k.topic where (t.class = 'PROMO') <> (k.kind = 'letter')")
-def agg_kind_mismatch(v):
-    n = v("assignments").select("topic", "unit").distinct().join(v("units").select("unit", "kind"), "unit").groupBy("topic", "kind").agg(F.count(F.lit(1)).alias("n"))
-    k = latest.best_per_key(n, ["topic"], [F.desc("n"), F.col("kind")]).select("topic", "kind")
-    return v("topics").select("topic", "class").join(k, "topic").where((F.col("class") == "PROMO") != (F.col("kind") == "letter"))
-
-
 @_register("select 'shared_title' as category, count(*) as n from (select class, title from v_topics group by 1, 2 having count(*) >= 2) union all select 'inactive', count(*) from v_topics where not is_active union all select 'light', count(*) from v_topics where weight <= 3")
 def agg_cleanup_summary(v):
     t = v("topics")
