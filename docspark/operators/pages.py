@@ -54,7 +54,7 @@ def segments(bounds: DataFrame) -> DataFrame:
     df = bounds.withColumn("ordinal", F.sum(F.col("boundary").cast("int")).over(w))
     df = df.groupBy("scan", "ordinal").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count(F.lit(1)).alias("n_pages"), F.min_by("score", "page").alias("score"))
     after = F.lead("score").over(Window.partitionBy("scan").orderBy("ordinal"))
-    sure = F.coalesce(F.least(after, F.lit(10)), F.when((F.col("ordinal") == 1) & (F.col("n_pages") == 1), 9).otherwise(8))
+    sure = F.coalesce(F.when(after.isNotNull(), F.least(after, F.lit(10))), F.when((F.col("ordinal") == 1) & (F.col("n_pages") == 1), 9).otherwise(8))
     return df.select("scan", "ordinal", "start_page", "end_page", "n_pages", sure.alias("confidence"))
 
 

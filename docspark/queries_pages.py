@@ -31,7 +31,7 @@ def win_page_boundaries(v):
 
 
 @_register(f"""with {_BOUNDS}, o as (select *, sum((nth = 1 or score >= 6)::int) over (partition by scan order by page) as ordinal from b), g as (select scan, ordinal::bigint as ordinal, min(page) as start_page, max(page) as end_page, count(*) as n_pages, arg_min(score, page) as score from o group by 1, 2)
-  select scan, ordinal, start_page, end_page, n_pages, coalesce(least(lead(score) over (partition by scan order by ordinal), 10), case when ordinal = 1 and n_pages = 1 then 9 else 8 end) as confidence from g""")
+  select scan, ordinal, start_page, end_page, n_pages, coalesce(case when lead(score) over v is not null then least(lead(score) over v, 10) end, case when ordinal = 1 and n_pages = 1 then 9 else 8 end) as confidence from g window v as (partition by scan order by ordinal)""")
 def win_segments(v):
     """Documents of a scan as runs of pages, with how sure each one's end is."""
     return pages.segments(pages.boundaries(v("pages")))
