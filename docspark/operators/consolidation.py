@@ -138,26 +138,38 @@ def _prefixes(profiles: DataFrame, column: str, least: Column) -> DataFrame:
     return df.select("axis", "topic", F.concat(F.lit(column[0]), F.lit(":"), F.col("item").cast("string")).alias("item"))
 
 
-def similar_pairs(profiles: DataFrame, columns: list[str], least: Column) -> DataFrame:
-    """(axis, a, b): topics of one axis, a < b, of which one of the sets in ``columns`` may be alike by ``least``: sets
-    that are share one of their rarest items. Items that everything has join nothing unless a set has nothing else."""
+def similar_pairs(profiles: DataFrame, least: dict[str, Column]) -> DataFrame:
+    """(axis, a, b): topics of one axis, a < b, of which one of the sets named in ``least`` may be alike by that much: sets
+    that are share one of their rarest items. Items that everything has join nothing unless a set has nothing else.
+    More than 1 leaves a set out."""
     items = None
-    for c in columns:
-        one = _prefixes(profiles, c, least)
+    for c, low in least.items():
+        one = _prefixes(profiles, c, low)
         items = one if items is None else items.unionByName(one)
     items = written(items, "rarest-items")
     pairs = items.withColumnRenamed("topic", "a").join(items.withColumnRenamed("topic", "b"), ["axis", "item"]).where("a < b")
     return pairs.select("axis", "a", "b").distinct()
 
 
+def _bounds() -> dict[str, Column]:
+    """How alike one of the sets of a pair must be, at least, for the pair to reach its axis's score: where words and
+    family alone don't reach it, entities or documents must make up the rest."""
+    found: dict[str, list] = {"entities": [], "tokens": [], "documents": []}
+    for name, (e, t, d, f, low) in AXES.items():
+        rest = (low - t - f) / (e + d) if t + f < low else 0.05
+        words = 2.0 if t + f < low else (low - f - rest * (e + d)) / t
+        for column, value in (("entities", rest), ("tokens", words), ("documents", rest)):
+            found[column] += [F.lit(name), F.lit(value)]
+    return {c: F.create_map(*pairs)[F.col("axis")] for c, pairs in found.items()}
+
+
 def merge_suggestions(profiles: DataFrame, k: int = 12) -> DataFrame:
     """The ``k`` best merges of each axis: axis, source, target, score, nth.
 
     ``profiles`` has axis, topic (older ones are smaller), weight, family (or null), entities, tokens, documents (arrays of
-    distinct values). The score sums the Jaccard similarities by the axis's weights. A pair at the threshold has a set
-    alike by threshold over weights at least, so only such pairs are compared."""
-    mixed = [F.lit(x) for name, (e, t, d, f, least) in AXES.items() for x in (name, (least - f) / (e + t + d))]
-    pairs = similar_pairs(profiles, ["entities", "tokens", "documents"], F.create_map(*mixed)[F.col("axis")])
+    distinct values). The score sums the Jaccard similarities by the axis's weights. Only pairs of which a set
+    is alike enough to reach the threshold are compared."""
+    pairs = similar_pairs(profiles, _bounds())
     side = lambda s: profiles.select(F.col("topic").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("weight", "family", "entities", "tokens", "documents")))
     df = pairs.join(side("a"), "a").join(side("b"), "b")
     like = lambda c: jaccard(F.col(f"{c}_a"), F.col(f"{c}_b"))

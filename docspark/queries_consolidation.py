@@ -199,7 +199,7 @@ def secondary_on_shared_docs(v):
 def set_jaccard(v):
     """Pairs of topics of a class whose title words are alike by 0.6 or more, with what they share."""
     p = _topic_tokens(v("topics")).select("topic", F.col("class").alias("axis"), "tokens")
-    pairs = consolidation.similar_pairs(p, ["tokens"], F.lit(0.6))
+    pairs = consolidation.similar_pairs(p, {"tokens": F.lit(0.6)})
     side = lambda s: p.select(F.col("topic").alias(s), F.col("tokens").alias(f"t{s}"))
     df = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("ta", "tb")) * 10 >= F.size(F.array_union("ta", "tb")) * 6)
     return df.select("a", "b", F.round(fn.jaccard(F.col("ta"), F.col("tb")), 6).alias("score"), F.array_join(F.array_sort(F.array_intersect("ta", "tb")), " ").alias("shared"))
