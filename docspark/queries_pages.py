@@ -74,7 +74,7 @@ def cl_probable_typos(v):
     n = v("assignments").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     t = v("topics").select("topic", F.lower("title").alias("title")).groupBy("title").agg(F.min("topic").alias("topic")).join(n, "topic", "left").na.fill(0, ["n"])
     side = lambda s: t.select(F.col("topic").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = fuzzy.title_pairs(t.select("topic", "title"), 0.7).where("score < 0.95").join(side("a"), "a").join(side("b"), "b").where("n_a <> n_b")
-    best = fuzzy.matched(pairs.select("a", "b", "score")).join(side("a"), "a").join(side("b"), "b")
+    pairs = fuzzy.title_pairs(t, 0.7, apart="n").where("score < 0.95")
+    best = fuzzy.matched(pairs).join(side("a"), "a").join(side("b"), "b")
     light = F.col("n_a") < F.col("n_b")
     return best.select(F.when(light, F.col("a")).otherwise(F.col("b")).alias("typo"), F.when(light, F.col("b")).otherwise(F.col("a")).alias("canonical"), "score")

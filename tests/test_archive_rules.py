@@ -139,6 +139,13 @@ def test_patterns_and_matching_against_loops(spark):
     ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
     want = {(i, j, ratio(a, b)) for i, a in titles for j, b in titles if i < j and ratio(a, b) >= 0.7}
     assert {(r.a, r.b, r.score) for r in pairs.collect()} == want and want
+    short = [(100 + i, "".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 14)))) for i in range(150)] + [(300, "aXbcd"), (301, "abYcZd"), (302, ""), (303, "é" * 90), (304, "é" * 80 + "x" * 9)]
+    kinds = {i: i % 3 for i, _ in titles + short}
+    df = spark.createDataFrame([(i, t, kinds[i]) for i, t in titles + short], "topic long, title string, kind int")
+    for least in (0.5, 0.7, 0.9):
+        all_pairs = {(i, j, ratio(a, b)) for i, a in titles + short for j, b in titles + short if i < j and ratio(a, b) >= least}
+        assert {(r.a, r.b, r.score) for r in fuzzy.title_pairs(df, least).collect()} == all_pairs and all_pairs
+        assert {(r.a, r.b, r.score) for r in fuzzy.title_pairs(df, least, apart="kind").collect()} == {x for x in all_pairs if kinds[x[0]] != kinds[x[1]]}
     used, best = set(), set()
     for i, j, s in sorted(want, key=lambda x: (-x[2], x[0], x[1])):
         if not {i, j} & used:
