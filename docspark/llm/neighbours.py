@@ -12,9 +12,11 @@ from pyspark.sql import Window
 
 from docspark.plans.storage import written
 
-#: Vectors of a shard, and queries of a block; each pair of them is one task's work.
-SHARD, BLOCK = 8192, 4096
+#: Vectors of a shard, and queries of a block; each pair of them is one task's work. Queries descend STEP at a time.
+SHARD, BLOCK, STEP = 8192, 4096, 512
 BITS = 64
+#: Parts of a shard that are tried, in this order, until the probes' recall is reached.
+SHARES = [2.0**-i for i in range(7, 0, -1)] + [0.625, 0.75, 0.875]
 
 
 def _usable(v: Column) -> Column:
@@ -64,8 +66,21 @@ class Forest:
                 bits -= 1
             yield q, np.flatnonzero(found)
 
-
-def _searched(k: int, trees: int, share: float, least: int, seed: int):
+    def least(self, k: int, recall: float, probes: int) -> int:
+        """How many candidates a query needs, so that ``probes`` of the vectors find ``recall`` of their k exact nearest."""
+        n = len(self.vectors)
+        asked = self.vectors[:: max(1, n // probes)][:probes]
+        squares = (self.vectors**2).sum(1)
+        exact = [set(np.argsort(squares - 2 * (self.vectors @ x), kind="stable")[: k + 1]) for x in asked]
+        for share in SHARES:
+            low = max(k + 1, math.ceil(share * n))
+            hits = [len(exact[q].intersection(found)) - 1 for q, found in self.candidates(asked, low)]
+            if low >= n or sum(hits) >= recall * sum(len(x) - 1 for x in exact):
+                return low
+        return n
+
+
+def _searched(k: int, trees: int, recall: float, probes: int, seed: int):
     def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
@@ -73,16 +88,19 @@ def _searched(k: int, trees: int, share: float, least: int, seed: int):
             node, asked_node = data["node"].to_numpy(), asked["node"].to_numpy()
             vectors, queries = (np.stack(list(x["embedding"])).astype(np.float64) for x in (data, asked))
             forest = Forest(vectors, trees, seed)
-            for q, found in forest.candidates(queries, min(len(node), max(k, least, math.ceil(share * len(node))))):
-                score = np.sqrt(((vectors[found] - queries[q]) ** 2).sum(1))
-                best = np.lexsort((node[found], score))[:k]
-                out.append(pd.DataFrame({"asked": asked_node[q], "node": node[found][best], "score": score[best]}))
+            least = min(len(node), forest.least(k - 1, recall, probes))
+            for start in range(0, len(queries), STEP):
+                block, ids = queries[start : start + STEP], asked_node[start : start + STEP]
+                for q, found in forest.candidates(block, least):
+                    score = np.sqrt(((vectors[found] - block[q]) ** 2).sum(1))
+                    best = np.lexsort((node[found], score))[:k]
+                    out.append(pd.DataFrame({"asked": ids[q], "node": node[found][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"asked": [], "node": [], "score": []})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16, share: float = 0.6, least: int = 1000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 32, recall: float = 0.97, probes: int = 64, seed: int = 7) -> DataFrame:
     """The ``k`` nearest rows of each query row by Euclidean distance, in double precision.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers); ``is_query`` tells its query rows. Every row is
@@ -93,8 +111,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16,
     group of copies costs k + 1 rows.
 
     Each shard of equal vectors' representatives has a forest of its own; every block of queries visits every shard
-    and brings back its k + 1 nearest candidates there. At least ``share`` of a shard's vectors, and ``least``, are
-    looked at: what the recall costs depends on the data (figures in the README).
+    and brings back its k + 1 nearest candidates there. How many candidates a query ascends to is measured in each shard:
+    as many as ``probes`` of its vectors need to find ``recall`` of their exact k nearest. Clustered vectors need few,
+    vectors without any structure most of the shard (figures in the README); small tables go the same way.
+    An empty table, and one without queries, gives no rows.
     """
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).distinct()
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
@@ -110,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = 16,
     dim = F.size("embedding").alias("dim")
     left = points.select("node", "embedding", dim, deal(shards, "shard").alias("shard"), every(blocks).alias("block"))
     right = asked.select("node", "embedding", dim, every(shards).alias("shard"), deal(blocks, "block").alias("block"))
-    met = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_searched(k + 1, trees, share, least, seed), "asked long, node long, score double")
+    met = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_searched(k + 1, trees, recall, probes, seed), "asked long, node long, score double")
 
     best = F.row_number().over(Window.partitionBy("asked").orderBy("score", "node"))
     met = met.withColumn("nth", best).where(F.col("nth") <= k + 1).select("asked", F.col("node").alias("near"), "score")

@@ -393,6 +393,26 @@ def test_neighbours(spark, sf):
     assert np.mean(share) >= 0.9 and [i for i, _ in got[900_500]] == list(range(900_501, 900_511))
 
 
+def test_neighbours_look_at_a_part(spark):
+    """Recall against brute force on more vectors than a shard holds, and how many of them a query looks at."""
+    random = np.random.default_rng(3)
+    data = np.repeat(random.normal(size=(300, 24)) * 3, 40, axis=0) + random.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    share = []
+    for q in range(0, 12_000, 100):
+        far = ((data - data[q]) ** 2).sum(1)
+        far[q] = np.inf
+        share.append(len(got[q] & set(np.argsort(far, kind="stable")[:10])) / 10)
+    assert len(got) == 120 and np.mean(share) >= 0.9
+    forest = neighbours.Forest(data[::2], 32, 7)
+    assert forest.least(10, 0.97, 64) <= 0.25 * 6000
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(none, F.col("vec_id") % 100 == 0).count() == 0 and neighbours.nearest(df, F.lit(False)).count() == 0
+
+
 def test_licenses(spark, docs, odd, none):
     rows = [(i, "é Foo bar " * 50 + text + " baz qux" * 30) for i, (_, _, text) in enumerate(licenses.TEMPLATES)]
     got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
