@@ -50,6 +50,12 @@ VIEWS = {
     "decisions": """select l_orderkey as unit, l_linenumber as line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as nth,
       case l_linenumber % 4 when 0 then 'assign_existing' when 1 then 'assign_multiple' when 2 then 'propose_new' else 'none' end as decision,
       case l_partkey % 4 when 0 then cast(l_partkey as string) when 1 then replace(p_name, ' ', '-') when 2 then concat('Fattura ', p_name, ' ', p_brand) else concat('nuova-', replace(p_name, ' ', '-')) end as reference from {lineitem} join {part} on l_partkey = p_partkey""",
+    "proposals": """select o_orderkey as proposal, o_orderkey as unit, case when o_orderkey % 3 = 0 then null else p end as topic, concat('Proposta ', p_name) as title,
+      case when o_orderkey % 7 = 0 then concat('nuova-', replace(p_name, ' ', '-')) else named end as slug, cast(o_orderkey % 100 as int) as confidence, o_orderdate as created,
+      case o_orderkey % 8 when 0 then 'merged_into_existing' when 1 then 'rejected' when 2 then 'approved' else 'proposed' end as status from {orders} join (select l_orderkey, min(l_partkey) as p from {lineitem} group by l_orderkey) as l on o_orderkey = l_orderkey
+      join (select p_partkey, p_name, lower(replace(replace(concat(case p_partkey % 9 when 0 then 'Verbale assemblea ' when 1 then 'Fattura ' when 2 then 'Preventivo ' when 3 then 'Regolamento 2023 ' when 4 then 'Estratto conto ' when 5 then 'Contratto ' when 6 then 'Condominio Via Roma ' when 7 then 'Pagamento rata ' else '' end, p_name, ' ', p_brand), ' ', '-'), '#', '-')) as named from {part}) as n on p = p_partkey""",
+    "reviews": """select o_orderkey as proposal, case o_orderkey % 4 when 0 then 'merge_into_existing' when 1 then 'approve_new_topic' when 2 then 'add_secondary_topic' else 'reject' end as action,
+      case when o_orderkey % 6 = 0 then o_orderkey % 50 when o_orderkey % 5 = 0 then -1 end as target, case when o_orderkey % 4 = 2 then 'secondary' else 'subject' end as role from {orders} where o_orderkey % 10 < 7""",
     "uploads": """select doc_id as upload, case when doc_id % 5 = 0 then null else source end as external_id, {SHA} as sha, n_chars as size_bytes from {documents}""",
     "pages": """select conv_id as scan, cast(turn + 1 as int) as page, concat(case turn % 4 when 0 then concat('# Verbale assemblea', chr(10)) when 1 then 'Fattura Preventivo Contratto ' when 2 then concat('SPESE CONDOMINIO', chr(10)) else '' end, text) as text from {conversations}""",
     "jobs": """select user_id as job, event_id as event, ts, case event_type when 'error' then 'failed' when 'click' then 'running' when 'view' then 'queued' when 'signup' then 'queued' else 'succeeded' end as status from {events}""",

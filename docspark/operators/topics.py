@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docspark.functions.text import jaccard
-from docspark.plans.components import components
 from docspark.plans.storage import cut
 
 
@@ -58,11 +57,3 @@ def leaders(pairs: DataFrame, topics: DataFrame) -> DataFrame:
     mine = pairs.join(led.withColumnRenamed("topic", "a"), "a").join(led.withColumnRenamed("topic", "b"), "b", "left_anti")
     best = mine.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("leader"))
     return led.select("topic", F.col("topic").alias("leader")).unionByName(best.select(F.col("b").alias("topic"), "leader"))
-
-
-def applied_merges(assignments: DataFrame, merges: DataFrame) -> DataFrame:
-    """Assignments (unit, topic, role, confidence) moved to the topics that chains of merges (source, target) end in;
-    duplicates keep the greatest confidence."""
-    to = components(merges, "source", "target").toDF("topic", "final")
-    moved = assignments.join(to, "topic", "left").withColumn("topic", F.coalesce("final", "topic"))
-    return moved.groupBy("unit", "topic", "role").agg(F.max("confidence").alias("confidence"))

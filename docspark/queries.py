@@ -283,13 +283,6 @@ def join_topic_profiles(v):
     return _profiles(v).select("axis", "topic", "weight", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
 
 
-@_register("""with r as (select topic, (topic // 10) * 10 as root from v_topics) select unit, final as topic, role, max(confidence) as confidence from (select a.unit, r.root as final, a.role, a.confidence from v_assignments a join r on a.topic = r.topic) group by 1, 2, 3""")
-def cl_apply_merges(v):
-    """Chains of ten topics, each merged into the one before it."""
-    merges = v("topics").where("topic % 10 <> 0").select(F.col("topic").alias("source"), (F.col("topic") - 1).alias("target"))
-    return topics.applied_merges(v("assignments"), merges)
-
-
 @_register()
 def cl_topics_by_class(v):
     """Leader clustering of titles within each class: similar from 0.5 on, oldest first."""
@@ -300,11 +293,6 @@ def cl_topics_by_class(v):
     return topics.leaders(pairs, p)
 
 
-@_register("select class, title, max(weight) as weight, arg_max(topic, (weight, -topic)) as survivor, count(*) as n from v_topics where is_active group by 1, 2")
-def cl_topics_cross_class(v):
-    return v("topics").where("is_active").groupBy("class", "title").agg(F.max("weight").alias("weight"), F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("survivor"), F.count(F.lit(1)).alias("n"))
-
-
 @_register("select topic, title, (case when contains(lower(title), 'green') then 3 else 0 end + case when contains(lower(title), 'ring') then 2 else 0 end) as points from v_topics where contains(lower(title), 'green') or contains(lower(title), 'ring')")
 def join_search_topics(v):
     title = F.lower("title")
@@ -418,4 +406,4 @@ def cl_merge_chains(v):
 
 
 # Further parts register themselves in the same tables.
-from docspark import queries_consolidation, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401
+from docspark import queries_consolidation, queries_merging, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401

@@ -24,14 +24,6 @@ def flt_regulation_scan(v):
     return v("pages").groupBy("scan").agg(((F.count(F.lit(1)) >= 2) & (F.sum(fn.occurrences(t, "verbale")) >= 2) & F.bool_or(t.contains("fattura"))).alias("is_regulation"))
 
 
-@_register("select a.unit, a.topic, a.confidence, u.document from (select unit, topic, max(confidence) as confidence from v_assignments where role = 'secondary' group by 1, 2) a left join v_units u on a.unit = u.unit where a.confidence < 3 order by u.created desc, a.unit, a.topic limit 200")
-def flt_proposals(v):
-    """Weak assignments as pending proposals, newest document first."""
-    a = v("assignments").where("role = 'secondary'").groupBy("unit", "topic").agg(F.max("confidence").alias("confidence")).where("confidence < 3")
-    df = a.join(v("units").select("unit", "document", "created"), "unit", "left")
-    return df.orderBy(F.desc("created"), "unit", "topic").limit(200).select("unit", "topic", "confidence", "document")
-
-
 @_register("""with a as (select unit, bool_or(kind = 'organization') as party, bool_or(kind = 'place' and ordinal > 3) as context, bool_or(kind = 'address' and ordinal > 5) as subject from v_mentions group by unit)
   select unit, concat_ws(',', case when party then 'party' end, case when context then 'context' end, case when subject then 'subject' end) as matched, concat_ws(',', case when not party then 'party' end, case when not context then 'context' end, case when not subject then 'subject' end) as missing from a""")
 def prj_proposal_axes(v):
@@ -82,21 +74,6 @@ def _anchors(v) -> DataFrame:
     return topics.anchors(v("assignments").select("unit", "topic").distinct().join(v("mentions").select("unit", "kind", "value").distinct(), "unit"))
 
 
-@_register(f"with {_ANCHOR} select value as family, count(*) as topics, max_by(t.topic, (t.weight, -t.topic)) as survivor from anchor a join v_topics t on a.topic = t.topic where a.kind = 'address' and t.class = 'PROMO' group by 1")
-def cl_meeting_family(v):
-    """Topics of one class by their address anchor; the heaviest survives."""
-    df = _anchors(v).where("kind = 'address'").join(v("topics").where("class = 'PROMO'"), "topic")
-    return df.groupBy(F.col("value").alias("family")).agg(F.count(F.lit(1)).alias("topics"), F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("survivor"))
-
-
-@_register(f"with {_ANCHOR}, f as (select value, max_by(t.topic, (t.weight, -t.topic)) as topic from anchor a join v_topics t on a.topic = t.topic where a.kind = 'place' group by 1) select distinct u.unit, f.topic, 92 as confidence from v_units u join v_mentions m on u.unit = m.unit and m.kind = 'place' join f on f.value = m.value where u.kind = 'accounting_statement'")
-def cl_accounting_family(v):
-    """Accounting units go to the heaviest topic of their place."""
-    f = _anchors(v).where("kind = 'place'").join(v("topics"), "topic").groupBy("value").agg(F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("topic"))
-    m = v("mentions").where("kind = 'place'").select("unit", "value").join(v("units").where("kind = 'accounting_statement'").select("unit"), "unit", "left_semi")
-    return m.join(f, "value").select("unit", "topic", F.lit(92).alias("confidence")).distinct()
-
-
 @_register("select 'shared_title' as category, count(*) as n from (select class, title from v_topics group by 1, 2 having count(*) >= 2) union all select 'inactive', count(*) from v_topics where not is_active union all select 'light', count(*) from v_topics where weight <= 3")
 def agg_cleanup_summary(v):
     t = v("topics")
@@ -171,13 +148,6 @@ def upsert_topics(v):
     return latest.upsert(old, new.withColumn("step", F.lit(2)), ["topic"], "step").select("topic", "title")
 
 
-@_register("with r as (select topic, case topic % 3 when 0 then 'reject' when 1 then 'merge' else 'approve' end as action from v_topics) select a.unit, case when r.action = 'merge' then a.topic - 1 else a.topic end as topic, count(*) as n from v_assignments a join r on a.topic = r.topic where r.action <> 'reject' group by 1, 2")
-def apply_proposal_reviews(v):
-    action = F.when(F.col("topic") % 3 == 0, "reject").when(F.col("topic") % 3 == 1, "merge").otherwise("approve")
-    df = v("assignments").join(v("topics").select("topic", action.alias("action")), "topic").where("action <> 'reject'")
-    return df.groupBy("unit", F.when(F.col("action") == "merge", F.col("topic") - 1).otherwise(F.col("topic")).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @_register("select distinct unit, kind, value, least(greatest(ordinal, 1) + 3, 9) as page from v_mentions where kind = 'place'")
 def fn_entity_pages(v):
     df = v("mentions").where("kind = 'place'")
