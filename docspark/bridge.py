@@ -50,6 +50,12 @@ VIEWS = {
     "decisions": """select l_orderkey as unit, l_linenumber as line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as nth,
       case l_linenumber % 4 when 0 then 'assign_existing' when 1 then 'assign_multiple' when 2 then 'propose_new' else 'none' end as decision,
       case l_partkey % 4 when 0 then cast(l_partkey as string) when 1 then replace(p_name, ' ', '-') when 2 then concat('Fattura ', p_name, ' ', p_brand) else concat('nuova-', replace(p_name, ' ', '-')) end as reference from {lineitem} join {part} on l_partkey = p_partkey""",
+    # scans of which some are regulations that were split into units of two pages
+    "scan_pages": """select conv_id as scan, cast(turn + 1 as int) as page, case when conv_id % 4 = 0 then 0 when conv_id % 4 = 1 then 90 else cast((conv_id + turn) % 4 * 90 as int) end as rotation,
+      case when conv_id % 6 = 5 then ' ' when conv_id % 3 = 0 then concat('Regolamento art. ', cast(turn as varchar(9)), ' ', text) else text end as text from {conversations}""",
+    "scan_units": """select scan, scan * 100 + part as unit, cast(part + 1 as int) as ordinal, cast(min(turn) + 1 as int) as start_page, cast(max(turn) + 1 as int) as end_page, case when scan % 4 = 3 then null when part % 4 = 0 then 'regolamento_condominiale' when part % 4 = 1 then 'contratto' when scan % 7 = 6 then 'fattura' else 'lettera' end as kind,
+      case when scan % 2 = 0 then concat('Parte ', cast(part as varchar(9))) end as title, case when scan % 3 = 0 then 'Regolamento del condominio, articolo primo' when part = 1 then 'Condominio' else 'Lettera' end as summary
+      from (select conv_id as scan, turn, cast(floor(turn / 2) as bigint) as part from {conversations}) as t group by scan, part""",
     "proposals": """select o_orderkey as proposal, o_orderkey as unit, case when o_orderkey % 3 = 0 then null else p end as topic, concat('Proposta ', p_name) as title,
       case when o_orderkey % 7 = 0 then concat('nuova-', replace(p_name, ' ', '-')) else named end as slug, cast(o_orderkey % 100 as int) as confidence, o_orderdate as created,
       case o_orderkey % 8 when 0 then 'merged_into_existing' when 1 then 'rejected' when 2 then 'approved' else 'proposed' end as status from {orders} join (select l_orderkey, min(l_partkey) as p from {lineitem} group by l_orderkey) as l on o_orderkey = l_orderkey

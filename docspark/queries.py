@@ -196,19 +196,6 @@ def cl_context_groups(v):
     return contexts.context_groups(contexts.document_sets(v("mentions").select(F.lower("value").alias("entity"), "kind", "document")))
 
 
-_PREDICATES = """select unit, 'document_type' as predicate, kind as object from v_units union all select unit, 'status', case when seg_conf < 70 then 'needs_review' else 'auto_accepted' end from v_units union all select unit, 'titled', title from v_units where title is not null"""
-
-
-@_register(_PREDICATES)
-def prj_graph_assertions(v):
-    """Typed assertions of every unit, one scan of the units."""
-    rows = F.array(
-        F.struct(F.lit("document_type").alias("predicate"), F.col("kind").alias("object")),
-        F.struct(F.lit("status").alias("predicate"), F.when(F.col("seg_conf") < 70, "needs_review").otherwise("auto_accepted").alias("object")),
-        F.struct(F.lit("titled").alias("predicate"), F.col("title").alias("object")),
-    )
-    return v("units").select("unit", F.explode(F.filter(rows, lambda r: r["object"].isNotNull())).alias("r")).select("unit", "r.predicate", "r.object")
-
 
 @_register("select kind, value, count(distinct unit) as units from (select kind, value, unit from v_mentions union select 'type', kind, unit from v_units) group by 1, 2")
 def agg_node_summary(v):
@@ -293,13 +280,6 @@ def cl_topics_by_class(v):
     return topics.leaders(pairs, p)
 
 
-@_register("select topic, title, (case when contains(lower(title), 'green') then 3 else 0 end + case when contains(lower(title), 'ring') then 2 else 0 end) as points from v_topics where contains(lower(title), 'green') or contains(lower(title), 'ring')")
-def join_search_topics(v):
-    title = F.lower("title")
-    points = F.when(title.contains("green"), 3).otherwise(0) + F.when(title.contains("ring"), 2).otherwise(0)
-    return v("topics").select("topic", "title", points.alias("points")).where("points > 0")
-
-
 # --- pages and texts -------------------------------------------------------------------------------------------------
 
 
@@ -406,4 +386,4 @@ def cl_merge_chains(v):
 
 
 # Further parts register themselves in the same tables.
-from docspark import queries_consolidation, queries_merging, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401
+from docspark import queries_consolidation, queries_knowledge, queries_merging, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401

@@ -18,21 +18,6 @@ def _first(column, *cases: tuple[str, str], otherwise: str):
     return out
 
 
-@_register("select scan, count(*) >= 2 and sum((length(t) - length(replace(t, 'verbale', ''))) // 7) >= 2 and bool_or(contains(t, 'fattura')) as is_regulation from (select scan, lower(text) as t from v_pages) group by scan")
-def flt_regulation_scan(v):
-    t = F.lower("text")
-    return v("pages").groupBy("scan").agg(((F.count(F.lit(1)) >= 2) & (F.sum(fn.occurrences(t, "verbale")) >= 2) & F.bool_or(t.contains("fattura"))).alias("is_regulation"))
-
-
-@_register("""with a as (select unit, bool_or(kind = 'organization') as party, bool_or(kind = 'place' and ordinal > 3) as context, bool_or(kind = 'address' and ordinal > 5) as subject from v_mentions group by unit)
-  select unit, concat_ws(',', case when party then 'party' end, case when context then 'context' end, case when subject then 'subject' end) as matched, concat_ws(',', case when not party then 'party' end, case when not context then 'context' end, case when not subject then 'subject' end) as missing from a""")
-def prj_proposal_axes(v):
-    has = lambda kind, least: F.bool_or((F.col("kind") == kind) & (F.col("ordinal") > least))
-    df = v("mentions").groupBy("unit").agg(has("organization", 0).alias("party"), has("place", 3).alias("context"), has("address", 5).alias("subject"))
-    axes = ("party", "context", "subject")
-    return df.select("unit", F.concat_ws(",", *(F.when(F.col(a), a) for a in axes)).alias("matched"), F.concat_ws(",", *(F.when(~F.col(a), a) for a in axes)).alias("missing"))
-
-
 @_register("select unit, case when kind = 'utility_bill' then concat(class_conf::varchar, ' EUR') when kind = 'accounting_statement' then concat(strftime(created, '%Y'), ' - ', (extract(year from created) + 1)::varchar) when length(title) <= 1024 then title end as display from v_units")
 def prj_context_key_values(v):
     year = F.year("created")
@@ -41,26 +26,6 @@ def prj_context_key_values(v):
     return v("units").select("unit", F.when(F.col("kind") == "utility_bill", money).when(F.col("kind") == "accounting_statement", span).when(F.length("title") <= 1024, F.col("title")).alias("display"))
 
 
-@_register("""with u as (select scan, 1 as ordinal, min(page) as a, min(page) + 1 as b from v_pages group by scan union all select scan, 2, min(page) + 2, max(page) from v_pages group by scan having max(page) >= min(page) + 2)
-  select u.scan, u.ordinal, count(*) as tables from u join v_pages p on p.scan = u.scan and p.page between u.a and u.b where p.page % 2 = 1 group by 1, 2""")
-def join_tables_to_units(v):
-    """Tables (on odd pages) of the units whose pages cover them: equi on the scan, then the interval."""
-    p = v("pages").select("scan", "page")
-    ends = p.groupBy("scan").agg(F.min("page").alias("a"), F.max("page").alias("b"))
-    one = ends.select("scan", F.lit(1).alias("ordinal"), "a", (F.col("a") + 1).alias("b"))
-    two = ends.where("b >= a + 2").select("scan", F.lit(2).alias("ordinal"), (F.col("a") + 2).alias("a"), "b")
-    return one.unionByName(two).join(p.where("page % 2 = 1"), "scan").where("page between a and b").groupBy("scan", "ordinal").agg(F.count(F.lit(1)).alias("tables"))
-
-
-@_register("""select u.unit, u.kind, concat_ws(',', case when contains(lower(u.title), '77') then 'title' end, case when contains(u.kind, 'bill') then 'kind' end, case when m.unit is not null then 'entity' end) as fields
-  from v_units u left join (select distinct unit from v_mentions where value = 'NATION_1') m on u.unit = m.unit where contains(lower(u.title), '77') or contains(u.kind, 'bill') or m.unit is not null""")
-def join_search_units(v):
-    m = v("mentions").where("value = 'NATION_1'").select("unit", F.lit("entity").alias("entity")).distinct()
-    df = v("units").join(m, "unit", "left")
-    fields = F.concat_ws(",", F.when(F.lower("title").contains("77"), "title"), F.when(F.col("kind").contains("bill"), "kind"), "entity")
-    return df.select("unit", "kind", fields.alias("fields")).where("fields <> ''")
-
-
 @_register("select (n_nationkey % 5)::int as canonical, count(distinct n_name) as variants, count(distinct m.document) as documents from nation join v_mentions m on m.kind = 'place' and m.value = n_name group by 1")
 def agg_canonical_summary(v):
     n = v("nation").select((F.col("n_nationkey") % 5).alias("canonical"), F.col("n_name").alias("value"))
@@ -74,15 +39,6 @@ def _anchors(v) -> DataFrame:
     return topics.anchors(v("assignments").select("unit", "topic").distinct().join(v("mentions").select("unit", "kind", "value").distinct(), "unit"))
 
 
-@_register("select 'shared_title' as category, count(*) as n from (select class, title from v_topics group by 1, 2 having count(*) >= 2) union all select 'inactive', count(*) from v_topics where not is_active union all select 'light', count(*) from v_topics where weight <= 3")
-def agg_cleanup_summary(v):
-    t = v("topics")
-    shared = t.groupBy("class", "title").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
-    named = {"shared_title": shared, "inactive": t.where("not is_active"), "light": t.where("weight <= 3")}
-    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("category"), "n") for name, df in named.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
 @_register("select scan, string_agg(concat('--- Page ', page::varchar, ' ---', chr(10), text), chr(10) order by page) as text from v_pages group by scan")
 def agg_page_text(v):
     rows = F.array_sort(F.collect_list(F.struct("page", "text")))
@@ -90,18 +46,6 @@ def agg_page_text(v):
     return v("pages").groupBy("scan").agg(F.array_join(F.transform(rows, page), "\n").alias("text"))
 
 
-@_register("select document, count(*) as detections, count(distinct rotation) > 1 as mixed, mode_rotation as dominant from (select d.*, m.rotation as mode_rotation from v_detections d join (select document, rotation from (select document, rotation, row_number() over (partition by document order by count(*) desc, rotation) as nth from v_detections group by 1, 2) where nth = 1) m on d.document = m.document) group by document, mode_rotation")
-def agg_preflight_flags(v):
-    n = v("detections").groupBy("document", "rotation").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("document").agg(F.sum("n").alias("detections"), (F.count(F.lit(1)) > 1).alias("mixed"), F.max_by("rotation", F.struct("n", -F.col("rotation"))).alias("dominant"))
-
-
-@_register("select document, arg_max(unit, (case kind when 'regulation' then 4 when 'meeting_minutes' then 3 else 0 end, -unit)) as unit, min(created) as first_day, max(created) as last_day from v_units group by 1")
-def agg_regulation_pick(v):
-    points = F.when(F.col("kind") == "regulation", 4).when(F.col("kind") == "meeting_minutes", 3).otherwise(0)
-    return v("units").groupBy("document").agg(F.max_by("unit", F.struct(points, -F.col("unit"))).alias("unit"), F.min("created").alias("first_day"), F.max("created").alias("last_day"))
-
-
 @_register("select unit, kind, created, row_number() over (partition by kind order by created desc, unit) as nth from v_units qualify nth <= 20")
 def sort_multi_key(v):
     return latest.best_per_key(v("units").select("unit", "kind", "created"), ["kind"], [F.desc("created"), F.col("unit")], 20)
@@ -139,15 +83,6 @@ def prj_accounting_facts(v):
     return df.select(F.concat(F.lit("nation:"), F.col("context").cast("string")).alias("scope"), F.concat(F.lit("account_"), F.col("account").cast("string")).alias("account_key"), "category", "period", "cents", "is_total", F.expr("(cents + 50) div 100").alias("units"))
 
 
-@_register("with n as (select p_partkey as topic, concat('New ', p_name) as title from part where p_partkey % 10 = 0 union all select p_partkey + 1000000, p_name from part where p_partkey < 50) select coalesce(n.topic, t.topic) as topic, coalesce(n.title, t.title) as title from v_topics t full join n on t.topic = n.topic")
-def upsert_topics(v):
-    p = v("part")
-    new = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("topic"), F.concat(F.lit("New "), "p_name").alias("title"))
-    new = new.unionByName(p.where("p_partkey < 50").select((F.col("p_partkey") + 1000000).alias("topic"), F.col("p_name").alias("title")))
-    old = v("topics").select("topic", "title").withColumn("step", F.lit(1))
-    return latest.upsert(old, new.withColumn("step", F.lit(2)), ["topic"], "step").select("topic", "title")
-
-
 @_register("select distinct unit, kind, value, least(greatest(ordinal, 1) + 3, 9) as page from v_mentions where kind = 'place'")
 def fn_entity_pages(v):
     df = v("mentions").where("kind = 'place'")
