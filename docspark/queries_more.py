@@ -4,18 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from docspark.functions import text as fn
 from docspark.operators import fuzzy, latest, topics
-from docspark.queries import _TOKENS, _profiles, _register
-
-
-def _first(column, *cases: tuple[str, str], otherwise: str):
-    out = F.lit(otherwise)
-    for word, value in reversed(cases):
-        out = F.when(column.contains(word), value).otherwise(out)
-    return out
+from docspark.queries import _TOKENS, _register
 
 
 @_register("select unit, case when kind = 'utility_bill' then concat(class_conf::varchar, ' EUR') when kind = 'accounting_statement' then concat(strftime(created, '%Y'), ' - ', (extract(year from created) + 1)::varchar) when length(title) <= 1024 then title end as display from v_units")

@@ -14,10 +14,6 @@ from docspark.queries_more import _ANCHOR, _anchors
 from docspark.queries_statements import _FACTS, _SUMS
 
 
-def _hits(words: list[str]) -> str:
-    return " + ".join(f"(contains(t, '{w}'))::int" for w in words)
-
-
 @_register(f"""with x as (select unit, 'bolletta' as document_type, unit % 2 = 0 as typed, concat('enel bolletta fornitura data di emissione totale bolletta pod energia elettrica ', issuer) as t from v_bills),
   r as (select unit, case when typed then document_type end as kind from x union all select unit, case when unit % 2 = 0 then 'rendiconto_contabile' end from (select distinct unit from v_charges))
   select unit, case when unit in (select unit from v_bills) then 'utility_bill' else 'accounting_statement' end as specialists from r
