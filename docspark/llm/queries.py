@@ -14,6 +14,7 @@ from docspark.llm.ngram_join import ngram_jaccard_join
 from docspark.llm.packing import concatenate_and_cut
 from docspark.llm.pii import KINDS, joined, personal_data
 from docspark.llm.quality import quality_scores
+from docspark.llm.sentencepieces import sentencepiece_decode, sentencepiece_encode
 from docspark.llm.url_filter import url_verdicts
 
 QUERIES: dict = {}
@@ -105,3 +106,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_bytes is where the last span ends: the bytes of the text, if spans cover it whole."""
+    path = _vocabulary("piece_bpe_32k.model")
+    done = sentencepiece_decode(sentencepiece_encode(_table(spark, sf_dir, "documents"), path), path)
+    n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return done.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("bounds", -1).cast("long").alias("n_bytes"))
