@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Chunks whose ids a Python worker keeps; emptied beyond, which changes time only.
 KEPT = 700_000
+NEVER = float("inf")
 #: Characters of a text that are cut into chunks at a time.
 BLOCK = 1 << 20
 
@@ -124,6 +125,7 @@ class Pieces:
         self.normalise = Normaliser(compiled_rules(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces)
         self.strip = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
+        self.coded = {s: i << 32 | len(s) for s, i in self.id_of.items()}
         self.cost = {p.piece: -p.score for p in proto.pieces if p.type == kinds.NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE} if trainer.byte_fallback else {}
         self.bytes_at = {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -132,25 +134,35 @@ class Pieces:
         self.surface |= {i: s.replace(SPACE, " ").encode() for s, i in self.id_of.items()} | self.bytes_at | {self.unknown: trainer.unk_surface.encode()}
         self.leading = {i for s, i in self.id_of.items() if s.startswith(SPACE)}
         self.silent = {i for i, b in self.surface.items() if not b and i not in self.bytes_at}
-        # No piece has a space after another character: then no merge crosses such a border.
-        within = any(re.search(f"[^{SPACE}]{SPACE}", s) for s in self.id_of)
-        self.chunks = (lambda s: [s]) if within else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        # Where no piece holds two neighbours of some kinds, no merge crosses their border and texts are cut there.
+        numbers = "".join(sorted({c for s in self.id_of for c in s if c.isalnum() and not c.isalpha()}))
+        letter, other = rf"[^\W\d_{numbers}]", rf"(?:[\d_{numbers}]|[^\w{SPACE}])"
+        holds = lambda *borders: any(re.search("|".join(borders), s) for s in self.id_of)
+        if holds(f"[^{SPACE}]{SPACE}"):
+            self.chunks = lambda s: [s]
+        elif holds(letter + other, other + letter):
+            self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        else:
+            self.chunks = re.compile(f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+").findall
         self.kept: dict[str, bytes] = {}
 
     def _merged(self, chunk: str) -> list[str]:
         """Symbols after all merges: cheapest first, of equal ones the leftmost."""
-        symbols, cost, never = list(chunk), self.cost, float("inf")
-        if len(symbols) > 100:
-            return self._merged_by_queue(symbols)
-        costs = [cost.get(a + b, never) for a, b in zip(symbols, symbols[1:])]
-        while costs and (least := min(costs)) < never:
+        if len(chunk) > 100:
+            return self._merged_by_queue(list(chunk))
+        symbols, cost, never = list(chunk), self.cost.get, NEVER
+        costs = [cost(a + b, never) for a, b in itertools.pairwise(chunk)]
+        while costs:
+            least = min(costs)
+            if least == never:
+                break
             i = costs.index(least)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            one = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del costs[i]
             if i:
-                costs[i - 1] = cost.get(symbols[i - 1] + symbols[i], never)
+                costs[i - 1] = cost(symbols[i - 1] + one, never)
             if i < len(costs):
-                costs[i] = cost.get(symbols[i] + symbols[i + 1], never)
+                costs[i] = cost(one + symbols[i + 1], never)
         return symbols
 
     def _merged_by_queue(self, symbols: list[str]) -> list[str]:
@@ -174,8 +186,13 @@ class Pieces:
 
     def _encoded(self, chunk: str) -> bytes:
         """Ids of a chunk (upper halves) and how many of its characters each covers; of a character in bytes the last one covers it."""
+        symbols = self._merged(chunk)
+        try:
+            return array("Q", [self.coded[s] for s in symbols]).tobytes()
+        except KeyError:
+            pass
         ids, sizes = [], []
-        for symbol in self._merged(chunk):
+        for symbol in symbols:
             known = self.id_of.get(symbol)
             if known is None and self.byte_ids:
                 some = [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
