@@ -20,7 +20,7 @@ from docspark.llm.hashing import mix
 from docspark.plans.storage import small, written
 
 #: Bytes of text sorted at a time (a longer text is one block), and counts a task holds before it sends or merges them.
-BLOCK, HELD = 1 << 24, 1 << 22
+BLOCK, HELD = 1 << 23, 1 << 21
 #: Slices of so many pointers are sorted as they are.
 SMALL = 1 << 15
 #: Terms of a tile, and sources of a block, in which pairs of sources are compared.
@@ -306,7 +306,7 @@ def source_counts(docs: DataFrame, least: int = 3) -> DataFrame:
     return dealt.mapInArrow(_kept(least), "lang string, source string, term string, n long, total long")
 
 
-def _compared(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums over a tile's terms for every two sources of two blocks. Rows without a term give a source's p of terms that it lacks."""
     lang, _, first, second = key
     bare = rows[rows.term.isna()].drop_duplicates("pos").sort_values("pos")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks whose ids a Python worker keeps; emptied beyond, which changes time only.
-KEPT = 700_000
+KEPT = 450_000
 NEVER = float("inf")
 #: Characters of a text that are cut into chunks at a time.
 BLOCK = 1 << 20
