@@ -130,7 +130,9 @@ def with_views(sql: str) -> str:
         if re.search(rf"\bv_{name}\b", sql):
             text = text.replace("{SHA}", "sha256(text)").replace("cast(o_orderkey as string)", "cast(o_orderkey as varchar)")
             made.append(f"v_{name} as ({re.sub(r'{(\w+)}', r'\1', text)})")
-    sql = sql.strip()
+    sql, word = sql.strip(), "with "
     if not made:
         return sql
-    return "with " + ", ".join(made) + (", " + sql[5:] if sql.lower().startswith("with ") else " " + sql)
+    if sql.lower().startswith("with recursive "):
+        sql, word = "with " + sql[len("with recursive ") :], "with recursive "
+    return word + ", ".join(made) + (", " + sql[5:] if sql.lower().startswith("with ") else " " + sql)

@@ -6,7 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in titles, and words that mark a language.
-STOP = ["the", "and", "of", "a", "to", "in", "for", "del", "della", "di", "per", "con"]
+STOP = [
+    "gen", "feb", "mar", "apr", "mag", "giu", "lug", "ago", "set", "ott", "nov", "dic", "january", "february", "march", "april", "may", "june", "july", "august",
+    "september", "october", "november", "december", "from", "invoice", "fattura", "bill", "bolletta", "receipt", "receipts", "payment", "payments", "statement",
+    "statements", "accounting", "record", "records", "estratto", "conto", "estimate", "preventivo", "quote", "quotations", "construction", "works", "work", "cost",
+    "spese", "riparto", "consuntivo", "rendiconto", "final", "ordinary", "management", "for", "the", "and", "del", "della", "delle", "dei", "di", "comune", "condominio",
+    "condominium", "building", "permit", "administrative", "administration", "administrator", "amministrazione", "amministratore", "declaration", "communication",
+    "corrispondenza", "correspondence", "notice", "notification", "privacy", "data", "protection", "compliance", "maintenance", "relationship", "issue", "financial",
+    "period", "balance", "budget", "utility", "utilities", "electricity", "water", "gas", "natural", "general", "matter", "case", "file", "document", "documents",
+    "contract", "supply", "service", "services", "protocols", "guarantees", "tariffe", "tariff", "tariffs", "conditions", "schedule", "online", "access", "activation",
+    "updates", "tax", "tarsu", "ici", "rai", "license", "licence", "property", "registration", "cadastral", "catasto", "catasti", "spa", "srl", "snc", "ltd",
+]
 MARKS = {"it": [" il ", " di ", " che ", " della "], "en": [" the ", " of ", " and ", " is "]}
 ACCENTS = "àèéìòù"
 
@@ -67,17 +77,36 @@ def date_it(x: Column) -> Column:
 
 
 #: Words in titles that tell a family of documents; the first that a title holds counts.
-FAMILIES = [
-    *(("regolamento", "regulation"), ("regulations", "regulation"), ("assemblea", "assembly"), ("assembly", "assembly"), ("verbale", "minutes"), ("minutes", "minutes")),
-    *(("preventivo", "quote"), ("quote", "quote"), ("fattura", "invoice"), ("invoice", "invoice"), ("bolletta", "invoice"), ("statement", "statement"), ("estratto", "statement")),
-    *(("contract", "contract"), ("contratto", "contract"), ("privacy", "privacy"), ("catasto", "cadastre"), ("cadastral", "cadastre"), ("tax", "tax"), ("tarsu", "tax"), ("ici", "tax"), ("rai", "tax")),
-]
+FAMILIES = {
+    "regolamento": "regulation",
+    "regulations": "regulation",
+    "assemblea": "assembly",
+    "assembly": "assembly",
+    "verbale": "minutes",
+    "minutes": "minutes",
+    "preventivo": "quote",
+    "quote": "quote",
+    "fattura": "invoice",
+    "invoice": "invoice",
+    "bolletta": "invoice",
+    "statement": "statement",
+    "estratto": "statement",
+    "contract": "contract",
+    "contratto": "contract",
+    "privacy": "privacy",
+    "catasto": "cadastre",
+    "cadastral": "cadastre",
+    "tax": "tax",
+    "tarsu": "tax",
+    "ici": "tax",
+    "rai": "tax",
+}
 
 
 def family(title: Column) -> Column:
     """Family of documents that a title names, else null."""
     low = F.lower(title)
     out = F.lit(None).cast("string")
-    for word, name in reversed(FAMILIES):
+    for word, name in reversed(FAMILIES.items()):
         out = F.when(low.contains(word), name).otherwise(out)
     return out

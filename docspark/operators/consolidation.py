@@ -13,9 +13,34 @@ from docspark.plans.storage import cut, written
 #: Words without meaning in titles, words every building's papers share, and words for streets.
 STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "been", "di", "la", "il", "lo", "le", "i", "un", "una", "del", "della", "e", "o", "ma", "se", "per", "con", "su", "in", "a", "da"]
 GENERIC = [
-    *("amministrazione", "assemblea", "bilancio", "case", "condominio", "consuntivo", "contabile", "documento", "documents", "edificio"),
-    *("fascicolo", "file", "finanziario", "fiscal", "financial", "for", "gestione", "ordinaria", "period", "periodo", "preventivo"),
-    *("rendiconto", "riparto", "scandicci", "spese", "straordinaria", "verbale", "year"),
+    "amministrazione",
+    "assemblea",
+    "bilancio",
+    "case",
+    "condominio",
+    "consuntivo",
+    "contabile",
+    "documento",
+    "documents",
+    "edificio",
+    "fascicolo",
+    "file",
+    "finanziario",
+    "fiscal",
+    "financial",
+    "for",
+    "gestione",
+    "ordinaria",
+    "period",
+    "periodo",
+    "preventivo",
+    "rendiconto",
+    "riparto",
+    "scandicci",
+    "spese",
+    "straordinaria",
+    "verbale",
+    "year",
 ]
 STREETS = ["via", "viale", "piazza", "corso", "largo", "vicolo", "strada", "localita", "località"]
 #: How well a kind of document fits a class of topics, in tenths.

@@ -222,7 +222,8 @@ def agg_context_summary(v):
 # --- topics ----------------------------------------------------------------------------------------------------------
 
 
-_TOKENS = "list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3 and not regexp_full_match(x, '[0-9]+') and x not in ('the', 'and', 'of', 'a', 'to', 'in', 'for', 'del', 'della', 'di', 'per', 'con')))"
+_STOP = ", ".join(f"'{w}'" for w in fn.STOP)
+_TOKENS = f"list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 3 and not regexp_full_match(x, '[0-9]+') and x not in ({_STOP})))"
 
 
 def _topic_tokens(df: DataFrame) -> DataFrame:
@@ -270,16 +271,6 @@ def join_topic_profiles(v):
     return _profiles(v).select("axis", "topic", "weight", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
 
 
-@_register()
-def cl_topics_by_class(v):
-    """Leader clustering of titles within each class: similar from 0.5 on, oldest first."""
-    p = _profiles(v)
-    items = p.select("topic", F.explode("tokens").alias("token"), "axis").select("topic", F.concat_ws("|", "axis", "token").alias("token"))
-    side = lambda s: p.select(F.col("topic").alias(s), F.col("tokens").alias(f"tokens_{s}"))
-    pairs = topics.shared_pairs(items).join(side("a"), "a").join(side("b"), "b").withColumn("score", fn.jaccard(F.col("tokens_a"), F.col("tokens_b"))).where("score >= 0.5")
-    return topics.leaders(pairs, p)
-
-
 # --- pages and texts -------------------------------------------------------------------------------------------------
 
 
@@ -386,4 +377,4 @@ def cl_merge_chains(v):
 
 
 # Further parts register themselves in the same tables.
-from docspark import queries_consolidation, queries_knowledge, queries_merging, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401
+from docspark import queries_clustering, queries_consolidation, queries_knowledge, queries_merging, queries_more, queries_pages, queries_rules, queries_statements  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import bridge
 from docspark.functions import text as fn
 from docspark.operators import bills, consolidation, contexts
-from docspark.queries import _register, _topic_tokens, _TOKENS
+from docspark.queries import _register, _topic_tokens, _STOP as _TITLE_STOP, _TOKENS
 
 # --- bills -----------------------------------------------------------------------------------------------------------
 
@@ -76,14 +76,14 @@ def fn_retrieval_tokens(v):
     return v("documents").select("doc_id", F.size(consolidation.retrieval_tokens(text)).cast("long").alias("n_tokens"), F.array_join(F.slice(F.array_sort(consolidation.anchor_tokens(text)), 1, 3), "_").alias("anchor"))
 
 
-@_register("""select distinct value, array_to_string(list_distinct_in_order[1:3], '_') as anchor from (select value, list_filter(w, lambda x, i: list_position(w, x) = i) as list_distinct_in_order from (select value, list_filter(string_split_regex(lower(value), '[^a-z0-9]+'), lambda x: length(x) >= 3 and not regexp_full_match(x, '[0-9]+') and x not in ('the', 'and', 'of', 'a', 'to', 'in', 'for', 'del', 'della', 'di', 'per', 'con')) as w from (select value from v_mentions union select title from v_topics)))""")
+@_register(f"""select distinct value, array_to_string(list_distinct_in_order[1:3], '_') as anchor from (select value, list_filter(w, lambda x, i: list_position(w, x) = i) as list_distinct_in_order from (select value, list_filter(string_split_regex(lower(value), '[^a-z0-9]+'), lambda x: length(x) >= 3 and not regexp_full_match(x, '[0-9]+') and x not in ({_TITLE_STOP})) as w from (select value from v_mentions union select title from v_topics)))""")
 def fn_anchor_value(v):
     """The words of a value by which entities are told apart."""
     values = v("mentions").select("value").union(v("topics").select("title")).distinct()
     return values.select("value", consolidation.anchor_value(F.col("value"), fn.STOP).alias("anchor"))
 
 
-_FAMILY = "case " + " ".join(f"when contains(lower(title), '{w}') then '{f}'" for w, f in fn.FAMILIES) + " end"
+_FAMILY = "case " + " ".join(f"when contains(lower(title), '{w}') then '{f}'" for w, f in fn.FAMILIES.items()) + " end"
 
 
 @_register(f"select topic, title, {_FAMILY} as family from v_topics")

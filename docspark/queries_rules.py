@@ -42,10 +42,13 @@ def _named_anchors(v) -> DataFrame:
     return _anchors(v).groupBy("topic").agg(of("address", "address"), of("organization", "organization"), F.lit(None).cast("string").alias("person"), of("place", "place"))
 
 
-@_register(f"""with {_ANCHOR}, a as (select topic, max(case when kind = 'address' then lower(value) end) as ad, max(case when kind = 'organization' then lower(value) end) as org, max(case when kind = 'place' then lower(value) end) as pl from anchor group by 1),
-  x as (select t.topic, t.topic_class, {_FAMILY} as family, {_TOKENS} as tokens, ad, org, pl, case t.topic_class when 'vendor_relationship' then org else coalesce(ad, org, pl) end as first from v_topics t left join a on t.topic = a.topic)
-  select topic, case when first is null then concat_ws('|', PREFIX, array_to_string(list_sort(tokens)[1:3], '|')) when topic_class = 'vendor_relationship' then concat_ws('|', PREFIX, first, coalesce(ad, pl), family) when topic_class = 'general_administration' then concat_ws('|', PREFIX, first, case when org <> first then org end, family)
-    when topic_class = 'meeting' then concat_ws('|', PREFIX, first, 'assembly') else concat_ws('|', PREFIX, first, family) end as signature from x""".replace("PREFIX", "case topic_class when 'financial_period' then 'financial' when 'general_administration' then 'general' when 'vendor_relationship' then 'vendor' when 'meeting' then 'meeting' when 'legal_matter' then 'legal' when 'building_issue' then 'building' else topic_class end"))
+_SIGNED = f"""{_ANCHOR}, a as (select topic, max(case when kind = 'address' then lower(value) end) as ad, max(case when kind = 'organization' then lower(value) end) as org, max(case when kind = 'place' then lower(value) end) as pl from anchor group by 1),
+  x as (select t.topic, t.topic_class, {_FAMILY} as family, {_TOKENS} as tokens, ad, org, pl, case t.topic_class when 'vendor_relationship' then org else coalesce(ad, org, pl) end as first from v_topics t left join a on t.topic = a.topic),
+  signed as (select topic, case when first is null then concat_ws('|', PREFIX, array_to_string(list_sort(tokens)[1:3], '|')) when topic_class = 'vendor_relationship' then concat_ws('|', PREFIX, first, coalesce(ad, pl), family) when topic_class = 'general_administration' then concat_ws('|', PREFIX, first, case when org <> first then org end, family)
+    when topic_class = 'meeting' then concat_ws('|', PREFIX, first, 'assembly') else concat_ws('|', PREFIX, first, family) end as signature, topic_class, tokens from x)""".replace("PREFIX", "case topic_class when 'financial_period' then 'financial' when 'general_administration' then 'general' when 'vendor_relationship' then 'vendor' when 'meeting' then 'meeting' when 'legal_matter' then 'legal' when 'building_issue' then 'building' else topic_class end")
+
+
+@_register(f"with {_SIGNED} select topic, signature from signed")
 def agg_topic_signature(v):
     """What each topic goes by: its class, the anchors its class prefers, its family; else words of its title."""
     t = _topic_tokens(v("topics")).select("topic", "topic_class", "title", "tokens")
