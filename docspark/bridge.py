@@ -56,6 +56,11 @@ VIEWS = {
     "scan_units": """select scan, scan * 100 + part as unit, cast(part + 1 as int) as ordinal, cast(min(turn) + 1 as int) as start_page, cast(max(turn) + 1 as int) as end_page, case when scan % 4 = 3 then null when part % 4 = 0 then 'regolamento_condominiale' when part % 4 = 1 then 'contratto' when scan % 7 = 6 then 'fattura' else 'lettera' end as kind,
       case when scan % 2 = 0 then concat('Parte ', cast(part as varchar(9))) end as title, case when scan % 3 = 0 then 'Regolamento del condominio, articolo primo' when part = 1 then 'Condominio' else 'Lettera' end as summary
       from (select conv_id as scan, turn, cast(floor(turn / 2) as bigint) as part from {conversations}) as t group by scan, part""",
+    # a unit for every page and up to three after it, so that units overlap and some end behind their scan
+    "scan_parts": """select conv_id as scan, conv_id * 1000 + turn as unit, cast(turn + 1 as int) as start_page, cast(turn + 1 + (conv_id + turn) % 4 as int) as end_page from {conversations}""",
+    # whole texts of scans, two lines a page; some without text or pages
+    "scan_results": """select scan, case when scan % 9 = 8 then null when scan % 9 = 7 then '' else {JOINED} end as markdown, cast(case when scan % 11 = 10 then 0 else max(page) end as int) as page_count
+      from (select conv_id as scan, turn + 1 as page, concat(role, chr(10), text) as line from {conversations}) as t group by scan""",
     "proposals": """select o_orderkey as proposal, o_orderkey as unit, case when o_orderkey % 3 = 0 then null else p end as topic, concat('Proposta ', p_name) as title,
       case when o_orderkey % 7 = 0 then concat('nuova-', replace(p_name, ' ', '-')) else named end as slug, cast(o_orderkey % 100 as int) as confidence, o_orderdate as created,
       case o_orderkey % 8 when 0 then 'merged_into_existing' when 1 then 'rejected' when 2 then 'approved' else 'proposed' end as status from {orders} join (select l_orderkey, min(l_partkey) as p from {lineitem} group by l_orderkey) as l on o_orderkey = l_orderkey
@@ -118,7 +123,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return statements(view(spark, sf_dir, "charges"))
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql.replace("{SHA}", "sha2(text, 256)"), **used)
+    sql = sql.replace("{SHA}", "sha2(text, 256)").replace("{JOINED}", "array_join(transform(array_sort(collect_list(struct(page, line))), x -> x.line), chr(10))")
+    return spark.sql(sql, **used)
 
 
 def with_views(sql: str) -> str:
@@ -128,7 +134,7 @@ def with_views(sql: str) -> str:
     made = []
     for name, text in VIEWS.items():
         if re.search(rf"\bv_{name}\b", sql):
-            text = text.replace("{SHA}", "sha256(text)").replace("cast(o_orderkey as string)", "cast(o_orderkey as varchar)")
+            text = text.replace("{SHA}", "sha256(text)").replace("{JOINED}", "string_agg(line, chr(10) order by page, line)").replace("cast(o_orderkey as string)", "cast(o_orderkey as varchar)")
             made.append(f"v_{name} as ({re.sub(r'{(\w+)}', r'\1', text)})")
     sql, word = sql.strip(), "with "
     if not made:

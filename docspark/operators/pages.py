@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docspark.operators.intervals import points_within
+from docspark.plans.storage import written
 
 #: Patterns that a new document begins with, words that pages are compared by, and words in headings that
 #: mark a new document.
@@ -88,12 +90,32 @@ def layout_elements(pages: DataFrame) -> DataFrame:
     return df.select("scan", "page", (F.col("nth") + 1).alias("nth"), "type", ordinal.alias("ordinal"), made.alias("id"), text.alias("text"), *(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-def unit_text(units: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text of each unit's pages in order, where all of them have text; null else."""
-    met = units.join(pages, "scan").where("page between start_page and end_page")
-    full = met.where("trim(text) <> ''").groupBy("scan", "ordinal").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"), F.count_distinct("page").alias("n"))
-    text = F.when(F.col("n") == F.col("end_page") - F.col("start_page") + 1, F.array_join(F.transform("pages", lambda p: p["text"]), "\n"))
-    return units.join(full, ["scan", "ordinal"], "left").select("scan", "ordinal", text.alias("text"))
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def unit_text(units: DataFrame, pages: DataFrame, results: DataFrame) -> DataFrame:
+    """(scan, unit, text): the unit's pages in order where each of them has text; else its share of the scan's lines.
+
+    ``units`` has scan, unit, start_page, end_page (they may overlap); ``pages`` scan, page, markdown, text; ``results`` scan, markdown,
+    page_count. A page's markdown counts before its text. Without all pages, a unit gets the lines that fall to its pages
+    if all pages of the scan had equally many; without markdown or pages the empty text. Pages and lines meet units in bins."""
+    said = stripped(F.coalesce(F.nullif("markdown", F.lit("")), F.coalesce("text", F.lit(""))))
+    shown = pages.select("scan", "page", said.alias("said")).where("said <> ''")
+    spans = units.select("scan", "unit", "start_page", "end_page")
+    met = points_within(shown, spans, "scan", "page", "start_page", "end_page")
+    full = met.groupBy("scan", "unit").agg(F.array_sort(F.collect_list(F.struct("page", "said"))).alias("own"), F.count_distinct("page").alias("n"))
+    full = full.join(spans, ["scan", "unit"]).where("n = end_page - start_page + 1")
+    full = written(full.select("scan", "unit", stripped(F.array_join(F.transform("own", lambda p: p["said"]), "\n")).alias("text")), "unit-texts")
+    rest = spans.join(full, ["scan", "unit"], "left_anti")
+    usable = results.where("markdown <> '' and page_count > 0").join(rest.select("scan").distinct(), "scan", "left_semi")
+    lines = usable.select("scan", F.split("markdown", "\n").alias("lines"), "page_count").withColumn("each", F.greatest(F.lit(1), F.floor(F.size("lines") / F.col("page_count"))))
+    each = lines.select("scan", "each")
+    lines = lines.select("scan", F.posexplode("lines").alias("line", "said"))
+    shares = rest.join(each, "scan").select("scan", "unit", ((F.col("start_page") - 1) * F.col("each")).alias("first"), (F.col("end_page") * F.col("each") - 1).alias("last"))
+    cut_out = points_within(lines, shares, "scan", "line", "first", "last").groupBy("scan", "unit").agg(F.array_sort(F.collect_list(F.struct("line", "said"))).alias("own"))
+    cut_out = cut_out.select("scan", "unit", stripped(F.array_join(F.transform("own", lambda p: p["said"]), "\n")).alias("text"))
+    return full.unionByName(rest.select("scan", "unit").join(cut_out, ["scan", "unit"], "left").select("scan", "unit", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def noise(pages: DataFrame, k: int = 3, least: int = 35) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.text import occurrences
+from docspark.operators.intervals import points_within
 
 HEAVY, SAMPLED = 400_000, 4
 #: Types that the units of one regulation may have been given.
@@ -67,10 +68,12 @@ def regulation_collapsed(units: DataFrame, entities: DataFrame, proposals: DataF
 
 
 def tables_of_units(tables: DataFrame, units: DataFrame) -> DataFrame:
-    """(unit, table): a table belongs to the units of its scan that cover its page; without one, any of its known places;
-    without those, all of them. ``tables`` has scan, table, page (or null), places (array of pages, or null)."""
-    a, b = F.col("start_page"), F.col("end_page")
-    places = F.filter("places", lambda p: p.isNotNull())
-    unknown = F.coalesce(F.size(places) == 0, F.lit(True))
-    covers = F.coalesce(F.col("page").between(a, b), unknown | F.exists(places, lambda p: (p >= a) & (p <= b)))
-    return tables.join(units.select("scan", "unit", "start_page", "end_page"), "scan").where(covers).select("unit", "table")
+    """(unit, table), each pair once: a table belongs to the units of its scan that cover its page; without one, any of its
+    known places; without those, all of them. ``tables`` has scan, table, page (or null), places (array of pages, or null)."""
+    spans = units.select("scan", "unit", "start_page", "end_page")
+    places = F.array_distinct(F.filter("places", lambda p: p.isNotNull()))
+    known = F.when(F.col("page").isNotNull(), F.array("page")).otherwise(F.coalesce(places, F.array().cast("array<int>")))
+    tables = tables.select("scan", "table", known.alias("known"))
+    placed = tables.select("scan", "table", F.explode("known").alias("place"))
+    there = points_within(placed, spans, "scan", "place", "start_page", "end_page").select("unit", "table").distinct()
+    return there.unionByName(tables.where(F.size("known") == 0).join(spans, "scan").select("unit", "table"))

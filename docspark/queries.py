@@ -274,10 +274,18 @@ def join_topic_profiles(v):
 # --- pages and texts -------------------------------------------------------------------------------------------------
 
 
-@_register("select scan, 1 as ordinal, case when count(*) filter (where trim(text) <> '') = max(page) - min(page) + 1 then string_agg(text, chr(10) order by page) end as text from v_pages group by scan")
+_STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@_register(f"""with shown as (select scan, page, {_STRIP('text')} as said from v_scan_pages where {_STRIP('text')} <> ''),
+  own as (select u.scan, u.unit, {_STRIP("string_agg(s.said, chr(10) order by s.page, s.said)")} as text, count(distinct s.page) as n from v_scan_parts u join shown s on s.scan = u.scan and s.page between u.start_page and u.end_page group by 1, 2),
+  r as (select scan, string_split(markdown, chr(10)) as lines, greatest(1, len(string_split(markdown, chr(10))) // page_count) as each from v_scan_results where markdown <> '' and page_count > 0)
+  select u.scan, u.unit, case when o.n = u.end_page - u.start_page + 1 then o.text else coalesce({_STRIP("array_to_string(r.lines[(u.start_page - 1) * r.each + 1 : u.end_page * r.each], chr(10))")}, '') end as text
+  from v_scan_parts u left join own o on o.scan = u.scan and o.unit = u.unit left join r on r.scan = u.scan""")
 def join_unit_text(v):
-    units = v("pages").groupBy("scan").agg(F.lit(1).alias("ordinal"), F.min("page").alias("start_page"), F.max("page").alias("end_page"))
-    return pages.unit_text(units, v("pages"))
+    """Texts of overlapping units: their pages', or their share of the scan's lines where a page has no text or isn't there."""
+    shown = v("scan_pages").select("scan", "page", F.when(F.col("page") % 2 == 0, F.col("text")).alias("markdown"), "text")
+    return pages.unit_text(v("scan_parts"), shown, v("scan_results"))
 
 
 @_register("select scan, string_agg(text, chr(10) || chr(10) order by page) filter (where trim(text) <> '') as text, count(*) as page_count, sum(length(text))::bigint as n_chars from v_pages group by scan")

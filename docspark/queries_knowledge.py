@@ -149,13 +149,14 @@ def agg_regulation_pick(v):
     return scans.regulation_collapsed(u, u.select("unit", F.explode(kinds).alias("kind")), u.where("unit % 4 = 1").select("unit"), _regulations(v))
 
 
-@_register("""select u.unit, p.page as "table" from v_scan_pages p join v_scan_units u on p.scan = u.scan where case p.page % 4 when 0 then p.page between u.start_page and u.end_page when 1 then u.start_page <= p.page + 2 and u.end_page >= p.page + 2 or p.page between u.start_page and u.end_page else true end""")
+@_register("""with t as (select scan, scan * 1000 + page as "table", page, page % 4 as how from v_scan_pages)
+  select u.unit, t."table" from t join v_scan_parts u on t.scan = u.scan where case how when 0 then t.page between u.start_page and u.end_page when 1 then u.start_page <= t.page + 2 and u.end_page >= t.page + 2 or t.page between u.start_page and u.end_page when 2 then true else t.page + 1 between u.start_page and u.end_page end""")
 def join_tables_to_units(v):
-    """Tables of the units whose pages they stand on; those of unknown page belong to all units of their scan."""
+    """Tables of the overlapping units whose pages they stand on; those of unknown page belong to all units of their scan."""
     p = F.col("page")
-    places = F.when(p % 4 == 1, F.array(p, p + 2, F.lit(None).cast("int"))).when(p % 4 == 2, F.array().cast("array<int>"))
-    tables = v("scan_pages").select("scan", p.alias("table"), F.when(p % 4 == 0, p).alias("page"), places.alias("places"))
-    return scans.tables_of_units(tables, v("scan_units"))
+    places = F.when(p % 4 == 1, F.array(p, p + 2, F.lit(None).cast("int"))).when(p % 4 == 3, F.array(p + 1, p + 1)).when(p % 4 == 2, F.array().cast("array<int>"))
+    tables = v("scan_pages").select("scan", (F.col("scan") * 1000 + p).alias("table"), F.when(p % 4 == 0, p).alias("page"), places.alias("places"))
+    return scans.tables_of_units(tables, v("scan_parts"))
 
 
 @_register(f"""with {_IDENTITY}, o as (select t.topic from v_topics t left join v_assignments a on t.topic = a.topic and a.confidence >= 10 and a.role = 'subject' where t.is_active group by 1 having count(a.topic) <= 1),
