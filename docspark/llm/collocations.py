@@ -21,11 +21,11 @@ from docspark.llm.divergence import _packed, _unpacked
 from docspark.plans.storage import small, written
 
 #: Words and breaks of a shard of one language (a longer text is a shard); entries a task holds before it merges or sends them.
-SHARD, HELD = 1 << 21, 1 << 22
+SHARD, HELD = 1 << 20, 1 << 21
 #: Cells of tiles that are added up by direct address.
 CELLS = 1 << 22
 #: Tables of so many rows are broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: Phrases are ranked in so many parts of a language first.
 PARTS = 64
 
