@@ -118,11 +118,14 @@ def bill_texts(bills: DataFrame) -> DataFrame:
     return bills.select("unit", out.alias("text"))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A table of the archive; as a stream, if its SQL needs no join or order."""
     if name == "statements":
         return statements(view(spark, sf_dir, "charges"))
     sql = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    path = lambda t: f"{sf_dir}/{t}.parquet"  # noqa: E731  # a stream takes a single file by a pattern only
+    read = lambda t: spark.readStream.schema(spark.read.parquet(path(t)).schema).parquet(path(t)[:-1] + "[t]") if stream else spark.read.parquet(path(t))
+    used = {t: read(t) for t in TABLES if "{" + t + "}" in sql}
     sql = sql.replace("{SHA}", "sha2(text, 256)").replace("{JOINED}", "array_join(transform(array_sort(collect_list(struct(page, line))), x -> x.line), chr(10))")
     return spark.sql(sql, **used)
 

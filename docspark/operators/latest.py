@@ -21,8 +21,9 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1
 
 def document_versions(uploads: DataFrame) -> DataFrame:
     """Versions of uploads (upload, external_id, sha): a changed hash of an external_id is its next version, an
-    unchanged one is deduplicated; uploads without an external_id are versions of the first upload with their hash.
+    unchanged one is deduplicated; uploads without an external_id (null or blank) are versions of the first upload with their hash.
     The two kinds go separate ways, so null isn't one large key."""
+    uploads = uploads.withColumn("external_id", F.nullif(F.trim("external_id"), F.lit("")))
     named = uploads.where("external_id is not null")
     w = Window.partitionBy("external_id").orderBy("upload")
     named = named.withColumn("changed", ~F.col("sha").eqNullSafe(F.lag("sha").over(w)))

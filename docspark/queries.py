@@ -10,6 +10,7 @@ from docspark.bridge import view, with_views
 from docspark.functions import text as fn
 from docspark.operators import accounting, contexts, latest, pages, topics
 from docspark.plans.components import components
+from docspark.streaming import jobs, stateful
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -20,7 +21,10 @@ def _register(sql: str | None = None):
 
     def add(f):
         def run(spark, sf_dir) -> DataFrame:
-            return f(lambda name: view(spark, sf_dir, name) if name not in _RAW else spark.read.parquet(f"{sf_dir}/{_RAW[name]}.parquet"))
+            def table(name: str, stream: bool = False) -> DataFrame:
+                return view(spark, sf_dir, name, stream) if name not in _RAW else spark.read.parquet(f"{sf_dir}/{_RAW[name]}.parquet")
+
+            return f(table)
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
@@ -152,12 +156,37 @@ def join_pending_specialist_work(v):
     return v("units").select("unit", "kind").join(done, "unit", "left_anti")
 
 
-@_register("select job, event, ts, status, case when status = 'queued' and ts < timestamp '2024-01-15 00:00:00' then 'queued too long' else 'running too long' end as reason from v_jobs where (status = 'queued' and ts < timestamp '2024-01-15 00:00:00') or (status = 'running' and ts < timestamp '2024-01-15 18:00:00')")
+def _tracked(jobs: DataFrame) -> DataFrame:
+    """Some jobs are specialists', whose statuses have other names."""
+    special = F.col("job") % 4 == 0
+    status = F.when(special, F.create_map(*map(F.lit, ("running", "processing", "queued", "pending")))[F.col("status")])
+    return jobs.select(F.when(special, "specialist").otherwise("ingest").alias("kind"), "job", "event", "ts", F.coalesce(status, "status").alias("status"))
+
+
+@_register("""with j as (select case when job % 4 = 0 then 'specialist' else 'ingest' end as kind, job, event, ts, case when job % 4 = 0 and status = 'running' then 'processing' when job % 4 = 0 and status = 'queued' then 'pending' else status end as status from v_jobs),
+  l as (select kind, job, max(ts) as ts, arg_max(event, (ts, event)) as event, arg_max(status, (ts, event)) as status from j group by 1, 2),
+  t as (select *, case when status in ('queued', 'pending') then 24 when status = 'running' then 6 when status = 'processing' then 3 end as hours, (select max(ts) from j) - interval 1 hour as mark from l)
+  select kind, job, event, ts, status, case when hours = 24 then 'queued too long' else 'running too long' end as reason from t where hours is not null and date_trunc('millisecond', mark) > ts + to_hours(hours)""")
 def st_stale_jobs(v):
-    """Jobs that wait or run longer than their time, as of a fixed moment."""
-    from docspark.streaming.jobs import stale
+    """Jobs whose status lasts too long: the events as a stream, up to their last watermark, which is an hour behind the last event."""
+    spark = v("events").sparkSession
+    stateful.use_timers(spark)
+    return jobs.drained(stateful.stale_jobs(_tracked(v("jobs", stream=True))), "stale-jobs")
+
+
+@_register("""with n as (select *, lag(sha) over (partition by external_id order by upload) as before from v_uploads where external_id is not null),
+  c as (select *, (before is null or sha <> before) as changed from n),
+  b as (select upload, sha, min(upload) over (partition by sha) as first from v_uploads where external_id is null)
+  select concat('ext:', external_id) as document, upload, sum(changed::int) over (partition by external_id order by upload)::bigint as version, not changed as deduplicated from c
+  union all select concat('sha:', sha), upload, 1, upload <> first from b""")
+def st_upload_versions(v):
+    """Versions of uploads, one a second, as a stream whose watermark comes to the last of them."""
+    spark = v("documents").sparkSession
+    stateful.use_timers(spark)
+    stream = v("uploads", stream=True).select("upload", "external_id", "sha", F.timestamp_seconds(F.col("upload") + 1).alias("arrived"))
+    return jobs.drained(stateful.upload_versions(stream, "0 seconds"), "upload-versions")
+
 
-    return stale(v("jobs"), "2024-01-16 00:00:00", queued_hours=24, running_hours=6)
 
 
 # --- entities, contexts, graph ---------------------------------------------------------------------------------------

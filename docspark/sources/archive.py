@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.plans.storage import written
+from docspark.sources.versioned import merge_into
 
 #: Largest accepted upload.
 MAX_BYTES = 50 * 1024 * 1024
@@ -31,33 +30,12 @@ def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def replace_units(df: DataFrame, path: str, key: str = "unit", units: DataFrame | None = None, buckets: int = 64) -> None:
-    """Replace the rows of ``units`` (by default those in ``df``) in a table below ``path`` by the rows of ``df``.
-
-    Rows lie by hash bucket of their unit. Buckets that a unit falls into are read, freed of the units' old rows,
-    joined with the new ones and overwritten; others aren't touched. A unit without new
-    rows loses its old ones."""
-    spark = df.sparkSession
-    bucketed = lambda x: x.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    units = bucketed((df if units is None else units).select(key).distinct())
-    new = bucketed(df)
-    touched = [r.bucket for r in units.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        kept = old.join(units.select(key), key, "left_anti").select(*new.columns)
-        new = kept.unionByName(new)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise  # anything but a table that isn't there yet
-    new = written(new, "replaced-buckets")  # read and written in one table: settle the rows first
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    # buckets whose last rows went away have none to overwrite them with
-    empty = sorted(set(touched) - {r.bucket for r in new.select("bucket").distinct().collect()})
-    for bucket in empty:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def replace_units(df: DataFrame, path: str, key: str = "unit", units: DataFrame | None = None, buckets: int = 64, applied: tuple[str, int] | None = None) -> int:
+    """Replace the rows of ``units`` (by default those in ``df``) in the versioned table below ``path`` by the rows of ``df``;
+    returns the version. Only buckets that a unit falls into are rewritten. A unit without new rows loses its old ones.
+    ``applied`` names a stream and its batch, which counts once."""
+    keys = (df if units is None else units).select(key).distinct()
+    return merge_into(df, path, key, lambda old, new: new if old is None else old.join(keys, key, "left_anti").select(*new.columns).unionByName(new), buckets, keys, applied)
 
 
 def write_artifacts(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from docspark.operators import bills, consolidation, fuzzy, pages, rules, statements
-from docspark.sources import archive
+from docspark.sources import archive, versioned
 from docspark.streaming import jobs
 
 
@@ -14,11 +14,11 @@ def test_replace_units_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "units")
     archive.replace_units(spark.createDataFrame([(i, "old") for i in range(1000)], "unit long, v string"), path)
     archive.replace_units(spark.createDataFrame([(7, "new"), (7, "more"), (2000, "new")], "unit long, v string"), path)
-    got = sorted((r.unit, r.v) for r in spark.read.parquet(path).collect())
+    got = sorted((r.unit, r.v) for r in versioned.read_table(spark, path).collect())
     assert got == sorted([(i, "old") for i in range(1000) if i != 7] + [(7, "new"), (7, "more"), (2000, "new")])
     gone = spark.createDataFrame([(i,) for i in range(1000)], "unit long")
     archive.replace_units(spark.createDataFrame([], "unit long, v string"), path, units=gone)
-    assert [(r.unit, r.v) for r in spark.read.parquet(path).collect()] == [(2000, "new")]
+    assert [(r.unit, r.v) for r in versioned.read_table(spark, path).collect()] == [(2000, "new")]
 
 
 def test_incremental_projection_and_latest_status(spark, tmp_path):
@@ -30,7 +30,7 @@ def test_incremental_projection_and_latest_status(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.incremental_projection(stream, project, out, str(tmp_path / "check")).awaitTermination()
-        return sorted((r.unit, r.fact) for r in spark.read.parquet(out).select("unit", "fact").collect())
+        return sorted((r.unit, r.fact) for r in versioned.read_table(spark, out).collect())
 
     assert arrive([(1, 1, 1, 2), (2, 1, 2, 1), (2, 2, 3, 3)]) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
     assert arrive([(2, 3, 4, 1), (3, 1, 5, 1)]) == [(1, 1), (1, 2), (2, 1), (3, 1)]
@@ -41,7 +41,7 @@ def test_incremental_projection_and_latest_status(spark, tmp_path):
     for part in ("event < 3", "event >= 3"):
         events.where(part).coalesce(1).write.mode("append").parquet(folder)
         jobs.keep_latest_status(spark.readStream.schema(events.schema).parquet(folder), str(tmp_path / "status"), str(tmp_path / "status-check")).awaitTermination()
-    got = {r.job: (r.status, r.failures, r.last_failure) for r in spark.read.parquet(str(tmp_path / "status/version=1")).collect()}
+    got = {r.job: (r.status, r.failures, r.last_failure) for r in jobs.latest_status(versioned.read_table(spark, str(tmp_path / "status"))).collect()}
     assert got == {1: ("succeeded", 1, 1), 2: ("failed", 1, 4), 3: ("running", 0, None)}
 
 
