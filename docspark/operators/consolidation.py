@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from docspark.functions.text import jaccard
 from docspark.operators.topics import leaders
-from docspark.plans.storage import cut, written
+from docspark.plans.storage import cut, small, written
 
 #: Words without meaning in titles, words every building's papers share, and words for streets.
 STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "been", "di", "la", "il", "lo", "le", "i", "un", "una", "del", "della", "e", "o", "ma", "se", "per", "con", "su", "in", "a", "da"]
@@ -88,68 +88,134 @@ def specific(title: Column, kind: Column) -> Column:
     return low.rlike(r"\b(?:19|20)\d{2}\b") | low.rlike(r"\b(?:fattura|bolletta|n\.|nr\.|num\.|numero)\s*\d") | F.coalesce(few, F.lit(False)) | low.rlike(r"\b(?:pagamento|versamento|rata)\b")
 
 
-def scan_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, pattern) of every pattern that occurs in a text; ``texts`` has id and text, ``patterns`` pattern.
-
-    Pieces of the patterns' lengths are looked up by an equi-join, so neither side is broadcast whole and no text meets
-    every pattern; only the different lengths reach the driver. Meant for short texts: a text gives a piece for
-    each of its places and each length."""
-    patterns = patterns.where("pattern <> ''").distinct()
-    lengths = sorted(r.n for r in patterns.select(F.length("pattern").alias("n")).distinct().collect())
-    if not lengths:
-        return texts.select("id", F.lit("").alias("pattern")).limit(0)
-    n = F.length("text")
+#: Letters of a gram, of a piece that grams are cut from, and patterns' grams that are broadcast.
+GRAM, PIECE, BROADCAST_GRAMS = 4, 1000, 200_000
+#: Topics by which a word or value counts as common, and parts that its topics are dealt in.
+COMMON, SALTS = 1000, 16
 
-    def pieces(size: int) -> Column:
-        whole = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(size)))
-        return F.when(n >= size, whole).otherwise(F.array().cast("array<string>"))
 
-    found = texts.select("id", F.explode(F.array_distinct(F.concat(*(pieces(s) for s in lengths)))).alias("pattern"))
-    return found.join(patterns, "pattern").select("id", "pattern")
+def _cut_grams(x: Column, size: int) -> Column:
+    """Distinct runs of ``size`` letters; a long text is cut into pieces first, which overlap by a gram."""
+    n = F.length(x)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - size) / PIECE)).cast("int")), lambda i: F.substring(x, i * PIECE + 1, F.lit(PIECE + size - 1)))
+    grams = F.transform(pieces, lambda piece: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - size + 1)), lambda i: F.substring(piece, i, F.lit(size))))
+    return F.when(n >= size, F.array_distinct(F.flatten(grams))).otherwise(F.array().cast("array<string>"))
 
 
-def retrieved(units: DataFrame, entities: DataFrame, topics: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
+def scan_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern) of every pattern that occurs in a text, anywhere in it; ``texts`` has id and text, ``patterns`` pattern.
+
+    An index of grams of GRAM letters: a pattern is looked up by that one of its grams which the fewest texts hold, a shorter
+    pattern by itself. A text gives a gram for each of its places, whatever the lengths of the patterns, and only grams that a pattern
+    has go on. Each text then comes once for all patterns that it may hold. Null texts and empty patterns hold nothing."""
+    patterns = cut(patterns.where("pattern <> ''").select("pattern").distinct())
+    texts = texts.where("text is not null")
+    sizes = sorted(r.n for r in patterns.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("n")).distinct().collect())  # at most GRAM numbers
+    if not sizes:
+        return texts.select("id", F.lit("").alias("pattern")).limit(0)
+    own = patterns.select("pattern", F.explode(F.when(F.length("pattern") < GRAM, F.array("pattern")).otherwise(_cut_grams(F.col("pattern"), GRAM))).alias("gram"))
+    wanted = own.select("gram").distinct()
+    said = texts.select("id", F.explode(F.array_distinct(F.concat(*(_cut_grams(F.col("text"), n) for n in sizes)))).alias("gram"))
+    hits = written(said.join(F.broadcast(wanted) if small(wanted, BROADCAST_GRAMS) else wanted, "gram"), "gram-hits").distinct()
+    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    # a gram that no text holds comes first, and its pattern meets nothing
+    rarest = own.join(often, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    likely = hits.join(rarest, "gram").groupBy("id").agg(F.collect_set("pattern").alias("patterns"))
+    found = texts.join(likely, "id").select("id", F.explode(F.filter("patterns", lambda p: F.col("text").contains(p))).alias("pattern"))
+    return found.distinct()
+
+
+def _scored(pairs: DataFrame, units: DataFrame, topics: DataFrame) -> DataFrame:
+    """(unit, topic, score) of pairs whose places don't conflict, by all signals."""
+    df = pairs.join(units, "unit").join(topics, "topic")
+    conflict = (F.size("of_topic") > 0) & F.exists("of_unit", lambda a: ~F.arrays_overlap(a, "of_topic"))
+    shared = lambda a, b: F.size(F.array_intersect(a, b))
+    title, slug = F.lower(F.coalesce("topic_title", F.lit(""))), F.lower(F.coalesce("topic_slug", F.lit("")))
+    value = F.exists("values", lambda x: title.contains(x) | slug.contains(x))
+    key = F.exists("keys", lambda x: slug.contains(x))
+    fit = F.lit(0)
+    for kind, classes in COMPATIBLE.items():
+        for name, tenths in classes.items():
+            fit = F.when((F.col("document_type") == kind) & (F.col("topic_class") == name), tenths).otherwise(fit)
+    points = 30 * shared("said", "title_words") + 25 * shared("said", "slug_words") + 10 * shared("summed", "title_words") + 5 * shared("summed", "description_words")
+    points = points + F.when(value, 20).otherwise(0) + F.when(key, 25).otherwise(0) + fit
+    return df.where(~conflict).select("unit", "topic", (points / F.when(F.col("halved"), 2).otherwise(1)).alias("score")).where("score > 0")
+
+
+def _by_class(units: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """(unit, topic): of the topics whose class fits a unit's type and whose place doesn't conflict with its own, the ``k`` best at least."""
+    fits = [(kind, name, tenths) for kind, classes in COMPATIBLE.items() for name, tenths in classes.items()]
+    fits = units.sparkSession.createDataFrame(fits, "document_type string, topic_class string, tenths int")
+    best = lambda df, *keys: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("halved", "topic"))).where(F.col("nth") <= k).drop("nth")
+    of_class = topics.select("topic", "topic_class", "halved", "of_topic")
+    wants = units.select("unit", "document_type", "of_unit").join(F.broadcast(fits), "document_type").select("unit", "topic_class", F.array_sort("of_unit").alias("of_unit"))
+    anywhere, nowhere = F.size("of_unit") == 0, F.size("of_topic") == 0
+    # halved or not, each in its own list, as a better fit may count half
+    every, free = (best(df, "topic_class", "halved").select("topic_class", "topic") for df in (of_class, of_class.where(nowhere)))
+    found = wants.where(anywhere).join(every, "topic_class").select("unit", "topic")
+    found = found.unionByName(wants.where(~anywhere).join(free, "topic_class").select("unit", "topic"))
+    placed = wants.where(~anywhere).select("topic_class", "of_unit").distinct()  # units of one building ask once
+    some = placed.withColumn("word", F.explode(F.element_at("of_unit", 1)))
+    there = of_class.where(~nowhere).withColumn("word", F.explode("of_topic"))
+    near = some.join(there, ["topic_class", "word"]).where(F.forall("of_unit", lambda a: F.arrays_overlap(a, "of_topic"))).select("topic_class", "of_unit", "topic", "halved").distinct()
+    near = best(near, "topic_class", "of_unit", "halved").select("topic_class", "of_unit", "topic")
+    return found.unionByName(wants.join(near, ["topic_class", "of_unit"]).select("unit", "topic"))
+
+
+def retrieved(units: DataFrame, entities: DataFrame, topics: DataFrame, counts: DataFrame, k: int = 10, common: int = COMMON, compared: list[int] | None = None) -> DataFrame:
     """The ``k`` best active topics of each unit: unit, topic, points (hundredths, at most 100), nth, strong.
 
     ``units`` has unit, title, summary, document_type; ``entities`` unit, kind, value, normalized; ``topics`` topic, title,
-    slug, description, topic_class, topic_kind, is_active; ``counts`` topic, n (its assignments). Candidates share a word
-    or an entity with the unit; topics that only their class speaks for aren't retrieved. Words go through an inverted
-    index; of a unit's words only sums of hits leave the join."""
+    slug, description, topic_class, topic_kind, is_active; ``counts`` topic, n (its assignments). A topic counts if it has any point:
+    words, values or its class alone. Equal scores go to the smaller topic. ``compared`` gets the numbers of pairs scored.
+
+    Pairs come from an inverted index of words and values, in two steps. First those that share a rare one (at most
+    ``common`` topics have it), and the best of a fitting class. Their ``k``-th score is what any other topic must beat. A unit's
+    commonest words and values which can't do so even together, with the best class, are passed over; the topics of its other common ones
+    are met too, dealt in parts."""
     active = topics.where("is_active")
-    index = lambda c: active.select("topic", F.explode(retrieval_tokens(F.col(c))).alias("word"))
-    said = lambda c: units.select("unit", F.explode(retrieval_tokens(F.coalesce(c, F.lit("")))).alias("word"))
-    title, summary = said("title"), said("summary")
-    hits = lambda words, c, points: words.join(index(c), "word").groupBy("unit", "topic").agg((F.count(F.lit(1)) * points).alias("points"))
-    values = entities.select(F.lower("value").alias("pattern")).distinct()
-    keys = entities.where("normalized is not null").select(F.lower("normalized").alias("pattern")).distinct()
-    texts = lambda *cs: active.select(F.col("topic").alias("id"), F.explode(F.array(*(F.lower(c) for c in cs))).alias("text"))
-    in_topic = lambda found, c, points: entities.select("unit", F.lower(c).alias("pattern")).join(found, "pattern").select("unit", F.col("id").alias("topic")).distinct().withColumn("points", F.lit(points).cast("long"))
-    parts = [
-        hits(title, "title", 30),
-        hits(title, "slug", 25),
-        in_topic(scan_patterns(texts("title", "slug"), values).distinct(), "value", 20),
-        in_topic(scan_patterns(texts("slug"), keys).distinct(), "normalized", 25),
-        hits(summary, "title", 10),
-        hits(summary, "description", 5),
-    ]
-    points = parts[0]
-    for part in parts[1:]:
-        points = points.unionByName(part)
-    points = points.groupBy("unit", "topic").agg(F.sum("points").alias("points"))
     anchor = topic_anchor(F.concat_ws(" ", "title", "slug", "description"))
-    side = active.join(counts, "topic", "left").select("topic", "topic_class", anchor.alias("of_topic"), (specific(F.col("title"), F.col("topic_kind")) & (F.coalesce("n", F.lit(0)) <= 1)).alias("halved"))
-    places = entities.where(F.col("kind").isin("address", "condominio")).select("unit", anchor_tokens(F.coalesce("normalized", "value")).alias("a")).where(F.size("a") > 0)
-    places = places.groupBy("unit").agg(F.collect_set("a").alias("of_unit"))
-    df = points.join(side, "topic").join(units.select("unit", "document_type"), "unit").join(places, "unit", "left")
-    conflict = (F.size("of_topic") > 0) & F.coalesce(F.exists("of_unit", lambda a: ~F.arrays_overlap(a, "of_topic")), F.lit(False))
-    fit = F.lit(0)
-    for kind, classes in COMPATIBLE.items():
-        for name, tenths in classes.items():
-            fit = F.when((F.col("document_type") == kind) & (F.col("topic_class") == name), tenths).otherwise(fit)
-    score = (F.col("points") + fit) / F.when(F.col("halved"), 2).otherwise(1)
-    df = df.where(~conflict).select("unit", "topic", score.alias("score"))
-    best = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "topic"))
-    df = df.withColumn("nth", best).where(F.col("nth") <= k)
+    halved = specific(F.col("title"), F.col("topic_kind")) & (F.coalesce("n", F.lit(0)) <= 1)
+    words = lambda c: retrieval_tokens(F.coalesce(c, F.lit("")))
+    side = active.join(counts, "topic", "left").select(
+        "topic", "topic_class", F.col("title").alias("topic_title"), F.col("slug").alias("topic_slug"), anchor.alias("of_topic"), F.coalesce(halved, F.lit(False)).alias("halved"),
+        words("title").alias("title_words"), words("slug").alias("slug_words"), words("description").alias("description_words"),
+    )
+    side = written(side, "topics-indexed")
+    place = F.when(F.col("kind").isin("address", "condominio"), anchor_tokens(F.coalesce("normalized", "value")))
+    known = entities.groupBy("unit").agg(F.collect_set(F.lower("value")).alias("values"), F.collect_set(F.lower("normalized")).alias("keys"), F.collect_set(F.when(F.size(place) > 0, place)).alias("of_unit"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    asked = units.select("unit", "document_type", words("title").alias("said"), words("summary").alias("summed")).join(known, "unit", "left")
+    asked = written(asked.select("unit", "document_type", "said", "summed", empty("values", "array<string>"), empty("keys", "array<string>"), empty("of_unit", "array<array<string>>")), "units-asked")
+
+    texts = lambda *cs: active.select(F.col("topic").alias("id"), F.explode(F.array(*(F.lower(c) for c in cs))).alias("text"))
+    values, keys = (asked.select(F.explode(c).alias("pattern")).distinct() for c in ("values", "keys"))
+    named = lambda found, mark: found.select(F.col("id").alias("topic"), F.concat(F.lit(mark), "pattern").alias("signal"))
+    word = lambda df, i, *cs: df.select(i, F.explode(F.array_distinct(F.concat(*cs))).alias("w")).select(i, F.concat(F.lit("w:"), "w").alias("signal"))
+    index = word(side, "topic", "title_words", "slug_words", "description_words").unionByName(named(scan_patterns(texts("title", "slug"), values), "v:")).unionByName(named(scan_patterns(texts("slug"), keys), "k:"))
+    index = written(index.distinct(), "topic-signals")
+    often = index.groupBy("signal").agg(F.count(F.lit(1)).alias("often"))
+    mark = lambda c, m: F.transform(c, lambda x: F.concat(F.lit(m), x))
+    asks = asked.select("unit", F.explode(F.array_distinct(F.concat(mark("said", "w:"), mark("summed", "w:"), mark("values", "v:"), mark("keys", "k:")))).alias("signal"))
+    worth = F.when(F.col("signal").startswith("v:"), 20).when(F.col("signal").startswith("k:"), 25)
+    in_title, in_summary = (F.array_contains(c, F.substring("signal", 3, 1 << 30)) for c in ("said", "summed"))
+    worth = F.coalesce(worth, F.when(in_title, 55).otherwise(0) + F.when(in_summary, 15).otherwise(0))
+    asks = written(asks.join(often, "signal").join(asked.select("unit", "said", "summed"), "unit").select("unit", "signal", "often", worth.alias("worth")), "unit-signals")
+
+    rare = asks.where(F.col("often") <= common).join(index, "signal").select("unit", "topic")
+    first = written(rare.unionByName(_by_class(asked, side, k)).distinct(), "pairs-first")
+    done = written(_scored(first, asked, side), "scored-first")
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "topic"))
+    bar = done.withColumn("nth", nth).where(F.col("nth") == k).select("unit", F.col("score").alias("bar"))
+    # the commonest signals of a unit that even together stay below the bar bring in no topic by themselves
+    together = F.sum("worth").over(Window.partitionBy("unit").orderBy(F.desc("often"), "signal")) + 10
+    needed = asks.where(F.col("often") > common).withColumn("together", together).join(bar, "unit", "left").where("bar is null or together >= bar")
+    more = needed.select("unit", "signal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = index.join(often.where(F.col("often") > common), "signal").select("signal", "topic", F.pmod(F.xxhash64("topic"), F.lit(SALTS)).cast("int").alias("salt"))
+    second = written(more.join(dealt, ["signal", "salt"]).select("unit", "topic").distinct().join(first, ["unit", "topic"], "left_anti"), "pairs-second")
+    if compared is not None:
+        compared += [first.count(), second.count()]
+    df = done.unionByName(_scored(second, asked, side)).withColumn("nth", nth).where(F.col("nth") <= k)
     return df.select("unit", "topic", F.least("score", F.lit(100.0)).alias("points"), "nth", (F.col("score") >= 70).alias("strong"))
 
 

@@ -46,12 +46,19 @@ def flt_utility_bills(v):
     return df.orderBy(F.desc("due_date"), "unit").limit(100).select("unit", "issuer", "due_date", "payment_status")
 
 
-@_register("""with l as (select b.unit, n.unit as other, 'utility_bill_payment' as link_type, 69 as points from v_bills b join v_notes n on n.unit = b.unit + 1 where n.unit % 3 = 0
-  union all select b.unit, n.unit, 'utility_bill_detail', 47 from v_bills b join v_notes n on n.month = b.period_from and n.unit % 3 = 1 and n.unit <> b.unit where b.unit % 3 <> 1)
-  select * from (select *, row_number() over (partition by unit order by points desc, other) as nth from l) where nth <= 5""")
+_NUMBERED = "concat_ws(' ', title, summary, case unit % 5 when 0 then concat('protbl', lpad(cast(unit - 3 as {0}), 8, '0'), 'bis ricevuta') when 1 then concat('Acquedotto: dettaglio e pagamento dal ', cast(month as {0})) when 2 then concat('al ', cast(last_day(month) as {0}), ' publiacquaservizi, letture') end)"
+
+
+@_register(f"""with h as (select unit as other, document_type, lower({_NUMBERED.format('varchar')}) as hay from v_notes),
+  d as (select *, regexp_matches(hay, '\\b(dettaglio|consumi|letture|componenti tariffarie|totale bolletta)\\b') as detail, regexp_matches(hay, '\\b(pagamento|quietanza|ricevuta|bonifico|estratto conto|mav|pagata)\\b') as paid from h),
+  b as (select unit, concat('bl', code) as number, list_distinct(regexp_extract_all(lower(issuer), '[a-z0-9]{{3,}}')) as tokens, cast(period_from as varchar) as f, cast(period_to as varchar) as t from v_bills),
+  m as (select b.unit, d.*, contains(hay, number) as n, contains(hay, f) as cf, contains(hay, t) as ct, len(list_filter(tokens, lambda x: contains(hay, x))) >= greatest(1, len(tokens) // 2) as i from b join d on b.unit <> d.other),
+  s as (select unit, other, case when paid then 'utility_bill_payment' when detail then 'utility_bill_detail' else 'utility_bill_reference' end as link_type,
+    least(95, n::int * 55 + i::int * 25 + cf::int * 10 + ct::int * 10 + detail::int * 12 + paid::int * 14 + case when paid or detail then 0 when document_type in ('bolletta', 'fattura') then 5 when document_type in ('lettera', 'nota') then 3 else 0 end) as points from m)
+  select * from (select *, row_number() over (partition by unit order by points desc, other) as nth from s where points >= 45) where nth <= 5""")
 def join_bill_links(v):
-    """Each bill's five best related units, by number, issuer, period and words."""
-    notes = v("notes").select("unit", "document_type", F.concat_ws(" ", "title", "summary").alias("haystack"))
+    """Each bill's five best related units, by number, issuer, period and words, also inside longer words."""
+    notes = v("notes").select("unit", "document_type", F.expr(_NUMBERED.format("string")).alias("haystack"))
     return bills.bill_links(bills.bill_fields(bridge.bill_texts(v("bills"))), notes)
 
 
@@ -128,7 +135,8 @@ _FIT = " ".join(f"when document_type = '{k}' and topic_class = '{c}' then {n}" f
   p as (select unit, topic, sum(points) as points from (
     select unit, topic, count(*) * 30 as points from u join ti on u.w = ti.w group by 1, 2 union all select unit, topic, count(*) * 25 from u join si on u.w = si.w group by 1, 2
     union all select distinct unit, topic, 20 from e join ev on e.value = ev.value union all select distinct unit, topic, 25 from e join en on e.normalized = en.normalized
-    union all select unit, topic, count(*) * 10 from m join ti on m.w = ti.w group by 1, 2 union all select unit, topic, count(*) * 5 from m join di on m.w = di.w group by 1, 2) group by 1, 2),
+    union all select unit, topic, count(*) * 10 from m join ti on m.w = ti.w group by 1, 2 union all select unit, topic, count(*) * 5 from m join di on m.w = di.w group by 1, 2
+    union all select n.unit, t.topic, 0 from v_notes n join t on case {_FIT} else 0 end > 0) group by 1, 2),
   a as (select topic, count(*) as n from v_assignments group by 1), pl as (select unit, list({_anchored('normalized')}) as places from e group by 1),
   s as (select p.unit, p.topic, (p.points + case {_FIT} else 0 end)::double / case when t.specific and coalesce(a.n, 0) <= 1 then 2 else 1 end as score
     from p join t on p.topic = t.topic join v_notes n on p.unit = n.unit join pl on p.unit = pl.unit left join a on p.topic = a.topic where not (len(t.anchor) > 0 and len(list_filter(pl.places, lambda x: len(x) > 0 and not list_has_any(x, t.anchor))) > 0))
