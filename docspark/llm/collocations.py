@@ -21,11 +21,11 @@ from docspark.llm.divergence import _packed, _unpacked
 from docspark.plans.storage import small, written
 
 #: Words and breaks of a shard of one language (a longer text is a shard); entries a task holds before it merges or sends them.
-SHARD, HELD = 1 << 20, 1 << 21
+SHARD, HELD = 1 << 21, 1 << 21
 #: Cells of tiles that are added up by direct address.
 CELLS = 1 << 22
-#: Tables of so many rows are broadcast.
-BROADCAST_ROWS = 50_000
+#: Tables of so many rows are broadcast; of words, with so many letters in all.
+BROADCAST_ROWS, BROADCAST_LETTERS = 200_000, 1 << 24
 #: Phrases are ranked in so many parts of a language first.
 PARTS = 64
 
@@ -40,7 +40,7 @@ def _bounds() -> np.ndarray:
 
 BOUNDS = _bounds()
 WIDTHS = np.diff(BOUNDS)
-_CLASS = np.searchsorted(BOUNDS, np.arange(1 << 20), "right") - 1
+_CLASS = (np.searchsorted(BOUNDS, np.arange(1 << 20), "right") - 1).astype(np.int32)
 #: A-Z are folded, tabs are spaces, and what ends a piece becomes a byte that no text holds.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * 10)
 
@@ -54,43 +54,47 @@ class _Ids(dict):
 _SHARDS = "shard long, lang string, words array<string>, counts array<long>, codes binary"
 
 
-def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sharded(most: int):
     """Texts as numbers of words, 0 between pieces, with the shard's own dictionary in order of frequency."""
-    part, made = TaskContext.get().partitionId(), 0
-    ids: dict[str, _Ids] = {}
-    held: dict[str, list[np.ndarray]] = {}
-    size: dict[str, int] = {}
-
-    def sent(lang: str) -> pa.RecordBatch:
-        nonlocal made
-        codes, words = np.concatenate(held.pop(lang)), list(ids.pop(lang))
-        size.pop(lang)
-        n = np.bincount(codes, minlength=len(words))
-        n[0] = 0  # breaks
-        order = np.concatenate([[0], 1 + np.argsort(-n[1:], kind="stable")])
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        columns = [part << 32 | made, lang, [words[i].decode("utf-8", "replace") for i in order[1:]], n[order[1:]], _packed(rank[codes])]
-        made += 1
-        kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _SHARDS.split(", ")])
 
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            some = batch.slice(i, 500)
-            for lang, text in zip(some.column("lang").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()):
-                words = text.translate(_TABLE).replace(b"\xff", b" \xff ").split()
-                if lang not in ids:
-                    ids[lang], held[lang], size[lang] = _Ids({b"\xff": 0}), [], 0
-                held[lang] += [np.fromiter(map(ids[lang].__getitem__, words), np.uint32, len(words)), np.zeros(1, np.uint32)]
-                size[lang] += len(words) + 1
-                if size[lang] >= SHARD:
-                    yield sent(lang)
-            if sum(size.values()) > 2 * SHARD:
-                for lang in list(ids):
-                    yield sent(lang)
-    for lang in list(ids):
-        yield sent(lang)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids: dict[str, _Ids] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+
+        def sent(lang: str) -> pa.RecordBatch:
+            nonlocal made
+            codes, words = np.concatenate(held.pop(lang)), list(ids.pop(lang))
+            size.pop(lang)
+            n = np.bincount(codes, minlength=len(words))
+            n[0] = 0  # breaks
+            order = np.concatenate([[0], 1 + np.argsort(-n[1:], kind="stable")])
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            columns = [part << 32 | made, lang, [words[i].decode("utf-8", "replace") for i in order[1:]], n[order[1:]], _packed(rank[codes])]
+            made += 1
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _SHARDS.split(", ")])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                for lang, text in zip(some.column("lang").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()):
+                    words = text.translate(_TABLE).replace(b"\xff", b" \xff ").split()
+                    if lang not in ids:
+                        ids[lang], held[lang], size[lang] = _Ids({b"\xff": 0}), [], 0
+                    held[lang] += [np.fromiter(map(ids[lang].__getitem__, words), np.uint32, len(words)), np.zeros(1, np.uint32)]
+                    size[lang] += len(words) + 1
+                    if size[lang] >= most:
+                        yield sent(lang)
+                if sum(size.values()) > 2 * most:
+                    for lang in list(ids):
+                        yield sent(lang)
+        for lang in list(ids):
+            yield sent(lang)
+
+    return run
 
 
 def _squeezed(x: np.ndarray) -> np.ndarray:
@@ -108,11 +112,14 @@ def _classes(ids: np.ndarray) -> np.ndarray:
 
 def _tiles(x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(class, class, cells, counts) of every tile of pairs that lie side by side in ``x``; cells ascend."""
+    if len(x) and x.max() < 1 << 31:
+        x = x.astype(np.int32)
     at = np.flatnonzero((x[:-1] != 0) & (x[1:] != 0))
     a, b = x[at] - 1, x[at + 1] - 1
+    del at
     ca, cb = _classes(a), _classes(b)
     side = int(cb.max()) + 1 if len(cb) else 1
-    tile = ca * side + cb
+    tile = ca.astype(np.int64) * side + cb
     order = np.argsort(tile.astype(np.uint16) if side * (int(ca.max()) + 1 if len(ca) else 1) <= 1 << 16 else tile, kind="stable")
     cell = ((a - BOUNDS[ca]) * WIDTHS[cb] + b - BOUNDS[cb])[order]
     tile = tile[order]
@@ -142,7 +149,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _added(least: int):
+def _added(least: int, most: int, full: int):
     """Sums of tiles that come one after another; cells of at least ``least`` as pairs of ids."""
 
     def merged(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +180,14 @@ def _added(least: int):
                         yield ended(now, dense, some)
                     now, some, size = tile, [], 0
                     whole = int(WIDTHS[tile[1]] * WIDTHS[tile[2]])
-                    dense = np.zeros(whole, np.int64) if whole <= CELLS else None
+                    dense = np.zeros(whole, np.int64) if whole <= full else None
                 cells, n = _unpacked(cells), _unpacked(n)
                 if dense is not None:
                     dense[cells] += n  # a row has a cell once
                     continue
                 some.append((cells, n))
                 size += len(n)
-                if size > HELD and len(some) > 1:
+                if size > most and len(some) > 1:
                     some = [merged(some)]
                     size = len(some[0][0]) // 2
         if now:
@@ -266,7 +273,7 @@ def _cuts(size: int) -> Column:
     return F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, shard: int = SHARD, held: int = HELD, cells: int = CELLS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that occur at least ``least`` times.
 
     ``docs`` has text and lang. A-Z are lower-cased; ``. , ; : ! ?`` and line ends end a piece; words are split by spaces and
@@ -278,11 +285,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    shards = written(texts.mapInArrow(_sharded, _SHARDS), "phrases-shards")
+    shards = written(texts.mapInArrow(_sharded(shard), _SHARDS), "phrases-shards")
     each = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "own")).select("shard", "lang", "pos", F.col("own.words").alias("word"), F.col("own.counts").alias("n"))
     total = shards.select("lang", F.expr("aggregate(counts, 0L, (x, y) -> x + y)").alias("n")).groupBy("lang").agg(F.sum("n").alias("words"))
     words = _ranked(each.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "word")
-    known = each.select("shard", "lang", "pos", "word").join(_side(words.select("lang", "word", "id")), ["lang", "word"])
+    light = words.agg(F.count(F.lit(1)) <= BROADCAST_ROWS, F.coalesce(F.sum(F.length("word")), F.lit(0)) <= BROADCAST_LETTERS).first()
+    dictionary = words.select("lang", "word", "id")
+    known = each.select("shard", "lang", "pos", "word").join(F.broadcast(dictionary) if all(light) else dictionary, ["lang", "word"])
     known = known.groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("known"))  # of one shard's words
     codes = written(shards.select("shard", "lang", "codes").join(known, "shard", "left").mapInArrow(_renamed, "shard long, lang string, codes binary"), "phrases-codes")
     empty = F.array().cast("array<long>")
@@ -291,7 +300,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     for size in range(2, longest + 1):
         tiles = written(codes.mapInArrow(_counted, _TILED), "phrases-tiles")
         dealt = tiles.drop("shard").repartition(parts, "lang", "first", "second").sortWithinPartitions("lang", "first", "second")
-        pairs = _ranked(dealt.mapInArrow(_added(least), "lang string, first int, second int, a long, b long, n long"), "a", "b")
+        pairs = _ranked(dealt.mapInArrow(_added(least, held, cells), "lang string, first int, second int, a long, b long, n long"), "a", "b")
         left = shorter.select("lang", F.col("id").alias("a"), F.col("n").alias("head"), "phrase", "heads")
         right = shorter.select("lang", F.col("id").alias("b"), F.col("n").alias("tail"), "last", "tails")
         longer = pairs.select("lang", "id", "a", "b", "n").join(left, ["lang", "a"]).join(right, ["lang", "b"])
@@ -305,7 +314,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         if size == longest or not pairs.take(1):
             break
         by_tile = pairs.groupBy("lang", "first", "second").agg(F.collect_list(F.struct("a", "b", "id")).alias("pairs"))
-        found = tiles.drop("counts").join(_side(by_tile), ["lang", "first", "second"]).mapInArrow(_found, "shard long, a binary, b binary, ids binary")
+        by_tile = F.broadcast(by_tile) if small(pairs, BROADCAST_ROWS) else by_tile
+        found = tiles.drop("counts").join(by_tile, ["lang", "first", "second"]).mapInArrow(_found, "shard long, a binary, b binary, ids binary")
         found = found.groupBy("shard").agg(F.collect_list(F.struct("a", "b", "ids")).alias("known"))  # of one shard's pairs
         codes = written(codes.join(found, "shard").mapInArrow(_paired, "shard long, lang string, codes binary"), "phrases-codes")
     scored = []

@@ -85,7 +85,8 @@ def pointer_sort(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple
         elif len(part) <= SMALL:
             parts.append(_slice_sorted(keys, part, key, depth))
         else:
-            pivot = np.sort(key[:: len(key) // 64])[32]
+            some = np.sort(key[:: max(1, len(key) // 64)])
+            pivot = some[len(some) // 2]
             less, more = key < pivot, key > pivot
             same = part[~(less | more)]
             for side, its, deep in ((part[more], key[more], depth), (same, None, 0) if pivot & np.uint64(0xFF) == 0 else (same, keys(same, depth + 8), depth + 8), (part[less], key[less], depth)):
@@ -175,11 +176,11 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -203,7 +204,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 _SHARDED = "lang string, shard int, sources array<string>, data binary, size binary, held binary, source binary, n binary, docs binary"
 
 
-def _counted(shards: int):
+def _counted(shards: int, block_size: int, most: int):
     def sent(lang: str, runs: Runs, names: list[str]) -> pa.RecordBatch:
         shard = runs.shards(shards)
         order = np.argsort(shard, kind="stable")
@@ -228,7 +229,7 @@ def _counted(shards: int):
             names.clear()
 
         for batch in batches:
-            for block in _blocks(batch):
+            for block in _blocks(batch, block_size):
                 block = block.take(pa.compute.sort_indices(block, [("lang", "ascending"), ("source", "ascending")]))
                 data, begin, size, doc = _words(block.column("text"))
                 langs, sources = (block.column(c).to_pylist() for c in ("lang", "source"))
@@ -239,17 +240,17 @@ def _counted(shards: int):
                     a, b = np.searchsorted(doc, [at, end])
                     held.setdefault(langs[at], []).append(Runs.of_words(data, begin[a:b], size[a:b], doc[a:b], ids[doc[a:b]]))
                     at = end
-                if sum(len(r.n) for some in held.values() for r in some) > HELD:
+                if sum(len(r.n) for some in held.values() for r in some) > most:
                     for lang, some in held.items():
                         held[lang] = [Runs.merged(some)]
-                    if sum(len(r.n) for some in held.values() for r in some) > HELD // 2:
+                    if sum(len(r.n) for some in held.values() for r in some) > most // 2:
                         yield from flush()
         yield from flush()
 
     return run
 
 
-def _kept(least: int):
+def _kept(least: int, most: int):
     def ended(lang: str, some: list[Runs], names: list[str]) -> pa.RecordBatch:
         runs = Runs.merged(some)
         docs = np.add.reduceat(runs.docs, np.cumsum(runs.held) - runs.held)
@@ -282,7 +283,7 @@ def _kept(least: int):
                 length, held, source, n, docs = (_unpacked(row[c]) for c in ("size", "held", "source", "n", "docs"))
                 some.append(Runs(np.frombuffer(row["data"], np.uint8), length, held, ids[source], n, docs))
                 size += len(n)
-                if size > HELD and len(some) > 1:
+                if size > most and len(some) > 1:
                     some = [Runs.merged(some)]
                     size = len(some[0].n) // 2
         if some:
@@ -291,7 +292,7 @@ def _kept(least: int):
     return run
 
 
-def source_counts(docs: DataFrame, least: int = 3) -> DataFrame:
+def source_counts(docs: DataFrame, least: int = 3, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """(lang, source, term, n, total): how often each source of a language holds each of the language's terms that at
     least ``least`` of its documents hold, and how often all of them do; with source null once for each term.
 
@@ -301,32 +302,36 @@ def source_counts(docs: DataFrame, least: int = 3) -> DataFrame:
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    sharded = texts.mapInArrow(_counted(shards), _SHARDED)
+    sharded = texts.mapInArrow(_counted(shards, block, held), _SHARDED)
     dealt = sharded.repartition(shards, "lang", "shard").sortWithinPartitions("lang", "shard")
-    return dealt.mapInArrow(_kept(least), "lang string, source string, term string, n long, total long")
+    return dealt.mapInArrow(_kept(least, held), "lang string, source string, term string, n long, total long")
 
 
-def _compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _compared(sources: int):
     """Sums over a tile's terms for every two sources of two blocks. Rows without a term give a source's p of terms that it lacks."""
-    lang, _, first, second = key
-    bare = rows[rows.term.isna()].drop_duplicates("pos").sort_values("pos")
-    pos, without = bare.pos.to_numpy(), bare.p.to_numpy().astype(np.uint64)
-    held = rows[~rows.term.isna()].drop_duplicates(["term", "pos"])
-    codes, terms = pd.factorize(held.term)
-    p = np.repeat(without[:, None], len(terms), axis=1)
-    p[np.searchsorted(pos, held.pos.to_numpy()), codes] = held.p.to_numpy().astype(np.uint64)
-    block = pos // SOURCES
-    parts = []
-    for i in np.flatnonzero(block == first):
-        others = np.flatnonzero((block == second) & (pos != pos[i]))
-        apart = np.maximum(p[i], p[others]) - np.minimum(p[i], p[others])
-        zero = np.maximum(without[i], without[others]) - np.minimum(without[i], without[others])
-        square, nothing = apart * apart, zero * zero
-        parts.append(pd.DataFrame({"a": pos[i], "b": pos[others], "value": (square // p[others]).sum(1, dtype=np.uint64).astype(np.int64), "zero": (nothing // without[others]).astype(np.int64)}))
-        if first != second:
-            parts.append(pd.DataFrame({"a": pos[others], "b": pos[i], "value": (square // p[i]).sum(1, dtype=np.uint64).astype(np.int64), "zero": (nothing // without[i]).astype(np.int64)}))
-    out = pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "value": [], "zero": []}).astype("int64")
-    return out.assign(lang=lang, seen=len(terms))[["lang", "a", "b", "value", "zero", "seen"]]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lang, _, first, second = key
+        bare = rows[rows.term.isna()].drop_duplicates("pos").sort_values("pos")
+        pos, without = bare.pos.to_numpy(), bare.p.to_numpy().astype(np.uint64)
+        held = rows[~rows.term.isna()].drop_duplicates(["term", "pos"])
+        codes, terms = pd.factorize(held.term)
+        p = np.repeat(without[:, None], len(terms), axis=1)
+        p[np.searchsorted(pos, held.pos.to_numpy()), codes] = held.p.to_numpy().astype(np.uint64)
+        block = pos // sources
+        parts = []
+        for i in np.flatnonzero(block == first):
+            others = np.flatnonzero((block == second) & (pos != pos[i]))
+            apart = np.maximum(p[i], p[others]) - np.minimum(p[i], p[others])
+            zero = np.maximum(without[i], without[others]) - np.minimum(without[i], without[others])
+            square, nothing = apart * apart, zero * zero
+            parts.append(pd.DataFrame({"a": pos[i], "b": pos[others], "value": (square // p[others]).sum(1, dtype=np.uint64).astype(np.int64), "zero": (nothing // without[others]).astype(np.int64)}))
+            if first != second:
+                parts.append(pd.DataFrame({"a": pos[others], "b": pos[i], "value": (square // p[i]).sum(1, dtype=np.uint64).astype(np.int64), "zero": (nothing // without[i]).astype(np.int64)}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "value": [], "zero": []}).astype("int64")
+        return out.assign(lang=lang, seen=len(terms))[["lang", "a", "b", "value", "zero", "seen"]]
+
+    return run
 
 
 def _p(n: str, total: str, terms: str):
@@ -334,7 +339,7 @@ def _p(n: str, total: str, terms: str):
     return F.expr(f"if({terms} = 0, 1L, 1L + (cast({SCALE} as decimal(10,0)) * cast({n} + 1 as decimal(20,0))) div cast({total} + {terms} as decimal(20,0)))")
 
 
-def source_divergence(docs: DataFrame, top: int = 200, least: int = 3) -> DataFrame:
+def source_divergence(docs: DataFrame, top: int = 200, least: int = 3, block: int = BLOCK, held: int = HELD, tile_terms: int = TERMS, tile_sources: int = SOURCES) -> DataFrame:
     """(lang, source, part, item, value, rank) for every (lang, source) that occurs in ``docs`` (text, lang, source).
 
     Part ``pair``: how far the source lies from each other source of its language, summed over all terms of the language;
@@ -345,29 +350,29 @@ def source_divergence(docs: DataFrame, top: int = 200, least: int = 3) -> DataFr
     Pairs are summed in tiles of terms and blocks of sources, from the terms that either of two sources holds; all
     others add the same for each and are added by their number. Values fit 64 bits up to two billion terms a language.
     """
-    counts = written(source_counts(docs, least), "divergence-counts")
+    counts = written(source_counts(docs, least, block, held), "divergence-counts")
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     by_lang = counts.where("source is null").groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_n"))
     by_source = counts.where("source is not null").groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
     sources = groups.join(by_source, ["lang", "source"], "left").join(by_lang, "lang", "left").fillna(0, ["source_n", "terms", "lang_n"])
     sources = sources.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
-    sources = sources.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lang")) / SOURCES))
-    sources = sources.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("terms") / TERMS)))
+    sources = sources.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lang")) / tile_sources))
+    sources = sources.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("terms") / tile_terms)))
     sources = written(sources.withColumn("without", _p("0L", "source_n", "terms")), "divergence-sources")
     side = F.broadcast(sources) if small(sources, BROADCAST_ROWS) else sources
-    held = counts.where("source is not null").join(side, ["lang", "source"]).withColumn("p", _p("n", "source_n", "terms"))
+    found = counts.where("source is not null").join(side, ["lang", "source"]).withColumn("p", _p("n", "source_n", "terms"))
 
-    best = held.withColumn("q", _p("total", "lang_n", "terms")).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
+    best = found.withColumn("q", _p("total", "lang_n", "terms")).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
     by_rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     best = best.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= top)
 
-    own = F.floor(F.col("pos") / SOURCES)
+    own = F.floor(F.col("pos") / tile_sources)
     spread = F.explode(F.expr("sequence(0L, blocks - 1)"))
     tile = F.pmod(F.xxhash64("term"), F.col("tiles"))
-    rows = held.select("lang", tile.alias("tile"), "term", "pos", "p", spread.alias("other"))
+    rows = found.select("lang", tile.alias("tile"), "term", "pos", "p", spread.alias("other"))
     bare = sources.withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1)"))).select("lang", "tile", F.lit(None).cast("string").alias("term"), "pos", F.col("without").alias("p"), spread.alias("other"))
     dealt = rows.unionByName(bare).select("lang", "tile", "term", "pos", "p", F.least(own, "other").alias("first"), F.greatest(own, "other").alias("second"))
-    sums = dealt.groupBy("lang", "tile", "first", "second").applyInPandas(_compared, "lang string, a long, b long, value long, zero long, seen long")
+    sums = dealt.groupBy("lang", "tile", "first", "second").applyInPandas(_compared(tile_sources), "lang string, a long, b long, value long, zero long, seen long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"), F.max("zero").alias("zero"))
     names = side.select("lang", "source", "pos", "terms")
     pairs = sums.join(names.withColumnRenamed("pos", "a"), ["lang", "a"]).join(names.select("lang", F.col("source").alias("item"), F.col("pos").alias("b")), ["lang", "b"])

@@ -65,10 +65,9 @@ def test_matches_plain_counting(spark, least):
 
 
 def test_shards_sparse_tiles_and_joins_change_nothing(spark, monkeypatch):
-    for name, value in (("SHARD", 100), ("HELD", 20), ("CELLS", 0), ("BROADCAST_ROWS", 0)):
-        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
     rows = rows_of(2, 60)
-    assert got(frame(spark, rows).repartition(2), least=2, longest=4, top=15) == plain(rows, 2, 4, 15)
+    assert got(frame(spark, rows).repartition(2), least=2, longest=4, top=15, shard=100, held=20, cells=0) == plain(rows, 2, 4, 15)
 
 
 def test_tiles_hold_every_pair_once():

@@ -60,10 +60,9 @@ def test_matches_plain_counting(spark):
 
 
 def test_blocks_tiles_and_flushed_shards_change_nothing(spark, monkeypatch):
-    for name, value in (("SOURCES", 3), ("TERMS", 8), ("HELD", 50), ("BLOCK", 300), ("SMALL", 4), ("BROADCAST_ROWS", 0)):
-        monkeypatch.setattr(divergence, name, value)
+    monkeypatch.setattr(divergence, "BROADCAST_ROWS", 0)
     rows = rows_of(2)
-    assert got(frame(spark, rows).repartition(2), top=5) == plain(rows, top=5)
+    assert got(frame(spark, rows).repartition(2), top=5, block=300, held=50, tile_terms=8, tile_sources=3) == plain(rows, top=5)
 
 
 def test_pointer_sort_orders_bytes_and_keeps_equal_ones_in_order(monkeypatch):
