@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.fuzzy import title_pairs as title_ratios
 from docspark.plans.components import components
 from docspark.plans.prefix import running_sums
 from docspark.plans.storage import cut, written
@@ -148,3 +149,25 @@ def topic_clusters(topics: DataFrame) -> DataFrame:
     follow = follow.groupBy("topic").agg(F.max(F.struct("score", (-F.col("leader")).alias("back"))).alias("best"))
     led = led.select(F.col("node").alias("topic")).unionByName(alone)
     return led.select("topic", F.col("topic").alias("leader"), F.lit(1.0).alias("score")).unionByName(follow.select("topic", (-F.col("best.back")).alias("leader"), "best.score"))
+
+
+def duplicate_titles(topics: DataFrame, least: float = 0.9) -> DataFrame:
+    """(topic, leader): in order of titles (then topics), each topic joins the first group whose first topic's title is alike by
+    ``least`` or more by difflib's ratio, else begins one. ``topics`` has topic and title.
+
+    Titles are compared in lower case without punctuation, equal ones as one; they are numbered by ranges and decided on in
+    rounds that don't grow with chains."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\w\s]", ""), r"\s+", " "))
+    named = written(topics.select("topic", "title", plain.alias("plain")), "titles")
+    first = named.groupBy("plain").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), "topic")).alias("first"))
+    numbered = running_sums(first.select("plain", "first", F.lit(0).alias("all"), F.lit(1).alias("one")), "all", "first", "one", "node")
+    numbered = written(numbered.select("plain", "first", "node"), "titles-numbered")
+    pairs = cut(title_ratios(numbered.select(F.col("node").alias("topic"), F.col("plain").alias("title")), least))
+    hub = lambda c: F.col(c).cast("string").alias("hub")
+    says = numbered.select("node", hub("node"), F.lit(0.0).alias("size"))
+    asks = pairs.select(F.col("b").alias("node"), hub("a"), F.lit(1.0).alias("fixed"), F.lit(0.0).alias("shared"), F.lit(0.0).alias("own"), F.lit(1.0).alias("least"))
+    led = cut(leading(says, asks)[0])
+    joined = pairs.join(led.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")).join(led, "node", "left_anti")
+    found = led.select("node", F.col("node").alias("leader")).unionByName(joined)
+    seed = numbered.select(F.col("node").alias("leader"), F.col("first.topic").alias("seed"))
+    return named.join(numbered.select("plain", "node"), "plain").join(found, "node").join(seed, "leader").select("topic", F.col("seed").alias("leader"))

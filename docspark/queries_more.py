@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as fn
-from docspark.operators import fuzzy, latest, topics
+from docspark.operators import clustering, fuzzy, latest, topics
 from docspark.queries import _TOKENS, _register
 
 
@@ -63,10 +63,8 @@ def set_union_all(v):
 
 @_register()
 def cl_duplicate_titles(v):
-    """Titles alike by 0.9 or more, in groups around the first of each."""
-    t = v("topics").groupBy(F.lower("title").alias("title")).agg(F.min("topic").alias("topic"))
-    pairs = fuzzy.title_pairs(t, 0.9)
-    return topics.leaders(pairs.select("a", "b", "score"), t)
+    """Titles alike by 0.9 or more, in groups around the first of each in order of titles."""
+    return clustering.duplicate_titles(v("topics").select("topic", "title"))
 
 
 @_register("select concat('nation:', context::varchar) as scope, concat('account_', account::varchar) as account_key, category, period, cents, is_total, (cents + 50) // 100 as units from v_facts where cents is not null")
