@@ -46,3 +46,23 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with all rows of the keys in ``new`` replaced by ``new``'s."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def change_feed(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, change, the columns of ``new``, hash): what must happen to ``stored`` so that it becomes ``new``: insert, update, delete
+    or unchanged, one row a key. Both have one row a key and the same columns beside it.
+
+    Rows are compared by a hash of all columns in which null differs from everything but null, so that only keys and hashes
+    of ``stored`` are shuffled. A deleted key's columns are null."""
+    rest = [c for c in new.columns if c != key]
+    digest = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    old = stored.select(F.col(key).alias("_key"), digest.alias("_was"))
+    both = new.withColumn("hash", digest).withColumn("_new", F.lit(True)).join(old, F.col(key) == F.col("_key"), "full")
+    change = F.when(F.col("_key").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("hash") == F.col("_was"), "unchanged").otherwise("update")
+    return both.select(F.coalesce(key, "_key").alias(key), change.alias("change"), *rest, "hash")
+
+
+def applied(stored: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """``stored`` after a change feed: rows of deleted and updated keys go, inserted and updated ones come."""
+    gone = feed.where("change in ('update', 'delete')").select(key)
+    return stored.join(gone, key, "left_anti").unionByName(feed.where("change in ('insert', 'update')").select(*stored.columns))

@@ -94,3 +94,20 @@ def unit_titles(units: DataFrame, bills: DataFrame, statements: DataFrame) -> Da
     named = F.when(F.col("kind") == "meeting_minutes", made(F.lit("Verbale"), "place")).when(F.col("kind") == "regulation", made(F.lit("Regolamento"), "place"))
     pages = F.concat(F.lit("Pagine "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"))
     return df.select("unit", F.coalesce(F.nullif(F.trim("title"), F.lit("")), bill, statement, named, made("organization"), pages).alias("title"))
+
+
+def identities(units: DataFrame, axes: DataFrame, results: DataFrame) -> DataFrame:
+    """(unit, family, context, party, subject, period, confidence): what a unit is filed under, and how sure that is.
+
+    ``units`` has unit, family; ``axes`` unit, context, party, subject (or null); ``results`` unit, specialist, period_from, period_to, due_date,
+    issue_date (ISO texts or null), at most one row a unit: a specialist's family counts before the unit's. The period is a month,
+    or two parted by a slash, from the result's period, else its due or issue date. Confidence grows with the axes that are
+    known, and with a specialist's result, in hundredths."""
+    df = units.join(axes, "unit", "left").join(results, "unit", "left")
+    month = lambda c: F.left(c, F.lit(7))
+    both = F.when(month("period_from") == month("period_to"), month("period_from")).otherwise(F.concat_ws("/", month("period_from"), month("period_to")))
+    period = F.coalesce(F.when(F.col("period_from").isNotNull() & F.col("period_to").isNotNull(), both), month("period_from"), month("period_to"), month("due_date"), month("issue_date"))
+    df = df.select("unit", F.coalesce("specialist", "family").alias("family"), "context", "party", "subject", period.alias("period"), F.col("specialist").isNotNull().alias("special"))
+    filled = sum((F.col(c).isNotNull().cast("int") for c in ("family", "context", "party", "subject", "period")), F.lit(0))
+    sure = F.when(F.col("special") & (filled >= 4), 85).when(F.col("special") & (filled >= 3), 75).when(filled >= 3, 65).when(filled >= 2, 50).when(filled >= 1, 35).otherwise(15)
+    return df.select("unit", "family", "context", "party", "subject", "period", sure.alias("confidence"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docspark.plans.storage import written
+
 #: Lines with two pipes at least, one after another.
 _BLOCK = r"(?m)(?:^[^\n|]*\|[^\n|]*\|[^\n]*(?:\n|\z))+"
 _AMOUNT = r"^(?:-?\d{1,3}(?:\.\d{3})*(?:,\d+)?|-?\d+(?:,\d+)?)$"
@@ -155,17 +157,21 @@ def tables(units: DataFrame) -> DataFrame:
     period_source, headers, lines (array of row_no, cells, amounts). ``units`` has unit, text, html, grid; null columns
     hold no tables. Rows of a unit are handled alone."""
     found = F.concat(*(F.coalesce(x, F.array().cast(_GRIDS)) for x in (pipe_grids(F.col("text")), html_grid(F.col("html")), span_grid(F.col("grid")))))
-    df = units.select("unit", "text", F.posexplode(found).alias("position", "t"))
-    cols = F.when(F.col("t.source") == "markdown", F.size(F.get("t.grid", F.lit(0)))).otherwise(F.array_max(F.transform("t.grid", F.size)))
-    df = df.select("unit", "text", "position", "t.*", cols.alias("cols")).where("cols > 0")
-    df = df.withColumn("headers", _headers(F.col("grid"), F.col("header_rows"), F.col("cols")))
+    # each step is written: else filters and later columns evaluate its expressions again
+    df = units.select("unit", F.array(*statement_period(F.col("text"))).alias("stated"), F.posexplode(found).alias("position", "t"))
+    df = written(df.select("unit", "stated", "position", "t.*"), "statement-grids")
+    cols = F.when(F.col("source") == "markdown", F.size(F.get("grid", F.lit(0)))).otherwise(F.array_max(F.transform("grid", F.size)))
+    df = df.withColumn("cols", cols).where("cols > 0")
     rows = F.filter(F.slice("grid", F.col("skip") + 1, F.greatest(F.size("grid") - F.col("skip"), F.lit(0))), _nonblank)
     width = F.sequence(F.lit(0), F.col("cols") - 1)
-    cells = lambda row: F.transform(width, lambda c: F.coalesce(F.trim(F.get(row, c)), F.lit("")))
-    line = lambda row, i: F.struct((i + 1).alias("row_no"), cells(row).alias("cells"), F.transform(cells(row), amount).alias("amounts"))
-    df = df.withColumn("lines", F.transform(rows, line)).where(F.size("lines") > 0)
+    cells = F.transform(rows, lambda row: F.transform(width, lambda c: F.coalesce(F.trim(F.get(row, c)), F.lit(""))))
+    df = df.withColumn("headers", _headers(F.col("grid"), F.col("header_rows"), F.col("cols"))).withColumn("rows", cells)
+    df = written(df.select("unit", "stated", "position", "source", "table_id", "before", "headers", "rows"), "statement-rows")
+    line = lambda row, i: F.struct((i + 1).alias("row_no"), row.alias("cells"), F.transform(row, amount).alias("amounts"))
+    df = df.where(F.size("rows") > 0).withColumn("lines", F.transform("rows", line)).drop("rows")
+    df = written(df.withColumn("last", F.array(*statement_period(F.col("before"), last=True))), "statement-lines")
     df = df.withColumn("table_type", table_type(F.col("headers"), F.col("lines")))
-    first, last = statement_period(F.col("text")), statement_period(F.col("before"), last=True)
+    first, last = (F.get("stated", F.lit(0)), F.get("stated", F.lit(1))), (F.get("last", F.lit(0)), F.get("last", F.lit(1)))
     local = F.coalesce(last[0], last[1]).isNotNull()
     periods = [F.when(local, x).otherwise(y) for x, y in zip(last, first)]
     source = F.when(local, "preceding_section").otherwise("document_unit")

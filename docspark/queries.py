@@ -8,8 +8,9 @@ from pyspark.sql import Window
 
 from docspark.bridge import view, with_views
 from docspark.functions import text as fn
-from docspark.operators import accounting, contexts, latest, pages, topics
+from docspark.operators import accounting, contexts, latest, pages, rules, topics
 from docspark.plans.components import components
+from docspark.plans.storage import written
 from docspark.streaming import jobs, stateful
 
 QUERIES: dict = {}
@@ -192,9 +193,17 @@ def st_upload_versions(v):
 # --- entities, contexts, graph ---------------------------------------------------------------------------------------
 
 
-@_register("select kind, lower(trim(value)) as entity, max(value) as display, count(*) as mentions, count(distinct document) as documents from v_mentions group by 1, 2")
+@_register("""with m as (select kind, lower(trim(value)) as entity, value, unit, document from v_mentions), t as (select m.kind, m.entity, count(distinct a.topic) as topics from m join v_assignments a on m.unit = a.unit group by 1, 2),
+  e as (select kind, entity, max(value) as display, count(*) as mentions, count(distinct document) as documents from m group by 1, 2)
+  select e.*, coalesce(topics, 0)::bigint as topics, row_number() over (partition by e.kind order by documents desc, mentions desc, e.entity) as nth from e left join t on e.kind = t.kind and e.entity = t.entity""")
 def agg_entity_index(v):
-    return v("mentions").groupBy("kind", F.lower(F.trim("value")).alias("entity")).agg(F.max("value").alias("display"), F.count(F.lit(1)).alias("mentions"), F.count_distinct("document").alias("documents"))
+    """Every entity with its mentions, documents and topics, in order of documents within its kind."""
+    m = v("mentions").select("kind", F.lower(F.trim("value")).alias("entity"), "value", "unit", "document")
+    index = m.groupBy("kind", "entity").agg(F.max("value").alias("display"), F.count(F.lit(1)).alias("mentions"), F.count_distinct("document").alias("documents"))
+    said = m.select("kind", "entity", "unit").distinct().join(v("assignments").select("unit", "topic").distinct(), "unit")
+    said = said.groupBy("kind", "entity").agg(F.count_distinct("topic").alias("topics"))
+    order = Window.partitionBy("kind").orderBy(F.desc("documents"), F.desc("mentions"), "entity")
+    return index.join(said, ["kind", "entity"], "left").na.fill(0, ["topics"]).withColumn("nth", F.row_number().over(order))
 
 
 @_register("""with c as (select n_name as value, concat('canon_', (n_nationkey % 5)::varchar) as canonical from nation) select m.kind, coalesce(c.canonical, lower(trim(m.value))) as entity, (c.canonical is null) as is_auto, count(*) as n
@@ -276,10 +285,16 @@ def agg_topic_anchors(v):
     return topics.anchors(a.join(m, "unit"))
 
 
-@_register("""select t.topic, t.title, count(distinct a.unit) as units, count(distinct u.document) as documents from v_topics t left join v_assignments a on t.topic = a.topic left join v_units u on a.unit = u.unit group by 1, 2""")
+@_register("""with a as (select a.topic, count(distinct a.unit) as units, count(distinct u.document) as documents from v_assignments a left join v_units u on a.unit = u.unit group by 1), p as (select topic, count(*) as proposals, count(*) filter (where status = 'proposed') as open_proposals from v_proposals where topic is not null group by 1),
+  n as (select topic, count(distinct lower(alias)) as aliases from (select topic, unnest([slug, title, description]) as alias from v_topics) group by 1)
+  select t.topic, t.title, coalesce(units, 0)::bigint as units, coalesce(documents, 0)::bigint as documents, coalesce(proposals, 0)::bigint as proposals, coalesce(open_proposals, 0)::bigint as open_proposals, aliases from v_topics t left join a on t.topic = a.topic left join p on t.topic = p.topic join n on t.topic = n.topic""")
 def agg_topic_summary(v):
+    """Topics with their units, documents, proposals and different names."""
     a = v("assignments").join(v("units").select("unit", "document"), "unit", "left").groupBy("topic").agg(F.count_distinct("unit").alias("units"), F.count_distinct("document").alias("documents"))
-    return v("topics").select("topic", "title").join(a, "topic", "left").na.fill(0, ["units", "documents"])
+    p = v("proposals").where("topic is not null").groupBy("topic").agg(F.count(F.lit(1)).alias("proposals"), F.count_if(F.col("status") == "proposed").alias("open_proposals"))
+    names = F.size(F.array_distinct(F.transform(F.array_compact(F.array("slug", "title", "description")), F.lower))).cast("long")
+    df = v("topics").select("topic", "title", names.alias("aliases")).join(a, "topic", "left").join(p, "topic", "left")
+    return df.na.fill(0, ["units", "documents", "proposals", "open_proposals"])
 
 
 @_register("select topic, class, weight, case class when 'PROMO' then 'family' when 'SMALL' then 'entity' when 'LARGE' then 'project' else 'issue' end as topic_kind from v_topics")
@@ -376,12 +391,39 @@ def agg_scan_confidence(v):
 _AXES = """axes as (select unit, arg_min(lower(value), (ordinal, value)) filter (where kind = 'organization') as party, arg_min(lower(value), (ordinal, value)) filter (where kind = 'place') as context, arg_min(lower(value), (ordinal, value)) filter (where kind = 'address') as subject from v_mentions group by unit)"""
 
 
-@_register(f"with {_AXES} select u.unit, u.kind as family, a.party, a.context, a.subject, (a.party is not null)::int + (a.context is not null)::int + (a.subject is not null)::int as filled from v_units u left join axes a on u.unit = a.unit")
+_IDENTITIES = f"""{_AXES}, res as (select unit, 'utility_bill' as specialist, case when unit % 7 > 0 then cast(period_from as varchar) end as f, case when unit % 7 > 1 then cast(period_to as varchar) end as t, case when unit % 3 > 0 then cast(due_date as varchar) end as due, cast(issue_date as varchar) as issued from v_bills
+    union all select distinct unit, 'accounting_statement', concat(year - 1, '-07-01'), concat(year, '-06-30'), null, null from v_charges),
+  filed as (select u.unit, coalesce(r.specialist, u.kind) as family, a.context, a.party, a.subject, coalesce(case when f is not null and t is not null then case when left(f, 7) = left(t, 7) then left(f, 7) else concat(left(f, 7), '/', left(t, 7)) end end, left(f, 7), left(t, 7), left(due, 7), left(issued, 7)) as period, r.specialist is not null as special
+    from v_units u left join axes a on u.unit = a.unit left join res r on u.unit = r.unit),
+  counted as (select *, (family is not null)::int + (context is not null)::int + (party is not null)::int + (subject is not null)::int + (period is not null)::int as n from filed),
+  identity as (select unit, family, context, party, subject, period, case when special and n >= 4 then 85 when special and n >= 3 then 75 when n >= 3 then 65 when n >= 2 then 50 when n >= 1 then 35 else 15 end as confidence from counted)"""
+
+
+@_register(f"with {_IDENTITIES} select * from identity")
 def prj_archive_identity(v):
+    """What every unit is filed under: family, context, party, subject and period, and how sure that is; some bills lack dates."""
     first = lambda k, name: F.min_by(F.when(F.col("kind") == k, F.lower("value")), F.when(F.col("kind") == k, F.struct("ordinal", "value"))).alias(name)
     axes = v("mentions").groupBy("unit").agg(first("organization", "party"), first("place", "context"), first("address", "subject"))
-    df = v("units").select("unit", F.col("kind").alias("family")).join(axes, "unit", "left")
-    return df.withColumn("filled", sum((F.col(c).isNotNull().cast("int") for c in ("party", "context", "subject")), F.lit(0)))
+    some = lambda c, yes: F.when(yes, F.col(c).cast("string")).alias(c)
+    u, always = F.col("unit"), F.lit(True)
+    bill = v("bills").select("unit", F.lit("utility_bill").alias("specialist"), some("period_from", u % 7 > 0), some("period_to", u % 7 > 1), some("due_date", u % 3 > 0), some("issue_date", always))
+    none = F.lit(None).cast("string")
+    year = F.col("year")
+    statement = v("charges").select("unit", "year").distinct().select("unit", F.lit("accounting_statement").alias("specialist"), F.concat((year - 1).cast("string"), F.lit("-07-01")).alias("period_from"), F.concat(year.cast("string"), F.lit("-06-30")).alias("period_to"), none.alias("due_date"), none.alias("issue_date"))
+    return rules.identities(v("units").select("unit", F.col("kind").alias("family")), axes, bill.unionByName(statement))
+
+
+_STORED = "stored as (select case when unit % 10 = 2 then -unit else unit end as unit, family, case when unit % 10 = 1 then 'elsewhere' when unit % 10 = 3 then null else context end as context, party, subject, period, case when unit % 10 = 4 then confidence + 1 else confidence end as confidence from identity where unit % 10 <> 0)"
+
+
+@_register(f"""with {_IDENTITIES}, {_STORED}
+  select coalesce(i.unit, s.unit) as unit, case when s.unit is null then 'insert' when i.unit is null then 'delete' when i.context is not distinct from s.context and i.confidence = s.confidence then 'unchanged' else 'update' end as change, i.family, i.context, i.party, i.subject, i.period, coalesce(i.confidence, 0) as confidence from identity i full join stored s on i.unit = s.unit""")
+def apply_identity_changes(v):
+    """Derived identities against stored ones, which lack some, hold others of old, and have some that are gone: what changes."""
+    new = written(prj_archive_identity(v), "identities")
+    t = F.col("unit") % 10
+    stored = new.where(t != 0).select(F.when(t == 2, -F.col("unit")).otherwise(F.col("unit")).alias("unit"), "family", F.when(t == 1, "elsewhere").when(t != 3, F.col("context")).alias("context"), "party", "subject", "period", (F.col("confidence") + (t == 4).cast("int")).alias("confidence"))
+    return latest.change_feed(stored, new, "unit").drop("hash").na.fill(0, ["confidence"])
 
 
 @_register(f"with {_BREAKDOWN} select context, account, period, n_categories, n_totals from breakdown where status = 'inconsistent_total'")

@@ -26,10 +26,14 @@ from docspark.queries_statements import _SUMS, fn_statement_type
   union all select unit, 'utility_bill', predicate, object from y where object is not null union all select unit, 'accounting_statement', predicate, object from z where object is not null""")
 def prj_graph_assertions(v):
     """Typed assertions of every unit from its kind, its entities, its bill (here: every eleventh has no usable issuer) and its statement."""
-    checks = statements.checks(written(statements.tables(v("statements")), "statement-tables")).where("status is not null")
+    said = written(v("statements"), "statement-texts")
+    checks = statements.checks(written(statements.tables(said), "statement-tables")).where("status is not null")
     status = F.when(F.bool_or(F.col("status") == "fail"), "fail").when(F.bool_or(F.col("status") == "pass"), "pass").otherwise("unknown")
-    s = fn_statement_type(v).join(checks.groupBy("unit").agg(status.alias("validation")), "unit", "left")
+    period = statements.statement_period(F.col("text"))
+    typed = said.select("unit", statements.statement_type(F.col("text")).alias("statement_type"), period[0].alias("period_from"), period[1].alias("period_to"))
+    s = written(typed.join(checks.groupBy("unit").agg(status.alias("validation")), "unit", "left"), "statements-read")
     b = bills.bill_fields(bridge.bill_texts(v("bills"))).withColumn("issuer", F.when(F.col("unit") % 11 == 0, F.lit("<table><tr>")).otherwise(F.col("issuer")))
+    b = written(b, "bills-read")
     return knowledge.assertions(v("units").select("unit", "kind"), win_about_node(v), b, s)
 
 
