@@ -66,3 +66,39 @@ def applied(stored: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """``stored`` after a change feed: rows of deleted and updated keys go, inserted and updated ones come."""
     gone = feed.where("change in ('update', 'delete')").select(key)
     return stored.join(gone, key, "left_anti").unionByName(feed.where("change in ('insert', 'update')").select(*stored.columns))
+
+
+def pending_work(wanted: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """(unit, specialist, input_version) of the work that must be queued.
+
+    ``wanted`` has unit, specialist, input_version; ``jobs`` unit, specialist, created, job, status; ``results`` unit, specialist,
+    created, result, input_version. Work waits or is done if the latest job of its unit and specialist is queued, pending, processing or
+    succeeded, or the latest result was made from the same input; a failed job over a new input is queued again."""
+    keys = ["unit", "specialist"]
+    job = latest_per_key(jobs.select(*keys, "created", "job", "status"), keys, ["created", "job"]).select(*keys, "status")
+    made = latest_per_key(results.select(*keys, "created", "result", F.col("input_version").alias("made_from")), keys, ["created", "result"]).select(*keys, "made_from")
+    df = wanted.join(job, keys, "left").join(made, keys, "left")
+    busy = F.coalesce(F.col("status").isin("queued", "pending", "processing", "succeeded"), F.lit(False))
+    done = F.coalesce(F.col("made_from") == F.col("input_version"), F.lit(False))
+    return df.where(~busy & ~done).select(*keys, "input_version")
+
+
+def document_overview(documents: DataFrame, units: DataFrame, rotations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row a document: scans, units, newest, latest_kind, needs_review, rotation, reversed_order, job_status, job_error.
+
+    ``documents`` has document; ``units`` document, scan, unit, kind, created, unsure; ``rotations`` document, created, result, rotation,
+    reversed_order (of the OCR results); ``jobs`` document, created, job, status, error. Of results and jobs the latest counts. Documents
+    without any of them stay, with zeros, false and nulls."""
+    count = units.groupBy("document").agg(
+        F.count_distinct("scan").alias("scans"),
+        F.count(F.lit(1)).alias("units"),
+        F.max("created").alias("newest"),
+        F.max_by("kind", F.struct("created", "unit")).alias("latest_kind"),
+        F.bool_or("unsure").alias("needs_review"),
+    )
+    turned = latest_per_key(rotations.select("document", "created", "result", "rotation", "reversed_order"), ["document"], ["created", "result"]).select("document", "rotation", "reversed_order")
+    last = latest_per_key(jobs.select("document", "created", "job", "status", "error"), ["document"], ["created", "job"]).select("document", F.col("status").alias("job_status"), F.col("error").alias("job_error"))
+    df = documents.select("document").distinct()
+    for side in (count, turned, last):
+        df = df.join(side, "document", "left")
+    return df.na.fill(0, ["scans", "units"]).na.fill(0, ["rotation"]).na.fill(False, ["needs_review", "reversed_order"])

@@ -150,13 +150,6 @@ def apply_document_reset(v):
     return units.join(gone, "document", "left_anti").select("unit", "document", "kind")
 
 
-@_register("""select unit, kind from v_units u where not exists (select 1 from (select unit from v_assignments where confidence >= 8) d where d.unit = u.unit)""")
-def join_pending_specialist_work(v):
-    """Units whose work isn't done yet."""
-    done = v("assignments").where("confidence >= 8").select("unit").distinct()
-    return v("units").select("unit", "kind").join(done, "unit", "left_anti")
-
-
 def _tracked(jobs: DataFrame) -> DataFrame:
     """Some jobs are specialists', whose statuses have other names."""
     special = F.col("job") % 4 == 0
@@ -377,9 +370,20 @@ def agg_archive_counts(v):
     return out
 
 
-@_register("select document, count(*) as units, max(created) as newest, arg_max(kind, (created, unit)) as latest_kind, bool_or(seg_conf < 70 or class_conf < 70) as needs_review from v_units group by 1")
+@_register("""with c as (select document, count(distinct unit // 4) as scans, count(*) as units, max(created) as newest, arg_max(kind, (created, unit)) as latest_kind, bool_or(seg_conf < 70 or class_conf < 70) as needs_review from v_units group by 1),
+  r as (select user_id as document, arg_max((event_id % 7 % 3) * 90, (ts, event_id))::int as rotation, arg_max(event_id % 4 = 0, (ts, event_id)) as reversed_order from events where event_id % 2 = 0 group by 1),
+  j as (select job as document, arg_max(status, (ts, event)) as job_status, arg_max(case when status = 'failed' then concat('error ', event::varchar) else '' end, (ts, event)) as job_error from v_jobs group by 1)
+  select d.c_custkey as document, coalesce(scans, 0)::bigint as scans, coalesce(units, 0)::bigint as units, strftime(newest, '%Y-%m-%d') as newest, latest_kind, coalesce(needs_review, false) as needs_review, coalesce(rotation, 0)::int as rotation, coalesce(reversed_order, false) as reversed_order, job_status, nullif(job_error, '') as job_error
+  from customer d left join c on d.c_custkey = c.document left join r on d.c_custkey = r.document left join j on d.c_custkey = j.document""")
 def agg_document_overview(v):
-    return v("units").groupBy("document").agg(F.count(F.lit(1)).alias("units"), F.max("created").alias("newest"), F.max_by("kind", F.struct("created", "unit")).alias("latest_kind"), F.bool_or((F.col("seg_conf") < 70) | (F.col("class_conf") < 70)).alias("needs_review"))
+    """Every document that was read, with its scans, units, rotation and latest job."""
+    unsure = (F.col("seg_conf") < 70) | (F.col("class_conf") < 70)
+    units = v("units").select("document", F.floor(F.col("unit") / 4).alias("scan"), "unit", "kind", "created", unsure.alias("unsure"))
+    e = F.col("event_id")
+    rotations = v("events").where("event_id % 2 = 0").select(F.col("user_id").alias("document"), F.col("ts").alias("created"), e.alias("result"), ((e % 7 % 3) * 90).cast("int").alias("rotation"), (e % 4 == 0).alias("reversed_order"))
+    error = F.when(F.col("status") == "failed", F.concat(F.lit("error "), F.col("event").cast("string")))
+    found = latest.document_overview(v("customer").select(F.col("c_custkey").alias("document")), units, rotations, v("jobs").select(F.col("job").alias("document"), F.col("ts").alias("created"), F.col("event").alias("job"), "status", error.alias("error")))
+    return found.withColumn("newest", F.date_format("newest", "yyyy-MM-dd"))
 
 
 @_register("select document, round(avg(coalesce(nullif(seg_conf, 0), 0)), 6) as with_nulls, round(avg(nullif(class_conf, 0)), 6) as without_nulls from v_units group by 1")

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from docspark import bridge
 from docspark.functions import text as fn
-from docspark.operators import bills, rules, statements
+from docspark.operators import bills, latest, rules, statements
+from docspark.plans.storage import written
 from docspark.queries import _register, _topic_tokens, _TOKENS
 from docspark.queries_consolidation import _FAMILY
 from docspark.queries_more import _ANCHOR, _anchors
 from docspark.queries_statements import _FACTS, _SUMS
 
 
-@_register(f"""with x as (select unit, 'bolletta' as document_type, unit % 2 = 0 as typed, concat('enel bolletta fornitura data di emissione totale bolletta pod energia elettrica ', issuer) as t from v_bills),
+_ROUTED = f"""with x as (select unit, 'bolletta' as document_type, unit % 2 = 0 as typed, concat('enel bolletta fornitura data di emissione totale bolletta pod energia elettrica ', issuer) as t from v_bills),
   r as (select unit, case when typed then document_type end as kind from x union all select unit, case when unit % 2 = 0 then 'rendiconto_contabile' end from (select distinct unit from v_charges))
   select unit, case when unit in (select unit from v_bills) then 'utility_bill' else 'accounting_statement' end as specialists from r
-  where unit in (select unit from v_bills) or unit % 2 = 0 or unit in (with {_SUMS} select unit from t where title in ('R', 'B'))""")
+  where unit in (select unit from v_bills) or unit % 2 = 0 or unit in (with {_SUMS} select unit from t where title in ('R', 'B'))"""
+
+
+@_register(_ROUTED)
 def flt_specialist_routing(v):
     """Bills and statements sent to their specialists, by type where it is known, else by their words."""
     bill = bridge.bill_texts(v("bills")).select("unit", F.when(F.col("unit") % 2 == 0, "bolletta").alias("kind"), "text")
@@ -26,6 +30,20 @@ def flt_specialist_routing(v):
     return df.where(F.size("s") > 0).select("unit", F.array_join("s", ",").alias("specialists"))
 
 
+@_register(f"""with routed as ({_ROUTED}), w as (select unit, specialists as specialist, concat('ocr', (unit // 4)::varchar, ':1-', (unit % 3 + 1)::varchar) as input_version from routed),
+  j as (select event as unit, case when job % 2 = 0 then 'utility_bill' else 'accounting_statement' end as specialist, arg_max(status, (ts, job)) as status from v_jobs group by 1, 2),
+  r as (select unit, specialists as specialist, concat('ocr', (unit // 4)::varchar, ':1-', (unit % 2 + 1)::varchar) as made from routed where unit % 3 > 0)
+  select w.unit, w.specialist, w.input_version from w left join j on w.unit = j.unit and w.specialist = j.specialist left join r on w.unit = r.unit and w.specialist = r.specialist
+  where not coalesce(j.status in ('queued', 'pending', 'processing', 'succeeded'), false) and not coalesce(r.made = w.input_version, false)""")
+def join_pending_specialist_work(v):
+    """Specialists' work that must be queued: routed, without a job that waits or is done, and without a result of the same input."""
+    routed = written(flt_specialist_routing(v).select("unit", F.explode(F.split("specialists", ",")).alias("specialist")), "routed")
+    version = lambda last: F.concat(F.lit("ocr"), F.floor(F.col("unit") / 4).cast("string"), F.lit(":1-"), last.cast("string")).alias("input_version")
+    jobs = v("jobs").select(F.col("event").alias("unit"), F.when(F.col("job") % 2 == 0, "utility_bill").otherwise("accounting_statement").alias("specialist"), F.col("ts").alias("created"), "job", "status")
+    results = routed.where("unit % 3 > 0").select("unit", "specialist", F.lit(1).alias("created"), F.col("unit").alias("result"), version(F.col("unit") % 2 + 1))
+    return latest.pending_work(routed.select("unit", "specialist", version(F.col("unit") % 3 + 1)), jobs, results)
+
+
 _FAM = "case when contains(t, 'regolamento') and (contains(t, 'art.') or contains(t, 'articolo')) then 'normative' when contains(t, 'verbale') or contains(t, 'convocazione') then 'meeting' when contains(t, 'bolletta') or contains(t, 'servizio idrico') or contains(t, 'pod') or contains(t, 'pdr') then 'utility_vendor' when contains(t, 'rendiconto') or contains(t, 'riparto') or contains(t, 'fattura') then 'financial' else 'general' end"
 
 
