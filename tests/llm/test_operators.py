@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from docspark.llm import bpe, fingerprints, language, licenses, neighbours, ngram_join, packing, pii, quality, url_filter
+from docspark.llm import bpe, fingerprints, language, licenses, neighbours, ngram_join, packing, pii, quality, queries, url_filter
 
 ODD = [(1, None), (2, ""), (3, "   \n"), (4, "one"), (5, "one"), (5, "one"), (6, "word " * 3000), (7, "Ünï cødé 😀 text here"), (None, "no id at all here"), (8, "a<|endoftext|>b")]
 
@@ -313,6 +313,18 @@ def test_pii(spark, docs, odd, none):
     assert pii.personal_data(odd).count() == len(ODD) and pii.personal_data(none).count() == 0
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    """Spans that the method adds are listed, but not counted."""
+    rows = [(1, "3138160609473914 77667++2 and my credit card 4111 1111 1111 1112 ok"), (2, "mail a.b@c.de, ip 10.0.0.1, +1 302 555 8032, card 4111 1111 1111 1111"), (3, "write to john [at] mail (dot) com please"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op4_pii(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        base = _base(text)
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [base.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert got[3].spans == "email:9:33" and got[3].n_email == 0
+
+
 def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
