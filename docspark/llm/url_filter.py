@@ -11,8 +11,8 @@ from docspark.plans.storage import cut, written
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 _HOST_NAME = r"[a-z0-9-]+(?:\.[a-z0-9-]+)+"

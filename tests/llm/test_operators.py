@@ -134,6 +134,14 @@ def test_url_rules(spark):
     assert got[5].rule == "net/de/" and got[6].rule == "example.net/de/8" and got[7].rule is None and got[8].path == ""
 
 
+def test_url_rules_are_the_contracts(spark):
+    """Each rule's word, and the longer rule over the shorter one."""
+    urls = {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://x.net/de/8": ("net/de/", "allow"), "http://m.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://b.org/es/": ("org/es/", "block")}
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(df).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_url_verdicts_follow_links(spark, none):
     """Hosts without a rule, against PageRank by matrices over links that brute force finds."""
     random = np.random.default_rng(8)
