@@ -6,12 +6,12 @@ of a unit stay arrays of that unit's row until they are exploded, so parsing nee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docspark.plans.storage import written
-
 #: Lines with two pipes at least, one after another.
 _BLOCK = r"(?m)(?:^[^\n|]*\|[^\n|]*\|[^\n]*(?:\n|\z))+"
 _AMOUNT = r"^(?:-?\d{1,3}(?:\.\d{3})*(?:,\d+)?|-?\d+(?:,\d+)?)$"
@@ -39,18 +39,26 @@ SIGNED = ["closing_balance", "opening_balance"]
 GRID = "struct<num_rows:int,num_cols:int,table_cells:array<struct<start_row_offset_idx:int,end_row_offset_idx:int,start_col_offset_idx:int,end_col_offset_idx:int,text:string,column_header:boolean,row_header:boolean>>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often and in whatever lambdas ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def amount(value: Column) -> Column:
     """A whole cell as an Italian amount, null if it is anything else."""
-    bare = F.translate(value, "€ ", "")
-    return F.when(bare.rlike(_AMOUNT), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double"))
+    read = lambda bare: F.when(bare.rlike(_AMOUNT), F.translate(bare, ",.", ".").cast("double"))
+    return once(F.translate(value, "€ ", ""), read)
 
 
 def iso_date(value: Column) -> Column:
     """d/m/y, with two-digit years up to 49 in this century."""
-    part = F.split(value, "[/-]")
-    year = F.get(part, F.lit(2))
-    full = F.when(F.length(year) == 2, F.concat(F.when(year.cast("int") < 50, "20").otherwise("19"), year)).otherwise(year)
-    return F.concat(full, F.lit("-"), F.lpad(F.get(part, F.lit(1)), 2, "0"), F.lit("-"), F.lpad(F.get(part, F.lit(0)), 2, "0"))
+
+    def iso(part: Column) -> Column:
+        year = F.get(part, F.lit(2))
+        full = F.when(F.length(year) == 2, F.concat(F.when(year.cast("int") < 50, "20").otherwise("19"), year)).otherwise(year)
+        return F.concat(full, F.lit("-"), F.lpad(F.get(part, F.lit(1)), 2, "0"), F.lit("-"), F.lpad(F.get(part, F.lit(0)), 2, "0"))
+
+    return once(F.split(value, "[/-]"), iso)
 
 
 def statement_type(text: Column) -> Column:
@@ -82,16 +90,16 @@ def _nonblank(row: Column) -> Column:
 
 def pipe_grids(text: Column) -> Column:
     """Tables of pipes in a text: array of (source, table_id, grid, header_rows, skip, before)."""
-    blocks, parts = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0)), F.split(text, _BLOCK, -1)
+    both = F.struct(F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0)).alias("blocks"), F.split(text, _BLOCK, -1).alias("parts"))
 
-    def table(block: Column, i: Column) -> Column:
+    def table(block: Column, i: Column, blocks: Column, parts: Column) -> Column:
         lines = F.filter(F.split(block, "\r?\n"), lambda x: x != "")
         grid = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), F.trim))
         before = F.concat(F.array_join(F.transform(F.slice(blocks, F.lit(1), i), lambda b, j: F.concat(F.get(parts, j), b)), ""), F.get(parts, i))
         table_id = F.concat(F.lit("table_"), (i + 1).cast("string"))
         return F.struct(F.lit("markdown").alias("source"), table_id.alias("table_id"), grid.alias("grid"), F.lit(1).alias("header_rows"), F.lit(2).alias("skip"), before.alias("before"))
 
-    return F.transform(blocks, table)
+    return once(both, lambda x: F.transform(x["blocks"], lambda block, i: table(block, i, x["blocks"], x["parts"])))
 
 
 def html_grid(html: Column) -> Column:
@@ -103,7 +111,11 @@ def html_grid(html: Column) -> Column:
         cells = F.transform(F.regexp_extract_all(tr, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]\s*>"), F.lit(0)), plain)
         return F.struct(cells.alias("cells"), tr.rlike(r"(?i)<th[\s>]").alias("th"))
 
-    rows = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), F.lit(1)), row), lambda r: _nonblank(r["cells"]))
+    found = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), F.lit(1)), row), lambda r: _nonblank(r["cells"]))
+    return once(found, _html_table)
+
+
+def _html_table(rows: Column) -> Column:
     told = F.array_max(F.transform(rows, lambda r, i: F.when(r["th"], i + 1).otherwise(0)))
     first = F.get(rows, F.lit(0))["cells"]
     inferred = F.when((F.size(rows) > 1) & ~F.exists(first, lambda x: amount(x).isNotNull()), 1).otherwise(0)
@@ -117,7 +129,10 @@ _GRIDS = "array<struct<source:string,table_id:string,grid:array<array<string>>,h
 
 def span_grid(json: Column) -> Column:
     """A table given as cells with spans: each place takes the first cell with text that covers it."""
-    data = F.from_json(json, GRID)
+    return once(F.from_json(json, GRID), _span_table)
+
+
+def _span_table(data: Column) -> Column:
     cells, rows, cols = data["table_cells"], data["num_rows"], data["num_cols"]
 
     def at(r: Column, c: Column) -> Column:
@@ -139,49 +154,55 @@ def _headers(grid: Column, rows: Column, cols: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def name(c: Column) -> Column:
-        add = lambda acc, row: F.when((F.coalesce(F.trim(F.get(row, c)), F.lit("")) != "") & ((F.size(acc) == 0) | (F.element_at(acc, -1) != F.trim(F.get(row, c)))), F.concat(acc, F.array(F.trim(F.get(row, c))))).otherwise(acc)
-        parts = F.aggregate(F.slice(grid, F.lit(1), rows), none, lambda acc, row: F.coalesce(add(acc, row), acc))
-        return F.when(F.size(parts) > 0, F.array_join(parts, " / ")).otherwise(F.concat(F.lit("column_"), (c + 1).cast("string")))
-
-    bases = F.transform(F.sequence(F.lit(0), cols - 1), name)
+        add = lambda acc, x: F.when((F.coalesce(x, F.lit("")) != "") & ((F.size(acc) == 0) | (F.element_at(acc, -1) != x)), F.concat(acc, F.array(x))).otherwise(acc)
+        parts = F.aggregate(F.transform(F.slice(grid, F.lit(1), rows), lambda row: F.trim(F.get(row, c))), none, lambda acc, x: F.coalesce(add(acc, x), acc))
+        return once(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, " / ")).otherwise(F.concat(F.lit("column_"), (c + 1).cast("string"))))
 
-    def unique(base: Column, i: Column) -> Column:
+    def unique(base: Column, i: Column, bases: Column) -> Column:
         nth = F.size(F.filter(F.slice(bases, F.lit(1), i + 1), lambda x: x == base))
         return F.when(nth == 1, base).when(nth == 2, F.concat(base, F.lit(" / categoria"))).otherwise(F.concat_ws(" / ", base, nth.cast("string")))
 
-    return F.transform(bases, unique)
+    return once(F.transform(F.sequence(F.lit(0), cols - 1), name), lambda bases: F.transform(bases, lambda base, i: unique(base, i, bases)))
 
 
 def tables(units: DataFrame) -> DataFrame:
     """One row for each table with a row of data: unit, position, source, table_id, table_type, role, period_from, period_to,
     period_source, headers, lines (array of row_no, cells, amounts). ``units`` has unit, text, html, grid; null columns
-    hold no tables. Rows of a unit are handled alone."""
+    hold no tables. Rows of a unit are handled alone, and its tables are read within one array, so that no step is written
+    and none is evaluated again by what filters or columns come after."""
     found = F.concat(*(F.coalesce(x, F.array().cast(_GRIDS)) for x in (pipe_grids(F.col("text")), html_grid(F.col("html")), span_grid(F.col("grid")))))
-    # each step is written: else filters and later columns evaluate its expressions again
-    df = units.select("unit", F.array(*statement_period(F.col("text"))).alias("stated"), F.posexplode(found).alias("position", "t"))
-    df = written(df.select("unit", "stated", "position", "t.*"), "statement-grids")
-    cols = F.when(F.col("source") == "markdown", F.size(F.get("grid", F.lit(0)))).otherwise(F.array_max(F.transform("grid", F.size)))
-    df = df.withColumn("cols", cols).where("cols > 0")
-    rows = F.filter(F.slice("grid", F.col("skip") + 1, F.greatest(F.size("grid") - F.col("skip"), F.lit(0))), _nonblank)
-    width = F.sequence(F.lit(0), F.col("cols") - 1)
-    cells = F.transform(rows, lambda row: F.transform(width, lambda c: F.coalesce(F.trim(F.get(row, c)), F.lit(""))))
-    df = df.withColumn("headers", _headers(F.col("grid"), F.col("header_rows"), F.col("cols"))).withColumn("rows", cells)
-    df = written(df.select("unit", "stated", "position", "source", "table_id", "before", "headers", "rows"), "statement-rows")
+    cols = lambda t: F.when(t["source"] == "markdown", F.size(F.get(t["grid"], F.lit(0)))).otherwise(F.array_max(F.transform(t["grid"], F.size)))
+    wide = F.filter(F.transform(found, lambda t, i: F.struct(i.alias("position"), cols(t).alias("cols"), t.alias("t"))), lambda x: x["cols"] > 0)
+    filled = F.filter(F.transform(wide, lambda x: _rows(x["position"], x["cols"], x["t"])), lambda x: F.size(x["lines"]) > 0)
+    read = once(F.array(*statement_period(F.col("text"))), lambda stated: F.transform(filled, lambda x: _table(x, stated)))
+    return units.select("unit", F.explode(read).alias("t")).select("unit", "t.*")
+
+
+def _rows(position: Column, cols: Column, t: Column) -> Column:
+    """Headers of a grid, and its rows of data, as wide as the table, with their amounts."""
+    rows = F.filter(F.slice(t["grid"], t["skip"] + 1, F.greatest(F.size(t["grid"]) - t["skip"], F.lit(0))), _nonblank)
+    cells = once(F.sequence(F.lit(0), cols - 1), lambda w: F.transform(rows, lambda row: F.transform(w, lambda c: F.coalesce(F.trim(F.get(row, c)), F.lit("")))))
     line = lambda row, i: F.struct((i + 1).alias("row_no"), row.alias("cells"), F.transform(row, amount).alias("amounts"))
-    df = df.where(F.size("rows") > 0).withColumn("lines", F.transform("rows", line)).drop("rows")
-    df = written(df.withColumn("last", F.array(*statement_period(F.col("before"), last=True))), "statement-lines")
-    df = df.withColumn("table_type", table_type(F.col("headers"), F.col("lines")))
-    first, last = (F.get("stated", F.lit(0)), F.get("stated", F.lit(1))), (F.get("last", F.lit(0)), F.get("last", F.lit(1)))
-    local = F.coalesce(last[0], last[1]).isNotNull()
-    periods = [F.when(local, x).otherwise(y) for x, y in zip(last, first)]
+    last = F.array(*statement_period(t["before"], last=True))
+    return F.struct(position.alias("position"), t["source"].alias("source"), t["table_id"].alias("table_id"), t["before"].alias("before"), _headers(t["grid"], t["header_rows"], cols).alias("headers"), F.transform(cells, line).alias("lines"), last.alias("last"))
+
+
+def _table(x: Column, stated: Column) -> Column:
+    local = F.coalesce(F.get(x["last"], F.lit(0)), F.get(x["last"], F.lit(1))).isNotNull()
+    period = lambda i: F.when(local, F.get(x["last"], F.lit(i))).otherwise(F.get(stated, F.lit(i)))
     source = F.when(local, "preceding_section").otherwise("document_unit")
-    role = table_role(F.col("table_type"), F.col("headers"), F.coalesce("before", F.lit("")))
-    return df.select("unit", "position", "source", "table_id", "table_type", role.alias("role"), periods[0].alias("period_from"), periods[1].alias("period_to"), source.alias("period_source"), "headers", "lines")
+    role = lambda kind: table_role(kind, x["headers"], F.coalesce(x["before"], F.lit("")))
+    same = lambda *names: [x[n].alias(n) for n in names]
+    told = lambda kind: F.struct(*same("position", "source", "table_id"), kind.alias("table_type"), role(kind).alias("role"), period(0).alias("period_from"), period(1).alias("period_to"), source.alias("period_source"), *same("headers", "lines"))
+    return once(table_type(x["headers"], x["lines"]), told)
 
 
 def table_type(headers: Column, lines: Column) -> Column:
-    head = F.lower(F.array_join(headers, " "))
     sample = F.lower(F.array_join(F.flatten(F.transform(F.slice(lines, 1, 5), lambda r: r["cells"])), " "))
+    return once(F.struct(F.lower(F.array_join(headers, " ")).alias("head"), sample.alias("sample")), lambda x: _type_of(x["head"], x["sample"], lines))
+
+
+def _type_of(head: Column, sample: Column, lines: Column) -> Column:
     any_of = lambda text, *words: F.greatest(*(text.contains(w) for w in words), F.lit(False))
     balance = F.exists(lines, lambda r: F.lower(F.array_join(r["cells"], " ")).contains("saldo"))
     flat = any_of(head, "appartamento", "scala", "unita") | any_of(sample, "appartamento", "postoauto") | sample.rlike(r"\b[a-d]\d{1,2}\b")
@@ -202,11 +223,11 @@ def is_ledger(headers: Column) -> Column:
 
 def table_role(kind: Column, headers: Column, before: Column) -> Column:
     """Of all phrases before the table the one that begins last decides."""
-    place = lambda p: F.length(F.regexp_extract(before, "(?is)^(.*)(?:" + p + ")", 1)) + F.when(before.rlike("(?is)" + p), 1).otherwise(0)
+    place = lambda p: F.when(before.rlike("(?is)" + p), F.length(F.regexp_extract(before, "(?is)^(.*)(?:" + p + ")", 1)) + 1).otherwise(0)
     starts = F.filter(F.array(*(F.struct(place(p).alias("at"), F.lit(-i).alias("nth"), F.lit(name).alias("role")) for i, (name, p) in enumerate(ROLES))), lambda x: x["at"] > 0)
-    said = F.array_max(starts)["role"]
-    part = F.when(said == "budget_summary", "budget_allocation").when(said == "actual_summary", "actual_allocation").otherwise(said)
-    return F.when(kind == "payment_schedule", "budget_installment_schedule").when(is_ledger(headers), "actual_payments").when(kind == "expense_allocation", part).otherwise(said)
+    part = lambda said: F.when(said == "budget_summary", "budget_allocation").when(said == "actual_summary", "actual_allocation").otherwise(said)
+    told = once(F.array_max(starts)["role"], lambda said: F.when(kind == "expense_allocation", part(said)).otherwise(said))
+    return F.when(kind == "payment_schedule", "budget_installment_schedule").when(is_ledger(headers), "actual_payments").otherwise(told)
 
 
 def _marked(line: Column) -> Column:
@@ -219,15 +240,17 @@ def totals(found: DataFrame) -> DataFrame:
     marked = F.filter("lines", lambda r: _marked(r).contains("totale") | _marked(r).contains("saldo finale"))
 
     def entries(r: Column) -> Column:
-        m, known = _marked(r), F.filter(r["amounts"], lambda x: x.isNotNull())
+        known = F.filter(r["amounts"], lambda x: x.isNotNull())
+        return once(F.struct(_marked(r).alias("m"), known.alias("known")), lambda x: named(r, x["m"], x["known"]))
+
+    def named(r: Column, m: Column, known: Column) -> Column:
         label = F.when(m.contains("totale gestione"), "Totale gestione").when(m.contains("saldo finale"), "Saldo finale").when(m.contains("totale dovuto"), "Totale dovuto").otherwise("Totale")
         own = F.filter(F.array(F.struct(label.alias("name"), F.element_at(known, -1).alias("amount"))), lambda x: F.size(known) > 0)
         by_column = F.filter(F.zip_with("headers", r["amounts"], lambda h, a: F.struct(h.alias("name"), a.alias("amount"))), lambda x: x["amount"].isNotNull())
         return F.concat(own, by_column)
 
-    df = found.withColumn("e", F.flatten(F.transform(marked, entries)))
-    last = F.transform(F.array_distinct(F.transform("e", lambda x: x["name"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter("e", lambda x: x["name"] == n), -1)["amount"].alias("amount")))
-    return df.select("unit", "position", "table_id", "table_type", "headers", "lines", last.alias("totals"))
+    last = lambda e: F.transform(F.array_distinct(F.transform(e, lambda x: x["name"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter(e, lambda x: x["name"] == n), -1)["amount"].alias("amount")))
+    return found.select("unit", "position", "table_id", "table_type", "headers", "lines", once(F.flatten(F.transform(marked, entries)), last).alias("totals"))
 
 
 def _picked(entries: Column, *hints: str) -> Column:
@@ -280,13 +303,16 @@ def sections(found: DataFrame) -> DataFrame:
 
 
 def _subject(x: Column) -> Column:
-    blocked = F.greatest(*(F.lower(x).contains(w) for w in ("fatt.", "rata ", "totale", "saldo", "euro")))
+    blocked = once(F.lower(x), lambda low: F.greatest(*(low.contains(w) for w in ("fatt.", "rata ", "totale", "saldo", "euro"))))
     return (F.length(x) <= 72) & ~blocked & (F.size(F.regexp_extract_all(x, F.lit("[A-Za-zÀ-ÖØ-öø-ÿ']+"), F.lit(0))) >= 2)
 
 
 def account_identity(headers: Column, cells: Column) -> Column:
     """(unit_code, subject) of a line: a name with its code, a code before a name, or a cell with each; null without both."""
-    filled = F.filter(F.zip_with(headers, cells, lambda h, v: F.struct(h.alias("h"), v.alias("v"))), lambda x: x["v"] != "")
+    return once(F.filter(F.zip_with(headers, cells, lambda h, v: F.struct(h.alias("h"), v.alias("v"))), lambda x: x["v"] != ""), _identity)
+
+
+def _identity(filled: Column) -> Column:
     code = lambda x: F.replace(F.upper(x), F.lit(" "), F.lit(""))
     pair = lambda c, s: F.struct(code(c).alias("unit_code"), F.trim(F.regexp_replace(s, r"\s+", " ")).alias("subject"))
     after = r"(?i)^\s*(.+?)\s*\(([A-Z]{1,2}\s*\d{1,3})\)\s*$"
@@ -299,14 +325,18 @@ def account_identity(headers: Column, cells: Column) -> Column:
     one = first(F.transform(F.filter(filled, is_name), lambda x: named(x["v"])))
     two = first(F.transform(filled, lambda x: prefixed(x["v"])))
     bare = code(F.regexp_extract(F.get(F.filter(filled, lambda x: x["v"].rlike(alone)), F.lit(0))["v"], alone, 1))
-    who = F.get(F.filter(filled, lambda x: _subject(x["v"]) & ~F.lower(x["v"]).contains(F.lower(bare))), F.lit(0))["v"]
-    three = F.when(bare.isNotNull() & who.isNotNull(), F.struct(bare.alias("unit_code"), who.alias("subject")))
+    who = lambda bare: F.get(F.filter(filled, lambda x: _subject(x["v"]) & ~F.lower(x["v"]).contains(F.lower(bare))), F.lit(0))["v"]
+    both = lambda bare: once(who(bare), lambda x: F.when(x.isNotNull(), F.struct(bare.alias("unit_code"), x.alias("subject"))))
+    three = once(bare, lambda bare: F.when(bare.isNotNull(), both(bare)))
     return F.coalesce(one, two, three)
 
 
 def fact_column(column: Column, kind: Column, ledger: Column, raw: Column) -> Column:
     """(fact_type, category, is_total) of the amounts under a column; null for columns without meaning and for thousandths."""
-    low = F.lower(column)
+    return once(F.lower(column), lambda low: _fact_of(column, low, kind, ledger, raw))
+
+
+def _fact_of(column: Column, low: Column, kind: Column, ledger: Column, raw: Column) -> Column:
     fact = lambda name, label, total: F.struct(F.lit(name).alias("fact_type"), label.cast("string").alias("category"), F.lit(total).alias("is_total"))
     none = F.lit(None)
     out = F.when(low.rlike(r"^column_\d+$") | (low.contains("mill") & F.translate(raw, "€ ", "").rlike(r",\d{3,}$")), none)
@@ -324,10 +354,12 @@ def facts(found: DataFrame) -> DataFrame:
     cent are left out; all but balances are taken without their sign. Only exploding, no shuffle."""
     ledger = is_ledger(F.col("headers"))
     df = found.where(F.col("table_type").isin("expense_allocation", "payment_schedule") | ledger).withColumn("ledger", ledger)
-    df = df.select("*", F.explode("lines").alias("line")).withColumn("who", account_identity(F.col("headers"), F.col("line.cells"))).where("who is not null")
+    # identities and columns are read inside the arrays that are exploded: a filter on a column would evaluate them again
+    named = F.transform("lines", lambda r: F.struct(r["row_no"].alias("row_no"), r["cells"].alias("cells"), r["amounts"].alias("amounts"), account_identity(F.col("headers"), r["cells"]).alias("who")))
+    df = df.select("*", F.explode(F.filter(named, lambda r: r["who"].isNotNull())).alias("line")).select("*", F.col("line.who").alias("who"))
     cells = F.filter(F.zip_with("headers", F.arrays_zip("line.cells", "line.amounts"), lambda h, x: F.struct(h.alias("column"), x["cells"].alias("raw_value"), x["amounts"].alias("raw_amount"))), lambda x: F.abs(x["raw_amount"]) >= 0.005)
-    df = df.select("unit", "table_id", "table_type", "role", "ledger", "period_from", "period_to", "period_source", "who", F.col("line.row_no").alias("row_no"), F.explode(cells).alias("x"))
-    df = df.withColumn("f", fact_column(F.col("x.column"), F.col("table_type"), F.col("ledger"), F.col("x.raw_value"))).where("f is not null")
+    told = F.transform(cells, lambda x: F.struct(x["column"].alias("column"), x["raw_value"].alias("raw_value"), x["raw_amount"].alias("raw_amount"), fact_column(x["column"], F.col("table_type"), F.col("ledger"), x["raw_value"]).alias("f")))
+    df = df.select("unit", "table_id", "table_type", "role", "period_from", "period_to", "period_source", "who", F.col("line.row_no").alias("row_no"), F.explode(F.filter(told, lambda x: x["f"].isNotNull())).alias("x")).select("*", F.col("x.f").alias("f"))
     role = F.coalesce("role", F.when(F.col("f.fact_type") == "personal_charge", "actual_personal_charge"))
     value = F.when(F.col("f.fact_type").isin(SIGNED), F.col("x.raw_amount")).otherwise(F.abs("x.raw_amount"))
     return df.select("unit", "table_id", "row_no", "x.column", "who.unit_code", "who.subject", "f.fact_type", "f.category", "f.is_total", role.alias("accounting_role"), value.alias("amount"), "x.raw_amount", "x.raw_value", "period_from", "period_to", "period_source")

@@ -1,6 +1,7 @@
 """Archive jobs without SQL, or with cases that the tables lack, against plain loops."""
 
 import difflib
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -189,3 +190,17 @@ def test_specialists(spark):
     rows = [("bolletta", ""), ("fattura", "gas acqua pod"), ("fattura", "gas"), (None, "rendiconto riparto importi totali"), ("lettera", "x")]
     df = spark.createDataFrame(rows, "k string, t string").select(rules.specialists(F.col("k"), F.col("t")).alias("s"))
     assert [list(r.s) for r in df.collect()] == [["utility_bill"], ["utility_bill"], [], ["accounting_statement"], []]
+
+
+def test_statements_are_read_once(spark, sf):
+    """Nothing is written on the way, and texts, cells and names are parsed in one place of the plan each."""
+    from docspark.bridge import view
+    from docspark.plans import storage
+
+    before = set(os.listdir(storage.shared_dir(spark))) if os.path.isdir(storage.shared_dir(spark)) else set()
+    found = statements.tables(view(spark, sf, "statements"))
+    facts = statements.facts(found)
+    assert not [x for x in set(os.listdir(storage.shared_dir(spark))) - before if x.startswith("statement-")]
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert facts.select("unit").distinct().count() == found.select("unit").distinct().count() > 0
