@@ -204,3 +204,11 @@ def test_statements_are_read_once(spark, sf):
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
     assert facts.select("unit").distinct().count() == found.select("unit").distinct().count() > 0
+
+
+def test_entity_detail_gathers_no_set_of_documents(spark, sf):
+    """A place that every document names keeps five of them, not a set of all."""
+    from docspark.queries import QUERIES
+
+    plan = QUERIES["join_entity_detail"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "WindowGroupLimit" in plan
