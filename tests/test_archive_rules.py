@@ -212,3 +212,19 @@ def test_entity_detail_gathers_no_set_of_documents(spark, sf):
 
     plan = QUERIES["join_entity_detail"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "WindowGroupLimit" in plan
+
+
+def test_equal_word_sets_are_compared_once(spark):
+    """Sixty topics of two alike sets make two items of an axis, and all their pairs, against plain loops."""
+    words = {i: ["alpha", "beta", "delta"] + (["gamma"] if i % 2 else []) for i in range(60)} | {60: [], 61: [], 62: ["solo"]}
+    df = spark.createDataFrame([(i, "x" if i != 3 else "y", w) for i, w in words.items()], "topic long, axis string, tokens array<string>")
+    asked = []
+    compared, kept = consolidation.similar_pairs, lambda profiles, least: asked.append(profiles.count()) or compared(profiles, least)
+    consolidation.similar_pairs = kept
+    try:
+        got = {(r.a, r.b): (round(r.score, 6), r.shared) for r in consolidation.alike_sets(df, 6).collect()}
+    finally:
+        consolidation.similar_pairs = compared
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, b): (round(alike(words[a], words[b]), 6), sorted(set(words[a]) & set(words[b]))) for a in range(60) for b in range(a + 1, 60) if 3 not in (a, b)}
+    assert got == want and asked == [4]
