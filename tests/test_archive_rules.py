@@ -113,6 +113,29 @@ def test_merge_suggestions_against_all_pairs(spark):
     assert got == sorted(want) and len(want) > 50
 
 
+def test_merge_suggestions_of_copies_stay_linear(spark, monkeypatch):
+    sizes, write = {}, consolidation.written
+    monkeypatch.setattr(consolidation, "written", lambda df, name: (lambda out: (sizes.__setitem__(name, out.count()), out)[1])(write(df, name)))
+    rng = random.Random(3)
+    one = [(list(consolidation.AXES)[i % 3], rng.choice(["quote", None]), sorted(rng.sample([f"e{j}" for j in range(40)], 4)), rng.sample(["t1", "t2", "t3", "t4"], 2)) for i in range(12)]
+    rows = [(axis, c * 12 + i, (i + c) % 3, family, e, t, [f"d{c}-{i // 2}", f"d{c}-{i}", f"d{c % 20}"]) for c in range(40) for i, (axis, family, e, t) in enumerate(one)]
+    df = spark.createDataFrame(rows, "axis string, topic long, weight long, family string, entities array<string>, tokens array<string>, documents array<string>")
+    got = [(r.axis, r.nth, r.source, r.target, r.score) for r in consolidation.merge_suggestions(df, 5).collect()]
+    want = []
+    for axis, (we, wt, wd, wf, least) in consolidation.AXES.items():
+        mine, found = [r for r in rows if r[0] == axis], []
+        for i, a in enumerate(mine):
+            for b in mine[i + 1 :]:
+                e, t, d = (_like(set(a[k]), set(b[k])) for k in (4, 5, 6))
+                score = round(we * e + wt * t + wd * d + wf * (a[3] is not None and a[3] == b[3]), 6)
+                if (e or t) and score >= least and (axis != "subject" or e >= 0.08 or t >= 0.34):
+                    target, source = (a, b) if a[2] >= b[2] else (b, a)
+                    found.append((-score, target[1], source[1]))
+        want += [(axis, n, source, target, -score) for n, (score, target, source) in enumerate(sorted(found)[:5], 1)]
+    assert sorted(got) == sorted(want) and len(want) == 15
+    assert sizes["topic-pairs"] < 40 * len(rows)  # all pairs of copies are some 19 for each topic of the 12
+
+
 def test_scan_proposals_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(6), i, "_".join(rng.choice(["via", "roma", "verdi", "box", "tetto", "luce"]) for _ in range(rng.randrange(5)))) for i in range(150)]
