@@ -136,6 +136,24 @@ def test_merge_suggestions_of_copies_stay_linear(spark, monkeypatch):
     assert sizes["topic-pairs"] < 40 * len(rows)  # all pairs of copies are some 19 for each topic of the 12
 
 
+def test_topic_values_take_tasks_by_assignments(spark, monkeypatch):
+    from collections import Counter
+
+    from docspark.operators import topics
+
+    rng = random.Random(8)
+    held = [(rng.randrange(20), rng.randrange(90)) for _ in range(300)]
+    said = [(rng.randrange(90), rng.choice(["place", "address"]), rng.choice(["a", "bb", "cc", "d"])) for _ in range(250)]
+    n = Counter((t, k, x) for t, u in set(held) for w, k, x in set(said) if u == w)
+    a, m = spark.createDataFrame(held, "topic long, unit long"), spark.createDataFrame(said, "unit long, kind string, value string")
+    monkeypatch.setattr(topics, "ASSIGNMENTS", 20)
+    found = topics.topic_values(a, m)
+    assert found.rdd.getNumPartitions() == 15
+    assert {(r.topic, r.kind, r.value): r.n for r in found.collect()} == n
+    want = {(t, k): min((-c, -len(x), x) for (t2, k2, x), c in n.items() if (t2, k2) == (t, k)) for t, k, _ in n}
+    assert {(r.topic, r.kind): (-r.n, -len(r.value), r.value) for r in topics.anchors(found).collect()} == want
+
+
 def test_scan_proposals_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(6), i, "_".join(rng.choice(["via", "roma", "verdi", "box", "tetto", "luce"]) for _ in range(rng.randrange(5)))) for i in range(150)]
