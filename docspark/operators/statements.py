@@ -165,34 +165,38 @@ def _headers(grid: Column, rows: Column, cols: Column) -> Column:
     return once(F.transform(F.sequence(F.lit(0), cols - 1), name), lambda bases: F.transform(bases, lambda base, i: unique(base, i, bases)))
 
 
-def tables(units: DataFrame) -> DataFrame:
+def tables(units: DataFrame, about: bool = True, amounts: bool = True) -> DataFrame:
     """One row for each table with a row of data: unit, position, source, table_id, table_type, role, period_from, period_to,
     period_source, headers, lines (array of row_no, cells, amounts). ``units`` has unit, text, html, grid; null columns
     hold no tables. Rows of a unit are handled alone, and its tables are read within one array, so that no step is written
-    and none is evaluated again by what filters or columns come after."""
+    and none is evaluated again by what filters or columns come after. Who needs neither role nor period (``about``) or no
+    amounts gets nulls for them: what lies in an array is read whether a column of it is used or not."""
     found = F.concat(*(F.coalesce(x, F.array().cast(_GRIDS)) for x in (pipe_grids(F.col("text")), html_grid(F.col("html")), span_grid(F.col("grid")))))
     cols = lambda t: F.when(t["source"] == "markdown", F.size(F.get(t["grid"], F.lit(0)))).otherwise(F.array_max(F.transform(t["grid"], F.size)))
     wide = F.filter(F.transform(found, lambda t, i: F.struct(i.alias("position"), cols(t).alias("cols"), t.alias("t"))), lambda x: x["cols"] > 0)
-    filled = F.filter(F.transform(wide, lambda x: _rows(x["position"], x["cols"], x["t"])), lambda x: F.size(x["lines"]) > 0)
-    read = once(F.array(*statement_period(F.col("text"))), lambda stated: F.transform(filled, lambda x: _table(x, stated)))
+    filled = F.filter(F.transform(wide, lambda x: _rows(x["position"], x["cols"], x["t"], about, amounts)), lambda x: F.size(x["lines"]) > 0)
+    read = once(F.array(*statement_period(F.col("text"))), lambda stated: F.transform(filled, lambda x: _table(x, stated))) if about else F.transform(filled, lambda x: _table(x, None))
     return units.select("unit", F.explode(read).alias("t")).select("unit", "t.*")
 
 
-def _rows(position: Column, cols: Column, t: Column) -> Column:
+def _rows(position: Column, cols: Column, t: Column, about: bool, amounts: bool) -> Column:
     """Headers of a grid, and its rows of data, as wide as the table, with their amounts."""
     rows = F.filter(F.slice(t["grid"], t["skip"] + 1, F.greatest(F.size(t["grid"]) - t["skip"], F.lit(0))), _nonblank)
     cells = once(F.sequence(F.lit(0), cols - 1), lambda w: F.transform(rows, lambda row: F.transform(w, lambda c: F.coalesce(F.trim(F.get(row, c)), F.lit("")))))
-    line = lambda row, i: F.struct((i + 1).alias("row_no"), row.alias("cells"), F.transform(row, amount).alias("amounts"))
-    last = F.array(*statement_period(t["before"], last=True))
+    line = lambda row, i: F.struct((i + 1).alias("row_no"), row.alias("cells"), (F.transform(row, amount) if amounts else F.lit(None).cast("array<double>")).alias("amounts"))
+    last = F.array(*statement_period(t["before"], last=True)) if about else F.lit(None).cast("array<string>")
     return F.struct(position.alias("position"), t["source"].alias("source"), t["table_id"].alias("table_id"), t["before"].alias("before"), _headers(t["grid"], t["header_rows"], cols).alias("headers"), F.transform(cells, line).alias("lines"), last.alias("last"))
 
 
-def _table(x: Column, stated: Column) -> Column:
+def _table(x: Column, stated: Column | None) -> Column:
+    same = lambda *names: [x[n].alias(n) for n in names]
+    if stated is None:
+        nothing = [F.lit(None).cast("string").alias(n) for n in ("role", "period_from", "period_to", "period_source")]
+        return F.struct(*same("position", "source", "table_id"), table_type(x["headers"], x["lines"]).alias("table_type"), *nothing, *same("headers", "lines"))
     local = F.coalesce(F.get(x["last"], F.lit(0)), F.get(x["last"], F.lit(1))).isNotNull()
     period = lambda i: F.when(local, F.get(x["last"], F.lit(i))).otherwise(F.get(stated, F.lit(i)))
     source = F.when(local, "preceding_section").otherwise("document_unit")
     role = lambda kind: table_role(kind, x["headers"], F.coalesce(x["before"], F.lit("")))
-    same = lambda *names: [x[n].alias(n) for n in names]
     told = lambda kind: F.struct(*same("position", "source", "table_id"), kind.alias("table_type"), role(kind).alias("role"), period(0).alias("period_from"), period(1).alias("period_to"), source.alias("period_source"), *same("headers", "lines"))
     return once(table_type(x["headers"], x["lines"]), told)
 

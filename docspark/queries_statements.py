@@ -29,8 +29,10 @@ _TABLES = f"""with {_SUMS}, {_ROLES}, x as (
   union all select unit, 3, 'grid_1', 'summary', null, concat(year - 1, '-07-01'), concat(year, '-06-30'), 'document_unit', 2, 'Voce|Importi' from r)"""
 
 
-def _listed(found, source):
-    df = found.where(F.col("source") == source) if source else found
+def _listed(v, source, column):
+    # only the column that holds such tables is read, and of them neither role nor period
+    only = [(F.col(c) if c == column else F.lit(None).cast("string")).alias(c) for c in ("text", "html", "grid")]
+    df = statements.tables(v("statements").select("unit", *only), about=False).where(F.col("source") == source)
     return df.select("unit", "table_id", "table_type", F.array_join("headers", "|").alias("headers"), F.size("lines").cast("long").alias("n_rows"), F.round(F.aggregate(F.flatten(F.transform("lines", lambda r: r["amounts"])), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0))) * 1000).cast("long").alias("thousandths"))
 
 
@@ -38,32 +40,32 @@ def _listed(found, source):
   select x.unit, table_id, table_type, headers, n_rows, case table_id when 'table_1' then 40 * (cents + water) + mill else 20 * ((cents + water) // 2) end as thousandths from x join r on x.unit = r.unit join p on x.unit = p.unit where table_id like 'table_%'""")
 def udtf_markdown_table(v):
     """Pipe tables of statements: headers, lines and all their amounts."""
-    return _listed(statements.tables(v("statements")), "markdown")
+    return _listed(v, "markdown", "text")
 
 
 @_register(f"""{_TABLES} select x.unit, table_id, table_type, headers, n_rows, 10 * (3 * (cents + water) + due) as thousandths from x join r on x.unit = r.unit where table_id = 'html_1'""")
 def udtf_html_table(v):
     """HTML tables of statements."""
-    return _listed(statements.tables(v("statements")), "html")
+    return _listed(v, "html", "html")
 
 
 @_register(f"""{_TABLES} select x.unit, table_id, table_type, headers, n_rows, 10 * (cents + water + balance) as thousandths from x join r on x.unit = r.unit where table_id = 'grid_1'""")
 def udtf_grid_table(v):
     """Tables of statements given as cells with spans."""
-    return _listed(statements.tables(v("statements")), "grid")
+    return _listed(v, "grid", "grid")
 
 
 @_register(f"{_TABLES} select unit, table_id, role, period_from, period_to, period_source from x")
 def win_section_context(v):
     """Role and period of each table, from the last phrase and period before it."""
-    return statements.tables(v("statements")).select("unit", "table_id", "role", "period_from", "period_to", "period_source")
+    return statements.tables(v("statements"), amounts=False).select("unit", "table_id", "role", "period_from", "period_to", "period_source")
 
 
 @_register(f"""{_TABLES}, y as (select *, coalesce(role, case table_type when 'expense_allocation' then 'allocation' else table_type end) as section_role from x)
   select unit, section_role as role, row_number() over (partition by unit order by min(position)) as section, array_to_string(list_filter(list(table_type order by position), lambda x, i: list_position(list(table_type order by position), x) = i), ',') as table_types, array_to_string(list(table_id order by position), ',') as table_ids, count(*) as table_count, sum(n_rows)::bigint as row_count from y group by 1, 2""")
 def agg_statement_sections(v):
     """Tables of a statement by role, in order of the first of each."""
-    df = statements.sections(statements.tables(v("statements")))
+    df = statements.sections(statements.tables(v("statements"), amounts=False))
     return df.select("unit", "role", "section", F.array_join("table_types", ",").alias("table_types"), F.array_join("table_ids", ",").alias("table_ids"), "table_count", "row_count")
 
 
@@ -74,7 +76,7 @@ def agg_statement_sections(v):
   union all select unit, 'grid_1', unnest(['Totale gestione', 'Importi', 'Saldo finale']), unnest([cents + water, balance, balance]) from t) select * from x""")
 def agg_table_totals(v):
     """Totals of each table, of the lines marked as such; the last one stands."""
-    df = statements.totals(statements.tables(v("statements")))
+    df = statements.totals(statements.tables(v("statements"), about=False))
     return df.select("unit", "table_id", F.explode("totals").alias("t")).select("unit", "table_id", "t.name", F.round(F.col("t.amount") * 100).cast("long").alias("cents"))
 
 
@@ -107,20 +109,20 @@ def fn_row_facts(v):
   select unit, account_key, min(unit_code) as unit_code, arg_max(subject, (n, length(subject), subject)) as subject, array_to_string(list(subject order by subject), '|') as aliases, sum(k)::bigint as n_facts from a group by 1, 2""")
 def agg_accounts(v):
     """Accounts of each statement with their names and number of facts."""
-    df = statements.accounts(statements.facts(statements.tables(v("statements"))))
+    df = statements.accounts(statements.facts(statements.tables(v("statements"), about=False)))
     return df.select("unit", "account_key", "unit_code", "subject", F.array_join("aliases", "|").alias("aliases"), "n_facts")
 
 
 @_register(f"{_TABLES} select table_type, headers, count(*) as n from x group by 1, 2")
 def fn_table_type(v):
     """What kind of table its headers and first lines make it."""
-    return statements.tables(v("statements")).groupBy("table_type", F.array_join("headers", "|").alias("headers")).agg(F.count(F.lit(1)).alias("n"))
+    return statements.tables(v("statements"), about=False, amounts=False).groupBy("table_type", F.array_join("headers", "|").alias("headers")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register(f"{_FACTS} select unit, unit_code, subject, count(*) as n_lines from (select distinct unit, unit_code, subject, table_id, row_no from g) group by 1, 2, 3")
 def fn_account_identity(v):
     """Code and name of the account a line is about."""
-    rows = statements.facts(statements.tables(v("statements"))).select("unit", "unit_code", "subject", "table_id", "row_no").distinct()
+    rows = statements.facts(statements.tables(v("statements"), about=False)).select("unit", "unit_code", "subject", "table_id", "row_no").distinct()
     return rows.groupBy("unit", "unit_code", "subject").agg(F.count(F.lit(1)).alias("n_lines"))
 
 

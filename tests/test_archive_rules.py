@@ -269,3 +269,15 @@ def test_equal_word_sets_are_compared_once(spark):
     alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     want = {(a, b): (round(alike(words[a], words[b]), 6), sorted(set(words[a]) & set(words[b]))) for a in range(60) for b in range(a + 1, 60) if 3 not in (a, b)}
     assert got == want and asked == [4]
+
+
+def test_tables_read_only_what_is_asked_for(spark, sf):
+    from docspark import bridge
+    from docspark.operators import statements
+
+    units = bridge.view(spark, sf, "statements").limit(20)
+    whole, bare = statements.tables(units), statements.tables(units, about=False, amounts=False)
+    same = ["unit", "position", "source", "table_id", "table_type", "headers"]
+    assert sorted(map(str, whole.select(*same).collect())) == sorted(map(str, bare.select(*same).collect()))
+    assert bare.where("role is not null or period_from is not null or exists(lines, r -> r.amounts is not null)").count() == 0
+    assert whole.schema.simpleString() == bare.schema.simpleString()
