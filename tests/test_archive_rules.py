@@ -281,3 +281,22 @@ def test_tables_read_only_what_is_asked_for(spark, sf):
     assert sorted(map(str, whole.select(*same).collect())) == sorted(map(str, bare.select(*same).collect()))
     assert bare.where("role is not null or period_from is not null or exists(lines, r -> r.amounts is not null)").count() == 0
     assert whole.schema.simpleString() == bare.schema.simpleString()
+
+
+def test_bill_links_meet_by_kind(spark, monkeypatch):
+    from docspark.operators import bills
+
+    sizes, write = {}, bills.written
+    monkeypatch.setattr(bills, "written", lambda df, name: (lambda out: (sizes.__setitem__(name, out.count()), out)[1])(write(df, name)))
+    fields = spark.createDataFrame([(i, f"BL{i:08}", "Enel Servizio" if i % 7 else None, "1999-01-01", "1999-01-31") for i in range(60)], "unit long, number string, issuer string, period_from string, period_to string")
+    hays = [(i, "fattura" if i % 2 else None, "enel dettaglio pagamento 1999-01-01" if i % 3 else f"protbl{i - 3:08}bis mav") for i in range(90)]
+    got = {(r.unit, r.nth): (r.other, r.points, r.link_type) for r in bills.bill_links(fields, spark.createDataFrame(hays, "unit long, document_type string, haystack string")).collect()}
+    want = {}
+    for i in range(60):
+        found = []
+        for other, _, text in hays:
+            points = 55 * (f"bl{i:08}" in text) + 25 * ("enel" in text and i % 7 > 0) + 10 * ("1999-01-01" in text) + 12 * ("dettaglio" in text) + 14 * ("pagamento" in text or "mav" in text)
+            if other != i and points >= 45:
+                found.append((-points, other))
+        want |= {(i, n): (other, -points, "utility_bill_payment") for n, (points, other) in enumerate(sorted(found)[:5], 1)}
+    assert got == want and sizes["links-of-kinds"] <= 12  # six for each of two kinds, not 60 for each bill
