@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import clustering, rules
 from docspark.queries import _register, _topic_tokens
+from docspark.queries_more import _anchors
 from docspark.queries_rules import _named_anchors, _SIGNED
 
 _THRESHOLD = "case topic_class " + " ".join(f"when '{c}' then {t}::double" for c, t in clustering.THRESHOLDS.items()) + f" else {clustering.OTHERWISE}::double end"
@@ -34,6 +35,6 @@ _CLUSTERED = f"""{_SIGNED},
 def cl_topics_by_class(v):
     """Active topics of each class around their oldest ones, by its threshold: signatures, words of titles, titles inside others."""
     t = _topic_tokens(v("topics").where("is_active"))
-    signed = rules.signatures(t.select("topic", "topic_class", "title", "tokens"), _named_anchors(v))
+    signed = rules.signatures(t.select("topic", "topic_class", "title", "tokens"), _named_anchors(_anchors(v, t)))
     found = clustering.topic_clusters(t.join(signed, "topic").select("topic", "topic_class", F.col("tokens").alias("words"), "signature"))
     return found.select("topic", "leader", F.round("score", 6).alias("score"))

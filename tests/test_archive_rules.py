@@ -154,6 +154,27 @@ def test_topic_values_take_tasks_by_assignments(spark, monkeypatch):
     assert {(r.topic, r.kind): (-r.n, -len(r.value), r.value) for r in topics.anchors(found).collect()} == want
 
 
+def test_mentions_take_tasks_by_lines(spark, sf, monkeypatch):
+    from docspark import bridge
+
+    want = bridge.view(spark, sf, "mentions")
+    monkeypatch.setattr(bridge, "LINES", 500)
+    got = bridge.view(spark, sf, "mentions")
+    assert want.rdd.getNumPartitions() < 12 <= got.rdd.getNumPartitions()
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_meetings_gather_values_of_meetings_once(spark, sf, monkeypatch):
+    from docspark import bridge, queries
+    from docspark.operators import topics
+
+    gathered, values = [], topics.topic_values
+    monkeypatch.setattr(topics, "topic_values", lambda a, m: gathered.append(a.select("topic").distinct().count()) or values(a, m))
+    queries.QUERIES["cl_meeting_family"](spark, sf).count()
+    meetings = bridge.view(spark, sf, "topics").where("is_active and topic_class = 'meeting'").count()
+    assert len(gathered) == 1 and gathered[0] <= meetings
+
+
 def test_scan_proposals_against_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(6), i, "_".join(rng.choice(["via", "roma", "verdi", "box", "tetto", "luce"]) for _ in range(rng.randrange(5)))) for i in range(150)]
