@@ -154,6 +154,29 @@ def test_topic_values_take_tasks_by_assignments(spark, monkeypatch):
     assert {(r.topic, r.kind): (-r.n, -len(r.value), r.value) for r in topics.anchors(found).collect()} == want
 
 
+def test_entities_are_counted_as_numbers(spark, monkeypatch):
+    from docspark.operators import topics
+
+    rng = random.Random(9)
+    held = [(rng.randrange(20), rng.randrange(90)) for _ in range(300)]
+    said = [(u := rng.randrange(90), u % 7, rng.choice(["place", "address"]), rng.choice(["a", " A ", "bb", "Bb", None])) for _ in range(250)]
+    key = lambda x: x and x.strip().lower()
+    want = {}
+    for kind, entity in {(k, key(x)) for *_, k, x in said}:
+        own = [r for r in said if (r[2], key(r[3])) == (kind, entity)]
+        of = {t for t, u in held if entity is not None and u in {r[0] for r in own}}
+        want[kind, entity] = (max((r[3] for r in own), key=lambda x: x or ""), len(own), len({r[1] for r in own}), len(of))
+    a, m = spark.createDataFrame(held, "topic long, unit long"), spark.createDataFrame(said, "unit long, document long, kind string, value string")
+    sent, written = {}, topics.written
+    monkeypatch.setattr(topics, "written", lambda df, name: sent.setdefault(name, written(df, name)))
+    for bound in (200_000, 0):
+        monkeypatch.setattr(topics, "BROADCAST", bound)
+        sent.clear()
+        got = topics.entity_index(a, m).collect()
+        assert {(r.kind, r.entity): (r.display, r.mentions, r.documents, r.topics) for r in got} == want and len(got) == len(want)
+        assert dict(sent["units-said"].dtypes) == {"unit": "bigint", "document": "bigint", "ids": "array<bigint>"}
+
+
 def test_mentions_take_tasks_by_lines(spark, sf, monkeypatch):
     from docspark import bridge
 
