@@ -344,3 +344,17 @@ def test_bill_links_meet_by_kind(spark, monkeypatch):
                 found.append((-points, other))
         want |= {(i, n): (other, -points, "utility_bill_payment") for n, (points, other) in enumerate(sorted(found)[:5], 1)}
     assert got == want and sizes["links-of-kinds"] <= 12  # six for each of two kinds, not 60 for each bill
+
+
+def test_equal_word_sets_are_spread_in_parts(spark, monkeypatch):
+    """The pairs of 300 topics of one set are made by many tasks, none of which makes most of them."""
+    from collections import Counter
+
+    monkeypatch.setattr(consolidation, "MEMBERS", 20)
+    monkeypatch.setattr(consolidation, "SPREAD", 2_000)
+    df = spark.createDataFrame([(i, "x", ["alpha", "beta"] + (["gamma"] if i == 7 else [])) for i in range(300)], "topic long, axis string, tokens array<string>")
+    got = consolidation.alike_sets(df, 6).select("a", "b", "score", F.size("shared").alias("shared"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(300) for b in range(a + 1, 300)]
+    assert all(r.shared == 2 and round(r.score, 6) == (0.666667 if 7 in (r.a, r.b) else 1.0) for r in got)
+    made = Counter(r.task for r in got)
+    assert len(made) > 8 and max(made.values()) < len(got) / 4
