@@ -136,6 +136,26 @@ def test_merge_suggestions_of_copies_stay_linear(spark, monkeypatch):
     assert sizes["topic-pairs"] < 40 * len(rows)  # all pairs of copies are some 19 for each topic of the 12
 
 
+def test_merge_suggestions_drop_pairs_of_few_documents(spark, monkeypatch):
+    """Topics that share some documents, but too few to reach the bar, are no pair; nor is each tie of classes."""
+    sizes, write = {}, consolidation.written
+    monkeypatch.setattr(consolidation, "written", lambda df, name: (lambda out: (sizes.__setitem__(name, out.count()), out)[1])(write(df, name)))
+    rng = random.Random(9)
+    rows = [("case_or_issue", i, i % 4, None, [f"e{i // 3}", f"f{i // 6}"], ["t", f"t{i // 3}"], sorted(rng.sample([f"d{j}" for j in range(60)], 15))) for i in range(120)]
+    rows[41] = (*rows[41][:6], [*rows[40][6][:14], "d99"])  # one pair shares most
+    df = spark.createDataFrame(rows, "axis string, topic long, weight long, family string, entities array<string>, tokens array<string>, documents array<string>")
+    got = [(r.nth, r.source, r.target, r.score) for r in consolidation.merge_suggestions(df, 5).collect()]
+    found = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            e, t, d = (_like(set(a[k]), set(b[k])) for k in (4, 5, 6))
+            target, source = (a, b) if a[2] >= b[2] else (b, a)
+            found.append((-round(35 * e + 25 * t + 40 * d, 6), target[1], source[1]))
+    assert sorted(got) == [(n, source, target, -score) for n, (score, target, source) in enumerate(sorted(found)[:5], 1)]
+    some = sum(bool(set(a[6]) & set(b[6])) for i, a in enumerate(rows) for b in rows[i + 1 :])
+    assert sizes["topic-pairs"] < some / 5 and sizes["first-classes"] <= 6
+
+
 def test_topic_values_take_tasks_by_assignments(spark, monkeypatch):
     from collections import Counter
 
