@@ -378,3 +378,26 @@ def test_equal_word_sets_are_spread_in_parts(spark, monkeypatch):
     assert all(r.shared == 2 and round(r.score, 6) == (0.666667 if 7 in (r.a, r.b) else 1.0) for r in got)
     made = Counter(r.task for r in got)
     assert len(made) > 8 and max(made.values()) < len(got) / 4
+
+
+def test_bill_links_make_units_once(spark, monkeypatch):
+    """Units are made and marked once, whether words and dates are asked for one by one or by an index, and numbers by either way of it."""
+    from docspark.operators import bills
+
+    fields = spark.createDataFrame([(i, f"BL{i:08}", "Enel Servizio" if i % 7 else None, "1999-01-01", "1999-01-31") for i in range(40)], "unit long, number string, issuer string, period_from string, period_to string")
+    hays = [(i, "fattura" if i % 2 else None, "enel dettaglio pagamento 1999-01-01" if i % 3 else f"x protbl{i - 3:08}bis mav 00") for i in range(60)]
+    made = spark.sparkContext.accumulator(0)
+
+    def said(text):
+        made.add(1)
+        return text
+
+    units = spark.createDataFrame(hays, "unit long, document_type string, haystack string").withColumn("haystack", F.udf(said, "string").asNondeterministic()("haystack"))
+    got = []
+    for signs, grams in ((500, 200_000), (0, 0)):
+        monkeypatch.setattr(bills, "SIGNS", signs, raising=False)
+        monkeypatch.setattr(consolidation, "BROADCAST_GRAMS", grams)
+        before = made.value
+        got.append(sorted((r.unit, r.nth, r.other, r.points, r.link_type) for r in bills.bill_links(fields, units).collect()))
+        assert made.value - before == len(hays)
+    assert got[0] == got[1] and any(points == 69 for *_, points, _ in got[0])
