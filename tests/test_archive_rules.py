@@ -401,3 +401,18 @@ def test_bill_links_make_units_once(spark, monkeypatch):
         got.append(sorted((r.unit, r.nth, r.other, r.points, r.link_type) for r in bills.bill_links(fields, units).collect()))
         assert made.value - before == len(hays)
     assert got[0] == got[1] and any(points == 69 for *_, points, _ in got[0])
+
+
+def test_canonical_merge_gathers_no_common_key(spark, monkeypatch):
+    """Mentions aren't sorted, expanded or joined by their key; entities without a mention stay."""
+    variants = spark.createDataFrame([(1, "place", "a"), (1, "place", "b"), (2, "place", "c"), (3, "place", "d"), (3, "place", None)], "canonical int, kind string, key string")
+    decisions = spark.createDataFrame([(2, "place", "b", 1), (4, "place", "b", 2), (4, "place", "e", 1)], "canonical int, kind string, key string, nth int")
+    said = [("place", "a", f"A{i % 3}", i) for i in range(300)] + [("place", "b", "B", 7), ("place", "b", "B", None), ("place", "e", "E", 7), ("place", "zz", "Z", 9), ("place", None, "N", 1)]
+    mentions = spark.createDataFrame(said, "kind string, key string, value string, document long")
+    want = {1: ("A2", 1, 300), 2: (None, 1, 0), 3: (None, 1, 0), 4: ("E", 2, 1)}
+    for keys in (200_000, 0):
+        monkeypatch.setattr(consolidation, "BROADCAST_KEYS", keys, raising=False)
+        df = consolidation.canonical_merged(variants, decisions, mentions)
+        assert {r.canonical: (r.display, r.variants, r.documents) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
