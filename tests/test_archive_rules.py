@@ -416,3 +416,14 @@ def test_canonical_merge_gathers_no_common_key(spark, monkeypatch):
         assert {r.canonical: (r.display, r.variants, r.documents) for r in df.collect()} == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_corrections_parse_statements_once(spark, sf, monkeypatch):
+    """What corrections, single accounts and old facts are read from is written; nothing parses statements again."""
+    from docspark import queries, queries_rules
+
+    parsed, write = [], queries_rules.written
+    spy = lambda df, name: parsed.append(df._jdf.queryExecution().optimizedPlan().toString().count("from_json")) or write(df, name)
+    monkeypatch.setattr(queries_rules, "written", spy)
+    plan = queries.QUERIES["join_corrections"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and parsed == [1]
