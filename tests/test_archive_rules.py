@@ -427,3 +427,17 @@ def test_corrections_parse_statements_once(spark, sf, monkeypatch):
     monkeypatch.setattr(queries_rules, "written", spy)
     plan = queries.QUERIES["join_corrections"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and parsed == [1]
+
+
+def test_cleanup_counts_dominant_values_once(spark, sf, monkeypatch):
+    """Dominant values are counted where the topic is, without a shuffle of counts, and only once for all findings."""
+    from docspark import queries, queries_knowledge
+
+    kept, write = [], queries_knowledge.written
+    monkeypatch.setattr(queries_knowledge, "written", lambda df, name: kept.append(df) or write(df, name))
+    plan = queries.QUERIES["agg_cleanup_summary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(kept) == 1 and "ordinal" not in plan
+    values = spark.createDataFrame([(i % 5, "a" if i % 3 else "b", None) for i in range(60)], "topic long, x string, y string")
+    df = rules.dominant(values, ["x", "y"], 3)
+    assert sorted(tuple(r) for r in df.collect()) == [(i, "a", None) for i in range(5)]
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
